@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules, simhash_dedup, token_rans
+from . import byte_bpe, packing, pii, quality_rules, simhash_dedup, token_rans
 from .common import table
 
 
@@ -17,6 +17,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The example key of the registered queries; a real run passes its own secret.
+KEY = b"haltlens registered query key 01"
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level sequences: a document's length is its UTF-8 bytes and an end position."""
+    return packing.best_fit(table(spark, sf_dir, "documents"), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, KEY).withColumn("n_replaced", pii.total())
+
+
 def op3_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rans.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -36,5 +50,5 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_rans, op5_quality_rules, op8_byte_bpe, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_token_rans, op5_quality_rules, op8_byte_bpe, op10_simhash_dedup)}
 SQL: dict[str, str] = {}
