@@ -51,3 +51,10 @@ def dropped(df: DataFrame) -> None:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns of ``df`` under the operator's own names; all others, whatever they are called, stay out of the plan."""
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
+
+
+def sliced(batches, rows: int = 256):
+    """Arrow batches in slices, so that a worker's Python objects stay few however large a batch is."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

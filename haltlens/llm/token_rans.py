@@ -15,6 +15,9 @@ apart, ordered by their ids; no documents give no blocks. A block larger than th
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -24,174 +27,78 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import new_path, only, written
+from .common import new_path, only, sliced, written
 
 MAGIC = b"HLRANS01"
 SCALE = 20  # bits of the frequency total
 LOW = np.uint64(1 << 31)  # smallest state
 _U = np.uint64
-#: Chunks between ASCII white space whose ids a worker keeps; the table starts anew beyond it.
-CACHED = 400_000
-
-
-def scaled(counts: np.ndarray) -> np.ndarray:
-    """Frequencies that sum to 2**SCALE; each id that occurs has one of at least 1."""
-    total = 1 << SCALE
-    live = np.flatnonzero(counts)
-    if len(live) > total:
-        raise ValueError("more different ids than the frequency total")
-    out = np.zeros(len(counts), np.uint32)
-    if not len(live):
-        return out
-    share = counts[live].astype(np.float64) * (total / counts.sum())
-    f = np.maximum(1, np.floor(share)).astype(np.int64)
-    short = total - int(f.sum())
-    if short > 0:
-        f[np.argmax(f)] += short
-    while short < 0:  # taken from the largest, where it costs least
-        i = int(np.argmax(f))
-        take = min(-short, max(1, int(f[i]) // 2))
-        f[i] -= take
-        short += take
-    out[live] = f
-    return out
-
-
-class Table:
-    def __init__(self, freq: np.ndarray):
-        self.freq = freq.astype(np.uint64)
-        self.start = np.concatenate([[0], np.cumsum(freq.astype(np.uint64))[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
-
-
-def _lanes(n: int, lanes: int) -> int:
-    return max(1, min(lanes, n // 256))
-
-
-def encode_block(ids: np.ndarray, table: Table, doc_ids: list, lengths: np.ndarray, *, lanes: int = 1024, every: int = 128) -> bytes:
-    n = len(ids)
-    k = _lanes(n, lanes)
-    steps = -(-n // k)
-    f, c = table.freq[ids], table.start[ids]
-    if n and not f.all():
-        raise ValueError("an id without frequency")
-    x = np.full(k, LOW, np.uint64)
-    words: list[np.ndarray] = []
-    marks: list[np.ndarray] = []
-    emitted: list[int] = []
-    with np.errstate(over="ignore"):
-        for s in range(steps - 1, -1, -1):
-            fs, cs = f[s * k : (s + 1) * k], c[s * k : (s + 1) * k]
-            y = x[: len(fs)]
-            full = y >= fs << _U(63 - SCALE)
-            w = y[full].astype(np.uint32)
-            words.append(w)
-            emitted.append(len(w))
-            y = np.where(full, y >> _U(32), y)
-            q = y // fs
-            x[: len(fs)] = (q << _U(SCALE)) + (y - q * fs) + cs
-            if s % every == 0:
-                marks.append(x.copy())
-    before = np.concatenate([[0], np.cumsum(emitted[::-1])]).astype(np.uint64)
-    at = before[0:steps:every]
-    stream = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
-    head = np.array([len(doc_ids), n, k, len(stream), every, len(marks), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(stream.tobytes())], "<u8")
-    null = np.packbits(np.array([d is None for d in doc_ids], bool))
-    numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    return b"".join([MAGIC, head.tobytes(), null.tobytes(), numbers.tobytes(), lengths.astype("<u4").tobytes(), at.astype("<u8").tobytes(), *[m.astype("<u8").tobytes() for m in marks[::-1]], stream.astype("<u4").tobytes()])
-
-
-class Block:
-    """A parsed block; ``ids(a, b)`` decodes the stretch between two checkpoints."""
-
-    def __init__(self, data: bytes, table: Table):
-        if data[:8] != MAGIC:
-            raise ValueError("not a block")
-        docs, self.n, self.k, n_words, self.every, marks, self.ids_crc, words_crc = map(int, np.frombuffer(data, "<u8", 8, 8))
-        at = 72
-        null = np.unpackbits(np.frombuffer(data, np.uint8, -(-docs // 8), at), count=docs)
-        at += -(-docs // 8)
-        numbers = np.frombuffer(data, "<i8", docs, at)
-        at += 8 * docs
-        self.lengths = np.frombuffer(data, "<u4", docs, at)
-        at += 4 * docs
-        self.words_at = np.frombuffer(data, "<u8", marks, at)
-        at += 8 * marks
-        self.states = np.frombuffer(data, "<u8", marks * self.k, at).reshape(marks, self.k)
-        at += 8 * marks * self.k
-        self.words = np.frombuffer(data, "<u4", n_words, at)
-        if zlib.crc32(self.words.tobytes()) != words_crc:
-            raise ValueError("damaged words")
-        self.doc_ids = [None if z else int(d) for z, d in zip(null, numbers)]
-        self.marks, self.table = marks, table
-
-    def stretch(self, mark: int) -> np.ndarray:
-        """Ids from one checkpoint to the next."""
-        t, k = self.table, self.k
-        first, last = mark * self.every * k, min(self.n, (mark + 1) * self.every * k)
-        out = np.empty(last - first, np.uint32)
-        x, at = self.states[mark].copy(), int(self.words_at[mark])
-        mask, scale = _U((1 << SCALE) - 1), _U(SCALE)
-        for p in range(0, last - first, k):
-            y = x[: min(k, last - first - p)]
-            slot = y & mask
-            sym = t.symbol[slot]
-            out[p : p + len(y)] = sym
-            y = t.freq[sym] * (y >> scale) + slot - t.start[sym]
-            low = np.flatnonzero(y < LOW)
-            y[low] = (y[low] << _U(32)) | self.words[at : at + len(low)]
-            at += len(low)
-            x[: len(y)] = y
-        return out
-
-    def ids(self) -> np.ndarray:
-        out = np.concatenate([self.stretch(m) for m in range(self.marks)]) if self.marks else np.empty(0, np.uint32)
-        if zlib.crc32(out.astype("<u4").tobytes()) != self.ids_crc:
-            raise ValueError("damaged ids")
-        return out
-
-
+#: Pieces of text whose ids a worker keeps; the table starts anew beyond it.
+CACHED = 600_000
 @lru_cache(maxsize=1)
 def tokenizer(path: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
+class Pieces(dict):
+    """Ids, as bytes, of pieces that the tokenizer splits a text into anyway; encoded by the library when first met."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.tok, self.width = tokenizer(path), _width(path)
+        self.model = self.tok.model
+        config = json.loads(self.tok.to_str())
+        # the short cuts below hold for this normaliser and splitter; any other tokenizer encodes whole texts
+        kinds = [n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])]
+        split = [n.get("pattern", {}).get("Regex") for n in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.known = kinds == ["NFC", "Replace", "Lowercase"] and split == [SPLIT, None]
+        self.special = [a["content"] for a in config["added_tokens"]]
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        if piece.isalpha():  # ASCII letters: one word, which normaliser and splitter leave as it is
+            ids = [t.id for t in self.model.tokenize(piece.decode())]
+        else:
+            ids = self.tok.encode(piece.decode(), add_special_tokens=False).ids
+        out = self[piece] = np.array(ids, self.width).tobytes()
+        return out
+
+    def of(self, text: str) -> bytes:
+        if not self.known or any(s in text for s in self.special):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+        data = text.encode().lower()
+        return b"".join(map(self.__getitem__, data.split() if _BEYOND.search(text) else _PIECE.findall(data)))
 
-    return Tokenizer.from_file(path), {}
 
+#: The splitting rule for which ``Pieces`` may split first. Neither its matches nor the normalisation reach across ASCII white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts with characters beyond printable ASCII, white space and Latin-1 letters are split at ASCII white space only; in others the rule is this.
+_BEYOND = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
 
-def chunk_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of whole texts. The tokenizer's normaliser and splitter never reach across ASCII white space, so that each chunk between it is encoded once by the library and kept."""
-    tok, known = tokenizer(path)
-    out = []
-    for t in texts:
-        chunks = t.encode().split()
-        if new := list({c for c in chunks if c not in known}):
-            if len(known) + len(new) > CACHED:
-                known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, tok.encode_batch([c.decode() for c in new], add_special_tokens=False)):
-                known[c] = np.array(e.ids, np.uint16 if tok.get_vocab_size() <= 65536 else np.uint32).tobytes()
-        out.append(b"".join(map(known.__getitem__, chunks)))
-    return out
+
+@lru_cache(maxsize=1)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
+@lru_cache(maxsize=4)
 def _width(path: str) -> str:
-    return "<u2" if tokenizer(path)[0].get_vocab_size() <= 65536 else "<u4"
+    return "<u2" if tokenizer(path).get_vocab_size() <= 65536 else "<u4"
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id and ids (binary, 2 or 4 bytes each by vocabulary size) of every row, end id appended."""
 
     def run(batches):
-        end = np.array([end_id], _width(path)).tobytes()
-        for b in batches:
-            for p in range(0, b.num_rows, 256):
-                part = b.slice(p, 256)
-                ids = chunk_ids([t or "" for t in part.column("text").to_pylist()], path)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([i + end for i in ids], pa.binary())], ["doc_id", "ids"])
+        end, known = np.array([end_id], _width(path)).tobytes(), pieces(path)
+        for b in sliced(batches):
+            ids = [known.of(t.as_py() or "") + end for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return only(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -220,7 +127,7 @@ BLOCKS = "part int, seq long, n_ids long, block binary"
 def write(docs: DataFrame, out: str, tokenizer_path: str, *, end_id: int = 1, block_ids: int = 1 << 18, lanes: int = 1024, every: int = 128) -> None:
     """Tokenizes ``docs`` and writes the token-id file ``out`` (a folder with ``table`` and ``blocks``)."""
     spark = docs.sparkSession
-    size, width = tokenizer(tokenizer_path)[0].get_vocab_size(), _width(tokenizer_path)
+    size, width = tokenizer(tokenizer_path).get_vocab_size(), _width(tokenizer_path)
     tokens = written(tokenized(docs, tokenizer_path, end_id), "op3-tokens")
     freq = frequency_table(tokens, width, size)
     spark.createDataFrame([(bytearray(freq.astype("<u4").tobytes()),)], "freq binary").coalesce(1).write.parquet(f"{out}/table")
