@@ -37,6 +37,125 @@ LOW = np.uint64(1 << 31)  # smallest state
 _U = np.uint64
 #: Pieces of text whose ids a worker keeps; the table starts anew beyond it.
 CACHED = 600_000
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Frequencies that sum to 2**SCALE; each id that occurs has one of at least 1."""
+    total = 1 << SCALE
+    live = np.flatnonzero(counts)
+    if len(live) > total:
+        raise ValueError("more different ids than the frequency total")
+    out = np.zeros(len(counts), np.uint32)
+    if not len(live):
+        return out
+    share = counts[live].astype(np.float64) * (total / counts.sum())
+    f = np.maximum(1, np.floor(share)).astype(np.int64)
+    short = total - int(f.sum())
+    if short > 0:
+        f[np.argmax(f)] += short
+    while short < 0:  # taken from the largest, where it costs least
+        i = int(np.argmax(f))
+        take = min(-short, max(1, int(f[i]) // 2))
+        f[i] -= take
+        short += take
+    out[live] = f
+    return out
+
+
+class Table:
+    def __init__(self, freq: np.ndarray):
+        self.freq = freq.astype(np.uint64)
+        self.start = np.concatenate([[0], np.cumsum(freq.astype(np.uint64))[:-1]]).astype(np.uint64)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+
+
+def _lanes(n: int, lanes: int) -> int:
+    return max(1, min(lanes, n // 256))
+
+
+def encode_block(ids: np.ndarray, table: Table, doc_ids: list, lengths: np.ndarray, *, lanes: int = 1024, every: int = 128) -> bytes:
+    n = len(ids)
+    k = _lanes(n, lanes)
+    steps = -(-n // k)
+    f, c = table.freq[ids], table.start[ids]
+    if n and not f.all():
+        raise ValueError("an id without frequency")
+    x = np.full(k, LOW, np.uint64)
+    words: list[np.ndarray] = []
+    marks: list[np.ndarray] = []
+    emitted: list[int] = []
+    with np.errstate(over="ignore"):
+        for s in range(steps - 1, -1, -1):
+            fs, cs = f[s * k : (s + 1) * k], c[s * k : (s + 1) * k]
+            y = x[: len(fs)]
+            full = y >= fs << _U(63 - SCALE)
+            w = y[full].astype(np.uint32)
+            words.append(w)
+            emitted.append(len(w))
+            y = np.where(full, y >> _U(32), y)
+            q = y // fs
+            x[: len(fs)] = (q << _U(SCALE)) + (y - q * fs) + cs
+            if s % every == 0:
+                marks.append(x.copy())
+    before = np.concatenate([[0], np.cumsum(emitted[::-1])]).astype(np.uint64)
+    at = before[0:steps:every]
+    stream = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
+    head = np.array([len(doc_ids), n, k, len(stream), every, len(marks), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(stream.tobytes())], "<u8")
+    null = np.packbits(np.array([d is None for d in doc_ids], bool))
+    numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    return b"".join([MAGIC, head.tobytes(), null.tobytes(), numbers.tobytes(), lengths.astype("<u4").tobytes(), at.astype("<u8").tobytes(), *[m.astype("<u8").tobytes() for m in marks[::-1]], stream.astype("<u4").tobytes()])
+
+
+class Block:
+    """A parsed block; ``ids(a, b)`` decodes the stretch between two checkpoints."""
+
+    def __init__(self, data: bytes, table: Table):
+        if data[:8] != MAGIC:
+            raise ValueError("not a block")
+        docs, self.n, self.k, n_words, self.every, marks, self.ids_crc, words_crc = map(int, np.frombuffer(data, "<u8", 8, 8))
+        at = 72
+        null = np.unpackbits(np.frombuffer(data, np.uint8, -(-docs // 8), at), count=docs)
+        at += -(-docs // 8)
+        numbers = np.frombuffer(data, "<i8", docs, at)
+        at += 8 * docs
+        self.lengths = np.frombuffer(data, "<u4", docs, at)
+        at += 4 * docs
+        self.words_at = np.frombuffer(data, "<u8", marks, at)
+        at += 8 * marks
+        self.states = np.frombuffer(data, "<u8", marks * self.k, at).reshape(marks, self.k)
+        at += 8 * marks * self.k
+        self.words = np.frombuffer(data, "<u4", n_words, at)
+        if zlib.crc32(self.words.tobytes()) != words_crc:
+            raise ValueError("damaged words")
+        self.doc_ids = [None if z else int(d) for z, d in zip(null, numbers)]
+        self.marks, self.table = marks, table
+
+    def stretch(self, mark: int) -> np.ndarray:
+        """Ids from one checkpoint to the next."""
+        t, k = self.table, self.k
+        first, last = mark * self.every * k, min(self.n, (mark + 1) * self.every * k)
+        out = np.empty(last - first, np.uint32)
+        x, at = self.states[mark].copy(), int(self.words_at[mark])
+        mask, scale = _U((1 << SCALE) - 1), _U(SCALE)
+        for p in range(0, last - first, k):
+            y = x[: min(k, last - first - p)]
+            slot = y & mask
+            sym = t.symbol[slot]
+            out[p : p + len(y)] = sym
+            y = t.freq[sym] * (y >> scale) + slot - t.start[sym]
+            low = np.flatnonzero(y < LOW)
+            y[low] = (y[low] << _U(32)) | self.words[at : at + len(low)]
+            at += len(low)
+            x[: len(y)] = y
+        return out
+
+    def ids(self) -> np.ndarray:
+        out = np.concatenate([self.stretch(m) for m in range(self.marks)]) if self.marks else np.empty(0, np.uint32)
+        if zlib.crc32(out.astype("<u4").tobytes()) != self.ids_crc:
+            raise ValueError("damaged ids")
+        return out
+
+
 @lru_cache(maxsize=1)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
