@@ -19,6 +19,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -168,7 +169,7 @@ class Pieces(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tok, self.width = tokenizer(path), _width(path)
-        self.model = self.tok.model
+        self.model, self.code = self.tok.model, "H" if self.width == "<u2" else "I"
         config = json.loads(self.tok.to_str())
         # the short cuts below hold for this normaliser and splitter; any other tokenizer encodes whole texts
         kinds = [n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])]
@@ -181,9 +182,11 @@ class Pieces(dict):
             self.clear()
         if piece.isalpha():  # ASCII letters: one word, which normaliser and splitter leave as it is
             ids = [t.id for t in self.model.tokenize(piece.decode())]
+        elif _WORD.fullmatch(text := piece.decode()):  # a word as well; the model reads its bytes as signs of their own
+            ids = [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(_SIGNS))]
         else:
-            ids = self.tok.encode(piece.decode(), add_special_tokens=False).ids
-        out = self[piece] = np.array(ids, self.width).tobytes()
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        out = self[piece] = array(self.code, ids).tobytes()
         return out
 
     def of(self, text: str) -> bytes:
@@ -197,6 +200,9 @@ class Pieces(dict):
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with characters beyond printable ASCII, white space and Latin-1 letters are split at ASCII white space only; in others the rule is this.
 _BEYOND = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+_WORD = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Byte-level vocabularies write the bytes that are no visible Latin-1 signs as the characters from 256 on, in order.
+_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
