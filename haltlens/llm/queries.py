@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fuzzy_lines, license_scan, packing, pii, quality_rules, simhash_dedup, token_rans, weighted_minhash
+from . import byte_bpe, fuzzy_lines, license_scan, packing, pii, quality_rules, simhash_dedup, suffix_dedup, token_rans, weighted_minhash
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op3_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rans.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
@@ -62,5 +66,5 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_token_rans, op5_quality_rules, op6_license_scan, op7_weighted_minhash, op8_byte_bpe, op9_fuzzy_lines, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_token_rans, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_weighted_minhash, op8_byte_bpe, op9_fuzzy_lines, op10_simhash_dedup)}
 SQL: dict[str, str] = {}
