@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat an earlier one or nearly so; a document that is left without any text goes, as nothing of it remains."""
-    return _with_size(fuzzy_lines.without_lines(docs).filter("n_dropped = 0 OR length(text) > 0"))
+    """All documents, without lines that repeat an earlier one or nearly so; a document goes if lines went and none of five words is left, as it is a copy but for scraps."""
+    return _with_size(fuzzy_lines.without_lines(docs).filter("n_dropped = 0 OR n_left > 0"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
