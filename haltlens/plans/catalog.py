@@ -1,6 +1,755 @@
-"""Registered queries of the early-stop engine and their DuckDB counterparts."""
+"""Registered queries of the early-stop engine and their DuckDB counterparts.
+
+Each query applies one operator to an adapter view over its whole tables. The SQL is written on its own, not generated from the plan;
+floating-point sums, whose order differs between engines, are rounded on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from haltlens.functions import scalars as X
+from haltlens.operators import audit, metrics, parse, policy, ranking, select, splits, tokens
+from haltlens.sources import adapters as A
+from haltlens.sources import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+THRESHOLDS = (0.75, 0.80, 0.85, 0.90, 0.95, 0.97)
+INF = "CAST('inf' AS DOUBLE)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- DuckDB's side of a decision
+
+
+def sql_rule(ts: str, tf: str, *, min_step: str = "0", mode: str = "'dual'", cap: str = "", conflict: str = "margin", complement: bool = False, source: str = "prefix_scores", keys: str = "traj_id", k: str = "1", saved: str = "after", more: str = "") -> str:
+    """CTEs up to ``decisions``; ``more``: other columns of the source to carry, each with a comma after it."""
+    hs = f"(NOT isnan(p_success) AND p_success >= {ts} AND {mode} <> 'failure_only' AND prefix_step_idx >= {min_step}" + (f" AND p_failure < {cap}" if cap else "") + (f" AND p_failure < 1.0::DOUBLE - {ts}" if complement else "") + ")"
+    hf = f"(NOT isnan(p_failure) AND p_failure >= {tf} AND {mode} <> 'success_only' AND prefix_step_idx >= {min_step}" + (f" AND p_success < {cap}" if cap else "") + (f" AND p_success < 1.0::DOUBLE - {tf}" if complement else "") + ")"
+    both = "0" if conflict == "abstain" else "1" if complement else f"CASE WHEN p_success - {ts} >= p_failure - {tf} THEN 1 ELSE -1 END"
+    n = "count(*) FILTER (WHERE prefix_step_idx > stop_at)" if saved == "after" else "greatest(count(*) - max(stop_at) - 1, 0)"
+    return f"""dirs AS (SELECT *, CASE WHEN {hs} AND {hf} THEN {both} WHEN {hs} THEN 1 WHEN {hf} THEN -1 ELSE 0 END AS dir FROM {source}),
+  isl AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY prefix_step_idx) - row_number() OVER (PARTITION BY {keys}, dir ORDER BY prefix_step_idx) AS island FROM dirs),
+  strk AS (SELECT *, row_number() OVER (PARTITION BY {keys}, dir, island ORDER BY prefix_step_idx) AS streak FROM isl),
+  fire AS (SELECT *, min(CASE WHEN dir <> 0 AND streak >= {k} THEN prefix_step_idx END) OVER (PARTITION BY {keys}) AS stop_at FROM strk),
+  decisions AS (SELECT {keys}, {more} arg_min(agent, prefix_step_idx) AS agent, arg_min(label, prefix_step_idx) AS label, count(*) AS n_steps, max(stop_at) IS NOT NULL AS decided,
+    CASE max(CASE WHEN prefix_step_idx = stop_at THEN dir END) WHEN 1 THEN 'success' WHEN -1 THEN 'failure' ELSE 'undecided' END AS decision, CAST(coalesce(max(stop_at), -1) AS INT) AS decision_step,
+    max(CASE WHEN prefix_step_idx = stop_at THEN CASE dir WHEN 1 THEN p_success WHEN -1 THEN p_failure END END) AS decision_score,
+    max(CASE WHEN prefix_step_idx = stop_at THEN p_success END) AS prob_success, max(CASE WHEN prefix_step_idx = stop_at THEN p_failure END) AS prob_failure,
+    CAST(CASE WHEN max(stop_at) IS NULL THEN 0 ELSE {n} END AS BIGINT) AS saved_steps FROM fire GROUP BY {keys}{', ' + more.rstrip(', ') if more else ''})"""
+
+
+DECISION_COLS = "traj_id, agent, label, n_steps, decided, decision, decision_step, decision_score, prob_success, prob_failure, saved_steps"
+COUNTERS = """count(*) AS original_total, count(*) FILTER (WHERE label = 1) AS original_resolved,
+  count(*) FILTER (WHERE decision = 'success' AND label = 1) AS true_positives, count(*) FILTER (WHERE decision = 'success' AND label <> 1) AS false_positives,
+  count(*) FILTER (WHERE decision = 'failure' AND label <> 1) AS true_negatives, count(*) FILTER (WHERE decision = 'failure' AND label = 1) AS false_negatives,
+  count(*) FILTER (WHERE decision = 'success') AS decided_success, count(*) FILTER (WHERE decision = 'failure') AS decided_failure, count(*) FILTER (WHERE decision = 'undecided') AS undecided,
+  CAST(sum(saved_steps) AS BIGINT) AS total_saved_steps, CAST(sum(n_steps) AS BIGINT) AS total_steps"""
+
+
+def sql_rates(percent: bool = True, empty: str | None = None) -> str:
+    s, t = ("100.0::DOUBLE * ", "_pct") if percent else ("1.0::DOUBLE * ", "")
+    r = lambda n, d: f"coalesce({s}({n}) / nullif(CAST({d} AS DOUBLE), 0), {empty})" if empty else f"{s}({n}) / nullif(CAST({d} AS DOUBLE), 0)"
+    z = lambda n: f"coalesce(({n}) / nullif(CAST(original_total AS DOUBLE), 0), 0)"
+    return f"""decided_success + decided_failure AS n_decided, original_resolved - false_negatives + false_positives AS adjusted_resolved,
+  {r('decided_success + decided_failure', 'original_total')} AS coverage{t}, {r('true_positives + true_negatives', 'decided_success + decided_failure')} AS decision_accuracy{t},
+  {r('true_positives', 'decided_success')} AS precision_success{t}, {r('true_negatives', 'decided_failure')} AS precision_failure{t},
+  {z('original_resolved')} AS original_resolve_rate, {z('original_resolved - false_negatives + false_positives')} AS adjusted_resolve_rate,
+  {s}{z('false_negatives - false_positives')} AS resolve_rate_drop{'_pp' * percent}, {s}{z('false_positives - false_negatives')} AS resolve_rate_change{'_pp' * percent},
+  {r('total_saved_steps', 'total_steps')} AS {'pct_' * percent}steps_saved"""
+
+
+def sql_policy(rule: str, final: str) -> str:
+    return f"WITH {A.SCORES},\n  {rule}\n{final}"
+
+
+BASE = sql_rule("0.95::DOUBLE", "0.95::DOUBLE")
+SUM_AGENT = f"SELECT *, {sql_rates()} FROM (SELECT agent, {COUNTERS} FROM decisions GROUP BY agent)"
+
+
+# ---- decisions
+
+
+@query(sql_policy(BASE, f"SELECT {DECISION_COLS} FROM decisions"))
+def policy_decisions(spark, d):
+    """D1, D2, D5, D13 (rows later than the decision), W10, W11."""
+    return policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95)
+
+
+@query(sql_policy(BASE, SUM_AGENT))
+def policy_by_agent(spark, d):
+    """The flagship."""
+    return metrics.summarize(policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95), ("agent",))
+
+
+@query(sql_policy(BASE, f"SELECT *, {sql_rates()} FROM (SELECT CASE WHEN grouping(agent) = 1 THEN 'ALL' ELSE CAST(agent AS VARCHAR) END AS agent, {COUNTERS} FROM decisions GROUP BY ROLLUP (agent))"))
+def policy_rollup(spark, d):
+    """Agents and the ALL row in one aggregation."""
+    return metrics.rollup(policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95))
+
+
+@query(sql_policy(sql_rule("0.3::DOUBLE", "0.3::DOUBLE", min_step="5", k="2", saved="indexed"), f"SELECT {DECISION_COLS} FROM decisions"))
+def policy_streak(spark, d):
+    """D1 with k = 2 and a first step, D13 (by index)."""
+    return policy.decide(A.scores(spark, d), success_thr=0.3, failure_thr=0.3, min_step=5, consecutive=2, saved="indexed")
+
+
+@query(sql_policy(sql_rule("0.2::DOUBLE", "0.2::DOUBLE", k="3"), "SELECT traj_id, decision, decision_step FROM decisions"))
+def policy_folded(spark, d):
+    """The same rule as a fold over each trajectory's array, k = 3."""
+    return policy.decide_folded(A.scores(spark, d), success_thr=0.2, failure_thr=0.2, consecutive=3)
+
+
+@query(sql_policy(sql_rule("0.6::DOUBLE", INF, mode="'success_only'"), f"SELECT {DECISION_COLS} FROM decisions"))
+def policy_success_only(spark, d):
+    """D3."""
+    return policy.decide(A.scores(spark, d), success_thr=0.6, failure_thr=policy.INF, mode="success_only")
+
+
+@query(sql_policy(sql_rule(INF, "0.6::DOUBLE", mode="'failure_only'"), f"SELECT {DECISION_COLS} FROM decisions"))
+def policy_failure_only(spark, d):
+    """D3."""
+    return policy.decide(A.scores(spark, d), success_thr=policy.INF, failure_thr=0.6, mode="failure_only")
+
+
+_INDEPENDENT = """hits AS (SELECT *, p_success >= 0.3::DOUBLE AND NOT isnan(p_success) AS hs, p_failure >= 0.3::DOUBLE AND NOT isnan(p_failure) AS hf, row_number() OVER (PARTITION BY traj_id ORDER BY prefix_step_idx) AS n FROM prefix_scores),
+  runs AS (SELECT *, n - coalesce(max(CASE WHEN NOT hs THEN n END) OVER w, 0) AS rs, n - coalesce(max(CASE WHEN NOT hf THEN n END) OVER w, 0) AS rf FROM hits WINDOW w AS (PARTITION BY traj_id ORDER BY prefix_step_idx ROWS UNBOUNDED PRECEDING)),
+  ready AS (SELECT *, CASE WHEN rs >= 2 AND rf >= 2 THEN CASE WHEN p_success - 0.3::DOUBLE >= p_failure - 0.3::DOUBLE THEN 'success' ELSE 'failure' END WHEN rs >= 2 THEN 'success' WHEN rf >= 2 THEN 'failure' END AS dec FROM runs)"""
+
+
+@query(f"WITH {A.SCORES}, {_INDEPENDENT} SELECT traj_id, coalesce(arg_min(dec, prefix_step_idx) FILTER (WHERE dec IS NOT NULL), 'undecided') AS decision, CAST(coalesce(min(prefix_step_idx) FILTER (WHERE dec IS NOT NULL), -1) AS INT) AS decision_step FROM ready GROUP BY traj_id")
+def policy_independent(spark, d):
+    """Heads count their own runs."""
+    return policy.decide(A.scores(spark, d), success_thr=0.3, failure_thr=0.3, consecutive=2, streak="independent").select("traj_id", "decision", "decision_step")
+
+
+@query(sql_policy(sql_rule("0.5::DOUBLE", "0.5::DOUBLE", conflict="abstain"), f"SELECT {DECISION_COLS} FROM decisions"))
+def policy_abstain(spark, d):
+    """Both heads at once decide nothing."""
+    return policy.decide(A.scores(spark, d), success_thr=0.5, failure_thr=0.5, conflict="abstain")
+
+
+@query(sql_policy(sql_rule("0.5::DOUBLE", "0.5::DOUBLE", cap="0.5::DOUBLE"), f"SELECT {DECISION_COLS} FROM decisions"))
+def policy_opposite_cap(spark, d):
+    """D7 with a cap on the other head."""
+    return policy.decide(A.scores(spark, d), success_thr=0.5, failure_thr=0.5, opposite_max=0.5)
+
+
+_COMPLEMENT = sql_rule("thr", "thr", complement=True, source="(SELECT p.*, t.thr FROM prefix_scores p CROSS JOIN (SELECT unnest([0.3::DOUBLE, 0.6::DOUBLE, 0.9::DOUBLE]) AS thr) t)", keys="traj_id, thr")
+
+
+@query(sql_policy(_COMPLEMENT, f"SELECT *, coalesce(100.0::DOUBLE * (true_positives + true_negatives) / nullif(CAST(decided_success + decided_failure AS DOUBLE), 0), 100.0) AS accuracy_pct FROM (SELECT thr, {COUNTERS} FROM decisions GROUP BY thr)"))
+def policy_complement(spark, d):
+    """Own head at t, the other below 1 - t; accuracy of no decision is 100."""
+    s = A.scores(spark, d).withColumn("thr", F.explode(F.array(F.lit(0.3), F.lit(0.6), F.lit(0.9))))
+    got = policy.decide(s, keys=("traj_id", "thr"), success_thr=F.col("thr"), failure_thr=F.col("thr"), complement=True)
+    return got.groupBy("thr").agg(*metrics.counters()).withColumn("accuracy_pct", X.pct(F.col("true_positives") + F.col("true_negatives"), F.col("decided_success") + F.col("decided_failure"), 100.0))
+
+
+_GRID = [i / 100 for i in range(30, 100)]
+_PAIRGRID = "(SELECT p.*, s.i / 100.0::DOUBLE AS ts, f.i / 100.0::DOUBLE AS tf FROM prefix_scores p CROSS JOIN (SELECT unnest(range(30, 100, 10)) AS i) s CROSS JOIN (SELECT unnest(range(30, 100, 10)) AS i) f)"
+
+
+@query(sql_policy(sql_rule("ts", "tf", source=_PAIRGRID, keys="traj_id, ts, tf", saved="indexed"), f"SELECT ts AS success_thr, tf AS failure_thr, {COUNTERS} FROM decisions GROUP BY ts, tf"))
+def policy_grid(spark, d):
+    """Thresholds of both heads, by first hits of records only."""
+    t = [i / 100 for i in range(30, 100, 10)]
+    return policy.cartesian_grid(A.scores(spark, d), t, t).groupBy("success_thr", "failure_thr").agg(*metrics.counters())
+
+
+@query()
+def policy_grid_full(spark, d):
+    """D7 at its full size: 70 x 70 thresholds."""
+    g = policy.cartesian_grid(A.scores(spark, d), _GRID, _GRID).groupBy("success_thr", "failure_thr").agg(*metrics.counters())
+    return metrics.with_rates(g)
+
+
+def _candidates(spark):
+    return policy.policy_candidates(spark, low=50, high=95, by=15, min_steps=(0, 5), consecutive=(1, 2))
+
+
+_CAND = """cand AS (SELECT CAST(row_number() OVER (ORDER BY min_step, consecutive, t) - 1 AS BIGINT) AS candidate_ord, t AS success_thr, t AS failure_thr, min_step, consecutive
+  FROM (SELECT i / 100.0::DOUBLE AS t FROM (SELECT unnest([50, 65, 80, 95]) AS i)) CROSS JOIN (SELECT unnest([0, 5]) AS min_step) CROSS JOIN (SELECT unnest([1, 2]) AS consecutive))"""
+
+
+@query(f"WITH {_CAND} SELECT candidate_ord, success_thr, failure_thr, min_step, consecutive, 'dual' AS policy_mode, 'raw' AS score_mode, 'p' AS predictor, 'raw_p_dual_' || printf('%.4f', success_thr) || '_' || printf('%.4f', failure_thr) || '_m' || min_step || '_k' || consecutive AS name FROM cand")
+def policy_candidates(spark, d):
+    """The table of policies."""
+    return _candidates(spark)
+
+
+_ALLPOL = sql_rule("success_thr", "failure_thr", min_step="min_step", k="consecutive", source="(SELECT * FROM prefix_scores CROSS JOIN cand)", keys="traj_id, candidate_ord", more="fold_id,")
+_EVAL = f"WITH {A.SCORES}, {_CAND}, {_ALLPOL}"
+
+
+@query(f"{_EVAL} SELECT *, {sql_rates()} FROM (SELECT candidate_ord, fold_id, {COUNTERS} FROM decisions GROUP BY candidate_ord, fold_id)")
+def policy_evaluation(spark, d):
+    """Every policy on every trajectory, by fold."""
+    got = policy.evaluate(A.scores(spark, d), _candidates(spark), carry=("agent", "fold_id"))
+    return metrics.summarize(got, ("candidate_ord", "fold_id"))
+
+
+def _chosen_sql(variant_keys: str, strict: str, middle: str) -> str:
+    acc, save, drop = "coalesce(decision_accuracy_pct, -100.0) / 100.0", "coalesce(pct_steps_saved, 0.0)", "abs(resolve_rate_drop_pp)"
+    return f"""{_EVAL}, grid AS (SELECT *, {sql_rates()} FROM (SELECT candidate_ord, fold_id, {COUNTERS} FROM decisions GROUP BY candidate_ord, fold_id)),
+  g AS (SELECT grid.*, target, success_thr, failure_thr, {acc} AS acc, {save} AS sv, {drop} AS dr FROM grid JOIN cand USING (candidate_ord) CROSS JOIN (SELECT unnest([0.55::DOUBLE, 0.65::DOUBLE, 0.99::DOUBLE]) AS target)),
+  t AS (SELECT *, CASE WHEN {strict} THEN 0 WHEN {middle} THEN 1 WHEN sv > 0 THEN 2 ELSE 3 END AS tier FROM g),
+  r AS (SELECT *, row_number() OVER (PARTITION BY fold_id, target ORDER BY tier, CASE WHEN tier < 2 THEN -sv ELSE -acc END, dr, CASE WHEN tier < 2 THEN -acc ELSE -sv END{variant_keys}, candidate_ord) AS rk FROM t)
+  SELECT fold_id, target, candidate_ord, CASE tier WHEN 0 THEN 'strict' WHEN 1 THEN 'fallback_accuracy_only' ELSE 'fallback_highest_accuracy' END AS selection_status FROM r WHERE rk = 1"""
+
+
+def _selected(spark, d, **params):
+    c = _candidates(spark)
+    grid = metrics.summarize(policy.evaluate(A.scores(spark, d), c, carry=("agent", "fold_id")), ("candidate_ord", "fold_id")).join(F.broadcast(c.select("candidate_ord", "success_thr", "failure_thr")), "candidate_ord")
+    targets = spark.createDataFrame([(0.55,), (0.65,), (0.99,)], "target double")
+    return select.select_policy(grid, targets, **params)
+
+
+_PICK = ("fold_id", "target", "candidate_ord", "selection_status")
+
+
+@query(_chosen_sql("", "acc >= target AND sv > 0 AND dr <= 5.0", "acc >= target AND sv >= 10.0"))
+def select_drop_capped(spark, d):
+    """T1, T5."""
+    return _selected(spark, d, max_abs_drop_pp=5.0, min_save_pct=10.0).select(*_PICK)
+
+
+@query(_chosen_sql("", "acc >= target AND sv > 0", "false"))
+def select_two_tier(spark, d):
+    """T2."""
+    return _selected(spark, d, variant="two_tier").select(*_PICK)
+
+
+@query(_chosen_sql(", abs(success_thr - failure_thr), -success_thr, -failure_thr", "acc >= target AND sv > 0", "false"))
+def select_tie_broken(spark, d):
+    """T3."""
+    return _selected(spark, d, variant="tie_broken").select(*_PICK)
+
+
+@query(_chosen_sql("", "acc >= target AND coalesce(precision_success_pct, 0.0) >= 60.0 AND sv > 0", "acc >= target AND coalesce(precision_success_pct, 0.0) >= 60.0 AND sv >= 10.0"))
+def select_guarded(spark, d):
+    """T4."""
+    return _selected(spark, d, variant="guarded", guard_pct=60.0, min_save_pct=10.0).select(*_PICK)
+
+
+@query()
+def selected_decisions(spark, d):
+    """Every fold replayed under its own selected policy; only the chosen policies meet the scores."""
+    chosen = _selected(spark, d, max_abs_drop_pp=5.0, min_save_pct=10.0).filter("target = 0.55").select("fold_id", "success_thr", "failure_thr", "candidate_ord").join(F.broadcast(_candidates(spark).select("candidate_ord", "min_step", "consecutive")), "candidate_ord").drop("candidate_ord")
+    s = A.scores(spark, d).join(F.broadcast(chosen), "fold_id")
+    got = policy.decide(s, carry=("agent", "fold_id"), success_thr=F.col("success_thr"), failure_thr=F.col("failure_thr"), min_step=F.col("min_step"), consecutive=F.col("consecutive"))
+    return got.withColumn("outcome", policy.outcome())
+
+
+@query(sql_policy(BASE, "SELECT CASE WHEN decision = 'success' AND label = 1 THEN 'TP' WHEN decision = 'success' THEN 'FP' WHEN decision = 'failure' AND label = 1 THEN 'FN' WHEN decision = 'failure' THEN 'TN' WHEN label = 1 THEN 'undecided_success' ELSE 'undecided_failure' END AS outcome, count(*) AS n FROM decisions GROUP BY 1"))
+def outcomes(spark, d):
+    """P5."""
+    return policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95).groupBy(policy.outcome().alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {A.SCORES}, wide AS (SELECT traj_id, prefix_step_idx, p_success AS s, p_failure AS f FROM prefix_scores) SELECT 'a' AS predictor, 'raw' AS score_mode, count(*) FILTER (WHERE s >= 0.9::DOUBLE) AS success_hits, count(*) FILTER (WHERE f >= 0.9::DOUBLE) AS failure_hits FROM wide UNION ALL SELECT 'b', 'calibrated', count(*) FILTER (WHERE f >= 0.9::DOUBLE), count(*) FILTER (WHERE s >= 0.9::DOUBLE) FROM wide")
+def long_scores(spark, d):
+    """Wide probability columns to long form, hits by predictor and mode."""
+    s = A.scores(spark, d)
+    wide = s.select("traj_id", "prefix_step_idx", F.col("p_success").alias("prob_safe_success__a"), F.col("p_failure").alias("prob_safe_failure__a"), F.col("p_failure").alias("prob_cal_safe_success__b"), F.col("p_success").alias("prob_cal_safe_failure__b"))
+    rows = policy.long_scores(T.required(wide, ["traj_id"]), ["traj_id"])
+    return rows.groupBy("predictor", "score_mode").agg(F.count_if(X.at_least("p_success", 0.9)).alias("success_hits"), F.count_if(X.at_least("p_failure", 0.9)).alias("failure_hits"))
+
+
+# ---- metrics
+
+
+@query(f"WITH {A.SCORES}, last AS (SELECT traj_id, arg_max(label, prefix_step_idx) AS label, arg_max(agent, prefix_step_idx) AS agent FROM prefix_scores GROUP BY traj_id) SELECT agent, count(*) AS total, CAST(sum(label) AS BIGINT) AS resolved, CAST(sum(label) AS DOUBLE) / count(*) AS resolve_rate FROM last GROUP BY agent")
+def originals(spark, d):
+    """A1."""
+    return metrics.originals(A.scores(spark, d))
+
+
+@query(sql_policy(BASE, f"SELECT *, {sql_rates(False, '0.0')} FROM (SELECT fold_id, {COUNTERS} FROM (SELECT *, CAST(traj_id % 3 AS INT) AS fold_id FROM decisions) GROUP BY fold_id)"))
+def fractions_by_fold(spark, d):
+    """A4."""
+    return metrics.summarize(policy.decide(A.scores(spark, d), carry=("agent", "fold_id"), success_thr=0.95, failure_thr=0.95), ("fold_id",), percent=False, empty=0.0)
+
+
+_P = "100.0::DOUBLE * {} / nullif(CAST({} AS DOUBLE), 0)"
+_F1 = "CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) END"
+
+
+@query(sql_policy(BASE, f"""SELECT *, {_F1.format(p='success_precision', r='success_recall')} AS success_f1, {_F1.format(p='failure_precision', r='failure_recall')} AS failure_f1 FROM (
+  SELECT *, {_P.format('true_positives', '(true_positives + false_positives)')} AS success_precision, {_P.format('true_positives', 'original_resolved')} AS success_recall,
+  {_P.format('true_negatives', '(true_negatives + false_negatives)')} AS failure_precision, {_P.format('true_negatives', '(original_total - original_resolved)')} AS failure_recall FROM (SELECT agent, {COUNTERS} FROM decisions GROUP BY agent))"""))
+def agent_quality(spark, d):
+    """A6."""
+    return metrics.agent_quality(policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95), ("agent",))
+
+
+_FOLDS = f"""{_EVAL}, folds AS (SELECT candidate_ord, fold_id, {COUNTERS} FROM decisions GROUP BY candidate_ord, fold_id), x AS (SELECT *, abs(100.0::DOUBLE * (false_positives - false_negatives) / nullif(CAST(original_total AS DOUBLE), 0)) AS ch FROM folds),
+  agg AS (SELECT candidate_ord, count(DISTINCT fold_id) AS folds, CAST(sum(original_total) AS BIGINT) AS original_total, CAST(sum(original_resolved) AS BIGINT) AS original_resolved, CAST(sum(true_positives) AS BIGINT) AS true_positives, CAST(sum(false_positives) AS BIGINT) AS false_positives, CAST(sum(true_negatives) AS BIGINT) AS true_negatives, CAST(sum(false_negatives) AS BIGINT) AS false_negatives,
+    CAST(sum(decided_success) AS BIGINT) AS decided_success, CAST(sum(decided_failure) AS BIGINT) AS decided_failure, CAST(sum(undecided) AS BIGINT) AS undecided, CAST(sum(total_saved_steps) AS BIGINT) AS total_saved_steps, CAST(sum(total_steps) AS BIGINT) AS total_steps,
+    round(sum(ch * original_total) / sum(original_total), 6) AS mean_abs_change_pp, round(avg(ch), 6) AS plain_mean_abs_change_pp FROM x GROUP BY candidate_ord)"""
+
+
+def _fold_rows(spark, d):
+    got = policy.evaluate(A.scores(spark, d), _candidates(spark), carry=("agent", "fold_id"))
+    return got.groupBy("candidate_ord", "fold_id").agg(*metrics.counters())
+
+
+@query(f"{_FOLDS} SELECT *, {sql_rates(True, '0.0')} FROM agg")
+def fold_aggregate(spark, d):
+    """Folds to one row per policy, weighted and plain means of the change."""
+    got = metrics.over_folds(_fold_rows(spark, d), ("candidate_ord",))
+    return got.withColumns({c: F.round(c, 6) for c in ("mean_abs_change_pp", "plain_mean_abs_change_pp")})
+
+
+@query(f"{_EVAL}, folds AS (SELECT candidate_ord, fold_id, {COUNTERS} FROM decisions GROUP BY candidate_ord, fold_id) SELECT candidate_ord, round(CASE WHEN sum(w) > 0 THEN sum(abs(v) * w) / sum(w) ELSE avg(abs(v)) END, 6) AS mean_abs FROM (SELECT candidate_ord, false_positives - false_negatives AS v, decided_success AS w FROM folds) GROUP BY candidate_ord")
+def mean_abs_parts(spark, d):
+    """A33."""
+    parts = _fold_rows(spark, d).select("candidate_ord", (F.col("false_positives") - F.col("false_negatives")).alias("v"), F.col("decided_success").alias("w"))
+    return metrics.mean_abs_from_parts(parts, ("candidate_ord",), "v", "w").withColumn("mean_abs", F.round("mean_abs", 6))
+
+
+@query(f"WITH {_CAND} SELECT min_step, count(*) AS folds, min(success_thr) AS min_success_thr, median(success_thr) AS median_success_thr, max(success_thr) AS max_success_thr, min(failure_thr) AS min_failure_thr, median(failure_thr) AS median_failure_thr, max(failure_thr) AS max_failure_thr, count(*) FILTER (WHERE round(success_thr, 10) = round(failure_thr, 10)) AS same_threshold FROM cand GROUP BY min_step")
+def threshold_summary(spark, d):
+    """A17."""
+    return metrics.threshold_summary(_candidates(spark), ("min_step",))
+
+
+@query(sql_policy(BASE, "SELECT DISTINCT agent, CAST(traj_id % 5 AS INT) AS same FROM decisions"))
+def single_values(spark, d):
+    """One value per group, or an error."""
+    got = policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95).withColumn("same", (F.col("traj_id") % 5).cast("int"))
+    return metrics.single_value(got, ("agent",), "same")
+
+
+_RISK = f"""{BASE}, sig AS (SELECT s.*, p_success > 0.5 AS strong_success, p_failure > 0.5 AS strong_failure, prefix_step_idx % 7 = 0 AS seventh FROM prefix_scores s),
+  risk AS (SELECT g.*, d.decision, d.decided AND g.prefix_step_idx = d.decision_step AS stops FROM sig g JOIN (SELECT traj_id, decided, decision, decision_step FROM decisions) d USING (traj_id) WHERE NOT d.decided OR g.prefix_step_idx <= d.decision_step),
+  long AS (SELECT traj_id, stops, decision, 'strong_success' AS signal, strong_success AS is_on FROM risk UNION ALL SELECT traj_id, stops, decision, 'strong_failure', strong_failure FROM risk UNION ALL SELECT traj_id, stops, decision, 'seventh', seventh FROM risk),
+  g AS (SELECT signal, count(*) AS rows, count(*) FILTER (WHERE is_on) AS signal_rows, count(*) FILTER (WHERE stops) AS stop_rows, count(*) FILTER (WHERE is_on AND stops) AS signal_stops, count(*) FILTER (WHERE is_on AND stops AND decision = 'success') AS signal_success, count(DISTINCT CASE WHEN is_on THEN traj_id END) AS signal_trajectories FROM long GROUP BY signal)"""
+
+
+@query(sql_policy(_RISK, "SELECT *, signal_stops::DOUBLE / nullif(signal_rows, 0) AS p_stop, stop_rows::DOUBLE / rows AS base_p_stop, (signal_stops::DOUBLE / nullif(signal_rows, 0)) / nullif(stop_rows::DOUBLE / rows, 0) AS lift, signal_stops::DOUBLE / nullif(stop_rows, 0) AS share_of_stops FROM g"))
+def signal_lift(spark, d):
+    """A27, P14, S14."""
+    s = A.scores(spark, d).withColumns({"strong_success": F.col("p_success") > 0.5, "strong_failure": F.col("p_failure") > 0.5, "seventh": F.col("prefix_step_idx") % 7 == 0})
+    got = policy.decide(s, success_thr=0.95, failure_thr=0.95)
+    return metrics.signal_lift(metrics.at_risk(s, got), ["strong_success", "strong_failure", "seventh"])
+
+
+@query(sql_policy(BASE, f"SELECT agent, {COUNTERS}, agent <> 2 AS agrees FROM decisions GROUP BY agent"))
+def decision_audit(spark, d):
+    """Recomputed counters against stored ones, one of which is wrong."""
+    got = policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95)
+    stored = got.groupBy("agent").agg(*metrics.counters()).withColumn("undecided", F.when(F.col("agent") == 2, F.col("undecided") + 1).otherwise(F.col("undecided")))
+    return metrics.audit_decisions(got, stored, "agent")
+
+
+@query(sql_policy(BASE, f"""SELECT agent, original_resolved - false_negatives + false_positives AS adjusted_resolved, (original_resolved - false_negatives + false_positives)::DOUBLE / original_total AS adjusted_resolve_rate,
+  100.0::DOUBLE * (original_resolved::DOUBLE / original_total - (original_resolved - false_negatives + false_positives)::DOUBLE / original_total) AS resolve_rate_drop_pp, false_positives <> 0 AS changed FROM (SELECT agent, {COUNTERS} FROM decisions GROUP BY agent)"""))
+def metric_repair(spark, d):
+    """K9, Q9: stored metrics that leave false positives out are recomputed."""
+    c = metrics.summarize(policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95), ("agent",))
+    old = F.col("original_resolved") - F.col("false_negatives")
+    stored = c.withColumns({"adjusted_resolved": old, "adjusted_resolve_rate": X.safe_div(old, "original_total"), "resolve_rate_drop_pp": 100.0 * (X.safe_div("original_resolved", "original_total") - X.safe_div(old, "original_total"))})
+    return metrics.repaired(stored).select("agent", "adjusted_resolved", "adjusted_resolve_rate", "resolve_rate_drop_pp", "changed")
+
+
+# ---- rankings
+
+_RANKS = f"""{sql_rule("thr", "thr", source="(SELECT p.*, t.thr FROM prefix_scores p CROSS JOIN (SELECT unnest([0.5::DOUBLE, 0.8::DOUBLE, 0.95::DOUBLE]) AS thr) t)", keys="traj_id, thr")},
+  ag AS (SELECT thr, agent, original_resolved::DOUBLE / original_total AS before_rate, (original_resolved - false_negatives + false_positives)::DOUBLE / original_total AS after_rate FROM (SELECT thr, agent, {COUNTERS} FROM decisions GROUP BY thr, agent)),
+  rk AS (SELECT *, rank() OVER (PARTITION BY thr ORDER BY before_rate DESC) AS rank_before, rank() OVER (PARTITION BY thr ORDER BY after_rate DESC) AS rank_after FROM ag)"""
+
+
+def _agents(spark, d):
+    s = A.scores(spark, d).withColumn("thr", F.explode(F.array(F.lit(0.5), F.lit(0.8), F.lit(0.95))))
+    got = policy.decide(s, keys=("traj_id", "thr"), success_thr=F.col("thr"), failure_thr=F.col("thr"))
+    c = metrics.summarize(got, ("thr", "agent"))
+    return c.select("thr", "agent", F.col("original_resolve_rate").alias("before_rate"), F.col("adjusted_resolve_rate").alias("after_rate"))
+
+
+@query(sql_policy(_RANKS, "SELECT *, rank_before - rank_after AS rank_change FROM rk"))
+def rank_change(spark, d):
+    """Competition ranks before and after."""
+    return ranking.ranked(_agents(spark, d), ("thr",), "agent", "before_rate", "after_rate")
+
+
+@query(sql_policy(_RANKS, "SELECT thr, agent, before_rate, after_rate, row_number() OVER (PARTITION BY thr ORDER BY before_rate DESC, agent) AS rank_before, row_number() OVER (PARTITION BY thr ORDER BY after_rate DESC, agent) AS rank_after, row_number() OVER (PARTITION BY thr ORDER BY before_rate DESC, agent) - row_number() OVER (PARTITION BY thr ORDER BY after_rate DESC, agent) AS rank_change FROM rk"))
+def rank_ordinal(spark, d):
+    """W7."""
+    return ranking.ranked(_agents(spark, d), ("thr",), "agent", "before_rate", "after_rate", method="first")
+
+
+_AVG = "rank() OVER (PARTITION BY thr ORDER BY {0}) + (count(*) OVER (PARTITION BY thr, {0}) - 1) / 2.0::DOUBLE"
+
+
+@query(sql_policy(_RANKS, f"""SELECT thr, count(*) AS items, round(CASE WHEN count(*) > 1 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 6) AS spearman_rho, arg_min(agent, rank_before * 100 + agent) = arg_min(agent, rank_after * 100 + agent) AS same_top,
+  bool_and(rank_before = rank_after) AS same_ranks, max(abs(rank_before - rank_after)) AS max_shift, round(avg(abs(rank_before - rank_after)), 6) AS mean_shift FROM (SELECT *, {_AVG.format('rank_before')} AS a, {_AVG.format('rank_after')} AS b FROM rk) GROUP BY thr"""))
+def rank_stability(spark, d):
+    """W8, W9, A16."""
+    r = ranking.ranked(_agents(spark, d), ("thr",), "agent", "before_rate", "after_rate")
+    return ranking.stability(r, ("thr",), "agent").withColumns({"spearman_rho": F.round("spearman_rho", 6), "mean_shift": F.round("mean_shift", 6)})
+
+
+@query(sql_policy(_RANKS, "SELECT a.thr, count(*) AS pair_comparable, count(*) FILTER (WHERE sign(a.before_rate - b.before_rate) = sign(a.after_rate - b.after_rate)) AS pair_preserved, count(*) FILTER (WHERE sign(a.before_rate - b.before_rate) <> sign(a.after_rate - b.after_rate)) AS pair_reversed, count(*) FILTER (WHERE sign(a.before_rate - b.before_rate) = sign(a.after_rate - b.after_rate))::DOUBLE / count(*) AS pair_preserve_rate FROM ag a JOIN ag b ON a.thr = b.thr AND a.agent < b.agent WHERE a.before_rate <> b.before_rate AND a.after_rate <> b.after_rate GROUP BY a.thr"))
+def pair_order(spark, d):
+    """J13."""
+    return ranking.pair_order(_agents(spark, d), ("thr",), "agent", "before_rate", "after_rate")
+
+
+@query(sql_policy(_RANKS, "SELECT agent, max(CASE WHEN thr = 0.5 THEN after_rate END) AS t50, max(CASE WHEN thr = 0.8 THEN after_rate END) AS t80, max(CASE WHEN thr = 0.95 THEN after_rate END) AS t95 FROM ag GROUP BY agent"))
+def rate_pivot(spark, d):
+    """T14."""
+    p = _agents(spark, d).groupBy("agent").pivot("thr", [0.5, 0.8, 0.95]).agg(F.first("after_rate"))
+    return p.toDF("agent", "t50", "t80", "t95")
+
+
+@query(sql_policy(BASE, "SELECT traj_id, agent, saved_steps FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY saved_steps DESC, traj_id) AS rk FROM decisions) WHERE rk <= 10"))
+def top_savers(spark, d):
+    """The ten best of each agent."""
+    got = policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95)
+    return select.first_per(got, ("agent",), F.desc("saved_steps"), "traj_id", n=10).select("traj_id", "agent", "saved_steps")
+
+
+@query(sql_policy(BASE, "SELECT traj_id, agent, saved_steps FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY saved_steps DESC, traj_id) <> 1 AS later FROM decisions WHERE decision = 'success' AND label = 1) ORDER BY later, saved_steps DESC, traj_id LIMIT 12"))
+def diverse_examples(spark, d):
+    """One of each agent, then the best."""
+    got = policy.decide(A.scores(spark, d), success_thr=0.95, failure_thr=0.95).filter("decision = 'success' AND label = 1")
+    return select.diverse_top(got, "agent", 12, F.desc("saved_steps"), F.col("traj_id")).select("traj_id", "agent", "saved_steps")
+
+
+# ---- tokens
+
+_TOK = f"""{A.TURNS},
+  c AS (SELECT *, CAST(ceil(task_chars / 4.0) AS BIGINT) AS task_tokens, CAST(ceil(action_chars / 4.0) AS BIGINT) AS xt, CAST(ceil(feedback_chars / 4.0) AS BIGINT) AS ft, CAST(ceil(assistant_chars / 4.0) AS BIGINT) AS st FROM turns),
+  u AS (SELECT *, sum(xt) OVER w AS ac, sum(ft) OVER w AS fc, sum(st) OVER w AS sc, sum(CAST(action_chars > 0 AS INT)) OVER w AS an, sum(CAST(feedback_chars > 0 AS INT)) OVER w AS fn, sum(CAST(assistant_chars > 0 AS INT)) OVER w AS sn FROM c WINDOW w AS (PARTITION BY traj_id ORDER BY prefix_step_idx ROWS UNBOUNDED PRECEDING)),
+  v AS (SELECT *, CAST(task_tokens + ac + fc + sc + greatest(an - 1, 0) + greatest(fn - 1, 0) + greatest(sn - 1, 0) + greatest(CAST(task_chars > 0 AS INT) + CAST(an > 0 AS INT) + CAST(fn > 0 AS INT) + CAST(sn > 0 AS INT) - 1, 0) AS BIGINT) AS context_tokens,
+    CAST(task_tokens + fc AS BIGINT) AS input_tokens_cum, CAST(ac + sc AS BIGINT) AS output_tokens_cum FROM u),
+  tok AS (SELECT traj_id, model_id, prefix_step_idx, context_tokens, CAST(coalesce(sum(context_tokens) OVER (PARTITION BY traj_id ORDER BY prefix_step_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS future_context_saved, CAST(sum(context_tokens) OVER (PARTITION BY traj_id) AS BIGINT) AS baseline_context,
+    input_tokens_cum, output_tokens_cum, input_tokens_cum + output_tokens_cum AS transcript_tokens_cum, last_value(input_tokens_cum) OVER f AS baseline_input, last_value(output_tokens_cum) OVER f AS baseline_output, last_value(input_tokens_cum + output_tokens_cum) OVER f AS baseline_transcript,
+    count(*) OVER (PARTITION BY traj_id) AS n_steps, count(*) OVER (PARTITION BY traj_id) - row_number() OVER (PARTITION BY traj_id ORDER BY prefix_step_idx) AS remaining_steps FROM v WINDOW f AS (PARTITION BY traj_id ORDER BY prefix_step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def _tokens(spark, d):
+    return tokens.prefix_tokens(tokens.component_tokens(A.turns(spark, d)))
+
+
+@query(f"WITH {_TOK} SELECT * FROM tok")
+def token_rows(spark, d):
+    """G3, G4, G5, F12, F13, W1-W5, J5."""
+    return _tokens(spark, d)
+
+
+_STOPS = "stops AS (SELECT conv_id AS traj_id, 'm' || CAST(conv_id % 4 AS VARCHAR) AS agent, conv_id % 3 <> 0 AS decided, CAST(CASE WHEN conv_id % 3 = 0 THEN -1 ELSE min(turn) END AS INT) AS decision_step FROM conversations GROUP BY conv_id)"
+_SAVE = f"""{_TOK}, {_STOPS}, sv AS (SELECT s.traj_id, s.agent, s.decided, s.decision_step, t.baseline_context, t.baseline_input, t.baseline_output, t.baseline_transcript,
+  CAST(CASE WHEN s.decided THEN t.future_context_saved ELSE 0 END AS BIGINT) AS saved_context, CAST(CASE WHEN s.decided THEN greatest(t.baseline_input - t.input_tokens_cum, 0) ELSE 0 END AS BIGINT) AS saved_input, CAST(CASE WHEN s.decided THEN greatest(t.baseline_output - t.output_tokens_cum, 0) ELSE 0 END AS BIGINT) AS saved_output
+  FROM stops s JOIN (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY prefix_step_idx) AS first FROM tok) t ON s.traj_id = t.traj_id AND ((s.decided AND t.prefix_step_idx = s.decision_step) OR (NOT s.decided AND t.first = 1)))"""
+
+
+def _savings(spark, d):
+    c = A.turns(spark, d)
+    stop = c.groupBy("traj_id").agg(F.min("prefix_step_idx").alias("m"), F.min("model_id").alias("agent"))
+    decided = F.col("traj_id") % 3 != 0
+    stop = stop.select("traj_id", "agent", decided.alias("decided"), F.when(decided, F.col("m")).otherwise(-1).cast("int").alias("decision_step"))
+    return tokens.savings(stop, _tokens(spark, d))
+
+
+@query(f"WITH {_SAVE} SELECT *, saved_input + saved_output AS saved_total FROM sv")
+def token_savings(spark, d):
+    """G7, J3, J4, Q18."""
+    return _savings(spark, d)
+
+
+@query(f"WITH {_SAVE} SELECT CASE WHEN grouping(agent) = 1 THEN 'ALL' ELSE agent END AS agent, count(*) AS trajectories, CAST(sum(saved_context) AS BIGINT) AS saved_context, CAST(sum(saved_input + saved_output) AS BIGINT) AS saved_total, CAST(sum(baseline_transcript) AS BIGINT) AS baseline, 100.0::DOUBLE * sum(saved_input + saved_output) / sum(baseline_transcript) AS saved_pct, round(sum(saved_input + saved_output) / 1e6 * 2.5, 9) AS saved_cost FROM sv GROUP BY ROLLUP (agent)")
+def token_summary(spark, d):
+    """A5, A24, A29, J8."""
+    c = _savings(spark, d).rollup("agent").agg(F.grouping("agent").alias("g"), F.count(F.lit(1)).alias("trajectories"), F.sum("saved_context").cast("long").alias("saved_context"), F.sum("saved_total").cast("long").alias("saved_total"), F.sum("baseline_transcript").cast("long").alias("baseline"))
+    return c.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("agent")).alias("agent"), "trajectories", "saved_context", "saved_total", "baseline", X.pct("saved_total", "baseline").alias("saved_pct"), F.round(X.price("saved_total", 2.5), 9).alias("saved_cost"))
+
+
+@query(f"WITH {_SAVE} SELECT decision_step, decided, count(*) AS decisions, CAST(sum(saved_context) AS BIGINT) AS saved_context FROM sv GROUP BY decision_step, decided")
+def tokens_by_round(spark, d):
+    """A26."""
+    return _savings(spark, d).groupBy("decision_step", "decided").agg(F.count(F.lit(1)).alias("decisions"), F.sum("saved_context").cast("long").alias("saved_context"))
+
+
+@query(f"WITH {_TOK} SELECT prefix_step_idx, count(*) AS rows, CAST(sum(context_tokens) AS BIGINT) AS context_tokens FROM tok JOIN (SELECT traj_id FROM tok WHERE prefix_step_idx = 0 AND traj_id % 2 = 0) USING (traj_id) GROUP BY prefix_step_idx")
+def token_attach(spark, d):
+    """Rows with their token row, every key matched."""
+    t = _tokens(spark, d)
+    keys = A.turns(spark, d).filter("traj_id % 2 = 0").select("traj_id", "prefix_step_idx")
+    with_first = keys.join(keys.filter("prefix_step_idx = 0").select("traj_id"), "traj_id", "left_semi")
+    j = tokens.attach(with_first, t.select("traj_id", "prefix_step_idx", "context_tokens"), ("traj_id", "prefix_step_idx"))
+    return j.groupBy("prefix_step_idx").agg(F.count(F.lit(1)).alias("rows"), F.sum("context_tokens").cast("long").alias("context_tokens"))
+
+
+@query("SELECT conv_id AS traj_id, CAST(turn AS INT) AS prefix_step_idx FROM conversations WHERE NOT (conv_id % 2 = 0 AND turn < 3)")
+def token_cache_fill(spark, d):
+    """What a cache lacks."""
+    plan = A.turns(spark, d).select("traj_id", "prefix_step_idx")
+    return tokens.fill_cache(plan, plan.filter("traj_id % 2 = 0 AND prefix_step_idx < 3"))
+
+
+@query("SELECT model_id, count(*) AS rows, CAST(sum(n) AS BIGINT) AS words, max(n) AS longest FROM (SELECT 'm' || CAST(conv_id % 4 AS VARCHAR) AS model_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')) AS BIGINT) AS n FROM conversations) GROUP BY model_id")
+def token_counter(spark, d):
+    """A plugged-in counter (words here), summed by model."""
+    c = A.table(spark, d, "conversations").select(F.concat(F.lit("m"), (F.col("conv_id") % 4).cast("string")).alias("model_id"), tokens.count_tokens("text", lambda: lambda t: len(t.split())).alias("n"))
+    return c.groupBy("model_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").cast("long").alias("words"), F.max("n").alias("longest"))
+
+
+# ---- splits and audits
+
+_LOO = f"""{A.PAIRS}, models AS (SELECT DISTINCT model_id AS test_model FROM pairs), one AS (SELECT DISTINCT test_model, instance_id, model_id FROM pairs CROSS JOIN models WHERE model_id <> test_model),
+  pick AS (SELECT *, row_number() OVER (PARTITION BY test_model, instance_id ORDER BY md5('3571|' || instance_id || '|' || model_id), model_id) AS r, count(*) OVER (PARTITION BY test_model, instance_id) AS n FROM one),
+  sp AS (SELECT p.*, m.test_model, CASE WHEN p.model_id = m.test_model THEN 'test' WHEN k.r <= least(3, k.n - 1) THEN 'valid' ELSE 'train' END AS split FROM pairs p CROSS JOIN models m LEFT JOIN pick k ON k.test_model = m.test_model AND k.instance_id = p.instance_id AND k.model_id = p.model_id)"""
+_SPLIT = "count(*) AS rows, count(DISTINCT traj_id) AS trajectories, count(DISTINCT instance_id) AS instances, count(DISTINCT model_id) AS models, CAST(sum(label) AS DOUBLE) / count(*) AS label_rate"
+
+
+@query(f"WITH {_LOO} SELECT test_model, split, {_SPLIT} FROM sp GROUP BY test_model, split")
+def split_leave_one_model(spark, d):
+    """X1, A21, A22, A23."""
+    return splits.split_summary(splits.leave_one_model(A.pairs(spark, d)), ("test_model", "split"))
+
+
+def _shared_sql(key: str, name: str) -> str:
+    return f"(SELECT test_model, count(*) FILTER (WHERE c > 1) AS shared_{name}, count(*) FILTER (WHERE c > 1 AND t) AS shared_{name}_with_test FROM (SELECT test_model, {key}, count(DISTINCT split) AS c, bool_or(split = 'test') AS t FROM sp GROUP BY test_model, {key}) GROUP BY test_model)"
+
+
+@query(f"WITH {_LOO} SELECT *, shared_trajectories = 0 AND shared_models_with_test = 0 AND shared_pairs = 0 AS ok FROM {_shared_sql('traj_id', 'trajectories')} JOIN {_shared_sql('model_id', 'models')} USING (test_model) JOIN {_shared_sql('instance_id', 'instances')} USING (test_model) JOIN {_shared_sql('instance_id, model_id', 'pairs')} USING (test_model)")
+def split_leakage(spark, d):
+    """What splits share, per fold."""
+    return splits.leakage(splits.leave_one_model(A.pairs(spark, d)), ("test_model",))
+
+
+_HOLD = f"""{A.PAIRS}, p AS (SELECT *, model_id IN ('model1', 'model4') AS t FROM pairs), rest AS (SELECT DISTINCT instance_id FROM p WHERE NOT t),
+  v AS (SELECT instance_id FROM (SELECT *, row_number() OVER (ORDER BY md5('8|' || instance_id), instance_id) AS r, count(*) OVER () AS n FROM rest) WHERE r <= greatest(1, CAST(round_even(n * 0.15, 0) AS INT))),
+  sp AS (SELECT p.*, CASE WHEN t THEN 'test' WHEN n_steps < 3 THEN 'dropped' WHEN v.instance_id IS NOT NULL THEN 'valid' ELSE 'train' END AS split FROM p LEFT JOIN v USING (instance_id))"""
+
+
+def _holdout(spark, d):
+    return splits.holdout_plan(A.pairs(spark, d), test_models=["model1", "model4"], min_steps=3)
+
+
+@query(f"WITH {_HOLD} SELECT split, {_SPLIT} FROM sp GROUP BY split")
+def split_holdout(spark, d):
+    """X2, P6, P9, P10, S5."""
+    return splits.split_summary(_holdout(spark, d))
+
+
+@query(f"WITH {_HOLD} SELECT instance_id, count(DISTINCT split) AS splits FROM sp WHERE split IN ('train', 'valid') GROUP BY instance_id HAVING count(DISTINCT split) > 1")
+def split_shared_instances(spark, d):
+    """None here."""
+    return splits.shared_groups(_holdout(spark, d).filter("split in ('train', 'valid')"), "instance_id")
+
+
+@query(f"WITH {_HOLD} SELECT split, '__MISSING__' AS model_id, model_id AS orig_model_id, count(*) AS rows FROM sp GROUP BY split, orig_model_id")
+def split_masked(spark, d):
+    """P7, P8."""
+    return splits.masked(_holdout(spark, d)).groupBy("split", "model_id", "orig_model_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"WITH {A.PAIRS} SELECT model_id, count(DISTINCT traj_id) AS trajectories, CASE WHEN model_id IN ('model2') THEN 'excluded' WHEN count(DISTINCT traj_id) < 2140 THEN 'too_few_trajectories' ELSE 'eligible' END AS reason, model_id <> 'model2' AND count(DISTINCT traj_id) >= 2140 AS eligible FROM pairs GROUP BY model_id")
+def eligible_folds(spark, d):
+    """T8, S6."""
+    return select.eligible_folds(A.pairs(spark, d), min_trajectories=2140, excluded=("model2",))
+
+
+@query(f"WITH {A.SCORES} SELECT p.* FROM prefix_scores p WHERE traj_id IN (SELECT traj_id FROM (SELECT DISTINCT traj_id FROM prefix_scores) ORDER BY md5('11|' || traj_id), traj_id LIMIT 20)")
+def sample_trajectories(spark, d):
+    """A sampling operator; exactly twenty trajectories."""
+    return splits.sample_exact(A.scores(spark, d), "traj_id", 20, 11)
+
+
+@query(f"WITH {A.SCORES}, e AS (SELECT fold_id, traj_id, count(*) AS rows, max(label) AS label, min(prefix_step_idx) AS low, max(prefix_step_idx) AS high, count(*) FILTER (WHERE prefix_step_idx = 0) AS zero, min(agent) AS agent FROM prefix_scores GROUP BY fold_id, traj_id) SELECT fold_id, CAST(sum(rows) AS BIGINT) AS rows, count(*) AS trajectories, count(DISTINCT agent) AS agents, count(*) FILTER (WHERE label = 1) AS positive_trajectories, CAST(sum(zero) AS BIGINT) AS step0_rows, min(low) AS min_step, max(high) AS max_step, count(*) FILTER (WHERE high = 0) AS zero_step_only, round(quantile_cont(high, 0.99), 6) AS p99_max_step FROM e GROUP BY fold_id")
+def prefix_audit(spark, d):
+    """A18, A28."""
+    return audit.prefix_audit(A.scores(spark, d), ("fold_id",)).withColumn("p99_max_step", F.round("p99_max_step", 6))
+
+
+def _complete_sql(c: str) -> str:
+    return f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(*) FILTER (WHERE coalesce(try_cast({c} AS DOUBLE), 0) <> 0) AS non_zero, count(*) AS rows, 100.0::DOUBLE * (count({c})::DOUBLE / count(*)) AS non_null_pct, 100.0::DOUBLE * ((count(*) FILTER (WHERE coalesce(try_cast({c} AS DOUBLE), 0) <> 0))::DOUBLE / count(*)) AS non_zero_pct FROM labels"
+
+
+@query(" UNION ALL ".join(_complete_sql(c) for c in ("doc_id", "quality", "toxic")))
+def completeness(spark, d):
+    """A19, F16."""
+    return audit.completeness(A.table(spark, d, "labels"), ["doc_id", "quality", "toxic"])
+
+
+@query("SELECT * FROM (SELECT \"column\", value, count(*) AS n, CAST(row_number() OVER (PARTITION BY \"column\" ORDER BY count(*) DESC, value) AS INT) AS rank FROM (SELECT 'o_orderpriority' AS \"column\", coalesce(CAST(o_orderpriority AS VARCHAR), '__NULL__') AS value FROM orders UNION ALL SELECT 'o_custkey', coalesce(CAST(o_custkey AS VARCHAR), '__NULL__') FROM orders) GROUP BY \"column\", value) WHERE rank <= 50")
+def value_counts(spark, d):
+    """A top-k report."""
+    return audit.value_counts(A.table(spark, d, "orders"), ["o_orderpriority", "o_custkey"])
+
+
+# ---- scans, sets, scalars
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def present_columns(spark, d):
+    """Of the wanted columns those that exist; the scan reads no others."""
+    return T.present(A.table(spark, d, "orders"), ["o_orderkey", "nowhere", "o_custkey"])
+
+
+@query("SELECT o_orderkey AS traj_id, o_custkey AS model_id, 1 AS n_steps FROM orders")
+def canonical_columns(spark, d):
+    """Contract names and defaults."""
+    return T.canonical(A.table(spark, d, "orders").select("o_orderkey", "o_custkey"), {"traj_id": "o_orderkey", "model_id": "o_custkey"}, {"n_steps": 1})
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id")
+def last_wins(spark, d):
+    """The last row of each key."""
+    return T.last_wins(A.table(spark, d, "events").select("user_id", "event_type", "value", "event_id"), ["user_id"], "event_id")
+
+
+@query("SELECT c_custkey AS k, c_name AS name, NULL::VARCHAR AS extra FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT s_suppkey, s_name, 's' FROM supplier WHERE s_suppkey NOT IN (SELECT o_custkey FROM orders)")
+def combined_parts(spark, d):
+    """Union by name without listed keys."""
+    a = A.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    b = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit("s").alias("extra"))
+    return T.combine([a, b], without=A.table(spark, d, "orders").select(F.col("o_custkey").alias("k")), keys=["k"])
+
+
+@query("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT -n_nationkey - 1 FROM nation EXCEPT SELECT -s_nationkey - 1 FROM supplier)")
+def set_operations(spark, d):
+    """T13."""
+    c, s, n = A.table(spark, d, "customer").select("c_nationkey"), A.table(spark, d, "supplier").select("s_nationkey"), A.table(spark, d, "nation").select((-F.col("n_nationkey") - 1).alias("k"))
+    return c.intersect(s).toDF("k").unionByName(n.subtract(s.select((-F.col("s_nationkey") - 1).alias("k"))))
+
+
+@query("SELECT a.conv_id, a.turn, CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(x), list_distinct(y)))::DOUBLE / len(list_distinct(list_concat(x, y))) END AS jaccard FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS x FROM conversations) a JOIN (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS y FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def turn_jaccard(spark, d):
+    """Overlap of neighbouring turns."""
+    c = A.table(spark, d, "conversations")
+    j = c.alias("a").join(c.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
+    return j.select("a.conv_id", "a.turn", X.token_jaccard("a.text", "b.text").alias("jaccard"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe, CAST(('0x' || substr(sha256('7::' || url), 1, 12)) AS BIGINT) AS seed, CAST(ceil(length(html) / 4.0) AS BIGINT) AS tokens, substr(trim(regexp_replace(html, '\\s+', ' ', 'g'), ' '), 1, 60) AS preview FROM pages")
+def name_scalars(spark, d):
+    """F6, F8, F9, F12, F15."""
+    return A.table(spark, d, "pages").select("page_id", X.safe_name("url").alias("safe"), X.stable_seed(F.lit("7"), "url").alias("seed"), X.legacy_tokens(F.length("html")).alias("tokens"), X.squash("html", 60).alias("preview"))
+
+
+@query("SELECT n_nationkey, CASE WHEN contains(r, '@') THEN split_part(r, '@', 1) || ' (' || split_part(r, '@', 2) || ')' ELSE replace(r, '_', '/') END AS label, coalesce(nullif(e, ''), r) AS filled, round_even(n_nationkey / 4.0::DOUBLE, 1) AS half_even, CASE WHEN n_nationkey % 5 = 0 THEN -1.0 ELSE 1.0::DOUBLE / (n_nationkey % 5) END AS safe FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '@x' ELSE n_name || '_y' END AS r, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END AS e FROM nation)")
+def value_scalars(spark, d):
+    """F1, F7, F10, J15, T17, Q16."""
+    n = A.table(spark, d, "nation")
+    r = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit("@x"))).otherwise(F.concat("n_name", F.lit("_y")))
+    e = F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.col("n_name"))
+    return n.select("n_nationkey", X.agent_label(r).alias("label"), X.falsy_coalesce(e, r).alias("filled"), X.half_even(F.col("n_nationkey") / F.lit(4.0), 1).alias("half_even"), X.safe_div(F.lit(1), F.col("n_nationkey") % 5, -1.0).alias("safe"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS context, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE text <> '' GROUP BY conv_id")
+def context_text(spark, d):
+    """a conversation's non-empty turns, in order."""
+    c = A.table(spark, d, "conversations").filter("text <> ''").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return c.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("context"), "chars")
+
+
+# ---- parsing
+
+_RAW = "raw AS (SELECT doc_id AS i, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'i' || doc_id END AS instance_id, CASE WHEN doc_id % 3 = 0 THEN 'm' || doc_id % 5 END AS model_id, 'agent' || doc_id % 2 AS agent, CASE WHEN quality = 1 THEN 'true' ELSE 'false' END AS resolved, CASE WHEN toxic = 1 THEN '[]' ELSE '[{\"role\":\"agent\",\"content\":\"c' || doc_id || '\"},{\"role\":\"user\",\"message\":\"u\"}]' END AS steps FROM labels)"
+
+
+def _raw(spark, d):
+    i = F.col("doc_id").cast("string")
+    return A.table(spark, d, "labels").select(
+        i.alias("row_idx"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("i"), i)).alias("instance_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("m"), (F.col("doc_id") % 5).cast("string"))).alias("model_id"),
+        F.concat(F.lit("agent"), (F.col("doc_id") % 2).cast("string")).alias("agent"), F.when(F.col("quality") == 1, "true").otherwise("false").alias("resolved"),
+        F.when(F.col("toxic") == 1, "[]").otherwise(F.concat(F.lit('[{"role":"agent","content":"c'), i, F.lit('"},{"role":"user","message":"u"}]'))).alias("steps"),
+    )
+
+
+@query(f"WITH {_RAW} SELECT 'generic' AS benchmark, CASE WHEN instance_id = '' THEN 'generic_' || lpad(CAST(i AS VARCHAR), 6, '0') ELSE instance_id END AS instance_id, 'generic::' || lpad(CAST(i AS VARCHAR), 6, '0') AS traj_id, coalesce(model_id, agent) AS model_id, resolved = 'true' AS resolved, CAST(CASE WHEN steps = '[]' THEN 0 ELSE 2 END AS INT) AS n_messages, CASE WHEN steps = '[]' THEN NULL ELSE 'assistant' END AS first_role, '' AS patch FROM raw")
+def normalise_records(spark, d):
+    """N1, N2, S9."""
+    t = parse.normalised(_raw(spark, d), "generic")
+    return t.select("benchmark", "instance_id", "traj_id", "model_id", "resolved", F.size("messages").alias("n_messages"), F.get("messages", F.lit(0))["role"].alias("first_role"), "patch")
+
+
+@query(f"WITH {_RAW} SELECT count(*) AS trajectories, count(DISTINCT CASE WHEN instance_id = '' THEN 'generic_' || i ELSE instance_id END) AS instances, count(DISTINCT coalesce(model_id, agent)) AS models, count(*) FILTER (WHERE resolved = 'true')::DOUBLE / count(*) AS resolved_rate, count(*) FILTER (WHERE steps = '[]') AS empty_messages FROM raw")
+def normalise_audit(spark, d):
+    """N3, N16."""
+    return parse.quality_audit(parse.normalised(_raw(spark, d), "generic"))
+
+
+def _logs(spark, d):
+    """Conversations as logs that quote a command each turn."""
+    c = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    line = lambda x: F.concat(F.substring(x["text"], 1, 80), F.lit("\nAction: run "), x["turn"].cast("string"), F.lit(" now\n"))
+    return c.select(F.col("conv_id").alias("traj_id"), F.array_join(F.transform("t", line), "").alias("text"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS traj_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step_idx, 'run ' || turn || ' now' AS action_text, 'log' AS tool_name FROM conversations")
+def parse_logs(spark, d):
+    """N4, N9, N10, N11."""
+    return parse.parsed(_logs(spark, d)).select("traj_id", "step_idx", "action_text", "tool_name")
+
+
+@query("SELECT conv_id AS traj_id, list('run ' || turn || ' now' ORDER BY turn)[1:5] AS actions FROM conversations GROUP BY conv_id")
+def quoted_actions(spark, d):
+    """N9 in built-in expressions."""
+    return _logs(spark, d).select("traj_id", parse.actions_column("text", 5).alias("actions"))
+
+
+@query()
+def parse_step_fields(spark, d):
+    """Conversations as role messages with tool calls, parsed and enriched."""
+    c = A.table(spark, d, "conversations")
+    m = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"), F.array(F.struct(F.col("turn").cast("string").alias("id"), F.struct(F.lit("bash").alias("name"), F.concat(F.lit('{"command": "pytest '), F.col("turn").cast("string"), F.lit('"}')).alias("arguments")).alias("function"))).alias("tool_calls"))))
+    m = m.otherwise(F.to_json(F.struct(F.lit("tool").alias("role"), (F.col("turn") - 1).cast("string").alias("tool_call_id"), F.concat(F.lit("2 failed, 1 passed "), F.col("text")).alias("content"))))
+    files = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", m.alias("m")))).alias("t")).select(F.col("conv_id").alias("traj_id"), F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["m"]), ","), F.lit("]")).alias("text"))
+    return parse.with_step_fields(parse.parsed(files))
+
+
+@query()
+def prefix_features(spark, d):
+    """N + 1 prefixes with running features."""
+    return parse.prefixes(parse_step_fields(spark, d))
+
+
+_UNITS = "units AS (SELECT * FROM (VALUES ('model1', 0, 'u10'), ('model1', 1, 'u11'), ('model3', 0, 'u30')) t(model_id, agent, unit))"
+
+
+@query(f"WITH {A.PAIRS}, {_UNITS} SELECT unit AS model_id, count(*) AS rows, count(DISTINCT unit || '__' || traj_id) AS trajectories, count(DISTINCT instance_id) AS instances FROM (SELECT *, label AS agent FROM pairs) JOIN units USING (model_id, agent) GROUP BY unit")
+def relabelled_units(spark, d):
+    """N15, J14."""
+    u = spark.createDataFrame([("model1", 0, "u10"), ("model1", 1, "u11"), ("model3", 0, "u30")], "model_id string, agent int, unit string")
+    r = parse.relabelled(A.pairs(spark, d).withColumnRenamed("label", "agent"), u)
+    return r.groupBy("model_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("traj_id").alias("trajectories"), F.count_distinct("instance_id").alias("instances"))
+
+
+@query(f"WITH {A.PAIRS} SELECT model_id FROM (SELECT model_id, row_number() OVER (ORDER BY model_id) - 1 AS i FROM (SELECT DISTINCT model_id FROM pairs)) WHERE i % 3 = 1")
+def unit_shards(spark, d):
+    """Every third unit, from the second."""
+    return parse.sharded(A.pairs(spark, d).select("model_id").distinct(), "model_id", 1, 3)
+
+
+@query()
+def model_fold(spark, d):
+    """Fitted on train, calibrated on valid, scored on test; trees differ from other trainers, so that only rows are checked."""
+    from haltlens.operators import features
+
+    s = A.scores(spark, d)
+    e = A.table(spark, d, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    step = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int")
+    x = e.select(F.col("user_id").alias("traj_id"), step.alias("prefix_step_idx"), "event_type", "value").join(s.select("traj_id", "prefix_step_idx", "label"), ["traj_id", "prefix_step_idx"])
+    x = x.withColumns({"sample_weight": F.lit(1.0), "split": F.when(F.col("traj_id") % 5 == 0, "test").when(F.col("traj_id") % 5 == 1, "valid").otherwise("train"), "words": F.concat_ws(" ", "event_type", F.col("event_type"))})
+    out, _ = features.run_fold(x, features.FeatureSet(("value", "prefix_step_idx"), ("event_type",), ("words",), min_df=2, vocabulary=1000), kind="lr")
+    return out.select("traj_id", "prefix_step_idx", "split", "prob_safe_success__gbt", "prob_cal_safe_success__gbt", "prob_safe_failure__gbt", "prob_cal_safe_failure__gbt")

@@ -1 +1 @@
-""""""
+"""Structured Streaming version of the stop decision."""
