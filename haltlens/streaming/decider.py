@@ -1,7 +1,8 @@
 """The stop decision on a stream: each trajectory's scan as keyed state.
 
 The rule needs steps in order, so rows wait in state until every step before them has come; a row at or below the last step that was
-taken is late and only counted. A trajectory emits once, when it decides; state of silent ones times out by processing time.
+taken is late and only counted. A trajectory emits once, when it decides; with ``timeout_ms`` the state of silent ones is dropped by
+processing time (such a query never runs out of batches, so that it is for continuous triggers).
 The result on a complete stream equals the batch operator's.
 """
 
@@ -25,7 +26,7 @@ def direction(s: float, f: float, success_thr: float, failure_thr: float) -> int
     return int(hit_s) - int(hit_f)
 
 
-def decider(success_thr: float, failure_thr: float, min_step: int, consecutive: int, timeout_ms: int):
+def decider(success_thr: float, failure_thr: float, min_step: int, consecutive: int, timeout_ms: int | None):
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -49,13 +50,14 @@ def decider(success_thr: float, failure_thr: float, min_step: int, consecutive:
             nxt += 1
         left = {} if done else waiting
         state.update((nxt, last, streak, late, list(left), [x[0] for x in left.values()], [x[1] for x in left.values()], done))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
 
     return run
 
 
-def decide_stream(scores: DataFrame, *, success_thr: float, failure_thr: float, min_step: int = 0, consecutive: int = 1, timeout_ms: int = 3_600_000) -> DataFrame:
+def decide_stream(scores: DataFrame, *, success_thr: float, failure_thr: float, min_step: int = 0, consecutive: int = 1, timeout_ms: int | None = None) -> DataFrame:
     """Decisions of a stream of scores (traj_id, prefix_step_idx from 0, p_success, p_failure)."""
     rows = scores.selectExpr("cast(traj_id as long) traj_id", "cast(prefix_step_idx as int) prefix_step_idx", "cast(p_success as double) p_success", "cast(p_failure as double) p_failure")
     run = decider(success_thr, failure_thr, min_step, consecutive, timeout_ms)
-    return rows.groupBy("traj_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("traj_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
