@@ -27,7 +27,7 @@ def stability(ranks: DataFrame, by: tuple[str, ...], item: str) -> DataFrame:
     shift = F.abs("rank_change")
     return r.groupBy(*by).agg(
         F.count(F.lit(1)).alias("items"),
-        F.when((F.count(F.lit(1)) > 1) & (F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0), F.corr("_a", "_b")).alias("spearman_rho"),
+        F.when(F.count(F.lit(1)) > 1, F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))).alias("spearman_rho"),
         (F.min_by(item, F.struct("rank_before", item)) == F.min_by(item, F.struct("rank_after", item))).alias("same_top"),
         F.bool_and(shift == 0).alias("same_ranks"),
         F.max(shift).alias("max_shift"),
