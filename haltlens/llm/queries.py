@@ -58,7 +58,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fuzzy_lines.without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

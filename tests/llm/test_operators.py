@@ -373,6 +373,67 @@ def test_fuzzy_families(spark):
     assert {r.doc_id: r.text for r in fuzzy_lines.without_lines(df).collect()} == brute_lines(rows)
 
 
+def brute_every(rows, similarity=0.8, min_words=5):
+    """As brute_lines, but every two lines are compared: no SimHash, no keys."""
+    places = {}
+    for d, t in rows:
+        for i, w in enumerate(fuzzy_lines.normal_lines(t or "")):
+            if len(w) >= min_words:
+                places.setdefault(tuple(w), []).append((d, i))
+    keys, root = list(places), {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            k = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+            if abs(len(a) - len(b)) > k or max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > k:
+                continue
+            row = list(range(len(b) + 1))
+            for m, x in enumerate(a, 1):
+                new = [m]
+                for n, y in enumerate(b, 1):
+                    new.append(min(row[n] + 1, new[-1] + 1, row[n - 1] + (x != y)))
+                row = new
+            if row[-1] <= k:
+                root[find(a)] = find(b)
+    groups = {}
+    for k in keys:
+        groups.setdefault(find(k), []).extend(places[k])
+    return {p for g in groups.values() for p in sorted(g)[1:]}
+
+
+@pytest.mark.parametrize("often", [2, 1000])
+def test_every_fuzzy_line_is_found(spark, monkeypatch, often):
+    monkeypatch.setattr(fuzzy_lines, "OFTEN", often)
+    rng = random.Random(11)
+    lines = []
+    for _ in range(60):
+        base = [rng.choice(("a", "b", f"c{rng.choice('pqrstuvw')}", "".join(rng.choices("xyzuvw", k=4)))) for _ in range(rng.choice((5, 6, 8, 12, 20, 33, 40, 41, 45, 60, 120)))]
+        lines.append(base)
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.randint(1, len(w) // 5 + 1)):
+                at, what = rng.randrange(len(w)), rng.random()
+                w[at : at + (what < 0.7)] = ["".join(rng.choices("ijklm", k=5))] * (what > 0.3)
+            lines.append(w)
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(" ".join(w) for w in lines[i::50])) for i in range(50)]
+    gone = brute_every(rows)
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+    got = {r.doc_id: r.text for r in fuzzy_lines.without_lines(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()}
+    assert got == want and len(gone) > 60
+
+
+def test_every_odd(docs, odd, empty):
+    by = Counter((r.doc_id, r.text is None, len(r.text or "")) for r in fuzzy_lines.without_lines(odd, every=True).collect())
+    assert sum(by.values()) == odd.count() and by[(3, True, 0)] == 1 and by[(4, False, 0)] == 1
+    assert fuzzy_lines.without_lines(empty, every=True).count() == 0
+
+
 def test_fuzzy_odd(odd, empty):
     rows = fuzzy_lines.without_lines(odd).collect()
     assert len(rows) == odd.count()
