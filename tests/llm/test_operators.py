@@ -428,6 +428,19 @@ def test_every_fuzzy_line_is_found(spark, monkeypatch, often):
     assert got == want and len(gone) > 60
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    rows = [
+        (1, "Share on Facebook\nPage 3\n\n---"),
+        (2, "share on facebook!\nPage 4\nown text\n\n---"),
+        (3, "今日は天気がとても良いですね"),
+        (4, "今日は天気がとても悪いですね\n全く別の文章がここにあります"),
+        (5, "版权所有\nown words"),
+        (6, "版权所有"),
+    ]
+    got = {r.doc_id: r.text for r in fuzzy_lines.without_lines(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()}
+    assert got == {1: rows[0][1], 2: "Page 4\nown text\n\n---", 3: rows[2][1], 4: "全く別の文章がここにあります", 5: rows[4][1], 6: ""}
+
+
 def test_every_odd(docs, odd, empty):
     by = Counter((r.doc_id, r.text is None, len(r.text or "")) for r in fuzzy_lines.without_lines(odd, every=True).collect())
     assert sum(by.values()) == odd.count() and by[(3, True, 0)] == 1 and by[(4, False, 0)] == 1
