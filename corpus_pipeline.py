@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat an earlier one or nearly so; a document goes if lines went and none of five words is left, as it is a copy but for scraps."""
-    return _with_size(fuzzy_lines.without_lines(docs, every=True).filter("n_dropped = 0 OR n_left > 0"))
+    """All documents, without lines that repeat an earlier one or nearly so; a document goes if lines went and the text that is left has no letter or digit."""
+    return _with_size(fuzzy_lines.without_lines(docs, every=True).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,14 @@ def test_run_equals_stages(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
 
 
+def test_line_dedup_keeps_what_is_left(spark):
+    footer = "this is a footer of many sites"
+    rows = [(1, footer), (2, f"{footer}\nroses red\nviolets blue"), (3, f"{footer}\n世界中の人々"), (4, f"{footer}\n---")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, DATA).collect()}
+    assert got == {1: footer, 2: "roses red\nviolets blue", 3: "世界中の人々"}
+
+
 def test_odd_rows(spark, odd, empty, docs):
     rows = odd.withColumn("n_chars", odd.n_lines.cast("long"))
     for name, stage in corpus_pipeline.STAGES:
