@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
 Candidate blocks (stretches of words around license wording) are compressed alone and with each template as a raw zstandard
-dictionary. What a template saves, in bytes and as a share of the block's own compressed size, ranks the templates; the best
-ranks are then confirmed by their exact wording differences: the words of the template that the block lacks and the other
+dictionary. What a template saves, in bytes and as a share of the block's own compressed size, ranks the templates; all that
+save anything and share words enough are then confirmed by their exact wording differences: the words of the template that the block lacks and the other
 way round, from a longest-common-subsequence alignment. A finding is accepted if at least ``coverage`` of the template's words are in the block in order.
 
 Defined results: null or empty text has no blocks; a text may hold several licenses, each its own row, in order of their place; equal
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -43,8 +44,14 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "BSD-2-Clause": [
         "Released under the BSD 2-Clause License.",
@@ -80,6 +87,7 @@ class Template:
     license: str
     form: int
     words: tuple[str, ...]
+    count: Counter
     packer: zstandard.ZstdCompressor
 
 
@@ -90,7 +98,7 @@ def templates() -> tuple[Template, ...]:
         for i, text in enumerate(forms):
             w = _words(text)
             raw = zstandard.ZstdCompressionDict(" ".join(w).encode() * (1 + 16 // len(" ".join(w))), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append(Template(name, i, tuple(w), zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False)))
+            out.append(Template(name, i, tuple(w), Counter(w), zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False)))
     return tuple(out)
 
 
@@ -120,7 +128,7 @@ def differences(template: tuple[str, ...], words: list[str]) -> tuple[int, int,
     return hit, first, last, last - first - hit
 
 
-def scan(text: str, *, top: int = 6, coverage: float = 0.9) -> list[tuple]:
+def scan(text: str, *, coverage: float = 0.9) -> list[tuple]:
     """(start, license, form, saved bytes, saved share, missing words, added words) of each accepted finding, by place."""
     spans = [(m.start(), m.group().lower()) for m in _WORDS.finditer(text)]
     at = [p for p, _ in spans]
@@ -131,24 +139,27 @@ def scan(text: str, *, top: int = 6, coverage: float = 0.9) -> list[tuple]:
     for around, kind in ((LONG, [t for t in templates() if len(t.words) > SHORT_WORDS]), (SHORT, [t for t in templates() if len(t.words) <= SHORT_WORDS])):
         for a, b in stretches(signs, around, len(spans)):
             for p in range(a, b, WINDOW // 2):
-                found += _in_window(spans, taken, range(p, min(b, p + WINDOW)), kind, top, coverage)
+                found += _in_window(spans, taken, range(p, min(b, p + WINDOW)), kind, coverage)
                 if p + WINDOW >= b:
                     break
     return sorted(found)
 
 
-def _in_window(spans, taken, window, kind, top, coverage) -> list[tuple]:
+def _in_window(spans, taken, window, kind, coverage) -> list[tuple]:
     found = []
     while True:
         left = [i for i in window if not taken[i]]
         now = [spans[i][1] for i in left]
         data = " ".join(now).encode()
         own = len(_alone().compress(data))
-        ranked = sorted(((own - len(t.packer.compress(data)), t) for t in kind), key=lambda x: (-x[0], x[1].license, x[1].form))[:top]
+        ranked = sorted(((own - len(t.packer.compress(data)), t) for t in kind), key=lambda x: (-x[0], x[1].license, x[1].form))
+        there = Counter(now)
         best = None
         for saved, t in ranked:
             if saved <= 0:
                 break
+            if sum(min(n, there[w]) for w, n in t.count.items()) < coverage * len(t.words):
+                continue  # no alignment finds more
             hit, first, last, added = differences(t.words, now)
             share = hit / len(t.words)
             if share >= coverage and added <= max(2, len(t.words) // 5):

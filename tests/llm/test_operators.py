@@ -250,6 +250,18 @@ def test_licenses(spark, odd, empty):
     assert license_scan.scan_documents(odd).count() == 0 and license_scan.scan_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("start", ["This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."])
+def test_licenses_below_the_first_ranks(start):
+    assert [x[1] for x in license_scan.scan(start + " Portions released under the MIT License.")] == ["MIT"]
+
+
+@pytest.mark.parametrize("name, kind", [("GPL-3.0", ""), ("LGPL-3.0", "Lesser "), ("AGPL-3.0", "Affero ")])
+def test_long_gnu_notices(name, kind):
+    text = f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    rest = f" This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
+    assert [x[1] for x in license_scan.scan(text + rest)] == [name]
+
+
 # ---- 7
 
 
