@@ -9,7 +9,7 @@ documents and different values different ones. Kinds, with what validates them:
 - phone: an international or bracketed number of 7 to 15 digits; the country code stays
 - ip: four numbers up to 255, permuted as one 32-bit number; six or more groups of hexadecimal pairs (mac) likewise
 - ssn: three, two and four digits with possible area, group and serial number
-- date: a day of the calendar between 1900 and 2099, permuted among all of them
+- date: a day of the calendar between 1900 and 2099, in digits or with a month's name, permuted among all of them
 - email: local part and the host's first label are permuted letter by letter class; the rest of the host stays
 - secret: a value of 16 or more characters, a digit among them, assigned to a name such as token, key, secret or password; a
   known key prefix; or a bare hexadecimal word of 40 or 64
@@ -18,7 +18,7 @@ The Feistel network has 10 rounds over the mixed-radix number that the variable
 size, rounds keyed by BLAKE2b with kind, format and round; numbers outside the domain are walked on along the cycle.
 
 Defined results: null text stays null with no findings; empty text likewise has none; very long texts are scanned whole;
-values that fail validation are left alone; overlapping findings go to the kind listed first. Repeated rows give repeated results.
+values that fail validation are left alone, but for such of their runs of whole groups as pass; overlapping findings go to the kind listed first. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -148,10 +148,43 @@ def ssn(s: str, key: bytes) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: Names of months: English, short and long, German, French, Spanish.
+_MONTHS = tuple(x.split() for x in (
+    "january february march april may june july august september october november december",
+    "jan feb mar apr may jun jul aug sep oct nov dec",
+    "januar februar märz april mai juni juli august september oktober november dezember",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+))
+_MONTH_OF = {name: (names, i + 1) for names in reversed(_MONTHS) for i, name in enumerate(names)} | {"sept": (_MONTHS[1], 9)}
+_NAMED_DATE = re.compile(rf"(?i)(?P<d>[0-9]{{1,2}})(?P<o>st|nd|rd|th|er)?\.? (?:of |de )?(?P<m>{(names := '|'.join(sorted(_MONTH_OF, key=len, reverse=True)))})\.?,? (?:de )?(?P<y>(?:19|20)[0-9]{{2}})|(?P<m2>{names})\.? (?P<d2>[0-9]{{1,2}})(?P<o2>st|nd|rd|th)?,? (?P<y2>(?:19|20)[0-9]{{2}})")
+
+
+def _named_date(m: re.Match, key: bytes) -> str | None:
+    two = "" if m["m"] else "2"
+    names, month = _MONTH_OF[m["m" + two].lower()]
+    try:
+        day = datetime.date(int(m["y" + two]), month, int(m["d" + two])).toordinal() - _DAY0
+    except ValueError:
+        return None
+    d = datetime.date.fromordinal(_DAY0 + permuted(day, _DAYS, key, b"date|"))
+    was, name = m["m" + two], names[d.month - 1]
+    new = {"m": name.upper() if was.isupper() else name if was.islower() else name.capitalize(), "d": f"{d.day:02d}" if m["d" + two][0] == "0" else str(d.day), "y": str(d.year)}
+    if (o := m["o" + two]) and o.lower() != "er":
+        new["o"] = "th" if d.day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(d.day % 10, "th")
+    out, at = [], 0
+    for a, b, x in sorted((*m.span(g + two), x) for g, x in new.items()):
+        out += [m.string[at:a], x]
+        at = b
+    return "".join([*out, m.string[at:]])
+
+
 def date(s: str, key: bytes) -> str | None:
+    if named := _NAMED_DATE.fullmatch(s):
+        return _named_date(named, key)
     sep = next(c for c in s if not c.isdigit())
     p = s.split(sep)
-    order = (0, 1, 2) if len(p[0]) == 4 else ((2, 0, 1) if sep == "/" and int(p[1]) > 12 else (2, 1, 0))
+    order = (0, 1, 2) if len(p[0]) == 4 else ((2, 0, 1) if sep in "/-" and int(p[1]) > 12 else (2, 1, 0))
     try:
         day = datetime.date(*(int(p[i]) for i in order)).toordinal() - _DAY0
     except ValueError:
@@ -182,12 +215,12 @@ def secret(s: str, key: bytes) -> str:
 _FINDS = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"),
     "iban": re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)(?![A-Za-z0-9])"),
-    "card": re.compile(r"(?<![0-9A-Za-z])([0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z])"),
+    "card": re.compile(r"(?<![0-9A-Za-z])([0-9]+(?:[ -][0-9]+)*)(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![\w+])(\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)"),
     "ip": re.compile(r"(?<![\w.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\w|\.[0-9])"),
     "mac": re.compile(r"(?<![\w:-])([0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\2){4}[0-9A-Fa-f]{2})(?![\w:-])"),
     "ssn": re.compile(r"(?<![\w-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"),
-    "date": re.compile(r"(?<![\w./-])((?:19|20)[0-9]{2}([-/.])[0-9]{1,2}\2[0-9]{1,2}|[0-9]{1,2}([/.])[0-9]{1,2}\3(?:19|20)[0-9]{2})(?![\w/-]|\.[0-9])"),
+    "date": re.compile(rf"(?<![\w./-])((?:19|20)[0-9]{{2}}([-/.])[0-9]{{1,2}}\2[0-9]{{1,2}}|[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\3(?:19|20)[0-9]{{2}}|{_NAMED_DATE.pattern.replace('(?i)', '(?i:', 1)}))(?!(?!T[0-9]{{2}}:?[0-9]{{2}})\w|[/-]|\.[0-9])"),
     "secret": re.compile(
         r"((?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})"
         r"|(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40})(?![A-Za-z0-9])"
@@ -200,6 +233,34 @@ _DIGIT = re.compile(r"[0-9]")
 _MAKE = {"email": email, "iban": iban, "card": card, "phone": phone, "ip": ip, "mac": mac, "ssn": ssn, "date": date, "secret": secret}
 
 
+#: Characters of an IBAN by country.
+_IBAN = {c: int(x[:2]) for x in "15NO 16BE 18DKFIFKFOGLNLSD 19MKSI 20ATBAEEKZLTLUMNXK 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQOMSOTL 24ADCZESMDPKROSASESKTNVG 25LYPTST 26ISTR 27BIDJFRGRITMCMRSM 28ALAZBYCYCZDOGTHUNILBPLSV 29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU".split() for c in re.findall("..", x[2:]) if (x[:2], c) != ("28", "CZ")}
+_GROUPS = {"iban": re.compile(r"[A-Z0-9]+"), "card": re.compile(r"[0-9]+"), "phone": re.compile(r"[0-9]+")}
+
+
+def runs(kind: str, value: str) -> list[tuple[int, int]]:
+    """The stretches of a candidate that may be a value, by preference: such as begin and end at borders of its groups."""
+    if kind not in _GROUPS:
+        return [(0, len(value))]
+    groups = [m.span() for m in _GROUPS[kind].finditer(value)]
+    if kind == "phone":  # a number begins where it does
+        return [(0, len(value)), *((0, b) for _, b in reversed(groups[:-1]))]
+    found = []
+    for i, (a, _) in enumerate(groups):
+        size, sizes = 0, []
+        for c, b in groups[i:]:
+            size += b - c
+            sizes.append(b - c)
+            if size > (34 if kind == "iban" else 19):
+                break
+            if kind == "iban" and size >= 15 and re.match("[A-Z]{2}[0-9]{2}", value[a:b]):
+                found.append((size != _IBAN.get(value[a : a + 2]), a, -b))
+            elif kind == "card" and size >= 13 and not luhn(_digits(value[a:b])):
+                usual = len(sizes) == 1 or sizes in ([4, 6, 5], [4, 6, 4]) or (set(sizes[:-1]) == {4} and size in (13, 16, 19))
+                found.append((not usual or size == 19, a, -b))
+    return [(a, -b) for _, a, b in sorted(found)]
+
+
 @lru_cache(maxsize=50_000)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """None: the value is not valid as one of its kind."""
@@ -212,14 +273,16 @@ def findings(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     for kind in kinds:
         for m in _FINDS[kind].finditer(text):
-            value, (start, end) = m.group(1), m.span(1)
+            value, start = m.group(1), m.start(1)
             if kind == "secret" and not _SURE.match(value) and not (len(value) >= 16 and _NAMED.search(text[max(0, start - 40) : start])):
                 continue
-            i = bisect_left(found, (start,))
-            if (i and found[i - 1][1] > start) or (i < len(found) and found[i][0] < end):
-                continue
-            if (new := pseudonym(kind, value, key)) is not None:
-                found.insert(i, (start, end, kind, new))
+            for a, b in runs(kind, value):
+                a, b = start + a, start + b
+                i = bisect_left(found, (a,))
+                if (i and found[i - 1][1] > a) or (i < len(found) and found[i][0] < b):
+                    continue
+                if (new := pseudonym(kind, text[a:b], key)) is not None:
+                    found.insert(i, (a, b, kind, new))
     return found
 
 

@@ -88,6 +88,18 @@ def test_pii_leaves_what_is_not_valid(text):
     assert pii.pseudonymised(text, KEY) == (text, {})
 
 
+@pytest.mark.parametrize("before, value, after, kind", [
+    ("card ", "4111 1111 1111 1111", " 123", "card"), ("", "4111 1111 1111 1111", " 12/26", "card"), ("order 12 ", "4111111111111111", "", "card"), ("id 7 ", "4111 1111 1111 1111", " exp", "card"),
+    ("1 2 3 4 5 6 7 8 9 ", "4111 1111 1111 1111", " 123 55 66 77", "card"), ("", "BE68 5390 0754 7034", " BIC", "iban"), ("REF1 AB12 ", "BE68 5390 0754 7034", " GKCCBEBB", "iban"), ("", "+49 30 1234 5678", " 2023 1234 5678", "phone"),
+    ("", "2023-05-01", "T12:00:00Z", "date"), ("", "2023-05-01", " 12:00", "date"), ("born ", "01-05-1980", ".", "date"), ("on ", "May 3rd, 1999", ".", "date"), ("am ", "12. März 2021", "", "date"), ("le ", "3 août 2005", ",", "date"), ("el ", "3 de mayo de 2005", "", "date"),
+])
+def test_pii_beside_other_digits(before, value, after, kind):
+    new, found = pii.pseudonymised(before + value + after, KEY)
+    assert found == {kind: 1} and new.startswith(before) and value not in new
+    assert kind == "phone" or new.endswith(after)
+    assert kind == "phone" or pii.pseudonymised(new, KEY)[1] == {kind: 1}
+
+
 def test_pii_rows(odd, empty):
     rows = pii.pseudonymise(odd, KEY).collect()
     assert len(rows) == odd.count() and Counter(r.text for r in rows) == Counter(t for _, t in texts(odd))
