@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import only, written
 
 GRAM = 16
-SLICE = 1 << 20
+SLICE = 1 << 22
 BUCKET_ANCHORS = 400_000
 SHARD_BYTES = 3 << 19
 LAST = (1 << 63) - 1
@@ -118,7 +118,7 @@ def slices(docs: DataFrame) -> DataFrame:
                 ids.append(d)
                 texts.append(data)
                 size += len(data)
-                if size >= SLICE or len(ids) >= 1 << 14:
+                if size >= SLICE or len(ids) >= 1 << 15:
                     yield flush()
                     seq, ids, texts, size = seq + 1, [], [], 0
         if ids:
@@ -172,11 +172,11 @@ def _repeats(key, group):
     return pa.table({"slice": pa.array([s for s, _ in out], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int32()), "bits": pa.array([x for _, x in out], pa.binary())})
 
 
-PIECES = "shard int, slice long, text binary, sizes binary, piece binary, doc binary, at binary, number binary"
+PIECES = "shard int, slice long, text binary, sizes binary, piece binary, at binary, doc binary, numbers binary"
 
 
 def _pieces(buckets: int, shards: int, length: int):
-    """Pieces of one slice by shard: different texts with their sizes; for each occurrence the piece, the document, the first byte and the document's number."""
+    """Pieces of one slice by shard: different texts with their sizes; for each occurrence the piece, the first byte and which of the documents' numbers is its own."""
 
     def run(batches):
         for b in batches:
@@ -202,8 +202,8 @@ def _pieces(buckets: int, shards: int, length: int):
                 for i, j in zip(cuts[:-1], cuts[1:]):
                     known: dict[bytes, int] = {}
                     which = [known.setdefault(data[a : a + k], len(known)) for a, k in zip(begin[i:j], size[i:j])]
-                    d = docs[i:j]
-                    rows.append((int(shard[i]), s, b"".join(known), np.array([len(x) for x in known], "<u4").tobytes(), np.array(which, "<u4").tobytes(), d.astype("<u4").tobytes(), first[chosen[i:j]].astype("<u4").tobytes(), part.order[d].astype("<i8").tobytes()))
+                    mine, own = np.unique(docs[i:j], return_inverse=True)
+                    rows.append((int(shard[i]), s, b"".join(known), np.array([len(x) for x in known], "<u4").tobytes(), np.array(which, "<u4").tobytes(), first[chosen[i:j]].astype("<u4").tobytes(), own.astype("<u2").tobytes(), part.order[mine].astype("<i8").tobytes()))
                 cols = list(zip(*rows)) if rows else [[]] * 8
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in PIECES.split(", ")])
@@ -274,55 +274,104 @@ def bounded_groups(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, border[:n]
 
 
+def _may_share(raw: np.ndarray, begin: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Which pieces may have a window in common with another one.
+
+    A window reaches ``half`` bytes beyond its anchor on one side at least, so that equal windows of two pieces agree in the anchor with
+    those bytes before it or after it. A piece that agrees with none in either is out; one in which the anchor stands twice stays in.
+    """
+    half = (length - GRAM + 1) // 2
+    wide = GRAM + half
+    grams = np.full(len(raw), ~_U(0))
+    for p in range(0, len(raw), 1 << 15):
+        h = gram_hashes(raw[p : p + (1 << 15) + GRAM - 1])[: 1 << 15]
+        grams[p : p + len(h)] = h
+    inside = np.arange(len(raw)) - np.repeat(begin, sizes + 1) <= np.repeat(sizes - GRAM, sizes + 1)
+    grams[~inside] = ~_U(0)
+    least = np.minimum.reduceat(grams, begin)
+    hit = np.flatnonzero(grams == np.repeat(least, sizes + 1))
+    of = np.searchsorted(begin, hit, side="right") - 1
+    at = hit[np.searchsorted(of, np.arange(len(begin)))]
+    stays = np.bincount(of, minlength=len(begin)) > 1
+    # polynomial hashes of any stretch, from sums
+    power = np.concatenate([[_U(1)], np.cumprod(np.full(len(raw), _M1))])
+    back = np.concatenate([[_U(1)], np.cumprod(np.full(len(raw), _U(pow(int(_M1), -1, 1 << 64))))])
+    sums = np.concatenate([[_U(0)], np.cumsum(raw.astype(np.uint64) * power[:-1] + power[:-1])])
+    left, right = np.flatnonzero(at - half >= begin), np.flatnonzero(at + wide <= begin + sizes)
+    a, b = at[left] - half, at[right]
+    keys = np.concatenate([(sums[a + wide] - sums[a]) * back[a] * _U(2), (sums[b + wide] - sums[b]) * back[b] * _U(2) + _U(1)])
+    of = np.concatenate([left, right])
+    order = np.argsort(keys)
+    same = keys[order][1:] == keys[order][:-1]
+    stays[of[order[1:][same]]] = True
+    stays[of[order[:-1][same]]] = True
+    return stays
+
+
+def _stretches(raw: np.ndarray, begin: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int):
+    """Of pieces with their least documents: the stretches (piece, first and last window) that a still smaller document has, by the transform."""
+    # 0 ends the text, once; 1 ends a piece; the bytes that occur follow
+    used = np.zeros(258, np.int64)
+    t = np.append(raw.astype(np.int64) + 2, 0)
+    t[begin + sizes] = 1
+    used[np.unique(t)] = 1
+    t = (np.cumsum(used) - 1)[t]
+    order, border = bounded_groups(t, length)
+    # of each window the least document that has it; positions too near a piece's end are no windows
+    windows = np.full(len(t), LAST)
+    span = sizes - length + 1
+    piece = np.repeat(np.arange(len(sizes)), span)
+    inside = np.arange(len(piece)) - np.repeat(np.cumsum(span) - span, span) + begin[piece]
+    windows[inside] = least[piece]
+    first = np.flatnonzero(border)
+    low = np.minimum.reduceat(windows[order], first)
+    source = np.empty(len(t), np.int64)
+    source[order] = np.repeat(low, np.diff(np.append(first, len(t))))
+    gone = source[inside] < least[piece]
+    new = np.append(True, piece[1:] != piece[:-1])
+    edge = np.flatnonzero(gone & (np.append(True, ~gone[:-1]) | new))
+    stop = np.flatnonzero(gone & (np.append(~gone[1:], True) | np.append(new[1:], True)))
+    return piece[edge], inside[edge] - begin[piece[edge]], inside[stop] - begin[piece[edge]]
+
+
 def _covered(length: int):
+    """Covered stretches by slice. An occurrence in a later document than its piece's least one is covered whole; only the least one's depends on other pieces."""
+
     def run(key, group):
-        rows = group.to_pylist()
         pieces: dict[bytes, int] = {}
-        where, which = [], []
-        for r in rows:
-            cut = np.concatenate([[0], np.cumsum(np.frombuffer(r["sizes"], "<u4"), dtype=np.int64)]).tolist()
-            ids = np.array([pieces.setdefault(r["text"][i:j], len(pieces)) for i, j in zip(cut, cut[1:])], np.int64)
-            which.append(ids[np.frombuffer(r["piece"], "<u4")])
-        doc, at, number = (np.concatenate([np.frombuffer(r[c], k) for r in rows]).astype(np.int64) for c, k in (("doc", "<u4"), ("at", "<u4"), ("number", "<i8")))
-        home = np.repeat(np.array([r["slice"] for r in rows]), [len(w) for w in which])
-        which = np.concatenate(which)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-        raw = np.frombuffer(b"\n".join(pieces) + b"\n", "u1")
-        # 0 ends the text, once; 1 ends a piece; the bytes that occur follow
-        used = np.zeros(258, np.int64)
-        t = np.append(raw.astype(np.int64) + 2, 0)
-        t[begin + sizes] = 1
-        used[np.unique(t)] = 1
-        t = (np.cumsum(used) - 1)[t]
+        which, number, at, home = [], [], [], []
+        for r in group.to_batches():
+            for s, text, size, piece, first, doc, numbers in zip(*(r.column(c).to_pylist() for c in ("slice", "text", "sizes", "piece", "at", "doc", "numbers"))):
+                cut = np.concatenate([[0], np.cumsum(np.frombuffer(size, "<u4"), dtype=np.int64)]).tolist()
+                ids = np.array([pieces.setdefault(text[i:j], len(pieces)) for i, j in zip(cut, cut[1:])], np.int64)
+                which.append(ids[np.frombuffer(piece, "<u4")])
+                at.append(np.frombuffer(first, "<u4"))
+                number.append(np.frombuffer(numbers, "<i8")[np.frombuffer(doc, "<u2")])
+                home.append(np.full(len(which[-1]), s))
+        which, number, at, home = map(np.concatenate, (which, number, at, home))
+        at = at.astype(np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = np.cumsum(sizes + 1) - sizes - 1
         least = np.full(len(pieces), LAST)
         np.minimum.at(least, which, number)
-        order, border = bounded_groups(t, length)
-        # of each window the least document that has it; positions too near a piece's end are no windows
-        windows = np.full(len(t), LAST)
-        span = sizes - length + 1
-        inside = np.repeat(begin - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
-        windows[inside] = np.repeat(least, span)
-        first = np.flatnonzero(border)
-        low = np.minimum.reduceat(windows[order], first)
-        source = np.empty(len(t), np.int64)
-        source[order] = np.repeat(low, np.diff(np.append(first, len(t))))
-        # every window of every occurrence, in blocks
-        out_slice, out_from, out_to = [], [], []
-        n = span[which]
-        cuts = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()) + 1, 1 << 21))
-        cuts = np.unique(np.append(cuts, len(n)))
-        for i, j in zip(np.append(0, cuts[:-1]) if cuts[0] else cuts[:-1], cuts if cuts[0] else cuts[1:]):
-            k = n[i:j]
-            offset = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-            gone = source[np.repeat(begin[which[i:j]], k) + offset] < np.repeat(number[i:j], k)
-            edge = np.flatnonzero(gone & (np.append(True, ~gone[:-1]) | (offset == 0)))
-            stop = np.flatnonzero(gone & (np.append(~gone[1:], True) | np.append(offset[1:] == 0, True)))
-            of = np.repeat(np.arange(i, j), k)[edge]
-            out_slice.append(home[of])
-            out_from.append(at[of] + offset[edge])
-            out_to.append(at[of] + offset[stop] + length)
-        s, a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_slice, out_from, out_to))
+        stays = np.flatnonzero(_may_share(np.frombuffer(b"\n".join(pieces) + b"\n", "u1"), begin, sizes, length))
+        later = number > least[which]
+        out = [(home[later], at[later], at[later] + sizes[which[later]])]
+        if len(stays):
+            texts = list(pieces)
+            raw = np.frombuffer(b"\n".join([texts[i] for i in stays.tolist()]) + b"\n", "u1")
+            size = sizes[stays]
+            of, a, b = _stretches(raw, np.cumsum(size + 1) - size - 1, size, least[stays], length)
+            n = np.bincount(of, minlength=len(stays))
+            place = np.zeros(len(pieces), np.int64)
+            place[stays] = n
+            occurs = np.flatnonzero(~later & (place[which] > 0))
+            place[stays] = np.cumsum(n) - n
+            n_each = np.bincount(stays[of], minlength=len(pieces))[which[occurs]]
+            each = np.repeat(occurs, n_each)
+            j = place[which[each]] + np.arange(len(each)) - np.repeat(np.cumsum(n_each) - n_each, n_each)
+            out.append((home[each], at[each] + a[j], at[each] + b[j] + length))
+        s, a, b = (np.concatenate(x) for x in zip(*out))
         by = np.argsort(s, kind="stable")
         s, a, b = s[by], a[by], b[by]
         cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
