@@ -24,20 +24,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import new_path, only, sliced, written
+from .common import new_path, only, written
 
 MAGIC = b"HLRANS01"
 SCALE = 20  # bits of the frequency total
 LOW = np.uint64(1 << 31)  # smallest state
 _U = np.uint64
-#: Pieces of text whose ids a worker keeps; the table starts anew beyond it.
-CACHED = 600_000
+#: Pieces whose ids a worker keeps; at most twice as many are held.
+CACHED = 400_000
+#: Bytes of text tokenized at a time (more if one text is longer).
+BYTES = 1 << 23
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -163,11 +166,28 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class Pieces(dict):
-    """Ids, as bytes, of pieces that the tokenizer splits a text into anyway; encoded by the library when first met."""
+class Kept(dict):
+    """A table of at most CACHED entries in two generations: what was not asked for since the table was last full goes."""
 
-    def __init__(self, path: str):
+    def __init__(self, make):
         super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class Pieces:
+    """Ids, as bytes, of texts, by way of their chunks between ASCII white space and the pieces that the tokenizer splits these into anyway; pieces are encoded by the library when first met."""
+
+    def __init__(self, path: str):
         self.tok, self.width = tokenizer(path), _width(path)
         self.model, self.code = self.tok.model, "H" if self.width == "<u2" else "I"
         config = json.loads(self.tok.to_str())
@@ -176,29 +196,59 @@ class Pieces(dict):
         split = [n.get("pattern", {}).get("Regex") for n in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.known = kinds == ["NFC", "Replace", "Lowercase"] and split == [SPLIT, None]
         self.special = [a["content"] for a in config["added_tokens"]]
+        self.pieces = Kept(self.piece)
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
+    def chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():
+            return self.pieces[chunk]
+        if _BEYOND.search(text := chunk.decode()):
+            return self.library(text)
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(chunk)))
+
+    def piece(self, piece: bytes) -> bytes:
         if piece.isalpha():  # ASCII letters: one word, which normaliser and splitter leave as it is
             ids = [t.id for t in self.model.tokenize(piece.decode())]
         elif _WORD.fullmatch(text := piece.decode()):  # a word as well; the model reads its bytes as signs of their own
             ids = [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(_SIGNS))]
         else:
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-        out = self[piece] = array(self.code, ids).tobytes()
-        return out
+            return self.library(text)
+        return array(self.code, ids).tobytes()
+
+    def library(self, text: str) -> bytes:
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str) -> bytes:
         if not self.known or any(s in text for s in self.special):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        data = text.encode().lower()
-        return b"".join(map(self.__getitem__, data.split() if _BEYOND.search(text) else _PIECE.findall(data)))
+            return self.library(text)
+        return b"".join(map(self.chunk, text.encode().lower().split()))
+
+    def all(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of each text and the end id, as bytes; each different chunk is looked up once."""
+        texts = pc.fill_null(texts, "")
+        special = any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special)
+        if not self.known or special:
+            end = array(self.code, [end_id]).tobytes()
+            return pa.array([self.of(t.as_py()) + end for t in texts], pa.binary())
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = chunks.flatten().cast(pa.binary()).dictionary_encode()
+        met = self.pieces.get
+        ids = [met(c) or self.chunk(c) for c in coded.dictionary.to_pylist()]
+        width = array(self.code).itemsize
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        flat, begin = np.frombuffer(b"".join(ids), self.width), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        out = flat[np.arange(int(n.sum())) + np.repeat(begin[which] - (ends - n), n)]
+        to = np.append(0, ends)[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+        out = np.insert(out, to[1:], end_id)
+        offsets = ((to + np.arange(len(to))) * width).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
 #: The splitting rule for which ``Pieces`` may split first. Neither its matches nor the normalisation reach across ASCII white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts with characters beyond printable ASCII, white space and Latin-1 letters are split at ASCII white space only; in others the rule is this.
+#: Chunks with characters beyond printable ASCII, white space and Latin-1 letters are not split further; in others the rule is this.
 _BEYOND = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _WORD = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: Byte-level vocabularies write the bytes that are no visible Latin-1 signs as the characters from 256 on, in order.
@@ -220,10 +270,13 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id and ids (binary, 2 or 4 bytes each by vocabulary size) of every row, end id appended."""
 
     def run(batches):
-        end, known = np.array([end_id], _width(path)).tobytes(), pieces(path)
-        for b in sliced(batches):
-            ids = [known.of(t.as_py() or "") + end for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        known = pieces(path)
+        for b in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BYTES
+            cuts = np.flatnonzero(np.diff(size, prepend=-1, append=-1))
+            for i, j in zip(cuts, cuts[1:]):
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), known.all(part.column("text"), end_id)], ["doc_id", "ids"])
 
     return only(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, ids binary")
 
