@@ -32,9 +32,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read again: lineage ends here and a lost executor costs a re-read."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path, schema = new_path(spark, label), df.schema
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    spark._jvm.System.gc()  # shuffles that nothing can ask for again leave the executors' disks
+    out = spark.read.schema(schema).parquet(path)
     out._haltlens_path = path
     return out
 
