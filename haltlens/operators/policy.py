@@ -160,41 +160,36 @@ def policy_candidates(spark, *, low: int, high: int, by: int = 1, shape: str = "
     return grid.select((F.row_number().over(order) - 1).cast("long").alias("candidate_ord"), name.alias("name"), "predictor", "score_mode", F.lit(mode).alias("policy_mode"), "success_thr", "failure_thr", "min_step", "consecutive")
 
 
-def evaluate(scores: DataFrame, policies: DataFrame, *, keys: tuple[str, ...] = ("traj_id",), **rule) -> DataFrame:
-    """Decisions of every trajectory under every policy of a small table. Policies are generated, so their number is known; each row meets each."""
+def evaluate(scores: DataFrame, policies: DataFrame, *, keys: tuple[str, ...] = ("traj_id",), most: int = 100_000, **rule) -> DataFrame:
+    """Decisions of every trajectory under every policy; each row meets each. Up to ``most`` policies are sent to all executors, a larger table is joined by blocks."""
     cols = ["candidate_ord", "policy_mode", "success_thr", "failure_thr", "min_step", "consecutive"]
-    each = scores.crossJoin(F.broadcast(policies.select(*cols)))
-    one = policies.select(F.max("consecutive")).first()[0] == 1
-    return decide(each, keys=(*keys, "candidate_ord"), success_thr=F.col("success_thr"), failure_thr=F.col("failure_thr"), min_step=F.col("min_step"), consecutive=1 if one else F.col("consecutive"), mode=F.col("policy_mode"), **rule)
-
-
-def records(scores: DataFrame, keys: tuple[str, ...] = ("traj_id",), step: str = "prefix_step_idx") -> DataFrame:
-    """Rows that set a new maximum of either head: enough for every first hit of plain threshold rules."""
-    before = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
-    new = lambda c: F.coalesce(F.col(c) > F.max(c).over(before), ~F.isnan(c))
-    return scores.withColumn("_new", new("p_success") | new("p_failure")).filter("_new").drop("_new")
+    longest, n = policies.agg(F.max("consecutive"), F.count(F.lit(1))).first()
+    small = policies.select(*cols)
+    each = scores.crossJoin(F.broadcast(small) if n <= most else small)
+    return decide(each, keys=(*keys, "candidate_ord"), success_thr=F.col("success_thr"), failure_thr=F.col("failure_thr"), min_step=F.col("min_step"), consecutive=1 if longest == 1 else F.col("consecutive"), mode=F.col("policy_mode"), **rule)
 
 
 def cartesian_grid(scores: DataFrame, success_thrs: list[float], failure_thrs: list[float]) -> DataFrame:
     """Decisions for all pairs of thresholds (one step, margin rule): traj_id, success_thr, failure_thr, label, agent, n_steps, decision, decision_step, saved_steps.
 
-    First hits are found once per trajectory and threshold of each head; only their pairs are formed, never prefixes times pairs.
+    A trajectory becomes one row with its records; first hits of each head are looked up there once per threshold, and their pairs leave
+    that row: one exchange, whatever the number of thresholds, and never prefixes times pairs.
     """
     clean = scores.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(-INF)), F.lit(-INF)) for c in ("p_success", "p_failure")})
-    trajs = clean.groupBy("traj_id").agg(F.count(F.lit(1)).alias("n_steps"), F.min_by("label", "prefix_step_idx").alias("label"), F.min_by("agent", "prefix_step_idx").alias("agent"), F.max("prefix_step_idx").alias("last_step"))
-    few = records(clean)
-
-    def hits(own: str, other: str, thrs: list[float], name: str) -> DataFrame:
-        e = few.select("traj_id", "prefix_step_idx", own, other, F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thrs]), lambda t: F.col(own) >= t)).alias(name))
-        return e.groupBy("traj_id", name).agg(F.min_by(F.struct(F.col("prefix_step_idx").alias("at"), F.col("p_success").alias("s"), F.col("p_failure").alias("f")), "prefix_step_idx").alias(f"h_{name}"))
-
-    grid = trajs.select("*", F.explode(F.array(*[F.lit(float(t)) for t in success_thrs])).alias("success_thr")).join(hits("p_success", "p_failure", success_thrs, "success_thr"), ["traj_id", "success_thr"], "left")
-    grid = grid.select("*", F.explode(F.array(*[F.lit(float(t)) for t in failure_thrs])).alias("failure_thr")).join(hits("p_failure", "p_success", failure_thrs, "failure_thr"), ["traj_id", "failure_thr"], "left")
-    s, f = F.col("h_success_thr"), F.col("h_failure_thr")
-    tie = F.when(s["s"] - F.col("success_thr") >= s["f"] - F.col("failure_thr"), 1).otherwise(-1)
+    before = W.partitionBy("traj_id").orderBy("prefix_step_idx").rowsBetween(W.unboundedPreceding, -1)
+    new = lambda c: F.coalesce(F.col(c) > F.max(c).over(before), F.lit(True))
+    step = F.struct(F.col("prefix_step_idx").alias("at"), F.col("p_success").alias("s"), F.col("p_failure").alias("f"))
+    rows = clean.withColumn("_r", F.when(new("p_success") | new("p_failure"), step))
+    one = rows.groupBy("traj_id").agg(F.count(F.lit(1)).alias("n_steps"), F.min_by("label", "prefix_step_idx").alias("label"), F.min_by("agent", "prefix_step_idx").alias("agent"), F.array_sort(F.collect_list("_r")).alias("_r"))
+    thresholds = lambda values: F.array(*[F.lit(float(t)) for t in values])
+    first = lambda values, head: F.transform(thresholds(values), lambda t: F.struct(t.alias("thr"), F.get(F.filter("_r", lambda r: r[head] >= t), F.lit(0)).alias("hit")))
+    hits = one.select("traj_id", "agent", "label", "n_steps", first(success_thrs, "s").alias("_s"), first(failure_thrs, "f").alias("_f"))
+    pairs = hits.select("traj_id", "agent", "label", "n_steps", "_f", F.explode("_s").alias("s")).select("traj_id", "agent", "label", "n_steps", "s", F.explode("_f").alias("f"))
+    ts, tf, s, f = F.col("s.thr"), F.col("f.thr"), F.col("s.hit"), F.col("f.hit")
+    tie = F.when(s["s"] - ts >= s["f"] - tf, 1).otherwise(-1)
     d = F.when(s.isNull() & f.isNull(), 0).when(f.isNull() | (s["at"] < f["at"]), 1).when(s.isNull() | (f["at"] < s["at"]), -1).otherwise(tie)
     at = F.least(s["at"], f["at"])
-    return grid.select("traj_id", "agent", "label", "n_steps", "success_thr", "failure_thr", F.when(d == 1, "success").when(d == -1, "failure").otherwise("undecided").alias("decision"), F.coalesce(at, F.lit(-1)).alias("decision_step"), F.when(at.isNull(), 0).otherwise(F.greatest(F.col("n_steps") - at - 1, F.lit(0))).cast("long").alias("saved_steps"))
+    return pairs.select("traj_id", "agent", "label", "n_steps", ts.alias("success_thr"), tf.alias("failure_thr"), F.when(d == 1, "success").when(d == -1, "failure").otherwise("undecided").alias("decision"), F.coalesce(at, F.lit(-1)).alias("decision_step"), F.when(at.isNull(), 0).otherwise(F.greatest(F.col("n_steps") - at - 1, F.lit(0))).cast("long").alias("saved_steps"))
 
 
 def outcome() -> Column:

@@ -40,10 +40,12 @@ def first_per(rows: DataFrame, keys: tuple[str, ...], *order: Column | str, n: i
     return rows.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def diverse_top(rows: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
-    """The best of each group first, then whatever is best, n in all."""
-    r = rows.withColumn("_best", F.row_number().over(W.partitionBy(group).orderBy(*order)) != 1)
-    return r.orderBy("_best", *order).limit(n).drop("_best")
+def diverse_top(rows: DataFrame, group: str, n: int, *order: Column, key: str = "traj_id") -> DataFrame:
+    """The best of each group first, then whatever is best, n in all. Only a best row of each group and the first n of all leave their tasks."""
+    best = first_per(rows, (group,), *order)
+    rest = rows.orderBy(*order).limit(n).join(best.select(key), key, "left_anti")
+    both = best.withColumn("_later", F.lit(False)).unionByName(rest.withColumn("_later", F.lit(True)))
+    return both.orderBy("_later", *order).limit(n).drop("_later")
 
 
 def eligible_folds(pairs: DataFrame, *, min_trajectories: int, excluded: tuple[str, ...] = ()) -> DataFrame:

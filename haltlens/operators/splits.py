@@ -17,31 +17,43 @@ def sample_exact(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.join(chosen, key, "left_semi")
 
 
+def first_in_order(keys: DataFrame, key: str, share: float, seed: int, digits: int = 4) -> DataFrame:
+    """A share of distinct ``keys`` (rounded half to even, one at least), the first in hash order. Exact without a global sort: keys are counted by
+    the first hexadecimal digits of their hash, which bounds what the driver reads, and only one such bucket is ranked."""
+    hashed = keys.select(key, hash_order(seed, key).alias("_h")).withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
+    counts = sorted(hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
+    left, edge = max(1, round(sum(n for _, n in counts) * share)), -1
+    for edge, n in counts:
+        if n >= left:
+            break
+        left -= n
+    last = hashed.filter(F.col("_b") == edge).withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("_h", key))).filter(F.col("_r") <= left)
+    return hashed.filter(F.col("_b") < edge).select(key).unionByName(last.select(key))
+
+
 def leave_one_model(pairs: DataFrame, *, valid_models: int = 3, seed: int = 3571) -> DataFrame:
-    """For every fold (a held-out model): its rows test; per instance, up to ``valid_models`` others validate, but one always trains."""
-    models = pairs.select(F.col("model_id").alias("test_model")).distinct()
-    each = pairs.crossJoin(F.broadcast(models))
-    test = F.col("model_id") == F.col("test_model")
-    one = each.filter(~test).select("test_model", "instance_id", "model_id").distinct()
-    w = W.partitionBy("test_model", "instance_id")
-    pick = one.withColumns({"_r": F.row_number().over(w.orderBy(hash_order(seed, "instance_id", "model_id"), "model_id")), "_n": F.count(F.lit(1)).over(w)})
-    valid = pick.select("test_model", "instance_id", "model_id", (F.col("_r") <= F.least(F.lit(valid_models), F.col("_n") - 1)).alias("_v"))
-    j = each.join(valid, ["test_model", "instance_id", "model_id"], "left")
-    return j.withColumn("split", F.when(test, "test").when(F.col("_v"), "valid").otherwise("train")).drop("_v")
+    """For every fold (a held-out model): its rows test; per instance, up to ``valid_models`` others validate, but one always trains.
+
+    The hash order of an instance's models is the same for all folds, so that it is found once, as an array per instance; a fold only takes its model out of it.
+    """
+    order = F.transform(F.array_sort(F.collect_set(F.struct(hash_order(seed, "instance_id", "model_id").alias("h"), "model_id"))), lambda x: x["model_id"])
+    ordered = pairs.groupBy("instance_id").agg(order.alias("_o"))
+    folds = pairs.agg(F.collect_set("model_id").alias("_m"))  # one row, as many values as there are folds
+    each = pairs.join(ordered, "instance_id").crossJoin(F.broadcast(folds)).withColumn("test_model", F.explode("_m"))
+    own, out = F.array_position("_o", F.col("model_id")), F.array_position("_o", F.col("test_model"))
+    others, place = F.size("_o") - (out > 0).cast("int"), own - ((out > 0) & (out < own)).cast("int")
+    split = F.when(F.col("model_id") == F.col("test_model"), "test").when(place <= F.least(F.lit(valid_models), others - 1), "valid").otherwise("train")
+    return each.withColumn("split", split).drop("_o", "_m")
 
 
 def holdout_plan(pairs: DataFrame, *, test_models: list[str] | None = None, test_ratio: float = 0.15, valid_ratio: float = 0.15, min_steps: int = 0, seed: int = 7) -> DataFrame:
     """Held-out models test; of the rest a share of instances (rounded half to even, one at least) validates; short runs do not train or validate."""
-    models = pairs.select("model_id").distinct()
     if test_models is None:
-        n = max(1, round(models.count() * test_ratio))
-        test = models.orderBy(hash_order(seed, "model_id"), "model_id").limit(n).withColumn("_t", F.lit(True))
-        p = pairs.join(F.broadcast(test), "model_id", "left").withColumn("_t", F.coalesce("_t", F.lit(False)))
+        test = first_in_order(pairs.select("model_id").distinct(), "model_id", test_ratio, seed).withColumn("_t", F.lit(True))
+        p = pairs.join(test, "model_id", "left").withColumn("_t", F.coalesce("_t", F.lit(False)))
     else:
         p = pairs.withColumn("_t", F.col("model_id").isin(test_models))
-    rest = p.filter("not _t").select("instance_id").distinct()
-    k = max(1, round(rest.count() * valid_ratio))
-    valid = rest.orderBy(hash_order(seed + 1, "instance_id"), "instance_id").limit(k).withColumn("_v", F.lit(True))
+    valid = first_in_order(p.filter("not _t").select("instance_id").distinct(), "instance_id", valid_ratio, seed + 1).withColumn("_v", F.lit(True))
     short = F.col("n_steps") < min_steps
     split = F.when(F.col("_t"), "test").when(short, "dropped").when(F.col("_v"), "valid").otherwise("train")
     return p.join(valid, "instance_id", "left").withColumn("split", split).drop("_t", "_v")
@@ -62,13 +74,11 @@ def split_summary(rows: DataFrame, by: tuple[str, ...] = ("split",)) -> DataFram
 
 
 def leakage(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Per fold: shared trajectories, models, instances and (instance, model) pairs of train or valid with test or each other."""
-    def overlap(key: list[str], name: str) -> DataFrame:
-        one = rows.select(*by, *key, "split").distinct()
-        return one.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("c"), F.bool_or(F.col("split") == "test").alias("t")).groupBy(*by).agg(F.count_if(F.col("c") > 1).alias(f"shared_{name}"), F.count_if((F.col("c") > 1) & F.col("t")).alias(f"shared_{name}_with_test"))
-
-    out = overlap(["traj_id"], "trajectories")
-    for key, name in ((["model_id"], "models"), (["instance_id"], "instances"), (["instance_id", "model_id"], "pairs")):
-        more = overlap(key, name)
-        out = out.join(more, list(by)) if by else out.crossJoin(more)
+    """Per fold: trajectories, models, instances and (instance, model) pairs that more than one split has, and those of them that test has. One pass: each row says its four keys, map-side combined."""
+    kinds = {"trajectories": ("traj_id",), "models": ("model_id",), "instances": ("instance_id",), "pairs": ("instance_id", "model_id")}
+    said = [F.struct(F.lit(k).alias("kind"), F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]).alias("key")) for k, cols in kinds.items()]
+    keys = rows.select(*by, "split", F.explode(F.array(*said)).alias("k")).select(*by, "k.kind", "k.key", "split")
+    shared = keys.groupBy(*by, "kind", "key").agg((F.min("split") != F.max("split")).alias("c"), F.bool_or(F.col("split") == "test").alias("t"))
+    count = lambda k, more: F.count_if((F.col("kind") == k) & F.col("c") & more)
+    out = shared.groupBy(*by).agg(*[x for k in kinds for x in (count(k, F.lit(True)).alias(f"shared_{k}"), count(k, F.col("t")).alias(f"shared_{k}_with_test"))])
     return out.withColumn("ok", (F.col("shared_trajectories") == 0) & (F.col("shared_models_with_test") == 0) & (F.col("shared_pairs") == 0))

@@ -172,7 +172,15 @@ def policy_grid(spark, d):
     return policy.cartesian_grid(A.scores(spark, d), t, t).groupBy("success_thr", "failure_thr").agg(*metrics.counters())
 
 
-@query()
+_FIRST = "SELECT traj_id, i / 100.0::DOUBLE AS {h}, min(prefix_step_idx) FILTER (WHERE p_{n} >= i / 100.0::DOUBLE) AS at FROM prefix_scores CROSS JOIN (SELECT unnest(range(30, 100)) AS i) GROUP BY traj_id, i"
+_FULL = f"""s AS ({_FIRST.format(h='ts', n='success')}), f AS ({_FIRST.format(h='tf', n='failure')}),
+  t AS (SELECT traj_id, arg_min(label, prefix_step_idx) AS label, count(*) AS n_steps FROM prefix_scores GROUP BY traj_id),
+  p AS (SELECT t.*, ts, tf, s.at AS s_at, f.at AS f_at, least(s.at, f.at) AS at FROM t JOIN s USING (traj_id) JOIN f USING (traj_id)),
+  decisions AS (SELECT p.ts AS success_thr, p.tf AS failure_thr, p.label, p.n_steps, CASE WHEN p.at IS NULL THEN 'undecided' WHEN f_at IS NULL OR s_at < f_at THEN 'success' WHEN s_at IS NULL OR f_at < s_at THEN 'failure' WHEN x.p_success - ts >= x.p_failure - tf THEN 'success' ELSE 'failure' END AS decision,
+    CAST(CASE WHEN p.at IS NULL THEN 0 ELSE greatest(p.n_steps - p.at - 1, 0) END AS BIGINT) AS saved_steps FROM p LEFT JOIN prefix_scores x ON x.traj_id = p.traj_id AND x.prefix_step_idx = p.at)"""
+
+
+@query(f"WITH {A.SCORES}, {_FULL} SELECT *, {sql_rates()} FROM (SELECT success_thr, failure_thr, {COUNTERS} FROM decisions GROUP BY success_thr, failure_thr)")
 def policy_grid_full(spark, d):
     """D7 at its full size: 70 x 70 thresholds."""
     g = policy.cartesian_grid(A.scores(spark, d), _GRID, _GRID).groupBy("success_thr", "failure_thr").agg(*metrics.counters())
@@ -247,12 +255,15 @@ def select_guarded(spark, d):
     return _selected(spark, d, variant="guarded", guard_pct=60.0, min_save_pct=10.0).select(*_PICK)
 
 
-@query()
+_REPLAY = _chosen_sql("", "acc >= target AND sv > 0 AND dr <= 5.0", "acc >= target AND sv >= 10.0").replace("  SELECT fold_id, target, candidate_ord,", "  , chosen AS (SELECT fold_id, target, candidate_ord,", 1).replace("FROM r WHERE rk = 1", "FROM r WHERE rk = 1)")
+
+
+@query(f"{_REPLAY} SELECT target, d.traj_id, d.fold_id, d.agent, d.label, d.n_steps, d.decided, d.decision, d.decision_step, d.decision_score, d.prob_success, d.prob_failure, d.saved_steps, CASE WHEN decision = 'success' AND label = 1 THEN 'TP' WHEN decision = 'success' THEN 'FP' WHEN decision = 'failure' AND label = 1 THEN 'FN' WHEN decision = 'failure' THEN 'TN' WHEN label = 1 THEN 'undecided_success' ELSE 'undecided_failure' END AS outcome FROM decisions d JOIN chosen USING (fold_id, candidate_ord)")
 def selected_decisions(spark, d):
-    """Every fold replayed under its own selected policy; only the chosen policies meet the scores."""
-    chosen = _selected(spark, d, max_abs_drop_pp=5.0, min_save_pct=10.0).filter("target = 0.55").select("fold_id", "success_thr", "failure_thr", "candidate_ord").join(F.broadcast(_candidates(spark).select("candidate_ord", "min_step", "consecutive")), "candidate_ord").drop("candidate_ord")
-    s = A.scores(spark, d).join(F.broadcast(chosen), "fold_id")
-    got = policy.decide(s, carry=("agent", "fold_id"), success_thr=F.col("success_thr"), failure_thr=F.col("failure_thr"), min_step=F.col("min_step"), consecutive=F.col("consecutive"))
+    """Every fold replayed under its own selected policy of each target; only the chosen policies meet the scores."""
+    chosen = _selected(spark, d, max_abs_drop_pp=5.0, min_save_pct=10.0).select("fold_id", "target", "success_thr", "failure_thr", "candidate_ord").join(_candidates(spark).select("candidate_ord", "min_step", "consecutive"), "candidate_ord").drop("candidate_ord")
+    s = A.scores(spark, d).join(chosen, "fold_id")
+    got = policy.decide(s, keys=("traj_id", "target"), carry=("agent", "fold_id"), success_thr=F.col("success_thr"), failure_thr=F.col("failure_thr"), min_step=F.col("min_step"), consecutive=F.col("consecutive"))
     return got.withColumn("outcome", policy.outcome())
 
 
@@ -405,10 +416,15 @@ def rank_stability(spark, d):
     return ranking.stability(r, ("thr",), "agent").withColumns({"spearman_rho": F.round("spearman_rho", 6), "mean_shift": F.round("mean_shift", 6)})
 
 
-@query(sql_policy(_RANKS, "SELECT a.thr, count(*) AS pair_comparable, count(*) FILTER (WHERE sign(a.before_rate - b.before_rate) = sign(a.after_rate - b.after_rate)) AS pair_preserved, count(*) FILTER (WHERE sign(a.before_rate - b.before_rate) <> sign(a.after_rate - b.after_rate)) AS pair_reversed, count(*) FILTER (WHERE sign(a.before_rate - b.before_rate) = sign(a.after_rate - b.after_rate))::DOUBLE / count(*) AS pair_preserve_rate FROM ag a JOIN ag b ON a.thr = b.thr AND a.agent < b.agent WHERE a.before_rate <> b.before_rate AND a.after_rate <> b.after_rate GROUP BY a.thr"))
+_CUSTOMERS = "r AS (SELECT o_orderpriority AS priority, o_custkey % 23 AS item, CAST(count(*) AS DOUBLE) AS before_rate, CAST(count(*) FILTER (WHERE o_totalprice > 150000) AS DOUBLE) AS after_rate FROM orders GROUP BY 1, 2)"
+
+
+@query(f"WITH {_CUSTOMERS} SELECT a.priority, count(*) AS pair_comparable, count(*) FILTER (WHERE sign(a.before_rate - b.before_rate) = sign(a.after_rate - b.after_rate)) AS pair_preserved, count(*) FILTER (WHERE sign(a.before_rate - b.before_rate) <> sign(a.after_rate - b.after_rate)) AS pair_reversed, count(*) FILTER (WHERE sign(a.before_rate - b.before_rate) = sign(a.after_rate - b.after_rate))::DOUBLE / count(*) AS pair_preserve_rate FROM r a JOIN r b ON a.priority = b.priority AND a.item < b.item WHERE a.before_rate <> b.before_rate AND a.after_rate <> b.after_rate GROUP BY a.priority")
 def pair_order(spark, d):
-    """J13."""
-    return ranking.pair_order(_agents(spark, d), ("thr",), "agent", "before_rate", "after_rate")
+    """Pairs of customer groups by orders, and by dear orders."""
+    o = A.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority"), (F.col("o_custkey") % 23).alias("item"))
+    r = o.agg(F.count(F.lit(1)).cast("double").alias("before_rate"), F.count_if(F.col("o_totalprice") > 150000).cast("double").alias("after_rate"))
+    return ranking.pair_order(r, ("priority",), "item", "before_rate", "after_rate")
 
 
 @query(sql_policy(_RANKS, "SELECT agent, max(CASE WHEN thr = 0.5 THEN after_rate END) AS t50, max(CASE WHEN thr = 0.8 THEN after_rate END) AS t80, max(CASE WHEN thr = 0.95 THEN after_rate END) AS t95 FROM ag GROUP BY agent"))
@@ -487,11 +503,11 @@ def tokens_by_round(spark, d):
     return _savings(spark, d).groupBy("decision_step", "decided").agg(F.count(F.lit(1)).alias("decisions"), F.sum("saved_context").cast("long").alias("saved_context"))
 
 
-@query(f"WITH {_TOK} SELECT prefix_step_idx, count(*) AS rows, CAST(sum(context_tokens) AS BIGINT) AS context_tokens FROM tok JOIN (SELECT traj_id FROM tok WHERE prefix_step_idx = 0 AND traj_id % 2 = 0) USING (traj_id) GROUP BY prefix_step_idx")
+@query(f"WITH {_TOK} SELECT prefix_step_idx, count(*) AS rows, CAST(sum(context_tokens) AS BIGINT) AS context_tokens FROM tok JOIN (SELECT traj_id FROM tok WHERE prefix_step_idx = 0) USING (traj_id) GROUP BY prefix_step_idx")
 def token_attach(spark, d):
     """Rows with their token row, every key matched."""
     t = _tokens(spark, d)
-    keys = A.turns(spark, d).filter("traj_id % 2 = 0").select("traj_id", "prefix_step_idx")
+    keys = A.turns(spark, d).select("traj_id", "prefix_step_idx")
     with_first = keys.join(keys.filter("prefix_step_idx = 0").select("traj_id"), "traj_id", "left_semi")
     j = tokens.attach(with_first, t.select("traj_id", "prefix_step_idx", "context_tokens"), ("traj_id", "prefix_step_idx"))
     return j.groupBy("prefix_step_idx").agg(F.count(F.lit(1)).alias("rows"), F.sum("context_tokens").cast("long").alias("context_tokens"))
@@ -550,10 +566,10 @@ def split_holdout(spark, d):
     return splits.split_summary(_holdout(spark, d))
 
 
-@query(f"WITH {_HOLD} SELECT instance_id, count(DISTINCT split) AS splits FROM sp WHERE split IN ('train', 'valid') GROUP BY instance_id HAVING count(DISTINCT split) > 1")
+@query(f"WITH {_LOO} SELECT instance_id, count(DISTINCT split) AS splits FROM sp GROUP BY instance_id HAVING count(DISTINCT split) > 1")
 def split_shared_instances(spark, d):
-    """None here."""
-    return splits.shared_groups(_holdout(spark, d).filter("split in ('train', 'valid')"), "instance_id")
+    """Instances that more than one split has; with a model held out, all are such."""
+    return splits.shared_groups(splits.leave_one_model(A.pairs(spark, d)), "instance_id")
 
 
 @query(f"WITH {_HOLD} SELECT split, '__MISSING__' AS model_id, model_id AS orig_model_id, count(*) AS rows FROM sp GROUP BY split, orig_model_id")
@@ -617,12 +633,12 @@ def last_wins(spark, d):
     return T.last_wins(A.table(spark, d, "events").select("user_id", "event_type", "value", "event_id"), ["user_id"], "event_id")
 
 
-@query("SELECT c_custkey AS k, c_name AS name, NULL::VARCHAR AS extra FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT s_suppkey, s_name, 's' FROM supplier WHERE s_suppkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS k, c_name AS name, NULL::VARCHAR AS extra FROM customer WHERE c_custkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) UNION ALL SELECT s_suppkey, s_name, 's' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
 def combined_parts(spark, d):
     """Union by name without listed keys."""
     a = A.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     b = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit("s").alias("extra"))
-    return T.combine([a, b], without=A.table(spark, d, "orders").select(F.col("o_custkey").alias("k")), keys=["k"])
+    return T.combine([a, b], without=A.table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("k")), keys=["k"])
 
 
 @query("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT -n_nationkey - 1 FROM nation EXCEPT SELECT -s_nationkey - 1 FROM supplier)")
@@ -692,7 +708,7 @@ def normalise_audit(spark, d):
 def _logs(spark, d):
     """Conversations as logs that quote a command each turn."""
     c = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    line = lambda x: F.concat(F.substring(x["text"], 1, 80), F.lit("\nAction: run "), x["turn"].cast("string"), F.lit(" now\n"))
+    line = lambda x: F.concat(x["text"], F.lit("\nAction: run "), x["turn"].cast("string"), F.lit(" now\n"))
     return c.select(F.col("conv_id").alias("traj_id"), F.array_join(F.transform("t", line), "").alias("text"))
 
 

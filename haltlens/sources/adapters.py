@@ -13,15 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix scores of event sequences: traj_id, prefix_step_idx, agent, label, fold_id, p_success, p_failure."""
-    e = table(spark, sf_dir, "events")
+    # named before the window, so that it, the decision's windows and the last aggregation share one exchange
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "traj_id")
     head = lambda kinds, top: F.when(F.col("event_type").isin(*kinds), F.least(F.lit(1.0), F.col("value") / F.lit(top))).otherwise(0.0)
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    order = W.partitionBy("traj_id").orderBy("ts", "event_id")
     return e.select(
-        F.col("user_id").alias("traj_id"),
+        "traj_id",
         (F.row_number().over(order) - 1).cast("int").alias("prefix_step_idx"),
-        (F.col("user_id") % 5).cast("int").alias("agent"),
-        (F.col("user_id") % 2).cast("int").alias("label"),
-        (F.col("user_id") % 3).cast("int").alias("fold_id"),
+        (F.col("traj_id") % 5).cast("int").alias("agent"),
+        (F.col("traj_id") % 2).cast("int").alias("label"),
+        (F.col("traj_id") % 3).cast("int").alias("fold_id"),
         head(("purchase", "signup", "view"), 150.0).alias("p_success"),
         head(("error", "view"), 145.0).alias("p_failure"),
     )

@@ -129,3 +129,25 @@ def test_policies_as_a_table(spark):
     for r in policy.evaluate(df, c).collect():
         p = rules[r.candidate_ord]
         assert (r.decision, r.decision_step) == scan(trajs[r.traj_id], p.success_thr, p.failure_thr, p.min_step, p.consecutive, False)
+
+
+def exchanges(spark, name):
+    from haltlens.plans import catalog
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    lines = [x.split("- ")[-1] for x in plan.split("\n")]
+    return sum(x.startswith("Exchange hashpartitioning") for x in lines), sum("FileScan" in x for x in lines)
+
+
+@pytest.mark.parametrize("name, most, scans", [("policy_decisions", 1, 1), ("policy_streak", 1, 1), ("policy_by_agent", 2, 1), ("policy_grid", 2, 1), ("policy_grid_full", 2, 1), ("policy_evaluation", 2, 1), ("split_leakage", 4, 4)])
+def test_one_exchange_by_trajectory(spark, name, most, scans):
+    """One exchange serves windows and decisions; what comes on top is the last aggregation."""
+    found = exchanges(spark, name)
+    assert found[0] <= most and found[1] <= scans
