@@ -1,16 +1,20 @@
 """Quality rules: base counts per document, then robust multivariate outliers per language and source.
 
 Each document's counts become a short vector of transformed statistics. For each (language, source) the minimum covariance
-determinant (MCD) estimate of centre and scatter is found by concentration steps over *all* rows: start from medians and
-absolute deviations, keep the share ``support`` of rows nearest to the centre, re-estimate, repeat. A document is rejected if its
-Mahalanobis distance exceeds the chi-square quantile ``quantile``.
+determinant (MCD) estimate of centre and scatter is searched from several deterministic starts (Hubert et al., 2012: medians and absolute
+deviations alone, with the correlations of bounded scores, with those of spatial signs). Each start takes concentration steps over *all* rows: the share
+``support`` of rows nearest to the centre gives the next centre and scatter, until the determinant falls no more; the start with the least
+determinant wins. A document is rejected if its Mahalanobis distance under that estimate exceeds the chi-square quantile ``quantile``.
 
-Every step is a map-side-combined aggregation of 1 + p + p(p+1)/2 sums per group, so a source with a third of all rows costs
-no more than any other; nearness thresholds come from a histogram of log distances, which is exact, mergeable and bounded.
-Groups below ``min_group`` rows pool by language, then globally; a pool still below it has no verdict (documents stay).
+Every step is a map-side-combined aggregation of 1 + p + p(p+1)/2 sums per group and start, about the last centre, so a source with a third of all
+rows costs no more than any other, and rows are never shuffled by group: estimates are sent to them (if there are over ``SENT`` of them, joined). The
+nearest rows are told by a mergeable histogram of log distances, 256 bins an octave; rows of the bin in which the share ends count with the weight that
+makes the share exact, so ties share alike. Groups below ``min_group`` rows pool by language, then together; a pool still below it is judged by
+the estimate of all rows of the table (if there are five for each statistic; else documents stay). ``pool`` says which estimate judged a row.
 
 Defined results: null text counts as no words (so it fails the base rule); null language or source is a group of its own;
-repeated rows and ties count as often as they occur; an empty table gives an empty result; other columns are ignored.
+repeated rows and ties count as often as they occur; very long texts are counted whole, a few at a time; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, only, written
+from .common import WORD, only, sliced, written
 
 _WORD = re.compile(WORD)
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -33,7 +37,11 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 FLOOR = (0.08, 0.35, 0.35, 0.12)
 P = len(FLOOR)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-BINS = 32  # per doubling of the squared distance
+BINS = 256  # per doubling of the squared distance
+#: Estimates sent to all executors; more are joined.
+SENT = 100_000
+#: Starts, and concentration steps at most.
+STARTS, STEPS = 3, 25
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -62,7 +70,7 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _stats(batches):
-    for b in batches:
+    for b in sliced(batches):
         rows = [text_stats(t) for t in b.column("text").to_pylist()]
         cols = list(zip(*rows)) if rows else [()] * 5
         keep = [c for c in b.schema.names if c != "text"]
@@ -110,65 +118,119 @@ def chi2_quantile(q: float, k: float) -> float:
     return hi
 
 
-def _sums() -> list[Column]:
-    x = [F.col(f"x{i}") for i in range(P)]
-    return [F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i, j in PAIRS]]
+_ESTIMATE = ", ".join(["grp string", "start int", "logdet double", "done boolean", *[f"m{i} double" for i in range(P)], *[f"w{i}_{j} double" for i, j in PAIRS]])
+_NAMES = [x.split()[0] for x in _ESTIMATE.split(", ")]
+
+
+def _estimate(grp: pa.Array, start: np.ndarray, done: np.ndarray, centre: np.ndarray, scatter: np.ndarray, logdet: np.ndarray | None = None) -> pa.RecordBatch:
+    logdet = np.linalg.slogdet(scatter)[1] if logdet is None else logdet
+    inv = np.linalg.inv(scatter)
+    return pa.RecordBatch.from_arrays([grp, pa.array(start, pa.int32()), pa.array(logdet), pa.array(done), *[pa.array(np.ascontiguousarray(centre[:, i])) for i in range(P)], *[pa.array(np.ascontiguousarray(inv[:, i, j])) for i, j in PAIRS]], _NAMES)
+
+
+def _symmetric(d: dict, name: str) -> np.ndarray:
+    out = np.zeros((len(d[f"{name}0_0"]), P, P))
+    for i, j in PAIRS:
+        out[:, i, j] = out[:, j, i] = d[f"{name}{i}_{j}"]
+    return out
+
 
+def _columns(b: pa.RecordBatch) -> dict:
+    return {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "grp"}
 
-_ESTIMATE = ", ".join(["grp string", *[f"m{i} double" for i in range(P)], *[f"w{i}_{j} double" for i, j in PAIRS]])
+
+def _started(batches):
+    """Medians, deviations and cross products of bounded scores and of signs to a first estimate for each start."""
+    for b in batches:
+        d = _columns(b)
+        centre, spread = (np.stack([d[f"{c}{i}"] for i in range(P)], 1) for c in "ma")
+        for k in range(STARTS):
+            like = np.broadcast_to(np.eye(P), (len(centre), P, P)).copy() if k == 0 else _symmetric(d, "tu"[k - 1])
+            size = np.sqrt(np.maximum(np.einsum("nii->ni", like), 1e-12))
+            like = like / size[:, :, None] / size[:, None, :] * 0.999 + 0.001 * np.eye(P)
+            yield _estimate(b.column("grp"), np.full(len(centre), k), np.zeros(len(centre), bool), centre, spread[:, :, None] * like * spread[:, None, :], np.full(len(centre), np.inf))
 
 
-def _inverted(scale: float):
-    """Batches of sums per group to batches of centre and inverse scatter; ``scale`` makes the scatter consistent."""
+def _stepped(scale: float):
+    """Sums about the last centre to the next estimate; ``scale`` makes the scatter consistent. A start is done when its determinant falls no more; then its last estimate stays."""
 
     def run(batches):
-        floor = np.diag(np.square(FLOOR))
         for b in batches:
-            d = {c: b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in b.schema.names if c != "grp"}
-            n = np.maximum(d["n"], 1)
-            m = np.stack([d[f"s{i}"] / n for i in range(P)], 1)
-            cov = np.zeros((len(n), P, P))
-            for i, j in PAIRS:
-                cov[:, i, j] = cov[:, j, i] = d[f"q{i}_{j}"] / n - m[:, i] * m[:, j]
-            inv = np.linalg.inv(cov * scale + floor)
-            yield pa.RecordBatch.from_arrays([b.column("grp"), *[pa.array(m[:, i]) for i in range(P)], *[pa.array(np.ascontiguousarray(inv[:, i, j])) for i, j in PAIRS]], [x.split()[0] for x in _ESTIMATE.split(", ")])
+            d = _columns(b)
+            n = d["n"].astype(float)
+            shift = np.stack([d[f"s{i}"] / n for i in range(P)], 1)
+            scatter = (_symmetric(d, "q") / n[:, None, None] - shift[:, :, None] * shift[:, None, :]) * scale + np.diag(np.square(FLOOR))
+            logdet = np.linalg.slogdet(scatter)[1]
+            worse = logdet >= d["logdet"] - 1e-9
+            old = np.linalg.inv(_symmetric(d, "w"))
+            centre = np.stack([d[f"m{i}"] for i in range(P)], 1)
+            yield _estimate(b.column("grp"), d["start"], worse, np.where(worse[:, None], centre, centre + shift), np.where(worse[:, None, None], old, scatter), np.where(worse, d["logdet"], logdet))
 
     return run
 
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
     d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
-    return rows.join(estimate, "grp", "left").withColumn("d2", sum(((1 if i == j else 2) * F.col(f"w{i}_{j}") * d[i] * d[j] for i, j in PAIRS), F.lit(0.0)))
-
-
-def verdicts(stats: DataFrame, *, support: float = 0.75, quantile: float = 1 - 1e-6, steps: int = 3, min_group: int = 200) -> DataFrame:
-    """``stats`` (lang, source and the base counts, written already) with base_failed, d2, cutoff and kept."""
+    return rows.join(estimate, "grp", how).withColumn("d2", sum(((1 if i == j else 2) * F.col(f"w{i}_{j}") * d[i] * d[j] for i, j in PAIRS), F.lit(0.0)))
+
+
+def mcd(fit: DataFrame, groups: int, support: float) -> DataFrame:
+    """grp, logdet, m<i> and w<i>_<j> (inverse scatter) of each group of ``fit`` (grp, x<i>): the least determinant that the starts reach."""
+    sent = (lambda df: F.broadcast(df)) if groups * STARTS <= SENT else (lambda df: df)
+    mid = fit.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P)])
+    dev = fit.join(sent(written(mid, "op5-medians")), "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i in range(P)])
+    dev = written(dev.select("grp", *[f"m{i}" for i in range(P)], *[F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR[i] ** 2).alias(f"a{i}") for i in range(P)]), "op5-deviations")
+    z = fit.join(sent(dev), "grp").select("grp", *[((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"a{i}")).alias(f"z{i}") for i in range(P)])
+    z = z.withColumn("r", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0))), F.lit(1e-9)))
+    like = z.groupBy("grp").agg(*[F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in PAIRS], *[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / (F.col("r") * F.col("r"))).alias(f"u{i}_{j}") for i, j in PAIRS])
+    now = written(dev.join(like, "grp").mapInArrow(_started, _ESTIMATE), "op5-start")
+    scale = support / chi2_cdf(chi2_quantile(support, P), P + 2)
+    final = []
+    per = W.partitionBy("grp", "start")
+    for _ in range(STEPS):
+        near = _distance(fit, sent(now)).withColumn("bin", F.floor(BINS * F.log2(F.col("d2") + 1e-12)).cast("int"))
+        counts = near.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("c"))
+        upto = counts.withColumns({"upto": F.sum("c").over(per.orderBy("bin")), "share": support * F.sum("c").over(per)})
+        edge = upto.filter("upto >= share AND upto - c < share").select("grp", "start", F.col("bin").alias("edge"), ((F.col("share") - F.col("upto") + F.col("c")) / F.col("c")).alias("part"))
+        held = near.join(sent(edge), ["grp", "start"]).filter("bin <= edge").withColumn("k", F.when(F.col("bin") < F.col("edge"), 1.0).otherwise(F.col("part")))
+        held = held.withColumns({f"y{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)})
+        sums = held.groupBy("grp", "start").agg(F.sum("k").alias("n"), *[F.sum(F.col("k") * F.col(f"y{i}")).alias(f"s{i}") for i in range(P)], *[F.sum(F.col("k") * F.col(f"y{i}") * F.col(f"y{j}")).alias(f"q{i}_{j}") for i, j in PAIRS])
+        now = written(sums.join(now.drop("done"), ["grp", "start"]).mapInArrow(_stepped(scale), _ESTIMATE), "op5-estimate")
+        final.append(now.filter("done"))
+        now = now.filter("NOT done")
+        if now.isEmpty():
+            break
+    else:
+        final.append(now)
+    every = final[0]
+    for f in final[1:]:
+        every = every.unionByName(f)
+    rest = [c for c in _NAMES if c not in ("grp", "start", "done")]
+    return written(every.groupBy("grp").agg(F.min_by(F.struct(*rest), F.struct("logdet", "start")).alias("e")).select("grp", "e.*"), "op5-final")
+
+
+def verdicts(stats: DataFrame, *, support: float = 0.75, quantile: float = 1 - 1e-6, min_group: int = 200) -> DataFrame:
+    """``stats`` (lang, source and the base counts, written already) with base_failed, pool, d2, cutoff and kept."""
     null = F.lit("\x00")
     lang, pair = F.coalesce("lang", null), F.concat_ws("\x01", F.coalesce("lang", null), F.coalesce("source", null))
-    rows = stats.select("*", base_failed().alias("base_failed"), *[v.alias(f"x{i}") for i, v in enumerate(vector())], pair.alias("pair"))
-    fit = rows.filter(~F.col("base_failed"))
-    sizes = fit.groupBy("pair", lang.alias("lg")).agg(F.count(F.lit(1)).alias("c"))
-    by_lang = F.sum(F.when(F.col("c") < min_group, F.col("c"))).over(W.partitionBy("lg"))
-    names = written(sizes.select("pair", F.when(F.col("c") >= min_group, F.col("pair")).when(by_lang >= min_group, F.concat(F.lit("\x02"), "lg")).otherwise("\x03").alias("grp")), "op5-groups")
-    rows = rows.join(names, "pair", "left").drop("pair")
-    fit = rows.filter(~F.col("base_failed"))
-    # start: medians and absolute deviations about them, from mergeable bounded sketches of all rows
-    mid = fit.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P)])
-    dev = fit.join(mid, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i in range(P)])
-    spread = lambda i, j: 1 / (F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)
-    now = written(dev.select("grp", *[f"m{i}" for i in range(P)], *[spread(i, j).alias(f"w{i}_{j}") for i, j in PAIRS]), "op5-start")
-    scale = support / chi2_cdf(chi2_quantile(support, P), P + 2)
-    for _ in range(steps):
-        near = _distance(fit, now).withColumn("bin", F.floor(BINS * F.log2(F.col("d2") + 1e-9)).cast("int"))
-        counts = near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
-        upto = F.sum("c").over(W.partitionBy("grp").orderBy("bin"))
-        edge = counts.select("grp", "bin", upto.alias("upto"), F.sum("c").over(W.partitionBy("grp")).alias("all")).filter(F.col("upto") >= support * F.col("all")).groupBy("grp").agg(F.min("bin").alias("edge"))
-        sums = near.join(edge, "grp").filter("bin <= edge").groupBy("grp").agg(*_sums())
-        now = written(sums.mapInArrow(_inverted(scale), _ESTIMATE), "op5-estimate")
-    sized = now.join(fit.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp").filter(F.col("size") >= min_group).drop("size")
-    cutoff = chi2_quantile(quantile, P)
-    out = _distance(rows, sized).withColumn("cutoff", F.lit(cutoff))
-    return out.select(*stats.columns, "base_failed", "d2", "cutoff", (~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("cutoff"), F.lit(True))).alias("kept"))
+    rows = stats.select("*", base_failed().alias("base_failed"), *[v.alias(f"x{i}") for i, v in enumerate(vector())], pair.alias("pair"), lang.alias("lg"))
+    passed = rows.filter(~F.col("base_failed"))
+    sizes = written(passed.groupBy("pair", "lg").agg(F.count(F.lit(1)).alias("c")), "op5-sizes")
+    small = F.when(F.col("c") < min_group, F.col("c"))
+    pools = sizes.groupBy("lg").agg(F.sum(small).alias("pooled"))
+    everyone = sizes.agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("pairs")).first()
+    rest = sizes.join(pools, "lg").filter((F.col("c") < min_group) & (F.col("pooled") < min_group)).agg(F.sum("c")).first()[0] or 0
+    last = "\x03" if rest >= min_group else "\x04"
+    names = sizes.join(pools, "lg").select("pair", F.when(F.col("c") >= min_group, F.col("pair")).when(F.col("pooled") >= min_group, F.concat(F.lit("\x02"), "lg")).otherwise(last).alias("grp"))
+    names = written(names, "op5-groups")
+    sent = (lambda df: F.broadcast(df)) if everyone.pairs <= SENT else (lambda df: df)
+    rows = rows.drop("lg").join(sent(names), "pair", "left").drop("pair")
+    fit = rows.filter(~F.col("base_failed")).select("grp", *[f"x{i}" for i in range(P)])
+    if rest and last == "\x04":
+        fit = fit.filter("grp <> '\x04'").unionByName(fit.withColumn("grp", F.lit("\x04"))) if (everyone["all"] or 0) >= 5 * P else fit.filter("grp <> '\x04'")
+    estimate = mcd(fit, everyone.pairs, support).drop("logdet").withColumn("pool", F.col("grp"))
+    out = _distance(rows, sent(estimate), "left").withColumn("cutoff", F.lit(chi2_quantile(quantile, P)))
+    return out.select(*stats.columns, "base_failed", "pool", "d2", "cutoff", (~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("cutoff"), F.lit(True))).alias("kept"))
 
 
 def quality(docs: DataFrame, **params) -> DataFrame:

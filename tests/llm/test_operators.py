@@ -241,6 +241,45 @@ def test_outliers(spark, docs, odd, empty):
     assert not {i for i in kept if i >= 5000} and len(kept) >= 1990
 
 
+def least_determinant(x, support, scale):
+    """By all subsets."""
+    from itertools import combinations
+
+    found = []
+    for c in combinations(range(len(x)), round(support * len(x))):
+        y = x[list(c)]
+        found.append((np.linalg.slogdet(np.cov(y.T, bias=True) * scale + np.diag(np.square(quality_rules.FLOOR)))[1], tuple(y.mean(0))))
+    return min(found)
+
+
+def test_least_determinants(spark):
+    """Against all subsets of small groups, outliers among them on one side or two."""
+    rng = np.random.default_rng(7)
+    rows, groups = [], {}
+    for g in range(6):
+        x = rng.normal(0, 1, (16, 4)) @ rng.normal(0, 1, (4, 4)) * 2
+        x[: 1 + g % 4] += rng.choice([-1, 1], (1 + g % 4, 1)) * 40 if g % 2 else 40
+        groups[f"g{g}"] = x
+        rows += [(f"g{g}", *map(float, r)) for r in x]
+    fit = spark.createDataFrame(rows, "grp string, x0 double, x1 double, x2 double, x3 double")
+    scale = 0.75 / quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.75, 4), 6)
+    for r in quality_rules.mcd(fit, 6, 0.75).collect():
+        want, centre = least_determinant(groups[r.grp], 0.75, scale)
+        assert r.logdet <= want + 0.5, (r.grp, r.logdet, want)  # so few rows have many local minima
+        assert np.linalg.norm(np.array([r.m0, r.m1, r.m2, r.m3]) - centre) < 10  # none of the outliers moves it
+    assert sum(abs(r.logdet - least_determinant(groups[r.grp], 0.75, scale)[0]) < 1e-6 for r in quality_rules.mcd(fit, 6, 0.75).collect()) >= 3
+
+
+def test_small_groups_have_a_verdict(spark):
+    rng = random.Random(8)
+    rows = [(i, n := rng.randint(100, 900), int(n * rng.gauss(5, 0.1)), 0, 0, 0, "xx", f"s{i % 7}") for i in range(60)] + [(99, 300, 4000, 2500, 0, 0, "yy", "s")]
+    stats = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, source string")
+    got = quality_rules.verdicts(stats).collect()
+    assert {r.doc_id for r in got if not r.kept} == {99} and {r.pool for r in got} == {"\x04"}
+    few = quality_rules.verdicts(stats.limit(5)).collect()
+    assert all(r.kept and r.d2 is None for r in few)
+
+
 def test_chi_square():
     assert quality_rules.chi2_quantile(0.95, 1) == pytest.approx(3.841459, abs=1e-5) and quality_rules.chi2_quantile(0.99, 4) == pytest.approx(13.276704, abs=1e-5)
 
