@@ -9,7 +9,9 @@ documents and different values different ones. Kinds, with what validates them:
 - phone: an international or bracketed number of 7 to 15 digits; the country code stays
 - ip: four numbers up to 255, permuted as one 32-bit number; six or more groups of hexadecimal pairs (mac) likewise
 - ssn: three, two and four digits with possible area, group and serial number
-- date: a day of the calendar between 1900 and 2099, in digits or with a month's name, permuted among all of them
+- date: a day of the calendar between 1900 and 2099, in digits or with a month's name, permuted among all of them, so that a day has one pseudonym in
+  all ways of writing it. With the year last the day comes first, unless only the other order makes a date (after a month a day above 12): such a one is permuted
+  among its like. Separators stay; single digits stay without a leading zero where the value has one of them
 - email: local part and the host's first label are permuted letter by letter class; the rest of the host stays
 - secret: a value of 16 or more characters, a digit among them, assigned to a name such as token, key, secret or password; a
   known key prefix; or a bare hexadecimal word of 40 or 64
@@ -17,7 +19,7 @@ documents and different values different ones. Kinds, with what validates them:
 The Feistel network has 10 rounds over the mixed-radix number that the variable positions spell, halves of nearly equal
 size, rounds keyed by BLAKE2b with kind, format and round; numbers outside the domain are walked on along the cycle.
 
-Defined results: null text stays null with no findings; empty text likewise has none; very long texts are scanned whole;
+Defined results: null text stays null with no findings; empty text likewise has none; very long texts are scanned whole, a few at a time; an empty table stays empty;
 values that fail validation are left alone, but for such of their runs of whole groups as pass; overlapping findings go to the kind listed first. Repeated rows give repeated results.
 """
 
@@ -34,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 ROUNDS = 10
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 KINDS = ("email", "iban", "card", "phone", "ip", "mac", "ssn", "date", "secret")
@@ -184,15 +188,22 @@ def date(s: str, key: bytes) -> str | None:
         return _named_date(named, key)
     sep = next(c for c in s if not c.isdigit())
     p = s.split(sep)
-    order = (0, 1, 2) if len(p[0]) == 4 else ((2, 0, 1) if sep in "/-" and int(p[1]) > 12 else (2, 1, 0))
+    iso = len(p[0]) == 4
+    american = not iso and sep in "/-" and int(p[1]) > 12
+    order = (0, 1, 2) if iso else (2, 0, 1) if american else (2, 1, 0)
     try:
         day = datetime.date(*(int(p[i]) for i in order)).toordinal() - _DAY0
     except ValueError:
         return None
     if not 0 <= day < _DAYS:
         return None
-    d = datetime.date.fromordinal(_DAY0 + permuted(day, _DAYS, key, b"date|"))
-    new = {order[0]: f"{d.year:04d}", order[1]: f"{d.month:02d}", order[2]: f"{d.day:02d}"}
+    while True:
+        day = permuted(day, _DAYS, key, b"date|")
+        d = datetime.date.fromordinal(_DAY0 + day)
+        if not american or d.day > 12:  # walked on along the cycle, so that the new value is read in the same order
+            break
+    width = 1 if 1 in map(len, p) else 2
+    new = {order[0]: f"{d.year:04d}", order[1]: f"{d.month:0{width}d}", order[2]: f"{d.day:0{width}d}"}
     return sep.join(new[i] for i in range(3))
 
 
@@ -302,7 +313,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} long" for c in counts)])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             new, found = [], []
             for t in b.column(text).to_pylist():
                 r = pseudonymised(t, key) if t else (t, {})
