@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haltlens.llm import fuzzy_lines, packing, pii, quality_rules, simhash_dedup
@@ -24,30 +24,39 @@ def _with_size(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _row() -> Column:
+    """Tells rows apart, whatever their ids: what all decisions about a row depend on, and its id."""
+    return F.xxhash64("doc_id", "text", "lang", "source")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    verdict = quality_rules.quality(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """Rows that the rules keep; rows with one id are judged each by itself. No text and empty text have no words, so that they go; an empty table stays empty."""
+    rows = docs.select(*COLUMNS).withColumn("row", _row())
+    verdict = quality_rules.quality(rows.select(F.col("row").alias("doc_id"), "text", "lang", "source")).filter("kept").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(verdict, "row", "left_semi").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat an earlier one or nearly so; a document goes if lines went and the text that is left has no letter or digit."""
+    """All documents, without lines that repeat an earlier one or nearly so; a document goes if lines went and the text that is left has no letter or digit. No text stays none; repeated rows keep the same lines; an empty table stays empty."""
     return _with_size(fuzzy_lines.without_lines(docs, every=True).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
-    stay = simhash_dedup.near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One row, that with the smallest id (none sorts last), of each group of near copies; of repeated rows one. Texts without a word are one group; an empty table stays empty."""
+    rows = docs.select(*COLUMNS).withColumn("row", _row())
+    groups = simhash_dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = rows.select("row", "doc_id").join(groups.distinct(), "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return rows.join(stay, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by pseudonyms."""
+    """All documents, personal data replaced by pseudonyms; no text stays none, repeated rows stay alike, an empty table stays empty."""
     return _with_size(pii.pseudonymise(docs, KEY))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequence, and the place in it, of every piece of every document."""
+    """The sequence, and the place in it, of every piece of every document; no text is one position, repeated rows are packed each, an empty table makes no sequence."""
     return packing.best_fit(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
 
 

@@ -26,8 +26,23 @@ def test_stages_take_effect(spark, docs, odd, empty, tmp_path):
     assert docs.count() > sizes[0] >= sizes[1] >= sizes[2] == sizes[3] <= sizes[4]
 
 
-def test_run_equals_stages(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+def test_run_equals_stages(spark, tmp_path):
+    now = spark.read.parquet(f"{DATA}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, DATA).write.parquet(str(tmp_path / str(i)))
+        now = spark.read.parquet(str(tmp_path / str(i)))
+    whole = corpus_pipeline.run(spark, DATA)
+    assert whole.columns == now.columns and sorted(map(tuple, whole.collect())) == sorted(map(tuple, now.collect()))
+
+
+def test_rows_not_ids_decide(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good), (1, "too short"), (1, good), (None, good + " end"), (2, None), (3, good.upper()), (4, " ".join(f"other{i}" for i in range(90)))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality(spark, docs, DATA).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "1", "3", "4", "None"] and all(len(r.text) > 99 for r in kept)
+    one = corpus_pipeline.near_dedup(spark, docs, DATA).collect()
+    assert sorted(str(r.doc_id) for r in one if len(r.text or "") > 99) == ["1", "4"] and sum(r.doc_id == 2 for r in one) + sum(r.text == "too short" for r in one) == 2
 
 
 def test_line_dedup_keeps_what_is_left(spark):
