@@ -5,7 +5,9 @@ python -m haltlens.cli run policy_by_agent DATA_DIR [--out PATH]
 python -m haltlens.cli policy SCORES OUT --success 0.95 --failure 0.95 [--min-step N] [--consecutive K] [--mode dual] [--preset FILE:NAME]
 python -m haltlens.cli leakage SPLITS
 python -m haltlens.cli normalize RAW OUT --benchmark generic
-python -m haltlens.cli preflight PATH...
+python -m haltlens.cli preflight PATH... [--warn PATH]
+python -m haltlens.cli stages SCORES RUN [--last summary] [--target T]... [--settings FILE]
+python -m haltlens.cli folds BASE OUT --table NAME [--exclude FOLD]...
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ def session(name: str = "haltlens"):
 
 
 def preset(where: str) -> dict:
-    """One entry of a JSON file of policies: FILE:NAME. Thresholds may be the text 'inf'."""
+    """One entry of a JSON or YAML file of policies: FILE:NAME. Thresholds may be the text 'inf'."""
     path, _, name = where.rpartition(":")
-    p = tables.read_json(path)[name]
+    p = tables.config(path)[name]
     return {k: float(v) if k.endswith("_thr") else v for k, v in p.items()}
 
 
-def preflight(paths: list[str]) -> list[dict]:
-    """Needed modules and given paths, each found or not."""
-    rows = [{"what": m, "kind": "module", "ok": importlib.util.find_spec(m) is not None} for m in ("pyspark", "pyarrow", "pandas", "numpy")]
-    return rows + [{"what": p, "kind": "path", "ok": os.path.exists(p)} for p in paths]
+def preflight(paths: list[str], warn: list[str] = ()) -> list[dict]:
+    """Needed modules and given paths, each found or not; what is only to be warned of is not required."""
+    found = lambda m: importlib.util.find_spec(m) is not None
+    rows = [{"what": m, "kind": "module", "required": m != "yaml", "ok": found(m)} for m in ("pyspark", "pyarrow", "pandas", "numpy", "yaml")]
+    rows += [{"what": p, "kind": "path", "required": p not in warn, "ok": os.path.exists(p)} for p in [*paths, *warn]]
+    return [r | {"status": "ok" if r["ok"] else "missing" if r["required"] else "warning"} for r in rows]
 
 
 def apply_policy(spark, scores: str, out: str, rule: dict) -> None:
@@ -71,7 +75,20 @@ def parser() -> argparse.ArgumentParser:
     n.add_argument("raw")
     n.add_argument("out")
     n.add_argument("--benchmark", default="generic")
-    sub.add_parser("preflight").add_argument("paths", nargs="*")
+    f = sub.add_parser("preflight")
+    f.add_argument("paths", nargs="*")
+    f.add_argument("--warn", action="append", default=[])
+    g = sub.add_parser("stages")
+    g.add_argument("scores")
+    g.add_argument("run")
+    g.add_argument("--last", default="summary")
+    g.add_argument("--target", type=float, action="append")
+    g.add_argument("--settings", help="JSON or YAML: targets, and rules of the selection")
+    h = sub.add_parser("folds")
+    h.add_argument("base")
+    h.add_argument("out")
+    h.add_argument("--table", default="summary")
+    h.add_argument("--exclude", action="append", default=[])
     return p
 
 
@@ -84,9 +101,9 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{name}: {' '.join((f.__doc__ or '').split())}")
         return 0
     if a.command == "preflight":
-        rows = preflight(a.paths)
-        print(tables.markdown(rows, ["what", "kind", "ok"]))
-        return int(not all(r["ok"] for r in rows))
+        rows = preflight(a.paths, a.warn)
+        print(tables.markdown(rows, ["what", "kind", "required", "status"]))
+        return int(any(r["status"] == "missing" for r in rows))
     spark = session()
     if a.command == "run":
         from haltlens.plans import catalog
@@ -96,6 +113,15 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "policy":
         rule = preset(a.preset) if a.preset else {"success_thr": a.success, "failure_thr": a.failure, "min_step": a.min_step, "consecutive": a.consecutive, "mode": a.mode}
         apply_policy(spark, a.scores, a.out, rule)
+    elif a.command == "stages":
+        from haltlens.plans import stages
+
+        rules = tables.config(a.settings) if a.settings else {}
+        targets = a.target or rules.pop("targets", [0.75, 0.85, 0.95])
+        rules.pop("targets", None)
+        print("\n".join(stages.run_stages(spark, tables.read_table(spark, a.scores), a.run, targets=targets, last=a.last, **rules)))
+    elif a.command == "folds":
+        tables.write_table(tables.read_folds(spark, a.base, [a.table], excluded=a.exclude)[a.table], a.out)
     elif a.command == "leakage":
         from haltlens.operators import splits
 

@@ -141,3 +141,8 @@ def clean_text(x: Name, limit: int) -> Column:
 
 def price(tokens: Name, per_million: float) -> Column:
     return _c(tokens) / 1e6 * per_million
+
+
+def flag(value: str | None, default: bool = False) -> bool:
+    """A setting from the environment as a truth value."""
+    return default if value is None or not value.strip() else value.strip().lower() in ("1", "true", "yes", "on")

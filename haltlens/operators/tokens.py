@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +39,62 @@ def count_tokens(texts: str | Column, counter: Callable[[], Callable[[str], int]
     return run(texts)
 
 
+def method_of(texts: str | Column, *, direct: int = 2_000_000, exact: int = 20_000_000) -> Column:
+    """How ``count_tokens`` counts a text."""
+    n = F.length(texts)
+    return F.when(n <= direct, "tokenizer_exact").when(n <= exact, "tokenizer_chunked_exact").otherwise("tokenizer_sampled_estimate")
+
+
+def method_summary(counts: DataFrame, by: tuple[str, ...] = ("model_id", "method")) -> DataFrame:
+    """Rows, trajectories and tokens by model and method."""
+    return counts.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("traj_id").alias("trajectories"), F.sum("context_tokens").cast("long").alias("context_tokens"), F.max("context_tokens").alias("longest"))
+
+
+def full_prefix_tokens(steps: DataFrame, counter: Callable[[], Callable[[str], int]], *, text: str = "text") -> DataFrame:
+    """traj_id, model_id, prefix_step_idx, context_tokens, method: the whole text up to each step, non-empty parts a line each, is counted anew; as exact, and as dear, as it gets."""
+    upto = W.partitionBy("traj_id").orderBy("prefix_step_idx").rowsBetween(W.unboundedPreceding, 0)
+    said = F.array_join(F.collect_list(F.when(F.col(text) != "", F.col(text))).over(upto), "\n")
+    rows = steps.select("traj_id", "model_id", "prefix_step_idx", said.alias("_context"))
+    return rows.select("traj_id", "model_id", "prefix_step_idx", count_tokens("_context", counter).alias("context_tokens"), method_of("_context").alias("method"))
+
+
+MODES = ("model", "component_sum_approx", "chars_per_token")
+
+
+def token_rows(steps: DataFrame, mode: str, counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+    """traj_id, model_id, prefix_step_idx, context_tokens by one of MODES; all but the last need a counter."""
+    if mode not in MODES or (mode != "chars_per_token" and counter is None):
+        raise ValueError(f"no way to count tokens by {mode}")
+    if mode == "model":
+        rows = full_prefix_tokens(steps, counter)
+    elif mode == "component_sum_approx":
+        counted = steps.withColumns({f"{p}_tokens": count_tokens(f"{p}_text", counter) for p in ("task", *PARTS) if f"{p}_text" in steps.columns})
+        rows = prefix_tokens(component_tokens(counted, lambda p: F.col(f"{p}_tokens") if f"{p}_text" in steps.columns else legacy_tokens(f"{p}_chars")))
+    else:
+        rows = prefix_tokens(component_tokens(steps))
+    return rows.select("traj_id", "model_id", "prefix_step_idx", "context_tokens")
+
+
+def cached(spark: SparkSession, path: str, steps: DataFrame, count: Callable[[DataFrame], DataFrame], settings: dict, keys: tuple[str, ...] = ("traj_id", "prefix_step_idx")) -> DataFrame:
+    """Counts of ``steps`` by way of a cache folder. Shards are kept by a digest of the settings, so that counts made otherwise are never read; only trajectories that no
+    shard has are counted, whole, and written as one more shard: a run that was cut off goes on where it ended."""
+    shards = f"{path.rstrip('/')}/{hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(shards)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    have = [x.getPath().toString() for x in fs.listStatus(p) if fs.exists(x.getPath().suffix("/_SUCCESS"))]
+    lacking = steps
+    if have:
+        known = spark.read.parquet(*have)
+        fresh = fill_cache(steps.select(*keys), known, keys).select(keys[0]).distinct()
+        lacking = steps.join(fresh, keys[0], "left_semi")
+    counted = count(lacking).select("*", F.lit(json.dumps(settings, sort_keys=True)).alias("settings"))
+    shard = f"{shards}/shard-{uuid.uuid4().hex}"
+    counted.write.option("compression", "zstd").parquet(shard)
+    rows = spark.read.parquet(*have, shard).drop("settings")
+    return rows.dropDuplicates(list(keys)).join(steps.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def component_tokens(steps: DataFrame, count: Callable[[str], Column] | None = None) -> DataFrame:
     """<part>_tokens and <part>_nonempty from <part>_chars; by four characters a token unless ``count`` says otherwise."""
     count = count or (lambda p: legacy_tokens(f"{p}_chars"))

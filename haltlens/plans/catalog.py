@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haltlens.functions import scalars as X
-from haltlens.operators import audit, metrics, parse, policy, ranking, select, splits, tokens
+from haltlens.operators import audit, metrics, parse, policy, ranking, reports, select, splits, tokens
+from haltlens.plans import stages
 from haltlens.sources import adapters as A
 from haltlens.sources import tables as T
 
@@ -781,5 +782,156 @@ def model_fold(spark, d):
     step = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int")
     x = e.select(F.col("user_id").alias("traj_id"), step.alias("prefix_step_idx"), "event_type", "value").join(s.select("traj_id", "prefix_step_idx", "label"), ["traj_id", "prefix_step_idx"])
     x = x.withColumns({"sample_weight": F.lit(1.0), "split": F.when(F.col("traj_id") % 5 == 0, "test").when(F.col("traj_id") % 5 == 1, "valid").otherwise("train"), "words": F.concat_ws(" ", "event_type", F.col("event_type"))})
-    out, _ = features.run_fold(x, features.FeatureSet(("value", "prefix_step_idx"), ("event_type",), ("words",), min_df=2, vocabulary=1000), kind="lr")
-    return out.select("traj_id", "prefix_step_idx", "split", "prob_safe_success__gbt", "prob_cal_safe_success__gbt", "prob_safe_failure__gbt", "prob_cal_safe_failure__gbt")
+    out, _ = features.run_fold(x, features.FeatureSet(("value", "prefix_step_idx"), ("event_type",), ("words",), min_df=2, vocabulary=1000), predictor="lr", kind="lr")
+    return out.select("traj_id", "prefix_step_idx", "split", "prob_safe_success__lr", "prob_cal_safe_success__lr", "prob_safe_failure__lr", "prob_cal_safe_failure__lr")
+
+
+# ---- whole runs
+
+
+_PARTS = f"""{_EVAL}, d AS (SELECT *, CASE WHEN substr(md5('5|' || traj_id), 1, 1) < '8' THEN 'valid' ELSE 'test' END AS part FROM decisions),
+  counts AS (SELECT *, {sql_rates()} FROM (SELECT candidate_ord, fold_id, part, {COUNTERS} FROM d GROUP BY candidate_ord, fold_id, part)),
+  g AS (SELECT counts.*, target, success_thr, failure_thr, coalesce(decision_accuracy_pct, -100.0) / 100.0 AS acc, coalesce(pct_steps_saved, 0.0) AS sv, abs(resolve_rate_drop_pp) AS dr FROM counts JOIN cand USING (candidate_ord) CROSS JOIN (SELECT unnest([0.55::DOUBLE, 0.65::DOUBLE, 0.99::DOUBLE]) AS target) WHERE part = 'valid'),
+  t AS (SELECT *, CASE WHEN acc >= target AND sv > 0 AND dr <= 5.0 THEN 0 WHEN acc >= target AND sv >= 10.0 THEN 1 WHEN sv > 0 THEN 2 ELSE 3 END AS tier FROM g),
+  r AS (SELECT *, row_number() OVER (PARTITION BY fold_id, target ORDER BY tier, CASE WHEN tier < 2 THEN -sv ELSE -acc END, dr, CASE WHEN tier < 2 THEN -acc ELSE -sv END, candidate_ord) AS rk FROM t),
+  chosen AS (SELECT fold_id, target, candidate_ord, success_thr, failure_thr, CASE tier WHEN 0 THEN 'strict' WHEN 1 THEN 'fallback_accuracy_only' ELSE 'fallback_highest_accuracy' END AS selection_status FROM r WHERE rk = 1)"""
+_TARGETS = [0.55, 0.65, 0.99]
+
+
+@query(f"{_PARTS} SELECT chosen.*, counts.* EXCLUDE (candidate_ord, fold_id, part) FROM chosen JOIN counts USING (fold_id, candidate_ord) WHERE part = 'test'")
+def sweep_results(spark, d):
+    """O3, M7: chosen on the validation part of each fold, replayed on its test part."""
+    targets = spark.createDataFrame([(t,) for t in _TARGETS], "target double")
+    return stages.sweep(stages.with_part(A.scores(spark, d)), _candidates(spark), targets, max_abs_drop_pp=5.0, min_save_pct=10.0)[1]
+
+
+@query(f"{_PARTS} SELECT target, count(*) AS folds, CAST(sum(original_total) AS BIGINT) AS original_total, CAST(sum(true_positives + true_negatives) AS BIGINT) AS correct, CAST(sum(total_saved_steps) AS BIGINT) AS total_saved_steps FROM chosen JOIN counts USING (fold_id, candidate_ord) WHERE part = 'test' GROUP BY target")
+def stage_summary(spark, d):
+    """All stages of a run, each published and read again, to the summary over folds."""
+    run = T.scratch(spark, "run")
+    stages.run_stages(spark, A.scores(spark, d), run, targets=_TARGETS, max_abs_drop_pp=5.0, min_save_pct=10.0)
+    return T.read_table(spark, f"{run}/summary/summary.parquet").select("target", "folds", "original_total", (F.col("true_positives") + F.col("true_negatives")).alias("correct"), "total_saved_steps")
+
+
+@query(" UNION ALL ".join(sql for sql in (
+    f"SELECT 'dual' AS policy_mode, * FROM (WITH {A.SCORES}, {sql_rule('0.6::DOUBLE', '0.6::DOUBLE')} SELECT {COUNTERS} FROM decisions)",
+    f"SELECT 'success_only', * FROM (WITH {A.SCORES}, {sql_rule('0.6::DOUBLE', INF, mode=chr(39) + 'success_only' + chr(39))} SELECT {COUNTERS} FROM decisions)",
+    f"SELECT 'failure_only', * FROM (WITH {A.SCORES}, {sql_rule(INF, '0.6::DOUBLE', mode=chr(39) + 'failure_only' + chr(39))} SELECT {COUNTERS} FROM decisions)",
+)))
+def sweep_modes(spark, d):
+    """O3, D3: both heads against either alone."""
+    return stages.sweep_modes(A.scores(spark, d), 0.6).select("policy_mode", *metrics.COUNTS)
+
+
+# ---- sources, sinks, reports
+
+
+@query("SELECT r_regionkey, r_name, n_nationkey, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")
+def written_and_read(spark, d):
+    """One table by lines of JSON, one by separated values, read by suffix under a fixed schema."""
+    base = T.scratch(spark, "formats")
+    r, n = A.table(spark, d, "region").select("r_regionkey", "r_name"), A.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    T.write_table(r, f"{base}/region.jsonl")
+    T.write_table(n, f"{base}/nation.tsv")
+    r, n = T.read_table(spark, f"{base}/region.jsonl", r.schema), T.read_table(spark, f"{base}/nation.tsv", n.schema)
+    return r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).drop("n_regionkey")
+
+
+@query("SELECT (SELECT count(*) FROM nation) AS rows, CAST(i AS INT) AS position, name FROM (SELECT unnest([0, 1, 2]) AS i, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS name)")
+def table_metadata(spark, d):
+    """S3: rows and columns of a table, from its footers."""
+    return T.metadata(A.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")).drop("type")
+
+
+@query(sql_policy(BASE, f"SELECT CAST(fold_id AS VARCHAR) AS fold_id, 'model' || fold_id AS test_model, * EXCLUDE (fold_id) FROM (SELECT CAST(traj_id % 3 AS INT) AS fold_id, {COUNTERS} FROM decisions GROUP BY 1) WHERE fold_id <> 2"))
+def published_folds(spark, d):
+    """Folds published by rename, one of them excluded, one without its mark; the others' tables with the names of their folders."""
+    base, got = T.scratch(spark, "folds"), policy.decide(A.scores(spark, d), carry=("agent", "fold_id"), success_thr=0.95, failure_thr=0.95)
+    counted = got.groupBy("fold_id").agg(*metrics.counters())
+    for i in range(3):
+        T.publish(spark, f"{base}/{i}__model{i}", {"summary": counted.filter(F.col("fold_id") == i).drop("fold_id")})
+        again = T.publish(spark, f"{base}/{i}__model{i}", {})
+        assert not again
+    T.write_table(counted.drop("fold_id"), f"{base}/9__cut_off/summary.parquet")
+    return T.read_folds(spark, base, ["summary"], excluded=["2__model2"])["summary"]
+
+
+@query("SELECT p_partkey AS instance_id, trim(p_name) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE chr(10) || chr(10) || 'Hints:' || chr(10) || trim(p_brand) END AS prompt, CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE p_type END AS agent FROM part")
+def task_prompts(spark, d):
+    """Texts of tasks with their hints; the first column that names an agent."""
+    k = F.col("p_partkey") % 12
+    p = A.table(spark, d, "part").withColumn("hints", F.when(k % 3 == 0, "  ").otherwise(F.col("p_brand"))).withColumn("named", F.when(k % 12 == 0, "nan").when(k % 12 == 4, "__MISSING__").when(k % 12 == 8, " ").otherwise(F.col("p_type")))
+    j = T.prompts(p, key="p_partkey", problem="p_name", hints="hints")
+    return j.join(p.select("p_partkey", T.agent_column("named", "p_brand").alias("agent")), "p_partkey").withColumnRenamed("p_partkey", "instance_id")
+
+
+_SAID = """said AS (SELECT conv_id AS traj_id, 'm' || CAST(conv_id % 4 AS VARCHAR) AS model_id, CAST(turn AS INT) AS prefix_step_idx, string_agg(nullif(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS context FROM conversations),
+  counted AS (SELECT traj_id, model_id, prefix_step_idx, CAST(len(list_filter(regexp_split_to_array(coalesce(context, ''), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')) AS BIGINT) AS context_tokens FROM said)"""
+
+
+def _words():
+    return lambda t: len(t.split())
+
+
+@query(f"WITH {_SAID} SELECT model_id, 'tokenizer_exact' AS method, count(*) AS rows, count(DISTINCT traj_id) AS trajectories, CAST(sum(context_tokens) AS BIGINT) AS context_tokens, max(context_tokens) AS longest FROM counted GROUP BY model_id")
+def full_prefix_tokens(spark, d):
+    """The whole text up to each turn counted anew, by model and method."""
+    c = A.table(spark, d, "conversations").select(F.col("conv_id").alias("traj_id"), F.concat(F.lit("m"), (F.col("conv_id") % 4).cast("string")).alias("model_id"), F.col("turn").cast("int").alias("prefix_step_idx"), "text")
+    return tokens.method_summary(tokens.full_prefix_tokens(c, _words))
+
+
+@query(f"WITH {_TOK} SELECT traj_id, model_id, prefix_step_idx, context_tokens FROM tok")
+def token_cache(spark, d):
+    """Counts by way of a cache that has a part of them; other settings have shards of their own."""
+    path, steps = T.scratch(spark, "token-cache"), A.turns(spark, d)
+    count = lambda rows: tokens.token_rows(rows, "chars_per_token")
+    tokens.cached(spark, path, steps.filter("prefix_step_idx < 3"), count, {"mode": "other"})
+    tokens.cached(spark, path, steps.filter("model_id = 'm1'"), count, {"mode": "chars_per_token"})
+    return tokens.cached(spark, path, steps, count, {"mode": "chars_per_token"})
+
+
+@query("SELECT 'all' AS run, o_orderpriority AS priority, CAST(CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END AS INT) AS place, count(*) AS orders FROM orders GROUP BY o_orderpriority")
+def report_rows(spark, d):
+    """Rows in the order of a list, a leading column, chosen headings."""
+    o = A.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    o = o.withColumn("place", reports.position("o_orderpriority", ["5-LOW", "1-URGENT"]))
+    return reports.display(reports.with_meta(reports.in_order(o, "o_orderpriority", ["5-LOW", "1-URGENT"]), run="all"), {"run": "run", "o_orderpriority": "priority", "place": "place", "n": "orders", "absent": "absent"})
+
+
+@query("SELECT DISTINCT o_orderpriority AS o_orderpriority, CAST(NULL AS DOUBLE) AS input_price, CAST(NULL AS DOUBLE) AS output_price FROM orders")
+def price_template(spark, d):
+    """One row of each key, prices to be filled in."""
+    return reports.template(A.table(spark, d, "orders"), ("o_orderpriority",), input_price="double", output_price="double")
+
+
+_COUNTS = "c AS (SELECT CAST(fold_id AS VARCHAR) AS benchmark, count(*) AS prefixes, count(DISTINCT traj_id) AS trajectories FROM prefix_scores GROUP BY fold_id)"
+
+
+@query(f"WITH {A.SCORES}, {_COUNTS} SELECT * FROM c UNION ALL SELECT 'All benchmarks', CAST(sum(prefixes) AS BIGINT), CAST(sum(trajectories) AS BIGINT) FROM c")
+def benchmark_counts(spark, d):
+    """Prefixes and trajectories of each benchmark and of all."""
+    c = A.scores(spark, d).groupBy(F.col("fold_id").cast("string").alias("benchmark")).agg(F.count(F.lit(1)).alias("prefixes"), F.count_distinct("traj_id").alias("trajectories"))
+    return reports.with_total(c, "benchmark", "All benchmarks", ["prefixes", "trajectories"])
+
+
+@query(f"WITH {_LOO}, s AS (SELECT test_model, split, count(*) AS rows, count(DISTINCT traj_id) AS trajectories FROM sp GROUP BY test_model, split) SELECT split, count(DISTINCT test_model) AS folds, bool_and(rows = trajectories) AS all_ok, round(avg(CAST(rows AS DOUBLE)), 6) AS mean_rows, CAST(sum(rows) AS BIGINT) AS rows FROM s GROUP BY split")
+def split_index(spark, d):
+    """Splits of all folds, and whether all are sound (no trajectory twice)."""
+    s = splits.split_summary(splits.leave_one_model(A.pairs(spark, d)), ("test_model", "split")).withColumn("ok", F.col("rows") == F.col("trajectories"))
+    return reports.split_index(s, ("split",)).withColumn("mean_rows", F.round("mean_rows", 6))
+
+
+@query("SELECT event_type, count(*) AS repeats, round(1000 * avg(value), 6) AS mean_ms, round(1000 * quantile_cont(value, 0.5), 6) AS median_ms, round(1000 * quantile_cont(value, 0.95), 6) AS p95_ms, round(sum(event_id) / sum(value), 6) AS per_second FROM events GROUP BY event_type")
+def latency_stats(spark, d):
+    """The statistics of measured times, here over the events' values."""
+    t = reports.timings(A.table(spark, d, "events"), "value", "event_id", ("event_type",))
+    return t.withColumns({c: F.round(c, 6) for c in ("mean_ms", "median_ms", "p95_ms", "per_second")})
+
+
+@query(f"WITH {_CAND}, {A.SCORES}, {_ALLPOL}, c AS (SELECT candidate_ord, {COUNTERS} FROM decisions GROUP BY candidate_ord) SELECT candidate_ord, success_thr, 100.0::DOUBLE * (true_positives / nullif(CAST(decided_success AS DOUBLE), 0)) AS precision_pct, 100.0::DOUBLE * ((false_positives - false_negatives) / CAST(original_total AS DOUBLE)) AS resolve_rate_change_pp FROM c JOIN cand USING (candidate_ord) WHERE abs(success_thr - 0.8) < 1e-8")
+def summary_at_threshold(spark, d):
+    """Percents from shares, the change made anew, at one threshold."""
+    c = _candidates(spark)
+    got = policy.evaluate(A.scores(spark, d), c).groupBy("candidate_ord").agg(*metrics.counters()).withColumns({"precision": X.safe_div("true_positives", "decided_success", None), "resolve_rate_change_pp": F.lit(0.0)})
+    got = reports.normalised_summary(got, ["precision", "absent"]).join(c.select("candidate_ord", "success_thr"), "candidate_ord")
+    return reports.at_threshold(got, "success_thr", 0.8).select("candidate_ord", "success_thr", "precision_pct", "resolve_rate_change_pp")

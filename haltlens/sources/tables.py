@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,9 +121,106 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """A landed folder as path, bytes, sha256."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def files(spark: SparkSession, path: str, pattern: str = "*", *, most: int = 64 << 20) -> DataFrame:
+    """A landed folder as path, bytes, sha256; files beyond ``most`` bytes are not read and have no digest."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    small = found.filter(F.col("length") <= most).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(found.filter(F.col("length") > most).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256")))
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="haltlens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish(spark: SparkSession, path: str, named: dict[str, DataFrame], kind: str = "parquet") -> bool:
+    """Writes tables beside each other and shows them at once: all go to a hidden folder, which is renamed, and then marked as done. False: it was done before."""
+    p, fs = _file_system(spark, path)
+    mark, hidden = p.suffix("/_SUCCESS"), f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
+    if fs.exists(mark):
+        return False
+    for name, df in named.items():
+        write_table(df, f"{hidden}/{name}.{kind}")
+    fs.delete(p, True)
+    if not fs.rename(_file_system(spark, hidden)[0], p):
+        raise OSError(f"cannot publish {path}")
+    fs.create(mark, True).close()
+    return True
+
+
+def done_folds(spark: SparkSession, base: str, excluded: Iterable[str] = ()) -> list[tuple[str, str]]:
+    """Name and path of each fold folder below ``base`` that is marked as done and not excluded, in order."""
+    p, fs = _file_system(spark, base)
+    found = [(x.getPath().getName(), x.getPath().toString()) for x in fs.listStatus(p) if x.isDirectory() and fs.exists(x.getPath().suffix("/_SUCCESS"))]
+    return sorted(f for f in found if f[0] not in set(excluded))
+
+
+def read_folds(spark: SparkSession, base: str, names: Iterable[str], *, excluded: Iterable[str] = (), kind: str = "parquet", schemas: dict[str, T.StructType] | None = None) -> dict[str, DataFrame]:
+    """Tables of all done folds, each read by one scan, with fold_id and test_model from the folder's name (``<fold_id>__<test_model>``)."""
+    folds, out = done_folds(spark, base, excluded), {}
+    if not folds:
+        raise ValueError(f"no fold is done below {base}")
+    for name in names:
+        r = spark.read if not schemas or name not in schemas else spark.read.schema(schemas[name])
+        paths = [f"{path}/{name}.{kind}" for _, path in folds]
+        df = r.parquet(*paths) if kind == "parquet" else r.csv(paths, header=True, inferSchema=not schemas or name not in schemas, sep="\t" if kind == "tsv" else ",")
+        fold = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{name}\.{kind}/[^/]+$", 1)
+        out[name] = df.select("*", F.substring_index(fold, "__", 1).alias("fold_id"), F.regexp_extract(fold, "__(.*)$", 1).alias("test_model"))
+    return out
+
+
+def metadata(df: DataFrame) -> DataFrame:
+    """Rows and columns of a table, one row each column; counting reads footers only."""
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.posexplode(F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type")) for f in df.schema])).alias("position", "c")).select("rows", "position", "c.*")
+
+
+def peek(df: DataFrame, column: str, default: str | None = None) -> str | None:
+    """A column's value in any one row."""
+    row = df.select(column).limit(1).first() if column in df.columns else None
+    return default if row is None or row[0] is None else row[0]
+
+
+def prompts(df: DataFrame, *, key: str = "instance_id", problem: str = "problem_statement", hints: str = "hints_text") -> DataFrame:
+    """Task texts by instance: the problem and, where there are any, its hints."""
+    hint = F.trim(F.coalesce(F.col(hints), F.lit("")))
+    return df.select(key, F.concat(F.trim(F.coalesce(F.col(problem), F.lit(""))), F.when(hint != "", F.concat(F.lit("\n\nHints:\n"), hint)).otherwise("")).alias("prompt"))
+
+
+def agent_column(*names: str) -> Column:
+    """The first of several columns that says something: no blank, no 'nan', no hidden name."""
+    said = [F.when(~F.trim(F.col(n)).isin("", "nan", "__MISSING__"), F.col(n)) for n in names]
+    return F.coalesce(*said)
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """JSON records of a file, each as text: lines, a list, an object with records, or one object."""
+    whole = spark.read.text(path, wholetext=suffix_of(path) != "jsonl").filter(F.trim("value") != "")
+    v, many = F.col("value"), "array<string>"
+    listed = F.coalesce(F.from_json(F.get_json_object(v, "$.records"), many), F.when(F.trim(v).startswith("["), F.from_json(v, many)), F.array(v))
+    return whole.select(F.explode(listed).alias("record"))
+
+
+def config(path: str) -> dict:
+    """A JSON or YAML file of settings; paths in ``paths`` that are not absolute are below the file's folder."""
+    if suffix_of(path) in ("yaml", "yml"):
+        try:
+            import yaml
+        except ModuleNotFoundError as e:
+            raise ValueError("YAML settings need the yaml module") from e
+        out = yaml.safe_load(Path(path).read_text()) or {}
+    else:
+        out = read_json(path)
+    below = lambda x: str(Path(path).resolve().parent / x)
+    return out | ({"paths": {k: below(v) for k, v in out["paths"].items()}} if isinstance(out.get("paths"), dict) else {})
 
 
 def scan_references(spark: SparkSession, path: str, needles: list[str]) -> DataFrame:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,50 @@ def test_splits_and_selection(spark):
     assert audit.value_counts(p.withColumn("n", F.lit(None).cast("int")), ["n"]).first().value == "__NULL__"
     with pytest.raises(Exception):
         metrics.single_value(p, ("model_id",), "instance_id").collect()
+
+
+def test_records_of_any_shape(spark, tmp_path):
+    shapes = {"a.json": '[{"x": 1}, {"x": 2}]', "b.json": '{"records": [{"x": 3}], "n": 1}', "c.json": '{"x": 4}', "d.jsonl": '{"x": 5}\n\n{"x": 6}\n'}
+    for name, text in shapes.items():
+        (tmp_path / name).write_text(text)
+    got = [[json.loads(r.record)["x"] for r in tables.records(spark, str(tmp_path / name)).collect()] for name in shapes]
+    assert got == [[1, 2], [3], [4], [5, 6]]
+
+
+def test_settings(tmp_path):
+    (tmp_path / "a.yaml").write_text("paths:\n  runs: out/runs\n  raw: /raw\ntargets: [0.9]\n")
+    pytest.importorskip("yaml")
+    c = tables.config(str(tmp_path / "a.yaml"))
+    assert c == {"paths": {"runs": str(tmp_path / "out/runs"), "raw": "/raw"}, "targets": [0.9]}
+    assert [X.flag(x) for x in (None, " ", "Yes", "0", "on")] == [False, False, True, False, True] and X.flag(None, True)
+
+
+def test_peek_and_manifest(spark, tmp_path):
+    df = spark.createDataFrame([("a", None)], "x string, y string")
+    assert (tables.peek(df, "x"), tables.peek(df, "y", "d"), tables.peek(df, "z", "d")) == ("a", "d", "d")
+    (tmp_path / "big.bin").write_bytes(b"x" * 100)
+    (tmp_path / "small.bin").write_bytes(b"x")
+    assert {r.bytes: r.sha256 is None for r in tables.files(spark, str(tmp_path), most=50).collect()} == {100: True, 1: False}
+    with pytest.raises(ValueError):
+        tables.read_folds(spark, str(tmp_path), ["summary"])
+
+
+def test_stages_go_on_where_they_ended(spark, tmp_path):
+    from haltlens.plans import stages
+    from haltlens.sources import adapters
+
+    s, run = adapters.scores(spark, "/root/testdata/sf0.001"), str(tmp_path / "run")
+    assert stages.run_stages(spark, s, run, targets=[0.6], last="splits") == ["plan", "audit", "splits"]
+    assert stages.run_stages(spark, s, run, targets=[0.6]) == ["sweep", "summary"] and stages.run_stages(spark, s, run, targets=[0.6]) == []
+    assert tables.read_table(spark, f"{run}/summary/summary.parquet").first().folds == 3
+    with pytest.raises(ValueError):
+        stages.run_stages(spark, s, run, targets=[0.6], last="none")
+
+
+def test_token_modes(spark):
+    steps = spark.createDataFrame([(1, "m", i, "a b", 3, 0, 0, 0, 0) for i in range(3)], "traj_id long, model_id string, prefix_step_idx int, text string, task_chars long, action_chars long, feedback_chars long, assistant_chars long, thought_chars long")
+    words = lambda: lambda t: len(t.split())
+    assert sorted(r.context_tokens for r in tokens.token_rows(steps, "model", words).collect()) == [2, 4, 6]
+    assert sorted(r.context_tokens for r in tokens.token_rows(steps.withColumn("task_text", F.lit("x y z")), "component_sum_approx", words).collect()) == [3, 3, 3]
+    with pytest.raises(ValueError):
+        tokens.token_rows(steps, "model")
