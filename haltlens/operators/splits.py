@@ -76,9 +76,11 @@ def split_summary(rows: DataFrame, by: tuple[str, ...] = ("split",)) -> DataFram
 def leakage(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per fold: trajectories, models, instances and (instance, model) pairs that more than one split has, and those of them that test has. One pass: each row says its four keys, map-side combined."""
     kinds = {"trajectories": ("traj_id",), "models": ("model_id",), "instances": ("instance_id",), "pairs": ("instance_id", "model_id")}
-    said = [F.struct(F.lit(k).alias("kind"), F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]).alias("key")) for k, cols in kinds.items()]
-    keys = rows.select(*by, "split", F.explode(F.array(*said)).alias("k")).select(*by, "k.kind", "k.key", "split")
-    shared = keys.groupBy(*by, "kind", "key").agg((F.min("split") != F.max("split")).alias("c"), F.bool_or(F.col("split") == "test").alias("t"))
+    said = [F.struct(F.lit(i).alias("kind"), F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]).alias("key")) for i, cols in enumerate(kinds.values())]
+    # numbers, so that the aggregation stays in a hash table
+    one = rows.select(*by, *sorted({c for cols in kinds.values() for c in cols}), F.xxhash64("split").alias("_s"), (F.col("split") == "test").cast("int").alias("_t"))
+    keys = one.select(*by, "_s", "_t", F.explode(F.array(*said)).alias("k")).select(*by, "k.kind", "k.key", "_s", "_t")
+    shared = keys.groupBy(*by, "kind", "key").agg((F.min("_s") != F.max("_s")).alias("c"), (F.max("_t") == 1).alias("t"))
     count = lambda k, more: F.count_if((F.col("kind") == k) & F.col("c") & more)
-    out = shared.groupBy(*by).agg(*[x for k in kinds for x in (count(k, F.lit(True)).alias(f"shared_{k}"), count(k, F.col("t")).alias(f"shared_{k}_with_test"))])
+    out = shared.groupBy(*by).agg(*[x for i, k in enumerate(kinds) for x in (count(i, F.lit(True)).alias(f"shared_{k}"), count(i, F.col("t")).alias(f"shared_{k}_with_test"))])
     return out.withColumn("ok", (F.col("shared_trajectories") == 0) & (F.col("shared_models_with_test") == 0) & (F.col("shared_pairs") == 0))
