@@ -6,7 +6,7 @@ trajectory is safe to call success, one of an unsolved trajectory safe to call f
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -71,6 +71,8 @@ class Head:
     constant: float | None = None
     slope: float | None = None
     shift: float | None = None
+    iterations: int | None = None
+    converged: bool | None = None
 
     def scored(self, rows: DataFrame, raw: str, calibrated: str) -> DataFrame:
         if self.model is None:
@@ -87,7 +89,9 @@ def fit_head(train: DataFrame, label: str, *, kind: str = "gbt", seed: int = 0,
     if len(classes) == 1:
         return Head(None, float(classes[0]))
     if kind == "lr":
-        return Head(LogisticRegression(labelCol=label, weightCol=weight, maxIter=100, regParam=0.01).fit(train))
+        lr = LogisticRegression(labelCol=label, weightCol=weight, maxIter=100, regParam=0.01)
+        m = lr.fit(train)
+        return Head(m, iterations=m.summary.totalIterations, converged=m.summary.totalIterations < lr.getMaxIter())
     return Head(GBTClassifier(labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=5, seed=seed).fit(train))
 
 
@@ -97,10 +101,10 @@ def calibrate(head: Head, valid: DataFrame, label: str, weight: str = "sample_we
     if head.model is None or rows.select(label).distinct().count() < 2:
         return head
     m = LogisticRegression(featuresCol="_v", labelCol=label, weightCol=weight).fit(rows)
-    return Head(head.model, head.constant, float(m.coefficients[0]), float(m.intercept))
+    return replace(head, slope=float(m.coefficients[0]), shift=float(m.intercept))
 
 
-def run_fold(rows: DataFrame, f: FeatureSet, *, predictor: str = "gbt", kind: str = "gbt", min_step: int = 10) -> tuple[DataFrame, PipelineModel]:
+def run_fold(rows: DataFrame, f: FeatureSet, *, predictor: str = "gbt", kind: str = "gbt", min_step: int = 10, rounds: int = 20) -> tuple[DataFrame, PipelineModel]:
     """``rows`` with split (train, valid, test): fitted on train, calibrated on valid; valid and test with their probability columns."""
     data = safe_targets(prepared(rows, f), min_step)
     features = feature_pipeline(f).fit(data.filter("split = 'train'"))
@@ -108,6 +112,24 @@ def run_fold(rows: DataFrame, f: FeatureSet, *, predictor: str = "gbt", kind: st
     out = data.filter("split in ('valid', 'test')")
     for i, head in enumerate(("success", "failure")):
         y = f"y_{head}"
-        h = calibrate(fit_head(data.filter("split = 'train'"), y, kind=kind, seed=97 * i), data.filter("split = 'valid'"), y)
+        h = calibrate(fit_head(data.filter("split = 'train'"), y, kind=kind, seed=97 * i, rounds=rounds), data.filter("split = 'valid'"), y)
         out = h.scored(out, f"prob_safe_{head}__{predictor}", f"prob_cal_safe_{head}__{predictor}")
     return out.drop("features"), features
+
+
+def one_hot(rows: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:
+    """A column of 0 and 1 for each value of a given vocabulary; other values, and none, are all 0."""
+    return rows.withColumns({f"{column}={v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in vocabulary})
+
+
+def run_variants(rows: DataFrame, variants: dict[str, FeatureSet], *, label: str = "y_success", min_step: int = 10) -> tuple[DataFrame, list[dict]]:
+    """One logistic head for each set of features, classes balanced: valid and test rows with prob_<variant>, and for each variant its iterations and whether they converged."""
+    data = balanced_weights(safe_targets(rows, min_step).filter("split = 'train'"), label)
+    out, told = safe_targets(rows, min_step).filter("split in ('valid', 'test')"), []
+    for name, f in variants.items():
+        model = feature_pipeline(f).fit(prepared(data, f))
+        head = fit_head(model.transform(prepared(data, f)), label, kind="lr")
+        kept = out.columns
+        out = head.scored(model.transform(prepared(out, f)), f"prob_{name}", f"_cal_{name}").select(*kept, f"prob_{name}")
+        told.append({"variant": name, "iterations": head.iterations, "converged": head.converged, "constant": head.constant})
+    return out, told

@@ -774,16 +774,77 @@ def unit_shards(spark, d):
 
 @query()
 def model_fold(spark, d):
-    """Fitted on train, calibrated on valid, scored on test; trees differ from other trainers, so that only rows are checked."""
+    """Fitted on train, calibrated on valid, scored on test; fitted numbers differ from other trainers', so that only rows are checked."""
     from haltlens.operators import features
 
+    out, _ = features.run_fold(_examples(spark, d), _features(), predictor="lr", kind="lr")
+    return out.select("traj_id", "prefix_step_idx", "split", "prob_safe_success__lr", "prob_cal_safe_success__lr", "prob_safe_failure__lr", "prob_cal_safe_failure__lr")
+
+
+def _features():
+    from haltlens.operators import features
+
+    known = features.columns_for(["value", "prefix_step_idx", "gold_value"], "process")
+    return features.FeatureSet(tuple(known), ("event_type",), ("words",), min_df=2, vocabulary=1000)
+
+
+def _examples(spark, d):
+    """Rows to learn from: the scores' steps with what the event was, split by trajectory."""
     s = A.scores(spark, d)
     e = A.table(spark, d, "events").select("user_id", "event_type", "value", "ts", "event_id")
     step = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int")
     x = e.select(F.col("user_id").alias("traj_id"), step.alias("prefix_step_idx"), "event_type", "value").join(s.select("traj_id", "prefix_step_idx", "label"), ["traj_id", "prefix_step_idx"])
     x = x.withColumns({"sample_weight": F.lit(1.0), "split": F.when(F.col("traj_id") % 5 == 0, "test").when(F.col("traj_id") % 5 == 1, "valid").otherwise("train"), "words": F.concat_ws(" ", "event_type", F.col("event_type"))})
-    out, _ = features.run_fold(x, features.FeatureSet(("value", "prefix_step_idx"), ("event_type",), ("words",), min_df=2, vocabulary=1000), predictor="lr", kind="lr")
-    return out.select("traj_id", "prefix_step_idx", "split", "prob_safe_success__lr", "prob_cal_safe_success__lr", "prob_safe_failure__lr", "prob_cal_safe_failure__lr")
+    return x
+
+
+@query(f"WITH {A.SCORES} SELECT traj_id, prefix_step_idx, CASE WHEN traj_id % 5 = 0 THEN 'test' ELSE 'valid' END AS split, 0.0::DOUBLE AS prob_safe_success__gbt, 0.0::DOUBLE AS prob_cal_safe_success__gbt, 0.0::DOUBLE AS prob_safe_failure__gbt, 0.0::DOUBLE AS prob_cal_safe_failure__gbt FROM prefix_scores WHERE traj_id % 5 IN (0, 1)")
+def constant_heads(spark, d):
+    """M4, M5: where training shows one class (no step is late enough to be safe), a head is that constant, calibrated or not."""
+    from haltlens.operators import features
+
+    out, _ = features.run_fold(_examples(spark, d), _features(), min_step=1_000_000)
+    return out.select("traj_id", "prefix_step_idx", "split", *[f"prob_{c}safe_{h}__gbt" for h in ("success", "failure") for c in ("", "cal_")])
+
+
+@query()
+def model_run(spark, d):
+    """M4, M7: boosted heads fitted on train, calibrated on valid, a policy chosen there, replayed on test; rows only, as trees differ between trainers."""
+    from haltlens.operators import features
+
+    out, _ = features.run_fold(_examples(spark, d), _features(), rounds=3)
+    s = out.select("traj_id", "prefix_step_idx", "label", "sample_weight", F.col("split").alias("part"), F.lit(0).alias("fold_id"), F.lit("gbt").alias("agent"), F.col("prob_cal_safe_success__gbt").alias("p_success"), F.col("prob_cal_safe_failure__gbt").alias("p_failure"))
+    targets = spark.createDataFrame([(t,) for t in _TARGETS], "target double")
+    return stages.sweep(s, _candidates(spark), targets, max_abs_drop_pp=5.0, min_save_pct=10.0)[1]
+
+
+@query()
+def model_variants(spark, d):
+    """M8: logistic heads over blocks of features, classes balanced, with iterations and convergence; rows only."""
+    from haltlens.operators import features
+
+    f = _features()
+    _, told = features.run_variants(_examples(spark, d), {"dense": features.FeatureSet(f.numeric, f.categorical), "text": features.FeatureSet(text=f.text, min_df=2), "all": f})
+    return spark.createDataFrame([(t["variant"], t["iterations"], t["converged"]) for t in told], "variant string, iterations int, converged boolean")
+
+
+@query("SELECT event_id, CAST(event_type = 'view' AS INT) AS \"event_type=view\", CAST(event_type = 'error' AS INT) AS \"event_type=error\", 0 AS \"event_type=none such\" FROM events")
+def fixed_one_hot(spark, d):
+    """Columns of a given vocabulary."""
+    from haltlens.operators import features
+
+    return features.one_hot(A.table(spark, d, "events").select("event_id", "event_type"), "event_type", ["view", "error", "none such"]).drop("event_type")
+
+
+@query(f"WITH {A.PAIRS} SELECT model_id || '__' || v AS fold_id, model_id AS test_model, p AS profile, v AS variant FROM (SELECT DISTINCT model_id FROM pairs) CROSS JOIN (SELECT unnest(['tokens', 'tokens', 'steps']) AS p, unnest(['no_text', 'no_numbers', 'late']) AS v) WHERE model_id <> 'model3' OR v <> 'late'")
+def job_plan(spark, d):
+    """Folds under variants of profiles, less those that are done."""
+    from haltlens.plans import jobs
+
+    base = T.scratch(spark, "jobs")
+    T.publish(spark, f"{base}/model3__late", {"summary": A.table(spark, d, "region")})
+    folds = A.pairs(spark, d).select("model_id").distinct()
+    return jobs.missing(spark, jobs.plan(folds, {"tokens": ["no_text", "no_numbers"], "steps": ["late"]}), base)
 
 
 # ---- whole runs
