@@ -7,7 +7,8 @@ stands, the predecessor is taken back and its end position is marked dead, so th
 compatibility is memoised. Encodings of matches that recur are kept in a bounded table per Python worker.
 
 Defined results: null text is empty text, which has no ids (digest of the empty string); special-token strings are ordinary
-text; texts of any length are encoded whole, one pattern match at a time; repeated rows give repeated results.
+text; texts of any length are encoded whole, one pattern match at a time, a few texts at a time; repeated rows give repeated results; an empty table stays
+empty; a null doc_id is kept; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import only, sliced
 
 #: Matches whose encodings a worker keeps; the table starts anew beyond it.
 CACHED = 400_000
@@ -152,7 +153,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             ids = [c.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -164,7 +165,7 @@ def decode_ids(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             data = [c.decode(i or ()) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "bytes"])
 
@@ -177,7 +178,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         c = codec(ranks_path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+        for b in sliced(batches):
             n, of_ids, of_text = [], [], []
             for t in b.column("text"):
                 ids, said = c.encode_text(t.as_py() or "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Read from the session; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Read from the session; a temporary one only where none is set and all is one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         base = tempfile.mkdtemp(prefix="haltlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -7,7 +7,8 @@ way round, from a longest-common-subsequence alignment. A finding is accepted if
 
 Defined results: null or empty text has no blocks; a text may hold several licenses, each its own row, in order of their place; equal
 savings rank by template name; repeated rows give repeated findings; whole texts are scanned, a very long run of lines in
-windows that overlap by the longest template, so that no notice is cut.
+windows that overlap by the longest template, so that no notice is cut. A null doc_id is kept; an empty table has no findings; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import only, sliced
 
 # Published notices of common licenses, by SPDX identifier.
 TEMPLATES = {
@@ -181,7 +182,7 @@ def scan_documents(docs: DataFrame, **params) -> DataFrame:
     """One row for each finding in ``docs`` (doc_id, text)."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [(d, *f) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")) if t.is_valid and (s := t.as_py()) and _SIGN.search(s) for f in scan(s, **params)]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
 

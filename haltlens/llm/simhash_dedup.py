@@ -12,7 +12,8 @@ own cell, at 1 in the own cell of the smaller fingerprint, at 2 in a cell betwee
 *different* fingerprints; of unrelated fingerprints about 1 pair in 27,000 shares a half, and the comparison is part of the join.
 
 Defined results: null text is empty text, whose fingerprint is zero and links like any other; a null doc_id keeps its
-fingerprint and takes the component's smallest known id; repeated rows stay rows; other columns are ignored.
+fingerprint and takes the component's smallest known id; repeated rows stay rows; very long texts are hashed
+whole, a few at a time; an empty table stays empty; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import only, sliced, written
 from .components import components
 
 #: Hashes turned to bits at a time; 64 bytes each.
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     """doc_id and fp (long) of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fp = [fingerprint(t.as_py(), shingle, seed) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 

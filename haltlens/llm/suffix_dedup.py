@@ -10,12 +10,14 @@ parts. Windows in a row with one anchor travel as one piece. Before texts move,
 which occur in two documents, and only windows of such anchors become pieces (equal windows have equal anchors, so none
 is lost; a chance collision only adds a piece). Equal pieces are merged per slice before they move and again in their shard.
 
-Steps, each an aggregation or join by slice, bucket or shard: slices of about a megabyte of documents, written once; anchors
+Steps, each an aggregation or join by slice, bucket or shard: slices of about four megabytes of documents, written once; anchors
 by bucket; their repeats back by slice; pieces by shard; covered stretches back by slice. Buckets and shards grow with the input, so
-that a task's memory does not. Work is linear in the text, and in the repeated text for the transform.
+that a task's memory does not. Work is linear in the text, and in the repeated text for the transform: a piece all of whose occurrences are equal and
+that shares no stretch beside its anchor with another piece is covered or not by its least document alone, and is left out of it.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; rows of equal doc_id are no source for each other; a null
-doc_id counts as larger than all others; bytes are UTF-8; other columns are ignored; no documents give no rows.
+doc_id counts as larger than all others; bytes are UTF-8; a slice holds one document at least, however long it is; other columns, whatever their names, are
+ignored; no documents give no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Block bytes: magic, header of 8 unsigned 64-bit numbers (documents, ids, lanes,
 CRC of ids, CRC of words), null mask and doc_ids, lengths, word offset and states of each checkpoint, words; little-endian.
 
 Defined results: null or empty text is the end id alone; a null doc_id sorts first and is kept; rows with equal doc_id stay
-apart, ordered by their ids; no documents give no blocks. A block larger than the target is one very long document.
+apart, ordered by their ids; no documents give no blocks. A block larger than the target is one very long document; texts are
+tokenized some eight megabytes at a time. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ holds ln a above and the hash below, so that both aggregations keep fixed-width
 
 Defined results: null text is empty text; an empty text has no terms, its fingerprint is all zeros, like only to another such
 one (1.0); rows of one doc_id are told apart by their text and ordered by its hash, exact repeats share one result each; a null doc_id sorts before all
-others; a single document is its own next one.
+others; a single document is its own next one; very long texts are taken whole; an empty table stays empty; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -382,6 +382,20 @@ def test_licenses_below_the_first_ranks(start):
     assert [x[1] for x in license_scan.scan(start + " Portions released under the MIT License.")] == ["MIT"]
 
 
+def test_no_notice_is_lost_to_the_choice_of_blocks(monkeypatch):
+    """Notices with words dropped, in filler: the same findings as where every word may begin a block."""
+    rng, texts = random.Random(6), []
+    for forms in license_scan.TEMPLATES.values():
+        for form in forms:
+            for _ in range(3):
+                w = [x for x in form.split() if rng.random() > 0.06]
+                fill = [f"w{rng.randint(0, 99)}" for _ in range(60)]
+                texts.append(" ".join([*fill[:30], *w, *fill[30:]]))
+    found = [[x[1] for x in license_scan.scan(t)] for t in texts]
+    monkeypatch.setattr(license_scan, "_SIGN", re.compile(r"[A-Za-z0-9]+"))
+    assert found == [[x[1] for x in license_scan.scan(t)] for t in texts] and sum(map(len, found)) > len(texts) / 2
+
+
 @pytest.mark.parametrize("name, kind", [("GPL-3.0", ""), ("LGPL-3.0", "Lesser "), ("AGPL-3.0", "Affero ")])
 def test_long_gnu_notices(name, kind):
     text = f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
