@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -129,9 +130,11 @@ def files(spark: SparkSession, path: str, pattern: str = "*", *, most: int = 64
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """A new path in the folder that driver and executors share; a temporary one only where the session names none and all is one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         base = tempfile.mkdtemp(prefix="haltlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
