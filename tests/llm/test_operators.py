@@ -685,3 +685,22 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long"), "t").collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert components.components(spark.createDataFrame([], "u long, v long"), "t").count() == 0
+
+
+def test_edit_distance_within():
+    r = random.Random(5)
+    for size, rounds in ((14, 1500), (120, 25)):
+        for _ in range(rounds):
+            signs = [chr(0x10000 + i) for i in range(r.choice([2, 8, 300]))]
+            x = [r.choice(signs) for _ in range(r.randint(0, size))]
+            y = list(x)
+            for _ in range(r.randint(0, size // 3)):
+                at = r.randint(0, len(y))
+                y[at : at + r.randint(0, 1)] = r.choice([[], [r.choice(signs)]])
+            row = list(range(len(y) + 1))
+            for i, a in enumerate(x, 1):
+                last, row[0] = row[0], i
+                for j, b in enumerate(y, 1):
+                    last, row[j] = row[j], min(last + (a != b), row[j] + 1, row[j - 1] + 1)
+            for allowed in {0, 1, max(0, row[-1] - 1), row[-1], row[-1] + 1}:
+                assert fuzzy_lines.within("".join(x), "".join(y), allowed) == (row[-1] <= allowed)
