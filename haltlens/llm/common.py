@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: What Unicode-unaware word splitting treats as white space, everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The folder of a local session that names none.
+_OWN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir names no shared folder")
-        base = tempfile.mkdtemp(prefix="haltlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:  # the setting cannot be changed in a running session
+            _OWN.append(tempfile.mkdtemp(prefix="haltlens-"))
+        base = _OWN[0]
     return base.rstrip("/")
 
 

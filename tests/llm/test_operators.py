@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from haltlens.llm import byte_bpe, components, fuzzy_lines, license_scan, packing, pii, quality_rules, simhash_dedup, suffix_dedup, token_rans, weighted_minhash
+from haltlens.llm import byte_bpe, common, components, fuzzy_lines, license_scan, packing, pii, quality_rules, simhash_dedup, suffix_dedup, token_rans, weighted_minhash
 
 WORDS = P.path("word_bpe_49k.json")
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -704,3 +705,10 @@ def test_edit_distance_within():
                     last, row[j] = row[j], min(last + (a != b), row[j] + 1, row[j - 1] + 1)
             for allowed in {0, 1, max(0, row[-1] - 1), row[-1], row[-1] + 1}:
                 assert fuzzy_lines.within("".join(x), "".join(y), allowed) == (row[-1] <= allowed)
+
+
+def test_shared_dir_where_none_is_named():
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master=master))
+    assert common.shared_dir(session("local[2]")) == common.shared_dir(session("local"))
+    with pytest.raises(ValueError):
+        common.shared_dir(session("spark://host:7077"))
