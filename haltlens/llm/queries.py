@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fuzzy_lines, license_scan, packing, pii, quality_rules, simhash_dedup, suffix_dedup, token_rans, weighted_minhash
+from . import byte_bpe, change_points, fuzzy_lines, license_scan, packing, pii, quality_rules, simhash_dedup, suffix_dedup, token_rans, weighted_minhash
 from .common import table
 
 
@@ -66,5 +66,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_token_rans, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_weighted_minhash, op8_byte_bpe, op9_fuzzy_lines, op10_simhash_dedup)}
-SQL: dict[str, str] = {}
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change_points.change_points(table(spark, sf_dir, "sale_lines"), "vendor_id", "shipped_at", "quantity", where=F.col("flag") == "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_token_rans, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_weighted_minhash, op8_byte_bpe, op9_fuzzy_lines, op10_simhash_dedup, op11_change_points)}
+SQL: dict[str, str] = {"op11_change_points": change_points.SQL}
