@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, change_points, collocations, fuzzy_lines, license_scan, packing, pii, quality_rules, simhash_dedup, suffix_dedup, token_rans, weighted_minhash
+from . import byte_bpe, change_points, collocations, fuzzy_lines, license_scan, main_text, packing, pii, quality_rules, simhash_dedup, suffix_dedup, token_rans, weighted_minhash
 from .common import table
 
 
@@ -74,5 +74,9 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_token_rans, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_weighted_minhash, op8_byte_bpe, op9_fuzzy_lines, op10_simhash_dedup, op11_change_points, op12_collocations)}
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_token_rans, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_weighted_minhash, op8_byte_bpe, op9_fuzzy_lines, op10_simhash_dedup, op11_change_points, op12_collocations, op13_main_text)}
 SQL: dict[str, str] = {"op11_change_points": change_points.SQL, "op12_collocations": collocations.SQL}
