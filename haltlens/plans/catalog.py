@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haltlens.functions import scalars as X
-from haltlens.operators import audit, metrics, parse, policy, ranking, reports, select, splits, tokens
+from haltlens.operators import audit, layouts, metrics, parse, policy, ranking, reports, select, splits, tokens
 from haltlens.plans import stages
 from haltlens.sources import adapters as A
 from haltlens.sources import tables as T
@@ -716,7 +716,7 @@ def _logs(spark, d):
 @query("SELECT CAST(conv_id AS VARCHAR) AS traj_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS step_idx, 'run ' || turn || ' now' AS action_text, 'log' AS tool_name FROM conversations")
 def parse_logs(spark, d):
     """N4, N9, N10, N11."""
-    return parse.parsed(_logs(spark, d)).select("traj_id", "step_idx", "action_text", "tool_name")
+    return parse.parsed(_logs(spark, d), nested=False).select("traj_id", "step_idx", "action_text", "tool_name")
 
 
 @query("SELECT conv_id AS traj_id, list('run ' || turn || ' now' ORDER BY turn)[1:5] AS actions FROM conversations GROUP BY conv_id")
@@ -743,7 +743,7 @@ def parse_step_fields(spark, d):
     m = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"), F.array(F.struct(F.col("turn").cast("string").alias("id"), F.struct(F.lit("bash").alias("name"), F.concat(F.lit('{"command": "pytest '), F.col("turn").cast("string"), F.lit('"}')).alias("arguments")).alias("function"))).alias("tool_calls"))))
     m = m.otherwise(F.to_json(F.struct(F.lit("tool").alias("role"), (F.col("turn") - 1).cast("string").alias("tool_call_id"), F.concat(F.lit("2 failed, 1 passed "), F.col("text")).alias("content"))))
     files = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", m.alias("m")))).alias("t")).select(F.col("conv_id").alias("traj_id"), F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["m"]), ","), F.lit("]")).alias("text"))
-    return parse.with_step_fields(parse.parsed(files))
+    return parse.with_step_fields(parse.parsed(files, nested=False))
 
 
 @query(f"""WITH {_STEPS}, n AS (SELECT traj_id, CAST(count(*) AS INT) AS n_steps FROM step GROUP BY traj_id), k AS (SELECT traj_id, n_steps, CAST(unnest(range(0, n_steps + 1)) AS INT) AS k FROM n)
@@ -755,6 +755,36 @@ def prefix_features(spark, d):
     return parse.prefixes(parse_step_fields(spark, d))
 
 
+def _nested(spark, d):
+    """Conversations in the four nested layouts."""
+    c = A.table(spark, d, "conversations").withColumn("t", F.col("turn").cast("string"))
+    j, o = F.to_json, F.struct
+    lit = lambda **k: o(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in k.items()])
+    thinks = F.col("role") == "system"
+    item = F.concat(F.lit('{"observation":[{"text":"'), "role", F.lit('"},{"content":"seen"}],'), F.substring(j(lit(response=F.col("text"), action=F.concat(F.lit("run "), "t"))), F.lit(2), F.lit(1 << 30)))
+    calls = F.concat(F.lit("["), j(lit(action=lit(action_args_class="a.b.ReadFile", path=F.concat(F.lit("f"), "t")), observation=lit(message=F.col("role")))), F.lit(","), j(lit(action=lit(name="Other", n=F.col("turn")), observation=F.concat(F.lit("plain "), "role"))), F.lit("]"))
+    node = F.concat(F.lit('{"thoughts":'), j(lit(text=F.col("text"))), F.lit(',"assistant_message":'), F.when(F.col("role") == "user", '""').otherwise(F.concat(F.lit('"said '), "t", F.lit('"'))), F.lit(',"action_steps":'), calls, F.lit("}"))
+    event = F.concat(F.lit('"'), (100 - F.col("turn")).cast("string"), F.lit('": '), F.when(thinks, j(lit(author_name="A Thought", message=F.col("text")))).otherwise(j(lit(author_name="bash", input_text=F.concat(F.lit('{"command": "run '), "t", F.lit('"}')), message=F.col("text")))))
+    g = c.groupBy("conv_id").agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", x.alias("x")))), lambda y: y["x"]), ",").alias(n) for n, x in (("items", item), ("nodes", node), ("events", event))])
+    of = lambda name, head, col, tail: o(F.concat(F.lit(f"{name}::"), F.col("conv_id").cast("string")).alias("traj_id"), F.concat(F.lit(head), F.col(col), F.lit(tail)).alias("text"))
+    return g.select(F.explode(F.array(of("items", '{"trajectory":[', "items", "]}"), of("nodes", '{"nodes":[', "nodes", "]}"), of("attempt", '{"best_attempt":2,"1":{},"2":{"traj":{', "events", "}}}"), of("events", "[{", "events", "}]"))).alias("f")).select("f.*")
+
+
+@query("""WITH c AS (SELECT *, count(*) FILTER (WHERE role <> 'system') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM conversations),
+  waiting AS (SELECT conv_id, part, string_agg(text, chr(10) ORDER BY turn) AS thought FROM c WHERE role = 'system' GROUP BY conv_id, part),
+  acts AS (SELECT c.conv_id, c.turn, 'run ' || c.turn AS action, c.text AS feedback, coalesce(w.thought, '') AS thought FROM c LEFT JOIN waiting w USING (conv_id, part) WHERE role <> 'system'),
+  every AS (
+    SELECT 'items::' || conv_id AS traj_id, turn, 1 AS part, text AS thought_text, 'run ' || turn AS action_text, role || chr(10) || 'seen' AS feedback_text, text AS assistant_content_text, 'sweagent' AS tool_name FROM conversations
+    UNION ALL SELECT 'nodes::' || conv_id, turn, 1, text, 'str_replace_editor view f' || turn, role, CASE WHEN role = 'user' THEN text ELSE 'said ' || turn END, 'ReadFile' FROM conversations
+    UNION ALL SELECT 'nodes::' || conv_id, turn, 2, text, 'Other {"name": "Other", "n": ' || turn || '}', 'plain ' || role, CASE WHEN role = 'user' THEN text ELSE 'said ' || turn END, 'Other' FROM conversations
+    UNION ALL SELECT w.name || '::' || conv_id, turn, 1, thought, action, feedback, trim(thought || chr(10) || action, ' ' || chr(10)), 'bash' FROM acts, (VALUES ('attempt'), ('events')) w(name))
+  SELECT traj_id, CAST(row_number() OVER (PARTITION BY traj_id ORDER BY turn, part) AS INT) AS step_idx, thought_text, action_text, feedback_text, assistant_content_text, tool_name FROM every""")
+def parse_layouts(spark, d):
+    """Nested layouts, in built-in expressions over VARIANT."""
+    files = _nested(spark, d)
+    return layouts.steps(files.withColumn("layout", layouts.layout_of(F.col("text"))))
+
+
 _UNITS = "units AS (SELECT * FROM (VALUES ('model1', 0, 'u10'), ('model1', 1, 'u11'), ('model3', 0, 'u30')) t(model_id, agent, unit))"
 
 
