@@ -160,15 +160,88 @@ def policy_candidates(spark, *, low: int, high: int, by: int = 1, shape: str = "
     return grid.select((F.row_number().over(order) - 1).cast("long").alias("candidate_ord"), name.alias("name"), "predictor", "score_mode", F.lit(mode).alias("policy_mode"), "success_thr", "failure_thr", "min_step", "consecutive")
 
 
+#: Different pairs of streak length and first step that are looked up; with more of them each row meets each policy.
+STREAKS = 32
+
+
 def evaluate(scores: DataFrame, policies: DataFrame, *, keys: tuple[str, ...] = ("traj_id",), most: int = 100_000, **rule) -> DataFrame:
-    """Decisions of every trajectory under every policy; each row meets each. Up to ``most`` policies are sent to all executors, a larger table is joined by blocks."""
+    """Decisions of every trajectory under every policy.
+
+    Under the usual rule (shared streaks, margin) no prefix meets a policy: see ``_looked_up``. Other rules, and tables of over ``most`` policies, replay each row for each policy; up to
+    ``most`` policies are then sent to all executors, a larger table is joined by blocks."""
     cols = ["candidate_ord", "policy_mode", "success_thr", "failure_thr", "min_step", "consecutive"]
-    longest, n = policies.agg(F.max("consecutive"), F.count(F.lit(1))).first()
+    longest, n, streaks = policies.agg(F.max("consecutive"), F.count(F.lit(1)), F.size(F.collect_set(F.struct("consecutive", "min_step")))).first()
     small = policies.select(*cols)
+    usual = rule.get("streak", "shared") == "shared" and rule.get("conflict", "margin") == "margin" and rule.get("opposite_max") is None and not rule.get("complement")
+    if usual and 0 < n <= most and streaks <= STREAKS:
+        return _looked_up(scores, small, keys, **{k: rule[k] for k in ("step", "saved", "carry") if k in rule})
     each = scores.crossJoin(F.broadcast(small) if n <= most else small)
     return decide(each, keys=(*keys, "candidate_ord"), success_thr=F.col("success_thr"), failure_thr=F.col("failure_thr"), min_step=F.col("min_step"), consecutive=1 if longest == 1 else F.col("consecutive"), mode=F.col("policy_mode"), **rule)
 
 
+def _looked_up(scores: DataFrame, policies: DataFrame, keys: tuple[str, ...], *, step: str = "prefix_step_idx", saved: str = "after", carry: tuple[str, ...] = ("agent",)) -> DataFrame:
+    """One row a trajectory, from which the decisions of all policies are read: one exchange, and never prefixes times policies.
+
+    A head has hit k steps in a row where the least of its last k scores reaches the threshold, so that the records of that sliding minimum tell the first such step of every
+    threshold. The earlier of the two heads' decides, unless both hit on some step until then (the table of such steps is kept): then a streak may have been
+    broken by the margin rule, and that one pair of trajectory and policy is replayed over the steps on which any policy can hit.
+    """
+    effective = lambda head, other: F.when(F.col("policy_mode") == f"{other}_only", F.lit(INF)).otherwise(F.col(f"{head}_thr").cast("double"))
+    p = policies.select("candidate_ord", effective("success", "failure").alias("ts"), effective("failure", "success").alias("tf"), F.col("consecutive").cast("int").alias("k"), F.col("min_step").cast("int").alias("m"))
+    told = p.agg(F.sort_array(F.collect_set(F.struct("k", "m"))).alias("streaks"), F.sort_array(F.collect_set("ts")).alias("ts"), F.sort_array(F.collect_set("tf")).alias("tf")).first()
+    streaks, thresholds = [tuple(x) for x in told["streaks"]], {"s": told["ts"], "f": told["tf"]}
+    place = lambda values, c: (F.array_position(F.array(*[F.lit(float(v)) for v in values]), F.col(c)) - 1).cast("int")
+    which = (F.array_position(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in streaks]), F.struct("k", "m")) - 1).cast("int")
+    table = p.select(F.struct("candidate_ord", "ts", "tf", "k", "m", place(thresholds["s"], "ts").alias("si"), place(thresholds["f"], "tf").alias("fi"), which.alias("w")).alias("p")).agg(F.collect_list("p").alias("policies")).withColumn("_one", F.lit(1))
+
+    known = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(-INF)), F.lit(-INF))
+    order = W.partitionBy(*keys).orderBy(step)
+    rows = scores.withColumns({"_s": known("p_success"), "_f": known("p_failure"), "_n": F.row_number().over(order)})
+    here = F.struct(F.col("_n").alias("n"), F.col(step).alias("at"), F.col("p_success").cast("double").alias("ps"), F.col("p_failure").cast("double").alias("pf"), F.col("_s").alias("s"), F.col("_f").alias("f"))
+    least = {}
+    for w, (k, m) in enumerate(streaks):
+        for head in ("s", "f"):
+            open_ = F.when(F.col(step) >= m, F.col(f"_{head}")).otherwise(F.lit(-INF))
+            least[f"_{head}{w}"] = F.when(F.col("_n") >= k, F.min(open_).over(order.rowsBetween(1 - k, 0)) if k > 1 else open_).otherwise(F.lit(-INF))
+    rows = rows.withColumns(least)
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({f"{c}r": F.when((F.col(c) > F.coalesce(F.max(c).over(before), F.lit(-INF))), F.struct(here.alias("x"), F.col(c).alias("v"))) for c in least})
+    low_s, low_f = (F.lit(float(min(thresholds[h]))) for h in ("s", "f"))
+    in_order = lambda c: F.array_sort(F.collect_list(c))
+    one = rows.groupBy(*keys).agg(
+        *[F.min_by(c, step).alias(c) for c in carry], F.min_by("label", step).alias("label"), F.count(F.lit(1)).alias("n_steps"),
+        in_order(F.when((F.col("_s") >= low_s) | (F.col("_f") >= low_f), here)).alias("_steps"), in_order(F.when((F.col("_s") >= low_s) & (F.col("_f") >= low_f), here)).alias("_both"),
+        *[in_order(f"{c}r").alias(c) for c in least],
+    )
+    first = lambda head, w: F.transform(F.array(*[F.lit(float(t)) for t in thresholds[head]]), lambda t: F.get(F.filter(f"_{head}{w}", lambda r: r["v"] >= t), F.lit(0))["x"])
+    hits = one.select(*keys, *carry, "label", "n_steps", "_steps", "_both", *[F.array(*[first(h, w) for w in range(len(streaks))]).alias(f"_{h}") for h in ("s", "f")], F.lit(1).alias("_one"))
+    pairs = hits.join(F.broadcast(table), "_one").withColumn("p", F.explode("policies")).drop("policies", "_one")
+    pairs = pairs.select(*keys, *carry, "label", "n_steps", "_steps", "_both", "p", *[F.get(F.get(f"_{h}", F.col("p.w")), F.col(f"p.{h}i")).alias(f"_{h}") for h in ("s", "f")])
+    until = F.least(F.col("_s.n"), F.col("_f.n"))
+    clash = until.isNotNull() & F.exists("_both", lambda x: (x["n"] <= until) & (x["s"] >= F.col("p.ts")) & (x["f"] >= F.col("p.tf")))
+    hit = "struct<n:int,at:bigint,ps:double,pf:double,d:int>"
+    as_hit = lambda x, d: F.struct(x["n"].cast("int").alias("n"), x["at"].cast("bigint").alias("at"), x["ps"].alias("ps"), x["pf"].alias("pf"), F.lit(d).cast("int").alias("d") if isinstance(d, int) else d.cast("int").alias("d"))
+
+    def replay(acc: Column, x: Column) -> Column:
+        ts, tf = F.col("p.ts"), F.col("p.tf")
+        hs, hf = (x["s"] >= ts) & (x["at"] >= F.col("p.m")), (x["f"] >= tf) & (x["at"] >= F.col("p.m"))
+        d = F.when(hs & hf, F.when(x["s"] - ts >= x["f"] - tf, 1).otherwise(-1)).when(hs, 1).when(hf, -1).otherwise(0)
+        run = F.when(d == 0, 0).when((d == acc["d"]) & (x["n"] == acc["n"] + 1), acc["run"] + 1).otherwise(1)
+        fires = acc["hit"].isNull() & (d != 0) & (run >= F.col("p.k"))
+        return F.struct(x["n"].cast("int").alias("n"), d.cast("int").alias("d"), run.cast("int").alias("run"), F.when(fires, as_hit(x, d)).otherwise(acc["hit"]).alias("hit"))
+
+    start = F.struct(F.lit(-1).alias("n"), F.lit(0).alias("d"), F.lit(0).alias("run"), F.lit(None).cast(hit).alias("hit"))
+    earlier = F.when(F.col("_f.n").isNull() | (F.col("_s.n") < F.col("_f.n")), as_hit(F.col("_s"), 1)).otherwise(as_hit(F.col("_f"), -1))
+    done = pairs.withColumn("_h", F.when(clash, F.aggregate("_steps", start, replay)["hit"]).when(until.isNotNull(), earlier))
+    d, decided = F.col("_h.d"), F.col("_h").isNotNull()
+    n = F.col("n_steps") - F.col("_h.n") if saved == "after" else F.greatest(F.col("n_steps") - F.col("_h.at") - 1, F.lit(0))
+    return done.select(
+        *keys, F.col("p.candidate_ord").alias("candidate_ord"), *carry, "label", "n_steps", decided.alias("decided"),
+        F.when(d == 1, "success").when(d == -1, "failure").otherwise("undecided").alias("decision"), F.coalesce("_h.at", F.lit(-1)).cast("int").alias("decision_step"),
+        F.when(d == 1, F.col("_h.ps")).when(d == -1, F.col("_h.pf")).alias("decision_score"), F.col("_h.ps").alias("prob_success"), F.col("_h.pf").alias("prob_failure"), F.coalesce(F.when(decided, n), F.lit(0)).cast("long").alias("saved_steps"),
+    )
+
+
 def cartesian_grid(scores: DataFrame, success_thrs: list[float], failure_thrs: list[float]) -> DataFrame:
     """Decisions for all pairs of thresholds (one step, margin rule): traj_id, success_thr, failure_thr, label, agent, n_steps, decision, decision_step, saved_steps.
 

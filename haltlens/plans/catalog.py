@@ -213,6 +213,17 @@ def policy_evaluation(spark, d):
     return metrics.summarize(got, ("candidate_ord", "fold_id"))
 
 
+_GRIDK = """cand AS (SELECT CAST(row_number() OVER (ORDER BY consecutive, a, b) - 1 AS BIGINT) AS candidate_ord, a / 100.0::DOUBLE AS success_thr, b / 100.0::DOUBLE AS failure_thr, 0 AS min_step, consecutive
+  FROM (SELECT unnest(range(30, 100, 10)) AS a) CROSS JOIN (SELECT unnest(range(30, 100, 10)) AS b) CROSS JOIN (SELECT unnest([1, 2, 3]) AS consecutive))"""
+
+
+@query(f"WITH {A.SCORES}, {_GRIDK}, {_ALLPOL} SELECT candidate_ord, agent, {COUNTERS} FROM decisions GROUP BY candidate_ord, agent")
+def policy_grid_streaks(spark, d):
+    """Pairs of thresholds under streaks of one to three steps, by agent."""
+    c = policy.policy_candidates(spark, low=30, high=99, by=10, shape="cartesian", consecutive=(1, 2, 3))
+    return policy.evaluate(A.scores(spark, d), c).groupBy("candidate_ord", "agent").agg(*metrics.counters())
+
+
 def _chosen_sql(variant_keys: str, strict: str, middle: str) -> str:
     acc, save, drop = "coalesce(decision_accuracy_pct, -100.0) / 100.0", "coalesce(pct_steps_saved, 0.0)", "abs(resolve_rate_drop_pp)"
     return f"""{_EVAL}, grid AS (SELECT *, {sql_rates()} FROM (SELECT candidate_ord, fold_id, {COUNTERS} FROM decisions GROUP BY candidate_ord, fold_id)),
@@ -922,9 +933,10 @@ def written_and_read(spark, d):
     """One table by lines of JSON, one by separated values, read by suffix under a fixed schema."""
     base = T.scratch(spark, "formats")
     r, n = A.table(spark, d, "region").select("r_regionkey", "r_name"), A.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    T.write_table(r, f"{base}/region.jsonl")
-    T.write_table(n, f"{base}/nation.tsv")
-    r, n = T.read_table(spark, f"{base}/region.jsonl", r.schema), T.read_table(spark, f"{base}/nation.tsv", n.schema)
+    T.write_table(r, f"{base}/region.json")
+    T.write_table(n.repartition(3), f"{base}/nation.tsv")
+    T.write_table(T.read_table(spark, f"{base}/nation.tsv", n.schema).repartition(2), f"{base}/nation.json")
+    r, n = T.read_table(spark, f"{base}/region.json", r.schema), T.read_table(spark, f"{base}/nation.json", n.schema)
     return r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).drop("n_regionkey")
 
 

@@ -34,7 +34,7 @@ def suffix_of(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet, csv, tsv, json (a list or one object) or jsonl, by suffix."""
+    """Parquet, csv, tsv, json (a list, one object, or what ``write_table`` wrote) or jsonl, by suffix."""
     r, kind = spark.read, suffix_of(path)
     if schema is not None:
         r = r.schema(schema)
@@ -42,13 +42,20 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         return r.parquet(path)
     if kind in ("csv", "tsv"):
         return r.csv(path, header=True, inferSchema=schema is None, sep="\t" if kind == "tsv" else ",")
-    if kind == "json":
+    if kind == "json" and not _lines(spark, path):
         return r.json(path, multiLine=True)
-    if kind == "jsonl":
+    if kind in ("json", "jsonl"):
         return r.json(path)
     raise ValueError(f"no reader for .{kind}")
 
 
+def _lines(spark: SparkSession, path: str) -> bool:
+    """Whether a ``.json`` path holds one object a line: a folder of parts as ``write_table`` leaves it. A file of its own is a list or one object."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory() and any(x.getPath().getName().startswith("part-") for x in fs.listStatus(p))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """By suffix, as Spark writes it: a folder of parts, committed as a whole with a _SUCCESS mark."""
     w, kind = df.write.mode(mode), suffix_of(path)

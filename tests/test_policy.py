@@ -151,3 +151,34 @@ def test_one_exchange_by_trajectory(spark, name, most, scans):
     """One exchange serves windows and decisions; what comes on top is the last aggregation."""
     found = exchanges(spark, name)
     assert found[0] <= most and found[1] <= scans
+
+
+def test_evaluate_equals_decide_for_streaks_and_clashes(spark):
+    """Every policy looked up from one row a trajectory decides as a replay of that policy alone; ties, NaN, nulls, first steps and single heads included."""
+    rng = random.Random(9)
+    levels = [0.2, 0.3, 0.3, 0.5, 0.5, 0.7, 0.9, 0.9, 1.0, float("nan"), None]
+    rows = [(t, i + (i > 4), t % 3, t % 2, rng.choice(levels), rng.choice(levels)) for t in range(60) for i in range(rng.randint(1, 25))]
+    df = spark.createDataFrame(rows, "traj_id long, prefix_step_idx int, agent int, label int, p_success double, p_failure double")
+    cases = [(ts, tf, m, k, mode) for ts in (0.3, 0.5, 0.9) for tf in (0.3, 0.7, 0.95) for m in (0, 3) for k in (1, 2, 3) for mode in ("dual",)] + [(0.5, 0.3, 0, 2, "success_only"), (0.3, 0.5, 3, 1, "failure_only")]
+    policies = spark.createDataFrame([(i, mode, ts, tf, m, k) for i, (ts, tf, m, k, mode) in enumerate(cases)], "candidate_ord long, policy_mode string, success_thr double, failure_thr double, min_step int, consecutive int")
+    cols = ("traj_id", "agent", "label", "n_steps", "decided", "decision", "decision_step", "decision_score", "saved_steps")
+    plain = lambda r: tuple(None if isinstance(r[c], float) and math.isnan(r[c]) else r[c] for c in cols)
+    for saved in ("after", "indexed"):
+        got = {}
+        for r in policy.evaluate(df, policies, saved=saved).collect():
+            got.setdefault(r.candidate_ord, set()).add(plain(r))
+        for i, (ts, tf, m, k, mode) in list(enumerate(cases))[:: 1 if saved == "after" else 9]:
+            want = policy.decide(df, success_thr=ts, failure_thr=tf, min_step=m, consecutive=k, mode=mode, saved=saved).collect()
+            assert got[i] == set(map(plain, want)), cases[i]
+    assert policy.evaluate(df.limit(0), policies).count() == 0
+
+
+def test_no_prefix_meets_a_policy(spark, tmp_path):
+    spark.range(50).selectExpr("id % 5 AS traj_id", "CAST(id AS INT) AS prefix_step_idx", "0 AS agent", "1 AS label", "0.5D AS p_success", "0.4D AS p_failure").write.parquet(str(tmp_path / "s"))
+    c = policy.policy_candidates(spark, low=30, high=99, shape="cartesian", consecutive=(1, 2, 3))
+    assert c.count() == 14_700
+    plan = policy.evaluate(spark.read.parquet(str(tmp_path / "s")), c)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("BroadcastNestedLoopJoin")
+    # all policies, as one row, meet one row a trajectory: what is below the join is the aggregation by trajectory
+    assert "Aggregate" in below.split("BroadcastExchange")[0] and "Join" not in below and "Join" not in above
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -10,13 +10,15 @@ from haltlens.sources import tables
 
 @pytest.mark.parametrize("kind", ["parquet", "csv", "tsv", "json", "jsonl"])
 def test_round_trip(spark, tmp_path, kind):
-    df = spark.createDataFrame([(1, "a"), (2, "b,c\td")], "i int, s string")
+    df = spark.createDataFrame([(1, "a"), (2, "b,c\td"), (3, "é [x]"), (4, None), (5, "{")], "i int, s string").repartition(3)
     path = str(tmp_path / f"t.{kind}")
+    want = sorted(((r.i, r.s) for r in df.collect()), key=repr)
+    tables.write_table(df, path)
+    assert sorted(((r.i, r.s) for r in tables.read_table(spark, path, df.schema).select("i", "s").collect()), key=repr) == want
     if kind == "json":
-        (tmp_path / "t.json").write_text('[{"i": 1, "s": "a"}, {"i": 2, "s": "b,c\\td"}]')
-    else:
-        tables.write_table(df, path)
-    assert sorted((r.i, r.s) for r in tables.read_table(spark, path).select("i", "s").collect()) == [(1, "a"), (2, "b,c\td")]
+        (tmp_path / "own.json").write_text('[{"i": 1, "s": "a"},\n {"i": 2, "s": "b"}]')
+        (tmp_path / "one.json").write_text('{\n"i": 1, "s": "a"}')
+        assert [tables.read_table(spark, str(tmp_path / f)).count() for f in ("own.json", "one.json")] == [2, 1]
 
 
 def test_rules_for_columns(spark, tmp_path):
