@@ -162,6 +162,8 @@ def policy_candidates(spark, *, low: int, high: int, by: int = 1, shape: str = "
 
 #: Different pairs of streak length and first step that are looked up; with more of them each row meets each policy.
 STREAKS = 32
+#: Policies from which on trajectories are not gathered into fewer tasks.
+MANY = 256
 
 
 def evaluate(scores: DataFrame, policies: DataFrame, *, keys: tuple[str, ...] = ("traj_id",), most: int = 100_000, **rule) -> DataFrame:
@@ -174,6 +176,8 @@ def evaluate(scores: DataFrame, policies: DataFrame, *, keys: tuple[str, ...] =
     small = policies.select(*cols)
     usual = rule.get("streak", "shared") == "shared" and rule.get("conflict", "margin") == "margin" and rule.get("opposite_max") is None and not rule.get("complement")
     if usual and 0 < n <= most and streaks <= STREAKS:
+        if n > MANY:  # little data, much work: as many tasks as the session is set to
+            scores = scores.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
         return _looked_up(scores, small, keys, **{k: rule[k] for k in ("step", "saved", "carry") if k in rule})
     each = scores.crossJoin(F.broadcast(small) if n <= most else small)
     return decide(each, keys=(*keys, "candidate_ord"), success_thr=F.col("success_thr"), failure_thr=F.col("failure_thr"), min_step=F.col("min_step"), consecutive=1 if longest == 1 else F.col("consecutive"), mode=F.col("policy_mode"), **rule)
@@ -183,8 +187,8 @@ def _looked_up(scores: DataFrame, policies: DataFrame, keys: tuple[str, ...], *,
     """One row a trajectory, from which the decisions of all policies are read: one exchange, and never prefixes times policies.
 
     A head has hit k steps in a row where the least of its last k scores reaches the threshold, so that the records of that sliding minimum tell the first such step of every
-    threshold. The earlier of the two heads' decides, unless both hit on some step until then (the table of such steps is kept): then a streak may have been
-    broken by the margin rule, and that one pair of trajectory and policy is replayed over the steps on which any policy can hit.
+    threshold. Nothing fires before the earlier of the two heads' steps, and it fires there unless the margin rule gave one of those k steps to the other head. Where it did, that one pair of trajectory
+    and policy is replayed from those k steps on: a few steps first, and all that follow only if none of them fires.
     """
     effective = lambda head, other: F.when(F.col("policy_mode") == f"{other}_only", F.lit(INF)).otherwise(F.col(f"{head}_thr").cast("double"))
     p = policies.select("candidate_ord", effective("success", "failure").alias("ts"), effective("failure", "success").alias("tf"), F.col("consecutive").cast("int").alias("k"), F.col("min_step").cast("int").alias("m"))
@@ -206,37 +210,53 @@ def _looked_up(scores: DataFrame, policies: DataFrame, keys: tuple[str, ...], *,
     rows = rows.withColumns(least)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns({f"{c}r": F.when((F.col(c) > F.coalesce(F.max(c).over(before), F.lit(-INF))), F.struct(here.alias("x"), F.col(c).alias("v"))) for c in least})
-    low_s, low_f = (F.lit(float(min(thresholds[h]))) for h in ("s", "f"))
     in_order = lambda c: F.array_sort(F.collect_list(c))
     one = rows.groupBy(*keys).agg(
         *[F.min_by(c, step).alias(c) for c in carry], F.min_by("label", step).alias("label"), F.count(F.lit(1)).alias("n_steps"),
-        in_order(F.when((F.col("_s") >= low_s) | (F.col("_f") >= low_f), here)).alias("_steps"), in_order(F.when((F.col("_s") >= low_s) & (F.col("_f") >= low_f), here)).alias("_both"),
+        in_order(here).alias("_steps"),
         *[in_order(f"{c}r").alias(c) for c in least],
     )
     first = lambda head, w: F.transform(F.array(*[F.lit(float(t)) for t in thresholds[head]]), lambda t: F.get(F.filter(f"_{head}{w}", lambda r: r["v"] >= t), F.lit(0))["x"])
-    hits = one.select(*keys, *carry, "label", "n_steps", "_steps", "_both", *[F.array(*[first(h, w) for w in range(len(streaks))]).alias(f"_{h}") for h in ("s", "f")], F.lit(1).alias("_one"))
-    pairs = hits.join(F.broadcast(table), "_one").withColumn("p", F.explode("policies")).drop("policies", "_one")
-    pairs = pairs.select(*keys, *carry, "label", "n_steps", "_steps", "_both", "p", *[F.get(F.get(f"_{h}", F.col("p.w")), F.col(f"p.{h}i")).alias(f"_{h}") for h in ("s", "f")])
-    until = F.least(F.col("_s.n"), F.col("_f.n"))
-    clash = until.isNotNull() & F.exists("_both", lambda x: (x["n"] <= until) & (x["s"] >= F.col("p.ts")) & (x["f"] >= F.col("p.tf")))
+    hits = one.select(*keys, *carry, "label", "n_steps", "_steps", *[F.array(*[first(h, w) for w in range(len(streaks))]).alias(f"_{h}") for h in ("s", "f")], F.lit(1).alias("_one"))
     hit = "struct<n:int,at:bigint,ps:double,pf:double,d:int>"
-    as_hit = lambda x, d: F.struct(x["n"].cast("int").alias("n"), x["at"].cast("bigint").alias("at"), x["ps"].alias("ps"), x["pf"].alias("pf"), F.lit(d).cast("int").alias("d") if isinstance(d, int) else d.cast("int").alias("d"))
-
-    def replay(acc: Column, x: Column) -> Column:
-        ts, tf = F.col("p.ts"), F.col("p.tf")
-        hs, hf = (x["s"] >= ts) & (x["at"] >= F.col("p.m")), (x["f"] >= tf) & (x["at"] >= F.col("p.m"))
-        d = F.when(hs & hf, F.when(x["s"] - ts >= x["f"] - tf, 1).otherwise(-1)).when(hs, 1).when(hf, -1).otherwise(0)
-        run = F.when(d == 0, 0).when((d == acc["d"]) & (x["n"] == acc["n"] + 1), acc["run"] + 1).otherwise(1)
-        fires = acc["hit"].isNull() & (d != 0) & (run >= F.col("p.k"))
-        return F.struct(x["n"].cast("int").alias("n"), d.cast("int").alias("d"), run.cast("int").alias("run"), F.when(fires, as_hit(x, d)).otherwise(acc["hit"]).alias("hit"))
-
+    as_hit = lambda x, d: F.struct(x["n"].cast("int").alias("n"), x["at"].cast("bigint").alias("at"), x["ps"].alias("ps"), x["pf"].alias("pf"), d.cast("int").alias("d"))
+    success = lambda x, p: x["s"] - p["ts"] >= x["f"] - p["tf"]
     start = F.struct(F.lit(-1).alias("n"), F.lit(0).alias("d"), F.lit(0).alias("run"), F.lit(None).cast(hit).alias("hit"))
-    earlier = F.when(F.col("_f.n").isNull() | (F.col("_s.n") < F.col("_f.n")), as_hit(F.col("_s"), 1)).otherwise(as_hit(F.col("_f"), -1))
-    done = pairs.withColumn("_h", F.when(clash, F.aggregate("_steps", start, replay)["hit"]).when(until.isNotNull(), earlier))
+
+    def replayed(steps: Column, p: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            hs, hf = (x["s"] >= p["ts"]) & (x["at"] >= p["m"]), (x["f"] >= p["tf"]) & (x["at"] >= p["m"])
+            d = F.when(hs & hf, F.when(success(x, p), 1).otherwise(-1)).when(hs, 1).when(hf, -1).otherwise(0)
+            run = F.when(d == 0, 0).when((d == acc["d"]) & (x["n"] == acc["n"] + 1), acc["run"] + 1).otherwise(1)
+            fires = acc["hit"].isNull() & (d != 0) & (run >= p["k"])
+            return F.struct(x["n"].cast("int").alias("n"), d.cast("int").alias("d"), run.cast("int").alias("run"), F.when(fires, as_hit(x, d)).otherwise(acc["hit"]).alias("hit"))
+
+        return F.aggregate(steps, start, one)["hit"]
+
+    def met(p: Column) -> Column:
+        """Of a policy the first step at which each head has hit often enough."""
+        return F.struct(p.alias("p"), F.get(F.get("_s", p["w"]), p["si"]).alias("s"), F.get(F.get("_f", p["w"]), p["fi"]).alias("f"))
+
+    def ahead(x: Column) -> Column:
+        """The head that is first, and where its streak began."""
+        s, f = x["s"], x["f"]
+        d = F.when(f["n"].isNull() | (s["n"] < f["n"]), 1).when(s["n"].isNull() | (f["n"] < s["n"]), -1).when(success(s, x["p"]), 1).otherwise(-1)
+        until = F.least(s["n"], f["n"])
+        return F.struct(x["p"].alias("p"), F.when(d == 1, s).otherwise(f).alias("x"), d.alias("d"), until.alias("until"), F.greatest(until - x["p"]["k"] + 1, F.lit(1)).cast("int").alias("begin"))
+
+    def decided_by(y: Column) -> Column:
+        p = y["p"]
+        kept = (p["k"] == 1) | F.forall(F.slice("_steps", y["begin"], p["k"]), lambda x: F.when(y["d"] == 1, (x["f"] < p["tf"]) | success(x, p)).otherwise((x["s"] < p["ts"]) | ~success(x, p)))
+        again = F.coalesce(replayed(F.slice("_steps", y["begin"], 4 * p["k"] + 8), p), replayed(F.slice("_steps", y["begin"], F.size("_steps")), p))
+        return F.struct(p["candidate_ord"].alias("candidate_ord"), F.when(y["until"].isNull(), F.lit(None).cast(hit)).when(kept, as_hit(y["x"], y["d"])).otherwise(again).alias("h"))
+
+    # all policies of a trajectory are decided within its row, so that what leaves it is small
+    every = F.transform(F.transform(F.transform("policies", met), ahead), decided_by)
+    done = hits.join(F.broadcast(table), "_one").select(*keys, *carry, "label", "n_steps", F.explode(every).alias("p")).select(*keys, *carry, "label", "n_steps", F.col("p.candidate_ord").alias("candidate_ord"), F.col("p.h").alias("_h"))
     d, decided = F.col("_h.d"), F.col("_h").isNotNull()
     n = F.col("n_steps") - F.col("_h.n") if saved == "after" else F.greatest(F.col("n_steps") - F.col("_h.at") - 1, F.lit(0))
     return done.select(
-        *keys, F.col("p.candidate_ord").alias("candidate_ord"), *carry, "label", "n_steps", decided.alias("decided"),
+        *keys, "candidate_ord", *carry, "label", "n_steps", decided.alias("decided"),
         F.when(d == 1, "success").when(d == -1, "failure").otherwise("undecided").alias("decision"), F.coalesce("_h.at", F.lit(-1)).cast("int").alias("decision_step"),
         F.when(d == 1, F.col("_h.ps")).when(d == -1, F.col("_h.pf")).alias("decision_score"), F.col("_h.ps").alias("prob_success"), F.col("_h.pf").alias("prob_failure"), F.coalesce(F.when(decided, n), F.lit(0)).cast("long").alias("saved_steps"),
     )

@@ -75,24 +75,49 @@ def token_rows(steps: DataFrame, mode: str, counter: Callable[[], Callable[[str]
     return rows.select("traj_id", "model_id", "prefix_step_idx", "context_tokens")
 
 
-def cached(spark: SparkSession, path: str, steps: DataFrame, count: Callable[[DataFrame], DataFrame], settings: dict, keys: tuple[str, ...] = ("traj_id", "prefix_step_idx")) -> DataFrame:
-    """Counts of ``steps`` by way of a cache folder. Shards are kept by a digest of the settings, so that counts made otherwise are never read; only trajectories that no
-    shard has are counted, whole, and written as one more shard: a run that was cut off goes on where it ended."""
+def content_digest(steps: DataFrame, key: str = "traj_id") -> DataFrame:
+    """key and digest of all that a trajectory's rows hold, whatever their order: their number, and the sum and exclusive or of their hashes."""
+    text = F.md5(F.to_json(F.struct(*sorted(steps.columns)), {"ignoreNullFields": "false"}))
+    half = lambda at: F.conv(F.substring(text, at, 15), 16, 10).cast("long")
+    sums = steps.select(key, half(1).alias("_a"), half(17).alias("_b")).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("_a").alias("x"), F.sum(F.col("_b").cast("decimal(38,0)")).alias("s"))
+    return sums.select(key, F.concat_ws("-", F.col("n").cast("string"), F.hex("x"), F.col("s").cast("string")).alias("digest"))
+
+
+def cached(spark: SparkSession, path: str, steps: DataFrame, count: Callable[[DataFrame], DataFrame], settings: dict, keys: tuple[str, ...] = ("traj_id", "prefix_step_idx"), fresh: bool = False) -> DataFrame:
+    """Counts of ``steps`` by way of a cache folder. Shards are kept by a digest of the settings, so that counts made otherwise are never read, and hold with each
+    trajectory a digest of what was counted: one that no shard has as it is now is counted, whole, and written as one more shard. A run that was cut off goes on where it ended.
+    ``fresh``: with a column that tells which rows were counted by this call."""
     shards = f"{path.rstrip('/')}/{hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]}"
     p = spark._jvm.org.apache.hadoop.fs.Path(shards)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(p)
     have = [x.getPath().toString() for x in fs.listStatus(p) if fs.exists(x.getPath().suffix("/_SUCCESS"))]
-    lacking = steps
+    now, own = content_digest(steps, keys[0]), [keys[0], "digest"]
+    lacking = now
     if have:
-        known = spark.read.parquet(*have)
-        fresh = fill_cache(steps.select(*keys), known, keys).select(keys[0]).distinct()
-        lacking = steps.join(fresh, keys[0], "left_semi")
-    counted = count(lacking).select("*", F.lit(json.dumps(settings, sort_keys=True)).alias("settings"))
+        lacking = now.join(spark.read.parquet(*have).select(*own).distinct(), own, "left_anti")
+    counted = count(steps.join(lacking.select(keys[0]), keys[0], "left_semi")).join(now, keys[0]).select("*", F.lit(json.dumps(settings, sort_keys=True)).alias("settings"))
     shard = f"{shards}/shard-{uuid.uuid4().hex}"
     counted.write.option("compression", "zstd").parquet(shard)
-    rows = spark.read.parquet(*have, shard).drop("settings")
-    return rows.dropDuplicates(list(keys)).join(steps.select(*keys).distinct(), list(keys), "left_semi")
+    new = spark.read.parquet(shard).withColumn("fresh", F.lit(True))
+    rows = new if not have else spark.read.parquet(*have).withColumn("fresh", F.lit(False)).unionByName(new)
+    rows = rows.join(now, own, "left_semi").dropDuplicates([*keys, "digest"]).drop("settings", "digest")
+    return rows if fresh else rows.drop("fresh")
+
+
+def compacted(spark: SparkSession, path: str, steps: DataFrame, settings: dict, keys: tuple[str, ...] = ("traj_id", "prefix_step_idx")) -> int:
+    """Puts the shards of ``settings`` into one that holds what is valid for ``steps``, then deletes them; how many there were. Readers that began before it keep to the shards
+    they listed, so that it runs between runs."""
+    shards = f"{path.rstrip('/')}/{hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(shards)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    have = [x.getPath() for x in fs.listStatus(p) if fs.exists(x.getPath().suffix("/_SUCCESS"))] if fs.exists(p) else []
+    if len(have) > 1:
+        rows = spark.read.parquet(*[x.toString() for x in have]).join(content_digest(steps, keys[0]), [keys[0], "digest"], "left_semi")
+        rows.dropDuplicates([*keys, "digest"]).write.option("compression", "zstd").parquet(f"{shards}/shard-{uuid.uuid4().hex}")
+        for x in have:
+            fs.delete(x, True)
+    return len(have)
 
 
 def component_tokens(steps: DataFrame, count: Callable[[str], Column] | None = None) -> DataFrame:

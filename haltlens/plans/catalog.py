@@ -993,6 +993,16 @@ def token_cache(spark, d):
     return tokens.cached(spark, path, steps, count, {"mode": "chars_per_token"})
 
 
+@query(f"WITH {_TOK} SELECT traj_id, model_id, prefix_step_idx, context_tokens, traj_id % 7 = 3 AS fresh FROM tok")
+def token_cache_edited(spark, d):
+    """K6: of a cache that covers all trajectories those whose turns have changed since are counted anew, and no others."""
+    path, steps = T.scratch(spark, "token-cache"), A.turns(spark, d)
+    count = lambda rows: tokens.token_rows(rows, "chars_per_token")
+    edited = F.when((F.col("traj_id") % 7 == 3) & (F.col("prefix_step_idx") == 0), F.col("assistant_chars") + 40).otherwise(F.col("assistant_chars"))
+    tokens.cached(spark, path, steps.withColumn("assistant_chars", edited), count, {"mode": "chars_per_token"})
+    return tokens.cached(spark, path, steps, count, {"mode": "chars_per_token"}, fresh=True)
+
+
 @query("SELECT 'all' AS run, o_orderpriority AS priority, CAST(CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END AS INT) AS place, count(*) AS orders FROM orders GROUP BY o_orderpriority")
 def report_rows(spark, d):
     """Rows in the order of a list, a leading column, chosen headings."""

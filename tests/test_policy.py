@@ -180,5 +180,6 @@ def test_no_prefix_meets_a_policy(spark, tmp_path):
     plan = policy.evaluate(spark.read.parquet(str(tmp_path / "s")), c)._jdf.queryExecution().executedPlan().toString()
     above, _, below = plan.partition("BroadcastNestedLoopJoin")
     # all policies, as one row, meet one row a trajectory: what is below the join is the aggregation by trajectory
-    assert "Aggregate" in below.split("BroadcastExchange")[0] and "Join" not in below and "Join" not in above
+    scores = below.split("BroadcastExchange")[0]
+    assert "ObjectHashAggregate" in scores and "Join" not in scores and "Join" not in above
     assert plan.count("Exchange hashpartitioning") == 1
