@@ -2,7 +2,7 @@
 
 Each task counts its documents in runs: a run is a trie of language, first, second and third word, and every node holds how often its path occurs.
 A run is serialised sorted (in preorder, words by their bytes) and written. Runs are then merged k ways by prefix range in rounds of ``FAN``: boundaries, taken from evenly
-spaced paths of the runs, cut each range into up to ``FAN`` ranges, each run is cut at them, and up to ``FAN`` parts of a range are merged into one. What a merge holds
+spaced paths of the runs, cut each range into as many ranges as it has runs, ``FAN`` at most, each run is cut at them, and up to ``FAN`` parts of a range are merged into one. What a merge holds
 is about the size of one run in every round, however large the input, and a range may begin at any depth, so that neither a hot word nor a hot pair
 has to stay whole. A part also carries the nodes above its first path, with their counts, so that a walk up the merged trie always
 gives the left parts of a phrase and its language's number of words.
@@ -13,7 +13,7 @@ join the frequent nodes alone; a three-word phrase gets its last word from the n
 Scores are exact (decimals of 38 digits, whole division). The first ``top`` phrases of a language are taken from salted parts of it first.
 
 Defined results: null text is empty; null language is ``und``; repeated rows count as often as they occur, ties end in the order of the phrases' bytes; very long texts are
-cut into pieces like others, in one run; languages without a candidate have no rows, an empty table has none; other columns, whatever their names, are ignored.
+split like others, in one run; languages without a candidate have no rows, an empty table has none; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import dropped, only, written
 
 #: Parts merged at a time, and ranges that a range is cut into.
-FAN = 64
+FAN = 128
 #: Text bytes of a run.
 RUN = 12 << 20
 #: Paths that a run offers as boundaries, and those of a range that are weighed at most (about).
@@ -292,8 +292,9 @@ def _boundaries(fan: int):
     def run(key, group):
         paths = sorted((p["lang"], tuple(p["words"])) for x in group.column("offered").to_pylist() for p in x)
         lower = _bound(group.column("lower")[0].as_py())
-        step = len(paths) / fan
-        picked = sorted({paths[int(i * step)] for i in range(1, fan)} if len(paths) else set())
+        ranges = min(fan, group.column("rows")[0].as_py())  # as large as a run, about
+        step = len(paths) / ranges
+        picked = sorted({paths[int(i * step)] for i in range(1, ranges)} if len(paths) else set())
         picked = [p for p in picked if lower is None or p > lower]
         return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "bounds": pa.array([[{"lang": p[0], "words": list(p[1])} for p in picked]], pa.list_(_PATH))})
 
@@ -344,7 +345,7 @@ def frequent(docs: DataFrame, least: int, run_bytes: int = RUN, fan: int = FAN)
         # the same rows whenever it is computed again
         chosen = F.pmod(F.xxhash64("cell", "grp"), F.lit(1 << 20)) * F.col("rows") * OFFERED <= WEIGHED << 20
         rows = now.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-        weighed = now.select("cell", "grp", "lower", "offered").join(rows, "cell").filter(chosen).select("cell", "lower", "offered")
+        weighed = now.select("cell", "grp", "lower", "offered").join(rows, "cell").filter(chosen).select("cell", "lower", "offered", "rows")
         bounds = weighed.groupBy("cell").applyInArrow(_boundaries(fan), "cell long, bounds array<struct<lang: string, words: array<binary>>>")
         parts = now.drop("offered", "n_bytes").join(F.broadcast(bounds) if cells <= SENT else bounds, "cell", "left").mapInArrow(_cut(fan), RUNS)
         width, cells = max(1, -(-width // fan)), cells * fan
