@@ -196,10 +196,14 @@ _CAND = """cand AS (SELECT CAST(row_number() OVER (ORDER BY min_step, consecutiv
   FROM (SELECT i / 100.0::DOUBLE AS t FROM (SELECT unnest([50, 65, 80, 95]) AS i)) CROSS JOIN (SELECT unnest([0, 5]) AS min_step) CROSS JOIN (SELECT unnest([1, 2]) AS consecutive))"""
 
 
-@query(f"WITH {_CAND} SELECT candidate_ord, success_thr, failure_thr, min_step, consecutive, 'dual' AS policy_mode, 'raw' AS score_mode, 'p' AS predictor, 'raw_p_dual_' || printf('%.4f', success_thr) || '_' || printf('%.4f', failure_thr) || '_m' || min_step || '_k' || consecutive AS name FROM cand")
+@query(f"""WITH {A.SCORES}, ends AS (SELECT CAST(floor(100 * avg(p_success)) AS INT) AS low, CAST(ceil(100 * max(p_success)) AS INT) AS high FROM prefix_scores),
+  grid AS (SELECT i / 100.0::DOUBLE AS t FROM (SELECT unnest(range(low, high + 1, 15)) AS i FROM ends)),
+  cand AS (SELECT CAST(row_number() OVER (ORDER BY min_step, consecutive, t) - 1 AS BIGINT) AS candidate_ord, t AS success_thr, t AS failure_thr, min_step, consecutive FROM grid CROSS JOIN (SELECT unnest([0, 5]) AS min_step) CROSS JOIN (SELECT unnest([1, 2]) AS consecutive))
+  SELECT candidate_ord, success_thr, failure_thr, min_step, consecutive, 'dual' AS policy_mode, 'raw' AS score_mode, 'p' AS predictor, 'raw_p_dual_' || printf('%.4f', success_thr) || '_' || printf('%.4f', failure_thr) || '_m' || min_step || '_k' || consecutive AS name FROM cand""")
 def policy_candidates(spark, d):
-    """The table of policies."""
-    return _candidates(spark)
+    """The table of policies, from the mean score of all prefixes to the largest."""
+    low, high = A.scores(spark, d).agg(F.floor(100 * F.avg("p_success")), F.ceil(100 * F.max("p_success"))).first()
+    return policy.policy_candidates(spark, low=low, high=high, by=15, min_steps=(0, 5), consecutive=(1, 2))
 
 
 _ALLPOL = sql_rule("success_thr", "failure_thr", min_step="min_step", k="consecutive", source="(SELECT * FROM prefix_scores CROSS JOIN cand)", keys="traj_id, candidate_ord", more="fold_id,")
@@ -274,7 +278,10 @@ _REPLAY = _chosen_sql("", "acc >= target AND sv > 0 AND dr <= 5.0", "acc >= targ
 def selected_decisions(spark, d):
     """Every fold replayed under its own selected policy of each target; only the chosen policies meet the scores."""
     chosen = _selected(spark, d, max_abs_drop_pp=5.0, min_save_pct=10.0).select("fold_id", "target", "success_thr", "failure_thr", "candidate_ord").join(_candidates(spark).select("candidate_ord", "min_step", "consecutive"), "candidate_ord").drop("candidate_ord")
-    s = A.scores(spark, d).join(chosen, "fold_id")
+    # written, so that its size is known when it meets the scores: a small table is sent to them, and they stay dealt by trajectory
+    path = T.scratch(spark, "chosen")
+    T.write_table(chosen, f"{path}/policies.parquet")
+    s = A.scores(spark, d).join(T.read_table(spark, f"{path}/policies.parquet", chosen.schema), "fold_id")
     got = policy.decide(s, keys=("traj_id", "target"), carry=("agent", "fold_id"), success_thr=F.col("success_thr"), failure_thr=F.col("failure_thr"), min_step=F.col("min_step"), consecutive=F.col("consecutive"))
     return got.withColumn("outcome", policy.outcome())
 
@@ -346,10 +353,10 @@ def mean_abs_parts(spark, d):
     return metrics.mean_abs_from_parts(parts, ("candidate_ord",), "v", "w").withColumn("mean_abs", F.round("mean_abs", 6))
 
 
-@query(f"WITH {_CAND} SELECT min_step, count(*) AS folds, min(success_thr) AS min_success_thr, median(success_thr) AS median_success_thr, max(success_thr) AS max_success_thr, min(failure_thr) AS min_failure_thr, median(failure_thr) AS median_failure_thr, max(failure_thr) AS max_failure_thr, count(*) FILTER (WHERE round(success_thr, 10) = round(failure_thr, 10)) AS same_threshold FROM cand GROUP BY min_step")
+@query(f"{_REPLAY} SELECT target, count(*) AS folds, min(success_thr) AS min_success_thr, median(success_thr) AS median_success_thr, max(success_thr) AS max_success_thr, min(failure_thr) AS min_failure_thr, median(failure_thr) AS median_failure_thr, max(failure_thr) AS max_failure_thr, count(*) FILTER (WHERE round(success_thr, 10) = round(failure_thr, 10)) AS same_threshold FROM chosen JOIN cand USING (candidate_ord) GROUP BY target")
 def threshold_summary(spark, d):
-    """A17."""
-    return metrics.threshold_summary(_candidates(spark), ("min_step",))
+    """Thresholds that the folds selected, by target."""
+    return metrics.threshold_summary(_selected(spark, d, max_abs_drop_pp=5.0, min_save_pct=10.0), ("target",))
 
 
 @query(sql_policy(BASE, "SELECT DISTINCT agent, CAST(traj_id % 5 AS INT) AS same FROM decisions"))
