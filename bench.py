@@ -13,7 +13,7 @@ ROOT = str(Path(__file__).resolve().parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-HEADLINE = ("policy_by_agent", "policy_decisions", "policy_streak", "policy_independent", "policy_grid", "policy_grid_full", "policy_evaluation", "select_drop_capped", "fold_aggregate", "rank_stability", "signal_lift", "token_rows", "token_savings", "split_leave_one_model", "split_leakage", "prefix_audit", "value_counts", "parse_logs", "prefix_features")
+HEADLINE = ("policy_by_agent", "policy_decisions", "policy_streak", "policy_independent", "policy_grid", "policy_grid_full", "policy_evaluation", "select_drop_capped", "fold_aggregate", "rank_stability", "signal_lift", "token_rows", "token_savings", "split_leave_one_model", "split_leakage", "prefix_audit", "value_counts", "parse_logs", "prefix_features", "selected_decisions", "sweep_results", "full_prefix_tokens", "policy_grid_streaks", "parse_layouts", "token_cache_edited")
 RUNS = 3
 
 

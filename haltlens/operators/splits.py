@@ -84,3 +84,26 @@ def leakage(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     count = lambda k, more: F.count_if((F.col("kind") == k) & F.col("c") & more)
     out = shared.groupBy(*by).agg(*[x for i, k in enumerate(kinds) for x in (count(i, F.lit(True)).alias(f"shared_{k}"), count(i, F.col("t")).alias(f"shared_{k}_with_test"))])
     return out.withColumn("ok", (F.col("shared_trajectories") == 0) & (F.col("shared_models_with_test") == 0) & (F.col("shared_pairs") == 0))
+
+
+def materialised(rows: DataFrame, plan: DataFrame, keys: tuple[str, ...], path: str) -> str:
+    """``rows`` with the split that ``plan`` (keys and split) gives them, written in one pass to a folder partitioned by split; rows without one stay out. A finished folder
+    is left as it is."""
+    spark = rows.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        told = rows.drop("split").join(plan.select(*keys, "split"), list(keys))
+        told.write.mode("overwrite").option("compression", "zstd").partitionBy("split").parquet(path)
+    return path
+
+
+def read_split(spark, path: str, split: str, columns: tuple[str, ...] | None = None, schema=None) -> DataFrame:
+    """One split of a materialised folder: the other partitions, and columns that are not named, are not read."""
+    r = spark.read if schema is None else spark.read.schema(schema)
+    rows = r.parquet(path).filter(F.col("split") == split)
+    return rows if columns is None else rows.select(*columns)
+
+
+def first_rows(spark, path: str, split: str, n: int, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """``n`` rows of a split, as they come first: enough to see types and columns by, and no more of it is read."""
+    return read_split(spark, path, split, columns).limit(n)

@@ -585,6 +585,15 @@ def split_holdout(spark, d):
     return splits.split_summary(_holdout(spark, d))
 
 
+@query(f"WITH {_HOLD} SELECT split, count(*) AS rows, count(DISTINCT model_id) AS models, CAST(sum(n_steps) AS BIGINT) AS steps FROM sp WHERE split IN ('train', 'valid', 'test') GROUP BY split")
+def split_tables(spark, d):
+    """Rows dealt to their splits in one pass; each split then read by itself, in the columns it is asked for."""
+    held = _holdout(spark, d)
+    path = splits.materialised(A.pairs(spark, d), held, ("traj_id",), f"{T.scratch(spark, 'splits')}/rows")
+    each = [splits.read_split(spark, path, s, ("split", "model_id", "n_steps")) for s in ("train", "valid", "test")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("model_id").alias("models"), F.sum("n_steps").cast("long").alias("steps"))
+
+
 @query(f"WITH {_LOO} SELECT instance_id, count(DISTINCT split) AS splits FROM sp GROUP BY instance_id HAVING count(DISTINCT split) > 1")
 def split_shared_instances(spark, d):
     """Instances that more than one split has; with a model held out, all are such."""

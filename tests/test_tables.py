@@ -141,3 +141,20 @@ def test_token_modes(spark):
     assert sorted(r.context_tokens for r in tokens.token_rows(steps.withColumn("task_text", F.lit("x y z")), "component_sum_approx", words).collect()) == [3, 3, 3]
     with pytest.raises(ValueError):
         tokens.token_rows(steps, "model")
+
+
+def test_splits_in_one_pass(spark, tmp_path):
+    from haltlens.operators import splits
+
+    spark.range(100).selectExpr("id AS traj_id", "id % 7 AS n", "'x' AS text").write.parquet(str(tmp_path / "rows"))
+    spark.range(90).selectExpr("id AS traj_id", "CASE WHEN id < 60 THEN 'train' WHEN id < 75 THEN 'valid' ELSE 'test' END AS split").write.parquet(str(tmp_path / "plan"))
+    rows, plan = spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "plan"))
+    path = splits.materialised(rows, plan, ("traj_id",), str(tmp_path / "out"))
+    assert {s: splits.read_split(spark, path, s).count() for s in ("train", "valid", "test", "none")} == {"train": 60, "valid": 15, "test": 15, "none": 0}
+    scan = splits.read_split(spark, path, "test", ("n",))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in scan and "ReadSchema: struct<n:bigint>" in scan and scan.count("FileScan") == 1
+    before = sorted(p.name for p in (tmp_path / "out").rglob("*.parquet"))
+    assert splits.materialised(rows.limit(0), plan, ("traj_id",), path) == path and sorted(p.name for p in (tmp_path / "out").rglob("*.parquet")) == before
+    assert splits.first_rows(spark, path, "valid", 3).count() == 3
+    told = rows.drop("split").join(plan.select("traj_id", "split"), ["traj_id"])._jdf.queryExecution().executedPlan().toString()
+    assert told.count("FileScan") == 2  # the rows once, the plan once
