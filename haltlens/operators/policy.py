@@ -162,22 +162,22 @@ def policy_candidates(spark, *, low: int, high: int, by: int = 1, shape: str = "
 
 #: Different pairs of streak length and first step that are looked up; with more of them each row meets each policy.
 STREAKS = 32
-#: Policies from which on trajectories are not gathered into fewer tasks.
-MANY = 256
+#: Up to so many policies rows are replayed, in compiled code; more are looked up.
+MANY = 32
 
 
 def evaluate(scores: DataFrame, policies: DataFrame, *, keys: tuple[str, ...] = ("traj_id",), most: int = 100_000, **rule) -> DataFrame:
     """Decisions of every trajectory under every policy.
 
-    Under the usual rule (shared streaks, margin) no prefix meets a policy: see ``_looked_up``. Other rules, and tables of over ``most`` policies, replay each row for each policy; up to
-    ``most`` policies are then sent to all executors, a larger table is joined by blocks."""
+    Over MANY policies under the usual rule (shared streaks, margin) meet no prefix: see ``_looked_up``. Fewer, other rules, and tables of over ``most`` policies replay each row for each policy; up to
+    ``most`` policies are then sent to all executors, a larger table is joined by blocks. Both ways decide alike."""
     cols = ["candidate_ord", "policy_mode", "success_thr", "failure_thr", "min_step", "consecutive"]
     longest, n, streaks = policies.agg(F.max("consecutive"), F.count(F.lit(1)), F.size(F.collect_set(F.struct("consecutive", "min_step")))).first()
     small = policies.select(*cols)
     usual = rule.get("streak", "shared") == "shared" and rule.get("conflict", "margin") == "margin" and rule.get("opposite_max") is None and not rule.get("complement")
-    if usual and 0 < n <= most and streaks <= STREAKS:
-        if n > MANY:  # little data, much work: as many tasks as the session is set to
-            scores = scores.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    if usual and MANY < n <= most and streaks <= STREAKS:
+        # little data, much work: as many tasks as the session is set to
+        scores = scores.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
         return _looked_up(scores, small, keys, **{k: rule[k] for k in ("step", "saved", "carry") if k in rule})
     each = scores.crossJoin(F.broadcast(small) if n <= most else small)
     return decide(each, keys=(*keys, "candidate_ord"), success_thr=F.col("success_thr"), failure_thr=F.col("failure_thr"), min_step=F.col("min_step"), consecutive=1 if longest == 1 else F.col("consecutive"), mode=F.col("policy_mode"), **rule)
