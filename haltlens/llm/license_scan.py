@@ -3,7 +3,8 @@
 Candidate blocks (stretches of words around license wording) are compressed alone and with each template as a raw zstandard
 dictionary. What a template saves, in bytes and as a share of the block's own compressed size, ranks the templates; all that
 save anything and share words enough are then confirmed by their exact wording differences: the words of the template that the block lacks and the other
-way round, from a longest-common-subsequence alignment. A finding is accepted if at least ``coverage`` of the template's words are in the block in order.
+way round, from a longest common subsequence over the range of the block that fits best. A finding is accepted if a range of the block holds at least ``coverage`` of the
+template's words in order and few others.
 
 Defined results: null or empty text has no blocks; a text may hold several licenses, each its own row, in order of their place; equal
 savings rank by template name; repeated rows give repeated findings; whole texts are scanned, a very long run of lines in
@@ -17,7 +18,6 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
@@ -120,13 +120,50 @@ def stretches(signs: list[int], around: int, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def differences(template: tuple[str, ...], words: list[str]) -> tuple[int, int, int, int]:
-    """Of the alignment: template words found in order, first and last place of them in ``words``, words between that the template lacks."""
-    parts = [m for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
-    if not parts:
-        return 0, 0, 0, 0
-    first, last, hit = parts[0].b, parts[-1].b + parts[-1].size, sum(m.size for m in parts)
-    return hit, first, last, last - first - hit
+def differences(template: tuple[str, ...], words: list[str], coverage: float = 0.9) -> tuple[int, int, int, int] | None:
+    """Of the range of ``words`` that fits best: template words found in order there (a longest common subsequence), its first and last place, words in it that the
+    template lacks. A range fits if it holds ``coverage`` of the template and at most a fifth of its length (two words at least) besides; the best has the greatest share
+    found less share added, then the most found, then the earliest start. All ranges are compared: from each start that may fit, rows of the table of common subsequences
+    are kept as bits of one number. None if no range fits."""
+    n = len(template)
+    most, need = max(2, n // 5), coverage * n
+    reach, n_words = n + most, len(words)
+    at = {}
+    for i, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << i
+    count = Counter(template)
+    full, best = (1 << n) - 1, None
+    # words of the template, each as often as there, among the next ``reach``: no range from a start finds more
+    seen: Counter = Counter()
+    there = end = 0
+    for a in range(n_words):
+        while end < min(n_words, a + reach):
+            w = words[end]
+            if w in count:
+                there += seen[w] < count[w]
+                seen[w] += 1
+            end += 1
+        if words[a] in at and there >= need:
+            row, hit = full, 0
+            for b in range(a, end):
+                m = at.get(words[b])
+                if m is None:
+                    continue
+                u = row & m
+                row = ((row + u) | (row - u)) & full
+                now = n - row.bit_count()
+                if now > hit:
+                    hit = now
+                    added = b + 1 - a - hit
+                    if hit >= need and added <= most:
+                        score = (hit / n - added / (b + 1 - a), hit)
+                        if best is None or score > best[0]:
+                            best = (score, hit, a, b + 1, added)
+        w = words[a]
+        if w in count:
+            seen[w] -= 1
+            there -= seen[w] < count[w]
+    return None if best is None else best[1:]
 
 
 def scan(text: str, *, coverage: float = 0.9) -> list[tuple]:
@@ -161,10 +198,10 @@ def _in_window(spans, taken, window, kind, coverage) -> list[tuple]:
                 break
             if sum(min(n, there[w]) for w, n in t.count.items()) < coverage * len(t.words):
                 continue  # no alignment finds more
-            hit, first, last, added = differences(t.words, now)
-            share = hit / len(t.words)
-            if share >= coverage and added <= max(2, len(t.words) // 5):
-                score = (share - added / max(1, last - first), hit)
+            fits = differences(t.words, now, coverage)
+            if fits is not None:
+                hit, first, last, added = fits
+                score = (hit / len(t.words) - added / (last - first), hit)
                 if best is None or score > best[0]:
                     best = (score, saved, t, hit, first, last, added)
         if best is None:

@@ -397,6 +397,48 @@ def test_no_notice_is_lost_to_the_choice_of_blocks(monkeypatch):
     assert found == [[x[1] for x in license_scan.scan(t)] for t in texts] and sum(map(len, found)) > len(texts) / 2
 
 
+def test_best_range_equals_brute_force():
+    """Every range by the plain table of common subsequences."""
+
+    def brute(t, words):
+        best = None
+        for a in range(len(words)):
+            row = [0] * (len(t) + 1)
+            for b in range(a, len(words)):
+                new = [0]
+                for i, x in enumerate(t):
+                    new.append(row[i] + 1 if x == words[b] else max(row[i + 1], new[i]))
+                row, size = new, b + 1 - a
+                if row[-1] >= 0.7 * len(t) and size - row[-1] <= max(2, len(t) // 5):
+                    score = (row[-1] / len(t) - (size - row[-1]) / size, row[-1])
+                    if best is None or score > best[0]:
+                        best = (score, (row[-1], a, b + 1, size - row[-1]))
+        return best and best[1]
+
+    rng, found = random.Random(66), 0
+    for _ in range(300):
+        t = tuple(rng.choice("abcdef") for _ in range(rng.randint(1, 14)))
+        w = [rng.choice("abcdefghij") for _ in range(rng.randint(0, 20))]
+        at = rng.randint(0, len(w))
+        w[at:at] = [x for x in t if rng.random() > 0.15]
+        got = license_scan.differences(t, w, 0.7)
+        assert got == brute(t, w)
+        found += got is not None
+    assert 100 < found < 300
+
+
+def test_quoted_part_before_a_changed_notice():
+    """The middle third of a notice quoted, filler, then the notice with some words changed: the notice is found."""
+    fill = " ".join(f"w{i}" for i in range(10))
+    for name, forms in license_scan.TEMPLATES.items():
+        for form in forms:
+            w = form.split()
+            if len(w) > license_scan.SHORT_WORDS:
+                changed = [f"x{i}" if i % 24 == 11 else x for i, x in enumerate(w)]
+                text = " ".join([*w[len(w) // 3 : 2 * len(w) // 3], fill, *changed])
+                assert name in {x[1] for x in license_scan.scan(text)}, (name, form)
+
+
 @pytest.mark.parametrize("name, kind", [("GPL-3.0", ""), ("LGPL-3.0", "Lesser "), ("AGPL-3.0", "Affero ")])
 def test_long_gnu_notices(name, kind):
     text = f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
