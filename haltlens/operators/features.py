@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haltlens.functions.scalars import number
+from haltlens.operators.factors import TruncatedSVD
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,7 @@ class FeatureSet:
     text: tuple[str, ...] = ()
     min_df: int = 5
     vocabulary: int = 30_000
+    factors: int = 0
     profiles: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
@@ -48,14 +50,16 @@ def balanced_weights(rows: DataFrame, label: str, weight: str = "sample_weight")
 
 
 def feature_pipeline(f: FeatureSet) -> Pipeline:
-    """Numbers; one-hot categories (unseen ones all zero); TF-IDF of one- and two-word terms with 1 + log counts, unit length."""
+    """Numbers; one-hot categories (unseen ones all zero); TF-IDF of one- and two-word terms with 1 + log counts, unit length; with ``factors``, as many coordinates on the largest singular vectors in place of the terms."""
     stages, inputs = [], []
     for c in f.categorical:
         stages += [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol=f"{c}_ix", outputCol=f"{c}_hot", dropLast=True, handleInvalid="keep")]
         inputs.append(f"{c}_hot")
     for c in f.text:
         stages += [RegexTokenizer(inputCol=c, outputCol=f"{c}_w", pattern=r"\w\w+", gaps=False), NGram(n=2, inputCol=f"{c}_w", outputCol=f"{c}_2"), SQLTransformer(statement=f"SELECT *, concat({c}_w, {c}_2) AS {c}_t FROM __THIS__"), CountVectorizer(inputCol=f"{c}_t", outputCol=f"{c}_n", minDF=f.min_df, vocabSize=f.vocabulary), IDF(inputCol=f"{c}_n", outputCol=f"{c}_i"), Normalizer(inputCol=f"{c}_i", outputCol=f"{c}_v")]
-        inputs.append(f"{c}_v")
+        if f.factors:
+            stages.append(TruncatedSVD(inputCol=f"{c}_v", outputCol=f"{c}_f", k=f.factors))
+        inputs.append(f"{c}_f" if f.factors else f"{c}_v")
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*(f"{c}_num" for c in f.numeric), *inputs], outputCol="features")])
 
 

@@ -58,6 +58,46 @@ def full_prefix_tokens(steps: DataFrame, counter: Callable[[], Callable[[str], i
     return rows.select("traj_id", "model_id", "prefix_step_idx", count_tokens("_context", counter).alias("context_tokens"), method_of("_context").alias("method"))
 
 
+def incremental_pieces(steps: DataFrame, *, border: str, text: str = "text") -> DataFrame:
+    """traj_id, model_id, prefix_step_idx and what is to be counted at each step: ``_settled`` and ``_closed`` once for good, ``_open`` for this step alone.
+
+    ``border`` is a pattern (of no width, by looking round) of places that no token spans, whatever text surrounds them. Between the first and the last such place of a
+    step's part nothing can change any more; what is before the first closes the stretch that earlier steps left open; what is after the last stays open. A
+    part without such a place lengthens the open stretch. All in built-in expressions over one exchange by trajectory."""
+    order = W.partitionBy("traj_id").orderBy("prefix_step_idx")
+    said = F.coalesce(F.col(text) != "", F.lit(False))
+    earlier = F.coalesce(F.max(said.cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) > 0
+    s = steps.select("traj_id", "model_id", "prefix_step_idx", F.when(said, F.concat(F.when(earlier, "\n").otherwise(""), F.col(text))).otherwise("").alias("_piece"))
+    s = s.withColumn("_cut", F.col("_piece").rlike(border))
+    upto = lambda ungreedy: F.length(F.regexp_extract("_piece", f"(?s)^(.*{ungreedy})(?:{border})", 1))
+    s = s.withColumns({"_first": F.when(F.col("_cut"), upto("?")), "_last": F.when(F.col("_cut"), upto(""))})
+    s = s.withColumn("_run", F.sum(F.col("_cut").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    tail = F.when(F.col("_cut"), F.substr("_piece", F.col("_last") + 1)).otherwise(F.col("_piece"))
+    run = W.partitionBy("traj_id", "_run").orderBy("prefix_step_idx").rowsBetween(W.unboundedPreceding, 0)
+    s = s.withColumn("_open", F.array_join(F.collect_list(tail).over(run), ""))
+    before = F.coalesce(F.lag("_open").over(order), F.lit(""))
+    return s.select(
+        "traj_id", "model_id", "prefix_step_idx", "_open",
+        F.when(F.col("_cut"), F.substr("_piece", F.col("_first") + 1, F.col("_last") - F.col("_first"))).alias("_settled"),
+        F.when(F.col("_cut"), F.concat(before, F.substr("_piece", F.lit(1), F.col("_first")))).alias("_closed"),
+    )
+
+
+def incremental_prefix_tokens(steps: DataFrame, counter: Callable[[], Callable[[str], int]], *, border: str, text: str = "text") -> DataFrame:
+    """As ``full_prefix_tokens``, in work linear in the text: only stretches about the borders of steps are tokenized again, all else once.
+
+    Exact if ``border`` holds for the tokenizer (``incremental_pieces``): for words ``(?=\\s)``, for tokenizers that never join a letter to a space after it ``(?<=\\p{L})(?=\\s\\p{L})``.
+    A run of steps without any such place is read anew with each of them."""
+    p = incremental_pieces(steps, border=border, text=text)
+    # stretches as rows, so that one worker function counts them all; only numbers are exchanged after it
+    each = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("text")) for i, c in enumerate(("_closed", "_settled", "_open"))])
+    p = p.select("traj_id", "model_id", "prefix_step_idx", F.explode(each).alias("_s")).filter("_s.kind = 2 OR _s.text <> ''")
+    p = p.select("traj_id", "model_id", "prefix_step_idx", F.col("_s.kind").alias("_kind"), count_tokens("_s.text", counter).alias("_n"))
+    upto = W.partitionBy("traj_id").orderBy("prefix_step_idx", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    done = F.coalesce(F.sum(F.when(F.col("_kind") < 2, F.col("_n"))).over(upto), F.lit(0))
+    return p.withColumn("context_tokens", (done + F.col("_n")).cast("long")).filter("_kind = 2").select("traj_id", "model_id", "prefix_step_idx", "context_tokens", F.lit("tokenizer_exact").alias("method"))
+
+
 MODES = ("model", "component_sum_approx", "chars_per_token")
 
 

@@ -999,6 +999,29 @@ def full_prefix_tokens(spark, d):
     return tokens.method_summary(tokens.full_prefix_tokens(c, _words))
 
 
+@query(f"WITH {_SAID} SELECT traj_id, model_id, prefix_step_idx, context_tokens, 'tokenizer_exact' AS method FROM counted")
+def incremental_prefix_tokens(spark, d):
+    """Tokens of the whole text up to each turn, in work linear in the text."""
+    c = A.table(spark, d, "conversations").select(F.col("conv_id").alias("traj_id"), F.concat(F.lit("m"), (F.col("conv_id") % 4).cast("string")).alias("model_id"), F.col("turn").cast("int").alias("prefix_step_idx"), "text")
+    return tokens.incremental_prefix_tokens(c, _words, border=r"(?=\s)")
+
+
+_RANK_TWO = """x AS (SELECT CAST(l_quantity AS DOUBLE) AS a, CAST(l_linenumber AS DOUBLE) AS b, CAST(l_quantity AS DOUBLE) - CAST(l_linenumber AS DOUBLE) AS c FROM lineitem),
+  g AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(c * c) AS cc, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * c) AS bc FROM x),
+  e AS (SELECT aa + bb + cc AS t, aa * bb - ab * ab + aa * cc - ac * ac + bb * cc - bc * bc AS m FROM g)"""
+
+
+@query(f"WITH {_RANK_TWO} SELECT 1 AS rank, round(sqrt((t + sqrt(t * t - 4 * m)) / 2), 4) AS singular_value FROM e UNION ALL SELECT 2, round(sqrt(2 * m / (t + sqrt(t * t - 4 * m))), 4) FROM e")
+def singular_values(spark, d):
+    """M2: truncated singular value decomposition of three columns of which one is the difference of the others; its two values by the characteristic polynomial."""
+    from haltlens.operators import factors
+
+    x = A.table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("a"), F.col("l_linenumber").cast("double").alias("b"))
+    rows = x.select(F.array(F.lit(0), F.lit(1), F.lit(2)).alias("i"), F.array(F.col("a"), F.col("b"), F.col("a") - F.col("b")).alias("v"))
+    f = factors.truncated_svd(rows, 3, 3)
+    return spark.createDataFrame([(i + 1, round(float(s), 4)) for i, s in enumerate(f.values)], "rank int, singular_value double")
+
+
 @query(f"WITH {_TOK} SELECT traj_id, model_id, prefix_step_idx, context_tokens FROM tok")
 def token_cache(spark, d):
     """Counts by way of a cache that has a part of them; other settings have shards of their own."""
