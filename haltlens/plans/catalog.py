@@ -17,6 +17,7 @@ from haltlens.operators import audit, layouts, metrics, parse, policy, ranking,
 from haltlens.plans import stages
 from haltlens.sources import adapters as A
 from haltlens.sources import tables as T
+from haltlens.sources import versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -398,6 +399,23 @@ def metric_repair(spark, d):
     return metrics.repaired(stored).select("agent", "adjusted_resolved", "adjusted_resolve_rate", "resolve_rate_drop_pp", "changed")
 
 
+@query("SELECT o_orderstatus, count(*) AS orders, CAST(sum(o_custkey % 3) AS BIGINT) AS adjusted_resolved, CAST(sum(CASE WHEN o_custkey % 3 > 1 THEN 1 ELSE 0 END) AS DOUBLE) AS above_one, 1 AS version, count(*) FILTER (WHERE o_orderkey % 50 = 7) AS repaired FROM orders GROUP BY o_orderstatus")
+def repaired_tree(spark, d):
+    """K9: a folder of stored metrics, some of them wrong, repaired file by file; aggregates published with the new version, a second repair changing nothing."""
+    root = T.scratch(spark, "metric-tree")
+    o = A.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(3).cast("long").alias("original_total"), (F.col("o_custkey") % 3).cast("long").alias("original_resolved"), F.lit(0).cast("long").alias("false_negatives"), F.lit(0).cast("long").alias("false_positives"))
+    wrong = (F.col("o_orderkey") % 50 == 7).cast("long")
+    stored = o.withColumns({"adjusted_resolved": F.col("original_resolved") + wrong, "adjusted_resolve_rate": (F.col("original_resolved") + wrong) / 3.0, "resolve_rate_drop_pp": 0.0 - 100.0 * wrong / 3.0})
+    stored.write.parquet(root)
+    by = lambda r: {"by_status": r.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.sum("adjusted_resolved").alias("adjusted_resolved"), F.sum((F.col("adjusted_resolved") > 1).cast("double")).alias("above_one"))}
+    versions.repair(spark, root, stored.schema, metrics.repaired, refresh=by)
+    versions.repair(spark, root, stored.schema, metrics.repaired, refresh=by)
+    old = versions.read(spark, root, stored.schema, 0).select("o_orderkey", "o_orderstatus", F.col("adjusted_resolved").alias("was"))
+    now = versions.read(spark, root, stored.schema).select("o_orderkey", "adjusted_resolved")
+    n = old.join(now, "o_orderkey").groupBy("o_orderstatus").agg(F.count_if(F.col("was") != F.col("adjusted_resolved")).alias("repaired"))
+    return versions.aggregate(spark, root, "by_status").join(n, "o_orderstatus").withColumn("version", F.lit(versions.latest(spark, root)))
+
+
 # ---- rankings
 
 _RANKS = f"""{sql_rule("thr", "thr", source="(SELECT p.*, t.thr FROM prefix_scores p CROSS JOIN (SELECT unnest([0.5::DOUBLE, 0.8::DOUBLE, 0.95::DOUBLE]) AS thr) t)", keys="traj_id, thr")},
@@ -746,6 +764,35 @@ def parse_logs(spark, d):
     return parse.parsed(_logs(spark, d), nested=False).select("traj_id", "step_idx", "action_text", "tool_name")
 
 
+_BUILD = """f AS (SELECT conv_id, turn, 'u' || CAST(conv_id % 3 AS VARCHAR) AS unit_id, 'i' || CAST(conv_id // 2 AS VARCHAR) AS instance_id, lpad(CAST(conv_id AS VARCHAR), 12, '0') AS path FROM conversations),
+  s AS (SELECT unit_id, instance_id, path, turn, row_number() OVER (PARTITION BY unit_id, instance_id ORDER BY path, turn) AS step_idx FROM f WHERE turn % 4 <> 3),
+  r AS (SELECT conv_id // 2 AS i, conv_id % 3 AS u FROM conversations WHERE turn = 0 AND conv_id % 5 = 0),
+  known AS (SELECT DISTINCT 'u' || u AS unit_id, 'i' || i AS instance_id FROM r)"""
+
+
+def _unit_build(spark, d):
+    """Each conversation is a file, two neighbours share an instance; three of four turns are commands. Results are known for a fifth of the files."""
+    c = A.table(spark, d, "conversations")
+    unit = lambda x: [F.concat(F.lit("u"), (x % 3).cast("string")).alias("unit_id"), F.concat(F.lit("i"), F.floor(x / 2).cast("string")).alias("instance_id")]
+    line = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("note "), F.col("turn").cast("string"), F.lit("\n"))).otherwise(F.concat(F.lit("note\nAction: run "), F.col("turn").cast("string"), F.lit(" now\n")))
+    t = c.select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "line"))).alias("t"))
+    files = t.select(*unit(F.col("conv_id")), F.lpad(F.col("conv_id").cast("string"), 12, "0").alias("path"), F.array_join("t.line", "").alias("text"))
+    results = c.filter("turn = 0 AND conv_id % 5 = 0").select(*unit(F.col("conv_id")), F.lit(True).alias("resolved"))
+    return parse.unit_build(files, results, most=7, nested=False)
+
+
+@query(f"WITH {_BUILD} SELECT unit_id, instance_id, instance_id || '__' || unit_id AS traj_id, CAST(step_idx AS INT) AS step_idx, path, 'run ' || turn || ' now' AS action_text, known.unit_id IS NOT NULL AS resolved, CAST(least(7, max(step_idx) OVER (PARTITION BY s.unit_id, s.instance_id)) AS INT) AS n_steps FROM s LEFT JOIN known USING (unit_id, instance_id) QUALIFY step_idx <= 7")
+def unit_steps(spark, d):
+    """Steps of instances that lie in several files, numbered and capped across them."""
+    return parse.unit_steps(_unit_build(spark, d)).select("unit_id", "instance_id", "traj_id", "step_idx", "path", "action_text", "resolved", "n_steps")
+
+
+@query(f"WITH {_BUILD}, n AS (SELECT unit_id, instance_id, count(DISTINCT path) AS files, least(7, count(*) FILTER (WHERE turn % 4 <> 3)) AS steps FROM f GROUP BY ALL) SELECT unit_id, instance_id, files, steps, steps > 0 AS parsed, known.unit_id IS NOT NULL AS resolved FROM n LEFT JOIN known USING (unit_id, instance_id)")
+def unit_parse_summary(spark, d):
+    """The parse summary of a unit build."""
+    return parse.unit_summary(_unit_build(spark, d))
+
+
 @query("SELECT conv_id AS traj_id, list('run ' || turn || ' now' ORDER BY turn)[1:5] AS actions FROM conversations GROUP BY conv_id")
 def quoted_actions(spark, d):
     """N9 in built-in expressions."""
