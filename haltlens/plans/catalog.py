@@ -885,6 +885,21 @@ def model_fold(spark, d):
     return out.select("traj_id", "prefix_step_idx", "split", "prob_safe_success__lr", "prob_cal_safe_success__lr", "prob_safe_failure__lr", "prob_cal_safe_failure__lr")
 
 
+@query(f"WITH {A.SCORES} SELECT CAST(k AS VARCHAR) AS fold_id, 'rest' || k AS test_model, CASE WHEN traj_id % 3 = k THEN 'test' ELSE 'valid' END AS split, count(*) AS rows, count(DISTINCT traj_id) AS trajectories, CAST(sum(label) AS BIGINT) AS labels, true AS all_scored FROM prefix_scores, range(3) t(k) WHERE traj_id % 3 = k OR traj_id % 5 = 1 GROUP BY k, split")
+def trained_folds(spark, d):
+    """Three folds fitted side by side and published each by itself; the scores read back by one scan."""
+    x, run = _examples(spark, d).drop("split"), T.scratch(spark, "trained")
+
+    def rows(model):
+        k = int(model.removeprefix("rest"))
+        return x.withColumn("split", F.when(F.col("traj_id") % 3 == k, "test").when(F.col("traj_id") % 5 == 1, "valid").otherwise("train"))
+
+    stages.train_folds(spark, [(str(k), f"rest{k}") for k in range(3)], rows, _features(), run, predictor="lr", kind="lr", min_step=2)
+    p = [F.col(f"prob_{c}safe_{h}__lr") for h in ("success", "failure") for c in ("", "cal_")]
+    sound = F.bool_and(F.coalesce(F.greatest(*p) <= 1, F.lit(False)) & F.coalesce(F.least(*p) >= 0, F.lit(False)))
+    return T.read_folds(spark, run, ["scores"])["scores"].groupBy("fold_id", "test_model", "split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("traj_id").alias("trajectories"), F.sum("label").cast("long").alias("labels"), sound.alias("all_scored"))
+
+
 def _features():
     from haltlens.operators import features
 

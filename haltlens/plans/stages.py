@@ -6,12 +6,14 @@ Policies are chosen on the validation part of a fold and replayed on its test pa
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haltlens.operators import audit, metrics, policy, select, splits
+from haltlens.operators import audit, features, metrics, policy, select, splits
 from haltlens.sources import tables
 
 SWEEPS = ("symmetric", "cartesian", "complement", "modes")
@@ -84,6 +86,32 @@ def run_stages(spark: SparkSession, scores: DataFrame, run: str, *, targets: lis
     return ran
 
 
+def train_folds(spark: SparkSession, folds: Iterable[tuple[str, str]], rows: Callable[[str], DataFrame], f: features.FeatureSet, run: str, *, threads: int = 4, keep: tuple[str, ...] = ("traj_id", "prefix_step_idx", "split", "label"), predictor: str = "gbt", **options) -> list[str]:
+    """The train stage: for each of ``folds`` (fold_id, test_model) without a mark below ``run``, heads fitted on the train rows of ``rows(test_model)``, calibrated on its valid rows, and
+    the probabilities of valid and test rows published as ``<fold_id>__<test_model>/scores.parquet``. Returns the folders that it made.
+
+    ``threads`` folds run at a time in one session, each in a scheduler pool of its own (shared fairly where spark.scheduler.mode is FAIR), so that the tail of one fold's small jobs
+    leaves executors to the others. A fold is published by itself: one that fails leaves the others' marks, the first error is raised when all have ended, and the next run does what is missing."""
+    done = {name for name, _ in _done(spark, run)}
+    todo = [(name, model) for name, model in ((f"{fold}__{model}", model) for fold, model in folds) if name not in done]
+
+    def one(name: str, model: str) -> bool:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            scored, _ = features.run_fold(rows(model), f, predictor=predictor, **options)
+            columns = [*keep, *[f"prob_{c}safe_{h}__{predictor}" for h in ("success", "failure") for c in ("", "cal_")]]
+            return tables.publish(spark, f"{run}/{name}", {"scores": scored.select(*columns)})
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        running = [(name, pool.submit(inheritable_thread_target(spark)(one), name, model)) for name, model in todo]
+    failed = [e for _, r in running if (e := r.exception())]
+    if failed:
+        raise failed[0]
+    return [name for name, r in running if r.result()]
+
+
 def _done(spark: SparkSession, run: str) -> set[tuple[str, str]]:
     p, fs = tables._file_system(spark, run)
     return {(n, f"{run}/{n}") for n, _ in tables.done_folds(spark, run)} if fs.exists(p) else set()
