@@ -18,6 +18,7 @@ from haltlens.plans import stages
 from haltlens.sources import adapters as A
 from haltlens.sources import tables as T
 from haltlens.sources import versions
+from haltlens.streaming import sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1135,6 +1136,19 @@ def split_index(spark, d):
     return reports.split_index(s, ("split",)).withColumn("mean_rows", F.round("mean_rows", 6))
 
 
+@query("SELECT event_type, count(*) AS rows, CAST(sum(user_id) AS BIGINT) AS users, round(sum(value), 4) AS value, 'bigint' AS user_type FROM events GROUP BY event_type")
+def pinned_batches(spark, d):
+    """K3: the events in two batches, the second with its numbers as texts and its columns in another order, one handed over twice; all under the schema of the first."""
+    path, e = T.scratch(spark, "pinned"), A.table(spark, d, "events").select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "event_type", F.col("value").cast("double").alias("value"))
+    write = sink.pinned_sink(path)
+    write(e.filter("user_id % 2 = 0"), 0)
+    late = e.filter("user_id % 2 <> 0 OR user_id IS NULL").select("value", F.col("user_id").cast("string").alias("user_id"), "event_type", F.col("event_id").cast("decimal(20,0)").alias("event_id"))
+    write(late, 1)
+    write(late, 1)
+    rows = sink.read_pinned(spark, path)
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("user_id").cast("long").alias("users"), F.round(F.sum("value"), 4).alias("value")).withColumn("user_type", F.lit(rows.schema["user_id"].dataType.simpleString()))
+
+
 @query("SELECT event_type, count(*) AS repeats, round(1000 * avg(value), 6) AS mean_ms, round(1000 * quantile_cont(value, 0.5), 6) AS median_ms, round(1000 * quantile_cont(value, 0.95), 6) AS p95_ms, round(sum(event_id) / sum(value), 6) AS per_second FROM events GROUP BY event_type")
 def latency_stats(spark, d):
     """The statistics of measured times, here over the events' values."""
