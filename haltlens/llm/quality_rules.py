@@ -3,13 +3,14 @@
 Each document's counts become a short vector of transformed statistics. For each (language, source) the minimum covariance
 determinant (MCD) estimate of centre and scatter is searched from several deterministic starts (Hubert et al., 2012: medians and absolute
 deviations alone, with the correlations of bounded scores, with those of spatial signs). Each start takes concentration steps over *all* rows: the share
-``support`` of rows nearest to the centre gives the next centre and scatter, until the determinant falls no more; the start with the least
-determinant wins. A document is rejected if its Mahalanobis distance under that estimate exceeds the chi-square quantile ``quantile``.
+``support`` of rows nearest to the centre gives the next centre and scatter, until the determinant falls no more (each step but the last lowers its log
+by more than ``FALL``, and the floors bound it below, so that steps end by themselves); the start with the least determinant wins. A document is rejected if its Mahalanobis distance under that estimate exceeds the chi-square quantile ``quantile``.
 
 Every step is a map-side-combined aggregation of 1 + p + p(p+1)/2 sums per group and start, about the last centre, so a source with a third of all
 rows costs no more than any other, and rows are never shuffled by group: estimates are sent to them (if there are over ``SENT`` of them, joined). The
 nearest rows are told by a mergeable histogram of log distances, 256 bins an octave; rows of the bin in which the share ends count with the weight that
-makes the share exact, so ties share alike. Groups below ``min_group`` rows pool by language, then together; a pool still below it is judged by
+makes the share exact, so ties share alike. Medians, from which starts come, are exact medians of the values cut to 1/``GRID``, by a histogram, so that no
+order of merging changes them. Groups below ``min_group`` rows pool by language, then together; a pool still below it is judged by
 the estimate of all rows of the table (if there are five for each statistic; else documents stay). ``pool`` says which estimate judged a row.
 
 Defined results: null text counts as no words (so it fails the base rule); null language or source is a group of its own;
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,11 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 BINS = 256  # per doubling of the squared distance
 #: Estimates sent to all executors; more are joined.
 SENT = 100_000
-#: Starts, and concentration steps at most.
-STARTS, STEPS = 3, 25
+STARTS = 3
+#: A start ends when a step lowers the log of its determinant by no more than this.
+FALL = 1e-9
+#: Cells to a unit in which medians are told; all statistics lie between -1 and 50.
+GRID = 4096
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -161,7 +166,7 @@ def _stepped(scale: float):
             shift = np.stack([d[f"s{i}"] / n for i in range(P)], 1)
             scatter = (_symmetric(d, "q") / n[:, None, None] - shift[:, :, None] * shift[:, None, :]) * scale + np.diag(np.square(FLOOR))
             logdet = np.linalg.slogdet(scatter)[1]
-            worse = logdet >= d["logdet"] - 1e-9
+            worse = logdet >= d["logdet"] - FALL
             old = np.linalg.inv(_symmetric(d, "w"))
             centre = np.stack([d[f"m{i}"] for i in range(P)], 1)
             yield _estimate(b.column("grp"), d["start"], worse, np.where(worse[:, None], centre, centre + shift), np.where(worse[:, None, None], old, scatter), np.where(worse, d["logdet"], logdet))
@@ -174,11 +179,21 @@ def _distance(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataF
     return rows.join(estimate, "grp", how).withColumn("d2", sum(((1 if i == j else 2) * F.col(f"w{i}_{j}") * d[i] * d[j] for i, j in PAIRS), F.lit(0.0)))
 
 
+def medians(values: DataFrame, names: list[str]) -> DataFrame:
+    """grp and, under each of ``names``, the lower median of that column of ``values`` cut down to 1/GRID; what is shuffled and ordered is counts of cells."""
+    cells = values.select("grp", F.posexplode(F.array(*[F.floor(GRID * F.col(c)) for c in names])).alias("i", "cell")).groupBy("grp", "i", "cell").agg(F.count(F.lit(1)).alias("c"))
+    per = W.partitionBy("grp", "i")
+    upto = cells.withColumns({"upto": F.sum("c").over(per.orderBy("cell")), "all": F.sum("c").over(per)})
+    mid = upto.filter("2 * upto >= all AND 2 * (upto - c) < all")
+    return mid.groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, F.col("cell") / F.lit(float(GRID)))).alias(c) for i, c in enumerate(names)])
+
+
 def mcd(fit: DataFrame, groups: int, support: float) -> DataFrame:
     """grp, logdet, m<i> and w<i>_<j> (inverse scatter) of each group of ``fit`` (grp, x<i>): the least determinant that the starts reach."""
     sent = (lambda df: F.broadcast(df)) if groups * STARTS <= SENT else (lambda df: df)
-    mid = fit.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P)])
-    dev = fit.join(sent(written(mid, "op5-medians")), "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i in range(P)])
+    mid = written(medians(fit, [f"x{i}" for i in range(P)]).withColumnsRenamed({f"x{i}": f"m{i}" for i in range(P)}), "op5-medians")
+    away = fit.join(sent(mid), "grp").select("grp", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"a{i}") for i in range(P)])
+    dev = medians(away, [f"a{i}" for i in range(P)]).join(mid, "grp")
     dev = written(dev.select("grp", *[f"m{i}" for i in range(P)], *[F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR[i] ** 2).alias(f"a{i}") for i in range(P)]), "op5-deviations")
     z = fit.join(sent(dev), "grp").select("grp", *[((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"a{i}")).alias(f"z{i}") for i in range(P)])
     z = z.withColumn("r", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0))), F.lit(1e-9)))
@@ -187,7 +202,7 @@ def mcd(fit: DataFrame, groups: int, support: float) -> DataFrame:
     scale = support / chi2_cdf(chi2_quantile(support, P), P + 2)
     final = []
     per = W.partitionBy("grp", "start")
-    for _ in range(STEPS):
+    while not now.isEmpty():
         near = _distance(fit, sent(now)).withColumn("bin", F.floor(BINS * F.log2(F.col("d2") + 1e-12)).cast("int"))
         counts = near.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("c"))
         upto = counts.withColumns({"upto": F.sum("c").over(per.orderBy("bin")), "share": support * F.sum("c").over(per)})
@@ -198,13 +213,7 @@ def mcd(fit: DataFrame, groups: int, support: float) -> DataFrame:
         now = written(sums.join(now.drop("done"), ["grp", "start"]).mapInArrow(_stepped(scale), _ESTIMATE), "op5-estimate")
         final.append(now.filter("done"))
         now = now.filter("NOT done")
-        if now.isEmpty():
-            break
-    else:
-        final.append(now)
-    every = final[0]
-    for f in final[1:]:
-        every = every.unionByName(f)
+    every = reduce(DataFrame.unionByName, final, now.limit(0))
     rest = [c for c in _NAMES if c not in ("grp", "start", "done")]
     return written(every.groupBy("grp").agg(F.min_by(F.struct(*rest), F.struct("logdet", "start")).alias("e")).select("grp", "e.*"), "op5-final")
 

@@ -347,6 +347,83 @@ def test_least_determinants(spark):
     assert sum(abs(r.logdet - least_determinant(groups[r.grp], 0.75, scale)[0]) < 1e-6 for r in quality_rules.mcd(fit, 6, 0.75).collect()) >= 3
 
 
+def brute_verdicts(rows, support=0.75, quantile=1 - 1e-6, min_group=200):
+    """Of (lang, source, base counts) in plain loops: base_failed and kept, with the smallest distance of a d2 to its cutoff."""
+    floor = np.array([0.08, 0.35, 0.35, 0.12])
+    x = np.array([[math.log((c + 1) / max(n, 1)), math.log1p(100 * s / max(n, 1)), math.log1p(d), math.asin(math.sqrt(min(r / max(n, 1), 1)))] for _, _, n, c, s, d, r in rows])
+    failed = np.array([n < 50 or 100 * r > 50 * n for _, _, n, _, _, _, r in rows])
+    of = lambda part: [i for i in range(len(rows)) if not failed[i] and part(rows[i])]
+    pairs = {(r[0], r[1]): of(lambda o, r=r: o[:2] == r[:2]) for r in rows}
+    small = {lang: [i for (a, _), m in pairs.items() if a == lang and len(m) < min_group for i in m] for lang, _ in pairs}
+    left = [i for m in small.values() if len(m) < min_group for i in m]
+    scale = support / quality_rules.chi2_cdf(quality_rules.chi2_quantile(support, 4), 6)
+    cutoff = quality_rules.chi2_quantile(quantile, 4)
+    median = lambda v: np.sort(np.floor(4096 * v), axis=0)[(len(v) - 1) // 2] / 4096
+
+    def estimate(y):
+        m = median(y)
+        a = np.sqrt((1.4826 * median(np.abs(y - m))) ** 2 + floor**2)
+        z = (y - m) / a
+        best = (np.inf,)
+        signs = z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
+        for like in (np.eye(4), np.tanh(z).T @ np.tanh(z) / len(z), signs.T @ signs / len(z)):
+            size = np.sqrt(np.maximum(np.diag(like), 1e-12))
+            cov, mid, last = np.outer(a, a) * (like / np.outer(size, size) * 0.999 + 0.001 * np.eye(4)), m, np.inf
+            while True:
+                d2 = np.einsum("ni,ij,nj->n", y - mid, np.linalg.inv(cov), y - mid)
+                cell, need = np.floor(256 * np.log2(d2 + 1e-12)), support * len(y)
+                k = np.zeros(len(y))
+                for c in np.unique(cell):
+                    k[cell == c] = min(1, max(0, need) / (cell == c).sum())
+                    need -= (cell == c).sum()
+                mu = (k[:, None] * y).sum(0) / k.sum()
+                new = (k[:, None] * (y - mu)).T @ (y - mu) / k.sum() * scale + np.diag(floor**2)
+                if (det := np.linalg.slogdet(new)[1]) >= last - 1e-9:
+                    break
+                cov, mid, last = new, mu, det
+            best = min(best, (last, mid, cov), key=lambda b: b[0])
+        return best[1], np.linalg.inv(best[2])
+
+    kept, margin = [], np.inf
+    known = {}
+    for i, r in enumerate(rows):
+        m = pairs[r[:2]]
+        group = "pair", r[:2]
+        if len(m) < min_group:
+            group, m = ("lang", r[0]), small[r[0]]
+            if len(m) < min_group:
+                group, m = ("rest",), left if len(left) >= min_group else of(lambda o: True)
+        if failed[i] or len(m) < 20:
+            kept.append(not failed[i])
+            continue
+        if group not in known:
+            known[group] = estimate(x[m])
+        mid, inv = known[group]
+        d2 = (x[i] - mid) @ inv @ (x[i] - mid)
+        margin = min(margin, abs(d2 - cutoff))
+        kept.append(bool(d2 <= cutoff))
+    return [bool(f) for f in failed], kept, margin
+
+
+@pytest.mark.parametrize("size", [0, 200, 5])
+def test_verdicts_equal_brute_force(spark, docs, size):
+    """Documents, in groups as they are, pooled and alone, and made rows with outliers among them: every verdict, and the same again from rows in another order."""
+    if size:
+        rng = random.Random(size)
+        rows = [(rng.choice(("en", "de", None)), rng.choice(("a", "b", "c", None)), n := rng.randint(40, 900), int(n * rng.gauss(5, 0.1 if rng.random() < 0.9 else 2)), rng.choice((0, 0, 1, 40)), rng.choice((0, 0, 3, 60)), rng.choice((0, 5, n // 3, n))) for _ in range(1500)]
+    else:
+        rows = [(r.lang, r.source, *brute_stats(r.text)) for r in docs.select("lang", "source", "text").collect()]
+    schema = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    failed, kept, margin = brute_verdicts(rows, min_group=size or 200)
+    assert margin > 1e-6
+    numbered = [(i, *r) for i, r in enumerate(rows)]
+    for turn in (numbered, numbered[::-1]):
+        stats = common.written(spark.createDataFrame(turn, schema), "stats")
+        got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.verdicts(stats, min_group=size or 200).collect()}
+        assert got == {i: v for i, v in enumerate(zip(failed, kept))}
+    assert not size or 0 < sum(kept) < len(kept)
+
+
 def test_small_groups_have_a_verdict(spark):
     rng = random.Random(8)
     rows = [(i, n := rng.randint(100, 900), int(n * rng.gauss(5, 0.1)), 0, 0, 0, "xx", f"s{i % 7}") for i in range(60)] + [(99, 300, 4000, 2500, 0, 0, "yy", "s")]
