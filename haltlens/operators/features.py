@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haltlens.functions.scalars import number
+from haltlens.operators import boosting
 from haltlens.operators.factors import TruncatedSVD
 
 
@@ -67,6 +68,11 @@ def prepared(rows: DataFrame, f: FeatureSet) -> DataFrame:
     return rows.withColumns({f"{c}_num": number(c) for c in f.numeric} | {c: F.coalesce(F.col(c).cast("string"), F.lit("__NULL__" if c in f.categorical else "")) for c in (*f.categorical, *f.text)})
 
 
+def _spread(rows: DataFrame, width: int) -> DataFrame:
+    """The features as columns _f0, _f1, ..."""
+    return rows.withColumn("_a", vector_to_array("features")).withColumns({f"_f{i}": F.col("_a")[i] for i in range(width)})
+
+
 @dataclass
 class Head:
     """A fitted head: a model, or the constant where training saw one class, and its calibration."""
@@ -83,12 +89,16 @@ class Head:
             rows = rows.withColumn(raw, F.lit(float(self.constant)))
         else:
             kept = rows.columns
-            rows = self.model.transform(rows).withColumn(raw, vector_to_array("probability")[1]).select(*kept, raw)
+            if isinstance(self.model, boosting.Model):
+                rows = self.model.scored(_spread(rows, len(self.model.features)), raw).select(*kept, raw)
+            else:
+                rows = self.model.transform(rows).withColumn(raw, vector_to_array("probability")[1]).select(*kept, raw)
         fitted = F.col(raw) if self.slope is None else 1 / (1 + F.exp(-(F.lit(self.slope) * F.col(raw) + F.lit(self.shift))))
         return rows.withColumn(calibrated, fitted)
 
 
 def fit_head(train: DataFrame, label: str, *, kind: str = "gbt", seed: int = 0, weight: str = "sample_weight", rounds: int = 20) -> Head:
+    """``kind``: lr (logistic), gbt (Spark's trees, by level) or leafwise (``boosting``)."""
     classes = [r[0] for r in train.select(label).distinct().limit(3).collect()]
     if len(classes) == 1:
         return Head(None, float(classes[0]))
@@ -96,6 +106,9 @@ def fit_head(train: DataFrame, label: str, *, kind: str = "gbt", seed: int = 0,
         lr = LogisticRegression(labelCol=label, weightCol=weight, maxIter=100, regParam=0.01)
         m = lr.fit(train)
         return Head(m, iterations=m.summary.totalIterations, converged=m.summary.totalIterations < lr.getMaxIter())
+    if kind == "leafwise":  # for features of a bounded width: numbers, categories, factors of texts
+        width = train.select(F.size(vector_to_array("features"))).first()[0]
+        return Head(boosting.fit(_spread(train, width), tuple(f"_f{i}" for i in range(width)), label, ("features",), boosting.Params(rounds=rounds, seed=seed), weight))
     return Head(GBTClassifier(labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=5, seed=seed).fit(train))
 
 

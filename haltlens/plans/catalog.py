@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haltlens.functions import scalars as X
-from haltlens.operators import audit, layouts, metrics, parse, policy, ranking, reports, select, splits, tokens
+from haltlens.operators import audit, boosting, layouts, metrics, parse, policy, ranking, reports, select, splits, tokens
 from haltlens.plans import stages
 from haltlens.sources import adapters as A
 from haltlens.sources import tables as T
@@ -877,6 +877,32 @@ def unit_shards(spark, d):
     return parse.sharded(A.pairs(spark, d).select("model_id").distinct(), "model_id", 1, 3)
 
 
+_PULL = lambda s: f"greatest(abs({s}g) / 1048576::DOUBLE - 0.1::DOUBLE, 0::DOUBLE) * greatest(abs({s}g) / 1048576::DOUBLE - 0.1::DOUBLE, 0::DOUBLE) / ({s}h / 1048576::DOUBLE + 1.0::DOUBLE)"
+_CUTS = lambda n, rows: f"""sum{n} AS (SELECT side, i, b, max(top) AS top, CAST(sum(g) AS BIGINT) AS g, CAST(sum(h) AS BIGINT) AS h, count(*) AS n FROM {rows} GROUP BY ALL),
+  run{n} AS (SELECT side, i, b, top, {', '.join(f'CAST(sum({c}) OVER (w ORDER BY b) AS BIGINT) AS l{c}, CAST(sum({c}) OVER w AS BIGINT) AS a{c}' for c in 'ghn')} FROM sum{n} WINDOW w AS (PARTITION BY side, i)),
+  gain{n} AS (SELECT *, {_PULL('l')} + {_PULL('r')} - {_PULL('a')} AS gain FROM (SELECT *, ag - lg AS rg, ah - lh AS rh, an - ln AS rn FROM run{n}) WHERE least(ln, rn) >= 50 AND least(lh, rh) >= 1048.576),
+  best{n} AS (SELECT * FROM gain{n} WHERE gain > 0 ORDER BY gain DESC, side, i, b LIMIT 1)"""
+
+
+@query(f"""WITH {A.SCORES}, x AS (SELECT traj_id, prefix_step_idx AS k, CAST(prefix_step_idx >= 3 AND label = 1 AS INT) AS y, f.i, f.v FROM prefix_scores, LATERAL (VALUES (0, prefix_step_idx::DOUBLE), (1, p_success), (2, p_failure), (3, agent::DOUBLE)) f(i, v)),
+  cell AS (SELECT *, coalesce(CAST(floor(65535 * sqrt(sqrt((v - lo) / nullif(hi - lo, 0)))) AS BIGINT), 0) AS cell FROM (SELECT *, min(v) OVER (PARTITION BY i) AS lo, max(v) OVER (PARTITION BY i) AS hi FROM x)),
+  c AS (SELECT i, cell, count(*) AS c, max(v) AS top FROM cell GROUP BY ALL),
+  q AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY i) <= 64 THEN row_number() OVER w ELSE CAST(sum(c) OVER w - c AS BIGINT) * 64 // CAST(sum(c) OVER (PARTITION BY i) AS BIGINT) END AS q FROM c WINDOW w AS (PARTITION BY i ORDER BY cell)),
+  bin AS (SELECT i, cell, dense_rank() OVER (PARTITION BY i ORDER BY q) AS b, max(top) OVER (PARTITION BY i, q) AS top FROM q),
+  m AS (SELECT 1 / (1 + exp(-ln(y / (1 - y)))) AS p FROM (SELECT avg(y) AS y FROM x)),
+  r AS (SELECT traj_id, k, i, b, bin.top, '' AS side, CAST(floor((p - y) * 1048576 + 0.5) AS BIGINT) AS g, CAST(floor(p * (1 - p) * 1048576 + 0.5) AS BIGINT) AS h FROM cell JOIN bin USING (i, cell), m),
+  {_CUTS(1, 'r')},
+  half AS (SELECT traj_id, k, CASE WHEN r.b <= best1.b THEN '0' ELSE '1' END AS side FROM r JOIN best1 USING (i)),
+  s AS (SELECT r.* EXCLUDE (side), half.side FROM r JOIN half USING (traj_id, k)),
+  {_CUTS(2, 's')}
+  SELECT side AS node, (['prefix_step_idx', 'p_success', 'p_failure', 'agent'])[i + 1] AS feature, top AS cut, round(gain, 6) AS gain, ln AS n_left, rn AS n_right FROM (FROM best1 UNION ALL FROM best2)""")
+def boosted_splits(spark, d):
+    """M4: the first tree of a boosted model of three leaves, grown best first from histograms, with L1, L2 and a least leaf."""
+    x = A.scores(spark, d).withColumn("y", ((F.col("prefix_step_idx") >= 3) & (F.col("label") == 1)).cast("int"))
+    m = boosting.fit(x, ("prefix_step_idx", "p_success", "p_failure", "agent"), "y", ("traj_id", "prefix_step_idx"), boosting.Params(rounds=1, leaves=3, column_share=1.0, bins=64))
+    return spark.createDataFrame([(s["node"], s["feature"], s["cut"], s["gain"], s["n_left"], s["n_right"]) for s in m.splits()], "node string, feature string, cut double, gain double, n_left long, n_right long").withColumn("gain", F.round("gain", 6))
+
+
 @query()
 def model_fold(spark, d):
     """Fitted on train, calibrated on valid, scored on test; fitted numbers differ from other trainers', so that only rows are checked."""
