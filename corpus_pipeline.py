@@ -25,8 +25,14 @@ def _with_size(docs: DataFrame) -> DataFrame:
 
 
 def _row() -> Column:
-    """Tells rows apart, whatever their ids: what all decisions about a row depend on, and its id."""
-    return F.xxhash64("doc_id", "text", "lang", "source")
+    """Tells rows apart, whatever their ids: what all decisions about a row depend on, and its id. A hash passes over nulls, so that it takes their places too."""
+    names = ("doc_id", "text", "lang", "source")
+    return F.xxhash64(*names, *[F.col(c).isNull() for c in names])
+
+
+def _check() -> Column:
+    """A second hash of a row, so that unlike rows of one number are not taken for repeats."""
+    return F.md5(F.to_json(F.struct("doc_id", "text", "lang", "source")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stay = rows.select("row", "doc_id").join(groups.distinct(), "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
-    return rows.join(stay, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
+    return rows.join(stay, "row", "left_semi").withColumn("check", _check()).dropDuplicates(["row", "check"]).select(*COLUMNS)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
