@@ -64,5 +64,12 @@ def test_odd_rows(spark, odd, empty, docs):
             assert out.columns == docs.select("doc_id", "text", "lang", "source", "n_chars").columns and out.count() <= rows.count(), name
 
 
-def test_queries_name_all_ten():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+def test_queries_name_all_operators():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_nulls_in_other_places_are_other_rows(spark):
+    rows = spark.createDataFrame([(1, "t", None, "x"), (1, "t", "x", None), (1, None, "t", "x"), (None, "t", "x", None), (1, "t", None, "x")], "doc_id long, text string, lang string, source string")
+    assert rows.select(corpus_pipeline._row()).distinct().count() == rows.select(corpus_pipeline._check()).distinct().count() == 4
+    stay = corpus_pipeline.near_dedup(spark, rows.selectExpr("*", "1L AS n_chars"), "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in stay) == [(1, ""), (1, "t")]
