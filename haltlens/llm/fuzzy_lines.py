@@ -11,7 +11,7 @@ Two joins propose the pairs that are verified:
   already moves more bits than that in four lines of five, and at similarity 0.8 about 13 of the 64 bits differ, so that no number of blocks
   that one could afford finds such lines: the method named does not give right results here.
 - ``every_duplicate_line`` (``every``), which the registered query and the pipeline use: a line of more than SHORT words is looked for by the KEYS
-  least hashes of its threes of neighbouring words, a shorter one by nearly all its pairs. Two lines of similarity 0.8 share half of these threes or
+  least hashes of its threes of neighbouring words, a shorter one by all its pairs. Two lines of similarity 0.8 share half of these threes or
   more, so that they miss one another only if eight in a row of the least ones are all edited: at most 0.7 % at exactly 0.8, next to none above, and
   none at all in lines of up to 14 words. Cells are found on packed keys, 14 bytes each, are cut where sizes cannot go together, and
   hold each wording once a stretch of texts, so that copies do not gather there. Size and the parities of word counts sort out
@@ -56,8 +56,8 @@ DISTANCE = 3
 KNOWN = 200_000
 #: Keys of a kind by which a line is looked for, and words of a short line.
 KEYS, SHORT = 8, 12
-#: Rows sampled for common words, how often these are seen there, and how many are kept at most.
-SAMPLE, OFTEN, COMMON = 10_000, 16, 500
+#: No longer looked at, as no word is told to be frequent any more; tests set it.
+OFTEN = 16
 #: Bits of a line's parities.
 PARITY = 256
 #: Pairs compared at a time.
@@ -159,32 +159,30 @@ class Words:
     def form(self, line: int) -> bytes:
         return b" ".join(self.data[self.stop[line - 1] + 1 if line else 0 : self.stop[line]].split())
 
-    def keys(self, lines: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, lines: np.ndarray, common: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
         """Lines and keys of ``lines``. In lines of more than SHORT words (and those that may be similar to them) the KEYS least hashes of its
-        different threes of neighbouring words; in shorter ones as many of its pairs with a rare word, and as many of its pairs of common words
-        (``common``: by the low bits of a word's hash), which is nearly all their pairs."""
+        different threes of neighbouring words; in shorter ones all its different pairs, so that no list of
+        frequent words (``common``, which callers may still hand over) bears on them."""
         wanted = np.zeros(len(self.n), bool)
         wanted[lines] = True
-        mask = _U(len(common) - 1)
         i = np.flatnonzero((self.at > 0) & wanted[self.line])
         line, a, b = self.line[i], self.h[i - 1], self.h[i]
         key = _mixed(a * _U(0xD6E8FEB86659FD93) ^ (b + _U(0x632BE59BD9B4E019)))
         two = np.flatnonzero((self.n <= SHORT)[line])
-        often = common[a[two] & mask] & common[b[two] & mask]
         three = np.flatnonzero((self.at[i] > 1) & (self.n >= SHORT * similarity)[line])
-        of = np.concatenate([3 * line[two] + often, 3 * line[three] + 2])
+        of = np.concatenate([2 * line[two], 2 * line[three] + 1])
         key = np.concatenate([key[two], _mixed(key[three] ^ self.h[i[three] - 2] * _U(0xA24BAED4963EE407))])
         # most that cannot be among the least go before the sort, unless too few would be left
-        low = key < (np.minimum(4 * KEYS / self.n[of // 3], 0.999) * 2.0**64).astype(np.uint64)
-        low |= np.bincount(of[low], minlength=3 * len(self.n))[of] < 2 * KEYS
+        low = key < (np.minimum(4 * KEYS / self.n[of // 2], 0.999) * 2.0**64).astype(np.uint64)
+        low |= np.bincount(of[low], minlength=2 * len(self.n))[of] < 2 * KEYS
         of, key = of[low], key[low]
         bits = int(of.max(initial=0)).bit_length()
         order = np.argsort(of.astype(np.uint64) << _U(64 - bits) | key >> _U(bits)) if bits else np.argsort(key)  # one number sorts faster than two
         of, key = of[order], key[order]
         new = np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]))[: len(of)]
         of, key = of[new], key[new]
-        least = np.arange(len(of)) - np.searchsorted(of, of) < KEYS
-        return of[least] // 3, key[least]
+        least = (np.arange(len(of)) - np.searchsorted(of, of) < KEYS) | (of & 1 == 0)
+        return of[least] // 2, key[least]
 
     def parities(self, lines: np.ndarray) -> np.ndarray:
         """As bytes, a row of PARITY bits for each of ``lines``: bit i is set if an odd number of its words have hash i."""
@@ -378,32 +376,12 @@ def duplicate_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int
     return _gone(lines, wordings, first.unionByName(_confirmed(rest, norms, similarity)))
 
 
-def common_words(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """A table by the low bits of a word's hash: whether a sample of the texts has such words often. What is in it decides on cost only. Also the bytes of all texts, estimated."""
-
-    def run(batches):
-        for b in batches:
-            for i, j in by_size(b.column("text"), BYTES):
-                w = Words([normal_bytes(t or "") for t in b.column("text").slice(i, j - i).to_pylist()])
-                word, n = np.unique(w.h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(word.view(np.int64), 0)), pa.array(np.append(n, len(w.data))), pa.array(np.append(np.zeros(len(word), bool), True))], ["word", "n", "bytes"])
-
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    words = written(docs.sample(share, 1).select("text").mapInArrow(run, "word long, n long, bytes boolean").groupBy("bytes", "word").agg(F.sum("n").alias("n")), "op9-common")
-    rows = words.filter("NOT bytes").orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    size = words.filter("bytes").agg(F.sum("n")).first()[0] or 0
-    dropped(words)
-    table = np.zeros(1 << 20, bool)
-    table[np.array([r.word for r in rows if r.n >= OFTEN], np.int64).view(np.uint64) & _U(len(table) - 1)] = True
-    return table, int(size / share)
-
-
 LINES = "rk long, doc_id long, line_no int, looked int, wording long, check long, size int, parity binary, bucket int, cells binary"
 
 
 def line_keys(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
     """rk, doc_id, line_no, looked (how many lines with a word the text has), wording and check (two hashes of it) of each line with a word of every text; where a stretch of texts first has a wording of ``min_words`` words its size and parities. Also rows of keys: bucket and cells (key, wording and size of each, packed)."""
-    common, total = common_words(docs)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
 
     def run(batches):
@@ -433,7 +411,7 @@ def line_keys(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
                 looked = np.bincount(w.text[full], minlength=len(texts)).astype(np.int32)[w.text[full]]
                 cols = [*rows, pa.array(w.number[full].astype(np.int32)), pa.array(looked), pa.array(wording[full].view(np.int64)), pa.array(check[full].view(np.int64)), pa.array(size[full].astype(np.int32), mask=mask), pa.array(parity[full], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.binary())], [x.split()[0] for x in LINES.split(", ")])
-                line, key = w.keys(new, common, similarity)
+                line, key = w.keys(new, None, similarity)
                 packed = np.empty(len(key), _CELL)
                 packed["key"], packed["wording"], packed["size"] = key & _U(0xFFFFFFFF), wording[line], np.minimum(size[line], 0xFFFF)
                 to = ((key >> _U(32)) % _U(buckets)).astype(np.int32)

@@ -831,3 +831,12 @@ def test_shared_dir_where_none_is_named():
     assert common.shared_dir(session("local[2]")) == common.shared_dir(session("local"))
     with pytest.raises(ValueError):
         common.shared_dir(session("spark://host:7077"))
+
+
+def test_short_lines_are_looked_for_by_all_their_pairs():
+    """Whatever words are frequent in some of the texts; and the bytes that buckets are counted by are those of all texts."""
+    w = fuzzy_lines.Words([b"a b c d e f g h i j k l"])
+    line, key = w.keys(np.array([0]), None, 0.8)
+    pairs = np.unique(key[: len(key) - 8])
+    assert len(key) == 11 + 8 and len(np.unique(key)) == 19 and len(pairs) == 11
+    assert not hasattr(fuzzy_lines, "common_words")
