@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from haltlens.functions.scalars import number
 from haltlens.operators import boosting
 from haltlens.operators.factors import TruncatedSVD
+from haltlens.sources import tables
 
 
 @dataclass(frozen=True)
@@ -123,13 +124,15 @@ def calibrate(head: Head, valid: DataFrame, label: str, weight: str = "sample_we
 
 def run_fold(rows: DataFrame, f: FeatureSet, *, predictor: str = "gbt", kind: str = "gbt", min_step: int = 10, rounds: int = 20) -> tuple[DataFrame, PipelineModel]:
     """``rows`` with split (train, valid, test): fitted on train, calibrated on valid; valid and test with their probability columns."""
-    data = safe_targets(prepared(rows, f), min_step)
+    # each fit passes over its rows many times: what these are made from is read and exchanged once
+    data = tables.kept(safe_targets(prepared(rows, f), min_step), "examples")
     features = feature_pipeline(f).fit(data.filter("split = 'train'"))
     data = features.transform(data)
     out = data.filter("split in ('valid', 'test')")
+    learnt = tables.kept(data.select("split", "features", "sample_weight", "y_success", "y_failure"), "features")
     for i, head in enumerate(("success", "failure")):
         y = f"y_{head}"
-        h = calibrate(fit_head(data.filter("split = 'train'"), y, kind=kind, seed=97 * i, rounds=rounds), data.filter("split = 'valid'"), y)
+        h = calibrate(fit_head(learnt.filter("split = 'train'"), y, kind=kind, seed=97 * i, rounds=rounds), learnt.filter("split = 'valid'"), y)
         out = h.scored(out, f"prob_safe_{head}__{predictor}", f"prob_cal_safe_{head}__{predictor}")
     return out.drop("features"), features
 
@@ -141,11 +144,13 @@ def one_hot(rows: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:
 
 def run_variants(rows: DataFrame, variants: dict[str, FeatureSet], *, label: str = "y_success", min_step: int = 10) -> tuple[DataFrame, list[dict]]:
     """One logistic head for each set of features, classes balanced: valid and test rows with prob_<variant>, and for each variant its iterations and whether they converged."""
-    data = balanced_weights(safe_targets(rows, min_step).filter("split = 'train'"), label)
-    out, told = safe_targets(rows, min_step).filter("split in ('valid', 'test')"), []
+    rows = tables.kept(safe_targets(rows, min_step), "examples")
+    data = balanced_weights(rows.filter("split = 'train'"), label)
+    out, told = rows.filter("split in ('valid', 'test')"), []
     for name, f in variants.items():
         model = feature_pipeline(f).fit(prepared(data, f))
-        head = fit_head(model.transform(prepared(data, f)), label, kind="lr")
+        learnt = tables.kept(model.transform(prepared(data, f)).select("features", "sample_weight", label), "features")
+        head = fit_head(learnt, label, kind="lr")
         kept = out.columns
         out = head.scored(model.transform(prepared(out, f)), f"prob_{name}", f"_cal_{name}").select(*kept, f"prob_{name}")
         told.append({"variant": name, "iterations": head.iterations, "converged": head.converged, "constant": head.constant})

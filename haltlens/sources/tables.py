@@ -147,6 +147,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written once to a scratch folder and read from there by all that follows."""
+    path, spark = scratch(df.sparkSession, label), df.sparkSession
+    write_table(df, f"{path}.parquet")
+    return spark.read.schema(df.schema).parquet(f"{path}.parquet")
+
+
 def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -12,3 +12,8 @@ def _plan(df):
 def test_versions_are_joined_without_a_broadcast(spark):
     got = _plan(catalog.QUERIES["repaired_tree"](spark, SF))
     assert "SortMergeJoin [o_orderkey" in got
+
+
+def test_what_a_fold_learns_from_is_made_once(spark):
+    got = _plan(catalog.QUERIES["model_fold"](spark, SF))
+    assert "Window" not in got and "/examples-" in got
