@@ -47,6 +47,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """As ``written``, dealt into files by ``key``: joins on it move the other side only. A table of a name of its own, below the shared folder."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    out = spark.table(name)
+    out._haltlens_path = path
+    return out
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing reads it any more."""
     path = getattr(df, "_haltlens_path", None)

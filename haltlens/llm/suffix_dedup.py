@@ -11,7 +11,7 @@ which occur in two documents, and only windows of such anchors become pieces (eq
 is lost; a chance collision only adds a piece). Equal pieces are merged per slice before they move and again in their shard.
 
 Steps, each an aggregation or join by slice, bucket or shard: slices of about four megabytes of documents, written once; anchors
-by bucket; their repeats back by slice; pieces by shard; covered stretches back by slice. Buckets and shards grow with the input, so
+by bucket; their repeats back by slice; pieces by shard; covered stretches back by slice. The slices themselves lie in files by slice and are never exchanged. Buckets and shards grow with the input, so
 that a task's memory does not. Work is linear in the text, and in the repeated text for the transform: a piece all of whose occurrences are equal and
 that shares no stretch beside its anchor with another piece is covered or not by its least document alone, and is left out of it.
 
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import bucketed, only, written
 
 GRAM = 16
 SLICE = 1 << 22
@@ -174,7 +174,18 @@ def _repeats(key, group):
     return pa.table({"slice": pa.array([s for s, _ in out], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int32()), "bits": pa.array([x for _, x in out], pa.binary())})
 
 
-PIECES = "shard int, slice long, text binary, sizes binary, piece binary, at binary, doc binary, numbers binary"
+PIECES = "shard int, slice long, packed binary"
+
+
+def _packed(*parts: bytes) -> bytes:
+    """Byte strings as one, compressed together: closer than a shuffle's own compression does."""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(x) for x in parts], "<i8").tobytes(), *parts]))
+
+
+def _unpacked(blob: bytes, n: int) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    cut = (np.cumsum(np.frombuffer(data, "<i8", n)) + 8 * n).tolist()
+    return [data[i:j] for i, j in zip([8 * n, *cut], cut)]
 
 
 def _pieces(buckets: int, shards: int, length: int):
@@ -205,9 +216,10 @@ def _pieces(buckets: int, shards: int, length: int):
                     known: dict[bytes, int] = {}
                     which = [known.setdefault(data[a : a + k], len(known)) for a, k in zip(begin[i:j], size[i:j])]
                     mine, own = np.unique(docs[i:j], return_inverse=True)
-                    rows.append((int(shard[i]), s, b"".join(known), np.array([len(x) for x in known], "<u4").tobytes(), np.array(which, "<u4").tobytes(), first[chosen[i:j]].astype("<u4").tobytes(), own.astype("<u2").tobytes(), part.order[mine].astype("<i8").tobytes()))
-                cols = list(zip(*rows)) if rows else [[]] * 8
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                    places = np.diff(first[chosen[i:j]], prepend=0)  # in order within a shard: small numbers
+                    rows.append((int(shard[i]), s, _packed(b"".join(known), np.array([len(x) for x in known], "<u4").tobytes(), np.array(which, "<u4").tobytes(), places.astype("<u4").tobytes(), own.astype("<u2").tobytes(), part.order[mine].astype("<i8").tobytes())))
+                cols = list(zip(*rows)) if rows else [[]] * 3
+                kinds = [pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in PIECES.split(", ")])
 
     return run
@@ -343,15 +355,15 @@ def _covered(length: int):
         pieces: dict[bytes, int] = {}
         which, number, at, home = [], [], [], []
         for r in group.to_batches():
-            for s, text, size, piece, first, doc, numbers in zip(*(r.column(c).to_pylist() for c in ("slice", "text", "sizes", "piece", "at", "doc", "numbers"))):
+            for s, packed in zip(r.column("slice").to_pylist(), r.column("packed")):
+                text, size, piece, first, doc, numbers = _unpacked(packed.as_py(), 6)
                 cut = np.concatenate([[0], np.cumsum(np.frombuffer(size, "<u4"), dtype=np.int64)]).tolist()
                 ids = np.array([pieces.setdefault(text[i:j], len(pieces)) for i, j in zip(cut, cut[1:])], np.int64)
                 which.append(ids[np.frombuffer(piece, "<u4")])
-                at.append(np.frombuffer(first, "<u4"))
+                at.append(np.cumsum(np.frombuffer(first, "<u4"), dtype=np.int64))
                 number.append(np.frombuffer(numbers, "<i8")[np.frombuffer(doc, "<u2")])
                 home.append(np.full(len(which[-1]), s))
         which, number, at, home = map(np.concatenate, (which, number, at, home))
-        at = at.astype(np.int64)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         begin = np.cumsum(sizes + 1) - sizes - 1
         least = np.full(len(pieces), LAST)
@@ -412,8 +424,9 @@ def deduplicated(docs: DataFrame, *, length: int = 50, texts: bool = False) -> D
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text); ``texts`` adds the kept bytes."""
     if length < GRAM:
         raise ValueError("anchors are parts of the repeated string")
-    held = written(slices(docs), "op4-slices")
-    size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # texts meet twice what was found in them; they lie by slice, so that only the findings move
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    held = bucketed(slices(docs), "op4-slices", "slice", max(16, -(-size // (2 * SLICE))))
     buckets, shards = max(1, -(-size // (BUCKET_ANCHORS * 20))), max(1, -(-size // SHARD_BYTES))
     blobs = held.select("slice", "blob")
     anchors = blobs.mapInArrow(_payload(buckets, length), "bucket int, slice long, hashes binary, shared binary")

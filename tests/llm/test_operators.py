@@ -261,6 +261,16 @@ def test_repeated_strings(request, which):
     assert got == brute_repeats(texts(df))
 
 
+def test_slices_are_not_exchanged(spark, docs):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = suffix_dedup.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # of the two sides of the join by slice only the stretches, without blobs, are moved
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "SortMergeJoin" in plan
+
+
 def test_repeats_over_many_shards(spark, monkeypatch):
     for name, value in (("SLICE", 400), ("BUCKET_ANCHORS", 3), ("SHARD_BYTES", 700)):
         monkeypatch.setattr(suffix_dedup, name, value)
