@@ -58,8 +58,8 @@ KNOWN = 200_000
 KEYS, SHORT = 8, 12
 #: No longer looked at, as no word is told to be frequent any more; tests set it.
 OFTEN = 16
-#: Bits of a line's parities.
-PARITY = 256
+#: Bits of a line's parities, as they travel and as they are made of the words.
+PARITY, WIDE = 256, 1024
 #: Pairs compared at a time.
 BLOCK = 1 << 20
 #: Bytes of text looked at together, and for each bucket of keys.
@@ -497,31 +497,63 @@ def _blocks(members: np.ndarray, n: np.ndarray):
     return np.split(members, np.unique(np.searchsorted(upto, np.arange(BLOCK, int(upto[-1]), BLOCK)))) if len(members) else []
 
 
-def _others(similarity: float):
+def _unsettled(key, group):
+    """Of a bucket's members (key, wording, root) those of cells that hold more than one root."""
+    group = group.sort_by([("key", "ascending")])
+    cell, root = group.column("key").to_numpy(), group.column("root").to_numpy()
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    mixed = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), np.diff(np.append(first, len(cell))))
+    return group.filter(pa.array(mixed)).select(["key", "wording", "root"])
+
+
+def _linked(similarity: float):
     def run(key, group):
-        """All pairs of a cell that may be similar and are not of one root, a block at a time."""
-        cell, wording, root, size, parity = _arrays(group)
-        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        mixed = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), np.diff(np.append(first, len(cell))))
-        if not mixed.any():
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        cell, wording, root, size, parity = (x[mixed] for x in (cell, wording, root, size, parity))
+        """Of a bucket's members with their words: every two of a cell that may be similar are looked at until they are known to be of one group, and the links that join two groups are
+        returned, one fewer than there are roots at most. Of pairs that are no links none leaves the cell."""
+        norm = group.column("norm").to_pylist()
+        size = np.fromiter(map(len, norm), np.int64, len(norm))
+        cell, wording, root = (group.column(c).to_numpy() for c in ("key", "wording", "root"))
+        order = np.lexsort((wording, size, cell))
+        cell, wording, root, size, norm = cell[order], wording[order], root[order], size[order], [norm[i] for i in order.tolist()]
+        # words told apart by more bits than travel with a member: many near misses end here
+        parity = np.zeros((len(norm), WIDE // 64), "<u8")
+        for p in range(0, len(norm), 1 << 12):
+            part = slice(p, p + (1 << 12))
+            sign = np.frombuffer("".join(norm[part]).encode("utf-32-le"), "<u4").astype(np.int64)
+            odd = np.bincount(np.repeat(np.arange(len(size[part])), size[part]) * WIDE + sign % WIDE, minlength=len(size[part]) * WIDE) & 1
+            parity[part] = np.packbits(odd.astype(bool)).view("<u8").reshape(-1, WIDE // 64)
+        _, group_of = np.unique(root, return_inverse=True)
+        parent = list(range(int(group_of.max()) + 1))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         after = _window(cell, first, size, similarity)[1] - np.arange(len(cell)) - 1
-        found = [np.empty((0, 2), np.int64)]
-        upto = np.cumsum(after)
-        cuts = np.unique(np.append(np.searchsorted(upto, np.arange(BLOCK, int(upto[-1]), BLOCK)), len(cell)))
-        for i, j in zip(np.append(0, cuts[:-1]), cuts):
-            n = after[i:j]
-            u = np.repeat(np.arange(i, j), n)
+        links, seen = [], set()
+        for some in _blocks(np.arange(len(cell)), after):
+            if not len(some):
+                continue
+            now = np.fromiter(map(find, range(len(parent))), np.int64, len(parent))[group_of]
+            n = after[some]
+            u = np.repeat(some, n)
             v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
-            apart = root[u] != root[v]
+            apart = now[u] != now[v]
             u, v = u[apart], v[apart]
             ok = _near(u, v, size, parity, similarity)
-            a, b = wording[u[ok]], wording[v[ok]]
-            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
+            for a, b in zip(u[ok].tolist(), v[ok].tolist()):
+                x, y = find(group_of[a]), find(group_of[b])
+                if x == y or (pair := (min(wording[a], wording[b]), max(wording[a], wording[b]))) in seen:
+                    continue
+                if within(norm[a], norm[b], int((1 - similarity) * max(size[a], size[b]) + 1e-9)):
+                    parent[x] = y
+                    links.append(pair)
+                elif len(seen) < BLOCK:  # not compared again in another cell of the bucket
+                    seen.add(pair)
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
     return run
 
@@ -553,9 +585,10 @@ def every_duplicate_line(docs: DataFrame, *, similarity: float = 0.8, min_words:
     ends = first.select("u", "v").unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
     up = ends.groupBy("u").agg(F.min("v").alias("v"))
     up = up.alias("a").join(up.alias("b"), F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("wording"), F.least("a.u", "a.v", "b.v").alias("root"))
-    rooted = placed.select("key", *about).join(up, "wording", "left").select("key", *about, F.coalesce("root", "wording").alias("root"))
-    rest = rooted.groupBy(deal).applyInArrow(_others(similarity), "u long, v long").distinct()
-    return _gone(lines, wordings, first.unionByName(_confirmed(rest, norms, similarity)))
+    rooted = placed.select("key", "wording").join(up, "wording", "left").select("key", "wording", F.coalesce("root", "wording").alias("root"))
+    # cells that are not of one group yet: their members that have words meet again, with these
+    unsettled = rooted.groupBy(deal).applyInArrow(_unsettled, "key long, wording long, root long").join(norms, "wording")
+    return _gone(lines, wordings, first.unionByName(unsettled.groupBy(deal).applyInArrow(_linked(similarity), "u long, v long")))
 
 
 def without_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 5, every: bool = False) -> DataFrame:

@@ -711,6 +711,27 @@ def test_every_fuzzy_line_is_found(spark, monkeypatch, often):
     assert got == want and len(gone) > 60
 
 
+def test_a_cell_gives_a_forest_of_links():
+    rng = random.Random(8)
+    word = lambda: chr(0x10000 + rng.randrange(0xFFFFE))
+    base, passage = [word() for _ in range(20)], [word() for _ in range(60)]
+    near = ["".join(w if rng.random() > 0.05 else word() for w in base) for _ in range(150)]  # one group
+    unlike = ["".join([word() for _ in range(17)] + passage) for _ in range(150)]  # share 60 of 77 words: none is a link
+    norm = near + unlike
+    group = pa.table({"key": pa.array([7] * 300), "wording": pa.array(range(300)), "root": pa.array(range(300)), "norm": norm})
+    got = fuzzy_lines._linked(0.8)((pa.scalar(0),), group).to_pylist()
+
+    def joined(pairs):
+        of = list(range(300))
+        for u, v in pairs:
+            of = [of[v] if x == of[u] else x for x in of]
+        return {frozenset(i for i in range(300) if of[i] == x) for x in of}
+
+    links = [(i, j) for i in range(300) for j in range(i) if fuzzy_lines.within(norm[i], norm[j], int(0.2 * max(len(norm[i]), len(norm[j])) + 1e-9))]
+    assert len(links) > 5000 and joined((r["u"], r["v"]) for r in got) == joined(links)
+    assert len(got) == 300 - len(joined(links)) < 150  # before: a row for each two that may be similar
+
+
 @pytest.mark.parametrize("n", [5, 6, 9, 10, 12, 13, 14, 16, 20, 25, 40, 80, 200])
 def test_lines_at_the_limit_share_a_key(n):
     """Without any filter: of lines with as many words replaced as the similarity allows, nearly all meet in a cell, and all of up to 14 words."""
