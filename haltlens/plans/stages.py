@@ -24,6 +24,16 @@ def with_part(scores: DataFrame, seed: int = 5, valid: str = "8") -> DataFrame:
     return scores.withColumn("part", F.when(F.substring(splits.hash_order(seed, "traj_id"), 1, 1) < valid, "valid").otherwise("test"))
 
 
+#: Prefixes of a task that meets all policies.
+ROWS = 100_000
+
+
+def by_trajectory(scores: DataFrame) -> DataFrame:
+    """Stored scores, dealt by trajectory in parts of about ROWS prefixes: they move before they meet the policies, not as many times as there are policies, and a task's share does not grow."""
+    least = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scores.repartition(max(least, -(-scores.count() // ROWS)), "traj_id")
+
+
 def sweep(scores: DataFrame, candidates: DataFrame, targets: DataFrame, **rules) -> tuple[DataFrame, DataFrame]:
     """``scores`` with part: the chosen policies of each fold and target, and what they come to on the test part."""
     got = policy.evaluate(scores, candidates, carry=("agent", "fold_id", "part"))
@@ -55,7 +65,7 @@ def stages(spark: SparkSession, scores: DataFrame, targets: list[float], **rules
     candidates = lambda: policy.policy_candidates(spark, low=50, high=95, by=15, min_steps=(0, 5), consecutive=(1, 2))
 
     def swept(run: str) -> dict[str, DataFrame]:
-        chosen, results = sweep(read(run, "splits", "scores"), read(run, "plan", "candidates"), read(run, "plan", "targets"), **rules)
+        chosen, results = sweep(by_trajectory(read(run, "splits", "scores")), read(run, "plan", "candidates"), read(run, "plan", "targets"), **rules)
         return {"chosen": chosen, "results": results}
 
     def summed(run: str) -> dict[str, DataFrame]:

@@ -1,6 +1,8 @@
 """Plans that hold at size: what grows with the tables is not gathered by the driver, nor computed again for each pass."""
 
-from haltlens.plans import catalog
+from haltlens.operators import policy
+from haltlens.plans import catalog, stages
+from haltlens.sources import adapters, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +19,11 @@ def test_versions_are_joined_without_a_broadcast(spark):
 def test_what_a_fold_learns_from_is_made_once(spark):
     got = _plan(catalog.QUERIES["model_fold"](spark, SF))
     assert "Window" not in got and "/examples-" in got
+
+
+def test_stored_scores_move_before_they_meet_the_policies(spark):
+    kept = tables.kept(stages.with_part(adapters.scores(spark, SF)), "scores")
+    targets = spark.createDataFrame([(0.55,)], "target double")
+    plan = _plan(stages.sweep(stages.by_trajectory(kept), catalog._candidates(spark), targets, max_abs_drop_pp=5.0, min_save_pct=10.0)[1])
+    assert "Exchange hashpartitioning(traj_id" in plan and "candidate_ord" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(traj_id" in x)
+    assert policy.MANY >= 16  # these are replayed
