@@ -11,8 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prefix scores of event sequences: traj_id, prefix_step_idx, agent, label, fold_id, p_success, p_failure."""
+def scores(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Prefix scores of event sequences: traj_id, prefix_step_idx, agent, label, fold_id, p_success, p_failure; ``more``: other columns of the event."""
     # named before the window, so that it, the decision's windows and the last aggregation share one exchange
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "traj_id")
     head = lambda kinds, top: F.when(F.col("event_type").isin(*kinds), F.least(F.lit(1.0), F.col("value") / F.lit(top))).otherwise(0.0)
@@ -25,6 +25,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("traj_id") % 3).cast("int").alias("fold_id"),
         head(("purchase", "signup", "view"), 150.0).alias("p_success"),
         head(("error", "view"), 145.0).alias("p_failure"),
+        *more,
     )
 
 
