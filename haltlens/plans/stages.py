@@ -36,8 +36,17 @@ def by_trajectory(scores: DataFrame) -> DataFrame:
 
 def sweep(scores: DataFrame, candidates: DataFrame, targets: DataFrame, **rules) -> tuple[DataFrame, DataFrame]:
     """``scores`` with part: the chosen policies of each fold and target, and what they come to on the test part."""
+    return choose(counted(scores, candidates), candidates, targets, **rules)
+
+
+def counted(scores: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What every policy comes to on each fold's parts. ``choose`` reads it for each part: where scores are many it is kept, so that they are replayed once."""
     got = policy.evaluate(scores, candidates, carry=("agent", "fold_id", "part"))
-    counts = metrics.summarize(got, ("candidate_ord", "fold_id", "part"))
+    return metrics.summarize(got, ("candidate_ord", "fold_id", "part"))
+
+
+def choose(counts: DataFrame, candidates: DataFrame, targets: DataFrame, **rules) -> tuple[DataFrame, DataFrame]:
+    """Policies chosen by the counts of the validation part, and their counts on the test part."""
     known = counts.filter("part = 'valid'").join(candidates.select("candidate_ord", "success_thr", "failure_thr"), "candidate_ord")
     chosen = select.select_policy(known, targets, **rules).select("fold_id", "target", "candidate_ord", "success_thr", "failure_thr", "selection_status")
     return chosen, chosen.join(counts.filter("part = 'test'").drop("part"), ["fold_id", "candidate_ord"])
@@ -65,7 +74,9 @@ def stages(spark: SparkSession, scores: DataFrame, targets: list[float], **rules
     candidates = lambda: policy.policy_candidates(spark, low=50, high=95, by=15, min_steps=(0, 5), consecutive=(1, 2))
 
     def swept(run: str) -> dict[str, DataFrame]:
-        chosen, results = sweep(by_trajectory(read(run, "splits", "scores")), read(run, "plan", "candidates"), read(run, "plan", "targets"), **rules)
+        candidates = read(run, "plan", "candidates")
+        counts = tables.kept(counted(by_trajectory(read(run, "splits", "scores")), candidates), "counts")
+        chosen, results = choose(counts, candidates, read(run, "plan", "targets"), **rules)
         return {"chosen": chosen, "results": results}
 
     def summed(run: str) -> dict[str, DataFrame]:

@@ -27,3 +27,8 @@ def test_stored_scores_move_before_they_meet_the_policies(spark):
     plan = _plan(stages.sweep(stages.by_trajectory(kept), catalog._candidates(spark), targets, max_abs_drop_pp=5.0, min_save_pct=10.0)[1])
     assert "Exchange hashpartitioning(traj_id" in plan and "candidate_ord" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(traj_id" in x)
     assert policy.MANY >= 16  # these are replayed
+
+
+def test_policies_are_replayed_once(spark):
+    got = _plan(catalog.QUERIES["model_run"](spark, SF))
+    assert "/counts-" in got and "/scored-" not in got and "Window [min" not in got
