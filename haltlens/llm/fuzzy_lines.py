@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import islice
 from operator import ne
 
 import numpy as np
@@ -50,6 +51,9 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c == 1
 _EXACT = bytes(c if 48 <= c <= 57 else x for c, x in enumerate(_TABLE))
 #: Han, kana, Thai, Lao, Burmese and Khmer.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Of a text's characters beyond ASCII, at most so many kinds are replaced one by one.
+KINDS = 32
+_ASCII = bytes(range(128))
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and number of bits
 DISTANCE = 3
 #: Wordings whose SimHash a task keeps.
@@ -65,6 +69,8 @@ BLOCK = 1 << 20
 #: Bytes of text looked at together, and for each bucket of keys.
 BYTES, BUCKET = 1 << 22, 1 << 24
 _U = np.uint64
+#: Masks of the first 0 to 8 bytes of a number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _CELL = np.dtype([("wording", "<u8"), ("key", "<u4"), ("size", "<u2")])
 #: Words hashed before bits are counted.
 STEP = 1 << 15
@@ -76,7 +82,16 @@ def normal_bytes(text: str, table: bytes = _TABLE) -> bytes:
         text = text.casefold()
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
-        text = _UNSPACED.sub(r" \g<0> ", _ODD.sub(" ", text))
+        # few kinds of characters beyond ASCII: looked at once each, not at every place
+        kinds = set(text.encode().translate(None, _ASCII).decode())
+        if len(kinds) > KINDS:
+            text = _UNSPACED.sub(r" \g<0> ", _ODD.sub(" ", text))
+        else:
+            for c in kinds:
+                if _ODD.match(c):
+                    text = text.replace(c, " ")
+                elif _UNSPACED.match(c):
+                    text = text.replace(c, f" {c} ")
     return text.encode().translate(table)
 
 
@@ -126,14 +141,15 @@ class Words:
         self.data = b"\n".join(texts) + b"\n" + bytes(8)
         raw = np.frombuffer(self.data, np.uint8, len(self.data) - 8)
         space = (raw == 32) | (raw == 10)
-        begin = np.flatnonzero(~space & np.append(True, space[:-1]))
-        size = np.flatnonzero(space & np.append(False, ~space[:-1])) - begin
+        edge = np.flatnonzero(space != np.append(True, space[:-1]))  # a word begins, ends, begins ...
+        begin, size = edge[::2].copy(), edge[1::2] - edge[::2]
         eight = np.ndarray(len(raw), "<u8", self.data, strides=(1,))
-        self.h, self.g = np.zeros(len(begin), np.uint64), np.full(len(begin), 77, np.uint64)
-        left, offset = np.arange(len(begin)), 0
-        while len(left):  # eight bytes of each word at a time
+        v = eight[begin] & _FIRST[np.minimum(size, 8)]
+        self.h, self.g = _mixed(v), _mixed((v ^ _U(77)) * _U(0xA24BAED4963EE407))
+        left, offset = np.flatnonzero(size > 8), 8
+        while len(left):  # eight bytes of each longer word at a time
             rest = size[left] - offset
-            v = eight[begin[left] + offset] & (~_U(0) >> (_U(64) - _U(8) * np.minimum(rest, 8).astype(np.uint64)))
+            v = eight[begin[left] + offset] & _FIRST[np.minimum(rest, 8)]
             self.h[left], self.g[left] = _mixed(self.h[left] + v), _mixed((self.g[left] ^ v) * _U(0xA24BAED4963EE407))
             left, offset = left[rest > 8], offset + 8
         ends = np.flatnonzero(raw == 10)
@@ -165,31 +181,31 @@ class Words:
         frequent words (``common``, which callers may still hand over) bears on them."""
         wanted = np.zeros(len(self.n), bool)
         wanted[lines] = True
-        i = np.flatnonzero((self.at > 0) & wanted[self.line])
-        line, a, b = self.line[i], self.h[i - 1], self.h[i]
-        key = _mixed(a * _U(0xD6E8FEB86659FD93) ^ (b + _U(0x632BE59BD9B4E019)))
-        two = np.flatnonzero((self.n <= SHORT)[line])
-        three = np.flatnonzero((self.at[i] > 1) & (self.n >= SHORT * similarity)[line])
-        of = np.concatenate([2 * line[two], 2 * line[three] + 1])
-        key = np.concatenate([key[two], _mixed(key[three] ^ self.h[i[three] - 2] * _U(0xA24BAED4963EE407))])
+        two = np.flatnonzero((self.at > 0) & (wanted & (self.n <= SHORT))[self.line])
+        pair = _mixed(self.h[:-1] * _U(0xD6E8FEB86659FD93) ^ (self.h[1:] + _U(0x632BE59BD9B4E019)))  # of each word and the one before
+        three = _mixed(pair[1:] ^ self.h[:-2] * _U(0xA24BAED4963EE407))
         # most that cannot be among the least go before the sort, unless too few would be left
-        low = key < (np.minimum(4 * KEYS / self.n[of // 2], 0.999) * 2.0**64).astype(np.uint64)
-        low |= np.bincount(of[low], minlength=2 * len(self.n))[of] < 2 * KEYS
-        of, key = of[low], key[low]
+        long = wanted & (self.n >= SHORT * similarity)
+        most = (np.minimum(4 * KEYS / np.maximum(self.n, 1), 0.999) * 2.0**64).astype(np.uint64)
+        there = ((self.at > 1) & np.repeat(long, self.n))[2:]
+        low = there & (three < np.repeat(most, self.n)[2:])
+        few = np.bincount(self.line[2:][low], minlength=len(self.n)) < 2 * KEYS
+        low |= there & np.repeat(few, self.n)[2:]
+        of = np.concatenate([2 * self.line[two], 2 * self.line[2:][low] + 1])
+        key = np.concatenate([pair[two - 1], three[low]])
         bits = int(of.max(initial=0)).bit_length()
         order = np.argsort(of.astype(np.uint64) << _U(64 - bits) | key >> _U(bits)) if bits else np.argsort(key)  # one number sorts faster than two
         of, key = of[order], key[order]
         new = np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]))[: len(of)]
         of, key = of[new], key[new]
-        least = (np.arange(len(of)) - np.searchsorted(of, of) < KEYS) | (of & 1 == 0)
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+        least = (np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))) < KEYS) | (of & 1 == 0)
         return of[least] // 2, key[least]
 
     def parities(self, lines: np.ndarray) -> np.ndarray:
         """As bytes, a row of PARITY bits for each of ``lines``: bit i is set if an odd number of its words have hash i."""
-        size = self.n[lines]
-        at = np.repeat(self.first[lines] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        odd = np.bincount(np.repeat(np.arange(len(lines)), size) * PARITY + (self.h[at] % _U(PARITY)).astype(np.int64), minlength=len(lines) * PARITY)
-        return np.packbits((odd & 1).astype(bool)).reshape(len(lines), PARITY // 8)
+        bit, of = _U(1) << (self.h & _U(63)), self.h >> _U(6) & _U(PARITY // 64 - 1)
+        return np.stack([self.summed(np.where(of == _U(i), bit, _U(0)), np.bitwise_xor)[lines] for i in range(PARITY // 64)], 1).view(np.uint8)
 
 
 def by_size(column: pa.Array, limit: int):
@@ -330,11 +346,25 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rk", "line_no")
 
 
+def _cut(batches):
+    """Of texts the lines that are asked for (``at``: line_no and wording of each)."""
+    for b in batches:
+        for i, j in by_size(b.column("text"), BYTES):
+            part = b.slice(i, j - i)
+            at = part.column("at").flatten()
+            numbers = iter(at.field("line_no").to_pylist())
+            lines = []
+            for t, n in zip(part.column("text").to_pylist(), pc.list_value_length(part.column("at")).to_pylist()):
+                parts = t.split("\n")
+                lines += [parts[k] for k in islice(numbers, n)]
+            yield pa.RecordBatch.from_arrays([at.field("wording"), pa.array(lines, pa.string())], ["wording", "line"])
+
+
 def _norms(docs: DataFrame, named: DataFrame, forms=_normal_forms) -> DataFrame:
     """wording and norm of ``named`` (wording, first)."""
     places = named.groupBy("first.rk").agg(F.collect_list(F.struct("first.line_no", "wording")).alias("at"))
-    found = docs.select("rk", F.split("text", "\n").alias("l")).join(places.hint("shuffle_hash"), "rk").select("l", F.explode("at").alias("at")).select("at.wording", F.get("l", "at.line_no").alias("line"))
-    return written(found.mapInArrow(forms, "wording long, norm string").dropDuplicates(["wording"]), "op9-norms")
+    found = docs.select("rk", "text").join(places.hint("shuffle_hash"), "rk").select("text", "at")
+    return written(found.mapInArrow(lambda batches: forms(_cut(batches)), "wording long, norm string").dropDuplicates(["wording"]), "op9-norms")
 
 
 def _gone(lines: DataFrame, wordings: DataFrame, links: DataFrame) -> DataFrame:
@@ -401,15 +431,15 @@ def line_keys(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
                         wording[k], check[k] = xxhash.xxh64_intdigest(b" ".join(form), 1), xxhash.xxh64_intdigest(b" ".join(form), 2)
                 _, new = np.unique(wording[full], return_index=True)
                 new = full[new]
-                new = new[size[new] >= min_words]
+                new = np.sort(new[size[new] >= min_words])
                 old = np.ones(len(size), bool)
                 old[new] = False
                 mask = old[full]
-                parity = np.full(len(size), None, object)
-                parity[new] = [x.tobytes() for x in w.parities(new)]
+                ends = np.append(0, np.cumsum(~mask) * (PARITY // 8)).astype(np.int32)
+                parity = pa.Array.from_buffers(pa.binary(), len(full), [pa.array(~mask).buffers()[1], pa.py_buffer(ends), pa.py_buffer(w.parities(new).tobytes())])
                 rows = [part.column(c).take(pa.array(w.text[full])) for c in ("rk", "doc_id")]
                 looked = np.bincount(w.text[full], minlength=len(texts)).astype(np.int32)[w.text[full]]
-                cols = [*rows, pa.array(w.number[full].astype(np.int32)), pa.array(looked), pa.array(wording[full].view(np.int64)), pa.array(check[full].view(np.int64)), pa.array(size[full].astype(np.int32), mask=mask), pa.array(parity[full], pa.binary())]
+                cols = [*rows, pa.array(w.number[full].astype(np.int32)), pa.array(looked), pa.array(wording[full].view(np.int64)), pa.array(check[full].view(np.int64)), pa.array(size[full].astype(np.int32), mask=mask), parity]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.binary())], [x.split()[0] for x in LINES.split(", ")])
                 line, key = w.keys(new, None, similarity)
                 packed = np.empty(len(key), _CELL)

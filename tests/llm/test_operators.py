@@ -871,3 +871,17 @@ def test_short_lines_are_looked_for_by_all_their_pairs():
     pairs = np.unique(key[: len(key) - 8])
     assert len(key) == 11 + 8 and len(np.unique(key)) == 19 and len(pairs) == 11
     assert not hasattr(fuzzy_lines, "common_words")
+
+
+def test_characters_are_replaced_by_kind_as_by_patterns(monkeypatch):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("aéB ß–“漢字かなไทย\nſﬁ①,_7") for _ in range(60)) for _ in range(200)]
+    by_kind = [fuzzy_lines.normal_bytes(t) for t in lines]
+    monkeypatch.setattr(fuzzy_lines, "KINDS", 0)
+    assert by_kind == [fuzzy_lines.normal_bytes(t) for t in lines] and any("漢".encode() in t for t in by_kind)
+
+
+def test_named_lines_are_cut_from_texts():
+    at = pa.array([[{"line_no": 2, "wording": 7}, {"line_no": 0, "wording": 8}], [{"line_no": 1, "wording": 9}]], pa.list_(pa.struct([("line_no", pa.int32()), ("wording", pa.int64())])))
+    got = list(fuzzy_lines._cut([pa.RecordBatch.from_arrays([pa.array(["x", "a\nb\nc d", "e\nf\n"]), pa.concat_arrays([pa.array([[]], at.type), at])], ["text", "at"])]))
+    assert [r for b in got for r in b.to_pylist()] == [{"wording": 7, "line": "c d"}, {"wording": 8, "line": "a"}, {"wording": 9, "line": "f"}]
