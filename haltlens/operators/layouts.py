@@ -34,8 +34,18 @@ _JSON_PARTS = r'"(?:[^"\\]|\\.)*"|[^"]+|"'
 
 
 def kind(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, VOID (a null), empty for numbers; NULL where there is nothing."""
-    return F.regexp_extract(F.schema_of_variant(v), "^(OBJECT|ARRAY|STRING|BOOLEAN|VOID)", 1)
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID (a null), a type of numbers; NULL where there is nothing. It walks the whole value: of large ones ``_is_object`` and ``field`` tell as much as is needed."""
+    return F.substring_index(F.schema_of_variant(v), "<", 1)
+
+
+def _once(x: Column, f) -> Column:
+    """``f`` of ``x``, which is computed once however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _is_object(raw: Column) -> Column:
+    """Whether a text is a JSON object; only such as begin like one are parsed."""
+    return F.coalesce(F.when(F.ltrim(raw).rlike(r"^\s*\{"), parsed(raw).isNotNull()), F.lit(False))
 
 
 def parsed(raw: Column) -> Column:
@@ -106,7 +116,7 @@ def _list(raw: Column, depth: int) -> Column:
 def _said(v: Column, raw: Column, depth: int) -> Column:
     """One value as text; content may hold lists again, ``depth`` times."""
     k = kind(v)
-    return F.when(k == "OBJECT", _object(v, raw, depth)).when(k == "ARRAY", _list(raw, depth)).when(k == "VOID", "").otherwise(_scalar(v))
+    return F.when(k == "STRING", F.try_variant_get(v, "$", "string")).when(k == "OBJECT", _object(v, raw, depth)).when(k == "ARRAY", _list(raw, depth)).when(k == "VOID", "").otherwise(_scalar(v))
 
 
 def cut(text: Column, limit: int) -> Column:
@@ -121,16 +131,27 @@ def cleaned(text: Column, limit: int) -> Column:
 def truthy(v: Column) -> Column:
     """The value as text, NULL where it says nothing (absent, null, false, zero, empty)."""
     s = F.try_variant_get(v, "$", "string")
-    return F.when((kind(v) == "STRING") & (s != ""), s).when((kind(v) != "STRING") & ~s.isin("false", "0", "0.0", "[]", "{}"), F.when(kind(v) == "BOOLEAN", "True").otherwise(s))
+    return F.when(v.isNotNull(), F.when(kind(v) == "STRING", F.nullif(s, F.lit(""))).when(~s.isin("false", "0", "0.0", "[]", "{}"), F.when(kind(v) == "BOOLEAN", "True").otherwise(s)))
 
 
 def _first(v: Column, *names: str) -> Column:
-    return F.coalesce(*[truthy(field(v, n)) for n in names])
+    return F.coalesce(*[_once(field(v, n), truthy) for n in names])
+
+
+def _each(df: DataFrame, columns: tuple[str, ...], f, plain) -> DataFrame:
+    """The columns under ``f``, which is planned once for all of them and only looks at values of which ``plain`` (in compiled code) does not tell by itself what ``f`` makes of them."""
+    df = df.withColumns({f"_of_{c}": plain(F.col(c)) for c in columns})
+    left = F.array(*[F.when(F.col(f"_of_{c}").isNull(), F.col(c)) for c in columns])
+    df = df.withColumn("_each", F.when(F.greatest(*[F.col(f"_of_{c}").isNull() for c in columns]), F.transform(left, f)))
+    return df.withColumns({c: F.coalesce(f"_of_{c}", F.get("_each", F.lit(i))) for i, c in enumerate(columns)}).drop("_each", *[f"_of_{c}" for c in columns])
 
 
-def _each(df: DataFrame, columns: tuple[str, ...], f) -> DataFrame:
-    """The columns under ``f``, which is planned once for all of them."""
-    return df.withColumn("_each", F.transform(F.array(*columns), f)).withColumns({c: F.get("_each", F.lit(i)) for i, c in enumerate(columns)}).drop("_each")
+def _plain_said(x: Column) -> Column:
+    return F.when(x["v"].isNull(), "").when(F.schema_of_variant(x["v"]) == "STRING", F.try_variant_get(x["v"], "$", "string"))
+
+
+def _plain_text(limit: int):
+    return lambda x: F.when(~x.contains("&") & ~x.contains(F.lit("\x00")) & (F.length(x) <= limit), x)
 
 
 def with_texts(df: DataFrame, name: str, call: str, limit: int, out: str, texts: tuple[str, ...]) -> DataFrame:
@@ -142,11 +163,13 @@ def with_texts(df: DataFrame, name: str, call: str, limit: int, out: str, texts:
     absent = c("kind").isNull() | (c("kind") == "VOID") | ((c("kind") == "STRING") & (c("inner") == ""))
     single = F.when(c("inner").rlike(r"^[{\[]"), F.try_parse_json(F.to_json(F.from_json("_inner", "map<string,string>"))))
     df = df.withColumns({"_args": F.when(absent, F.parse_json(F.lit("{}"))).when(c("kind") == "STRING", F.coalesce(F.try_parse_json("_inner"), single)).otherwise(F.col(f"{call}.v")), "_raw": F.when(absent, F.lit("{}")).when(c("kind") == "STRING", c("inner")).otherwise(F.col(f"{call}.r"))})
-    df = df.withColumn("_spoken", F.struct(F.coalesce("_args", F.to_variant_object(F.array("_inner"))).alias("v"), F.when(F.col("_args").isNull(), F.to_json(F.array("_inner"))).otherwise(F.col("_raw")).alias("r")))
-    df = _each(df, (*texts, "_spoken"), lambda x: F.coalesce(_said(x["v"], x["r"], 2), blank))
-    df = _each(df, (*texts, "_spoken"), lambda x: cleaned(x, limit))
+    # of an object the members are read, not what it says as a whole
+    df = df.withColumn("_form", F.coalesce(kind(c("args")), blank))
+    df = df.withColumn("_spoken", F.when(c("form") != "OBJECT", F.struct(F.coalesce("_args", F.to_variant_object(F.array("_inner"))).alias("v"), F.when(F.col("_args").isNull(), F.to_json(F.array("_inner"))).otherwise(F.col("_raw")).alias("r"))))
+    df = _each(df, (*texts, "_spoken"), lambda x: F.coalesce(_said(x["v"], x["r"], 2), blank), _plain_said)
+    df = _each(df, (*texts, "_spoken"), lambda x: cleaned(x, limit), _plain_text(limit))
     said_of = lambda *names: F.trim(F.coalesce(_first(c("args"), *names), blank))
-    df = df.withColumns({"_form": F.coalesce(kind(c("args")), blank), "_low": F.lower(F.trim(name)), "_command": said_of("command", "cmd", "input"), "_path": said_of("path", "file_path", "directory"), "_pattern": said_of("pattern", "searchTerm", "query"), "_include": said_of("include"), "_verb": said_of("action")})
+    df = df.withColumns({"_low": F.lower(F.trim(name)), "_command": said_of("command", "cmd", "input"), "_path": said_of("path", "file_path", "directory"), "_pattern": said_of("pattern", "searchTerm", "query"), "_include": said_of("include"), "_verb": said_of("action")})
     low, command, path = c("low"), c("command"), c("path")
     edited = F.concat_ws(" ", F.lit("str_replace_editor"), F.coalesce(F.nullif(command, blank), F.nullif(c("verb"), blank), F.lit("view")), F.nullif(path, blank))
     line = (
@@ -164,9 +187,13 @@ def with_texts(df: DataFrame, name: str, call: str, limit: int, out: str, texts:
 
 def _leading(raws: Column) -> Column:
     """The items of a list of JSON texts up to the first that is no object."""
-    r = F.coalesce(raws, F.array().cast("array<string>"))
-    bad = F.array_position(F.transform(r, lambda x: F.coalesce(kind(parsed(x)) == "OBJECT", F.lit(False))), F.lit(False))
-    return F.when(bad > 0, F.slice(r, F.lit(1), (bad - 1).cast("int"))).otherwise(r)
+    none = F.array().cast("array<string>")
+
+    def upto(r: Column) -> Column:
+        bad = F.array_position(F.transform(r, _is_object), F.lit(False))
+        return _once(bad, lambda at: F.when(at > 0, F.slice(r, F.lit(1), (at - 1).cast("int"))).otherwise(r))
+
+    return _once(F.coalesce(raws, none), upto)
 
 
 def _member(raw: Column, name: str, of: str = "string") -> Column:
@@ -179,27 +206,40 @@ def _ordered_values(raw: Column) -> Column:
 
 
 def attempt_events(raw: Column) -> Column:
-    members = F.from_json(raw, "map<string,string>")
-    return _ordered_values(_member(F.try_element_at(members, F.try_element_at(members, F.lit("best_attempt"))), "traj"))
+    return _ordered_values(_member(_chosen(raw), "traj"))
+
+
+def _chosen(raw: Column) -> Column:
+    return _once(F.from_json(raw, "map<string,string>"), lambda m: F.try_element_at(m, F.try_element_at(m, F.lit("best_attempt"))))
 
 
 def layout_of(raw: Column) -> Column:
     """The layout of a file, by its outermost values; the first that fits."""
-    v = parsed(raw)
-    k = kind(v)
-    items = F.try_variant_get(v, "$", "array<variant>")
-    members = F.from_json(raw, "map<string,string>")
-    chosen = F.try_element_at(members, F.try_element_at(members, F.lit("best_attempt")))
+    return _once(F.struct(parsed(raw).alias("v"), raw.alias("r")), lambda x: _layout(x["v"], x["r"]))
+
+
+def _layout(v: Column, raw: Column) -> Column:
+    a_map = lambda v, at: F.try_variant_get(v, at, "map<string,variant>").isNotNull()
+    a_list = lambda v, at: F.try_variant_get(v, at, "array<variant>").isNotNull()
+    has = lambda v, n: field(v, n).isNotNull()  # noqa: E731  # of an object only
     single = F.from_json(raw, "array<map<string,string>>")
-    authored = F.exists(F.map_values(F.get(single, F.lit(0))), lambda r: F.coalesce((kind(parsed(r)) == "OBJECT") & field(parsed(r), "author_name").isNotNull(), F.lit(False)))
+    authored = F.exists(F.map_values(F.get(single, F.lit(0))), lambda r: has(parsed(r), "author_name"))
+
+    def of_list(items: Column) -> Column:
+        some = F.size(items) > 0
+        return (
+            F.when((F.size(items) == 1) & a_map(v, "$[0]") & F.coalesce(authored, F.lit(False)), "events")
+            .when(some & F.forall(items, lambda x: has(x, "role")), "roles")
+            .when(some & F.forall(items, lambda x: F.coalesce(kind(x) == "STRING", F.lit(False))), "lines")
+            .otherwise("text")
+        )
+
     return (
-        F.when(k.isNull(), "text")
-        .when((k == "OBJECT") & (kind(field(v, "trajectory")) == "ARRAY"), "items")
-        .when((k == "OBJECT") & field(v, "nodes").isNotNull(), "nodes")
-        .when((k == "OBJECT") & field(v, "best_attempt").isNotNull() & (kind(field(parsed(chosen), "traj")) == "OBJECT"), "attempt")
-        .when((k == "ARRAY") & (F.size(items) == 1) & (kind(F.get(items, F.lit(0))) == "OBJECT") & F.coalesce(authored, F.lit(False)), "events")
-        .when((k == "ARRAY") & (F.size(items) > 0) & F.forall(items, lambda x: F.coalesce((kind(x) == "OBJECT") & field(x, "role").isNotNull(), F.lit(False))), "roles")
-        .when((k == "ARRAY") & (F.size(items) > 0) & F.forall(items, lambda x: F.coalesce(kind(x) == "STRING", F.lit(False))), "lines")
+        F.when(v.isNull(), "text")
+        .when(a_list(v, "$.trajectory"), "items")
+        .when(has(v, "nodes"), "nodes")
+        .when(has(v, "best_attempt") & a_map(parsed(_chosen(raw)), "$.traj"), "attempt")
+        .when(a_list(v, "$"), _once(F.try_variant_get(v, "$", "array<variant>"), of_list))
         .otherwise("text")
     )
 
@@ -211,7 +251,7 @@ def _units(raw: Column) -> Column:
     """Of a file its units in order: JSON texts of an item, an event, or a node with one of its action steps."""
     alone = lambda raws: F.transform(raws, lambda r: F.struct(r.alias("unit"), F.lit(None).cast("string").alias("part")))
     of_node = lambda n: F.transform(_leading(_member(n, "action_steps", "array<string>")), lambda p: F.struct(n.alias("unit"), p.alias("part")))
-    objects = lambda raws: F.filter(raws, lambda r: F.coalesce(kind(parsed(r)) == "OBJECT", F.lit(False)))
+    objects = lambda raws: F.filter(raws, _is_object)
     return (
         F.when(F.col("layout") == "items", alone(_leading(_member(raw, "trajectory", "array<string>"))))
         .when(F.col("layout") == "nodes", F.flatten(F.transform(_leading(_member(raw, "nodes", "array<string>")), of_node)))
@@ -220,10 +260,19 @@ def _units(raw: Column) -> Column:
     )
 
 
+#: Members of units and of their parts that become texts.
+_MEMBERS = {"unit": ("response", "thoughts", "observation", "message", "content", "output", "assistant_message", "action", "input_text", "input"), "part": ("observation", "action")}
+
+
+def _members(raw: str) -> Column:
+    """The text of each member that is read, by one pass."""
+    return F.from_json(raw, ", ".join(f"`{n}` string" for n in _MEMBERS[raw]))
+
+
 def _value(of: str, raw: str, *names: str, truth: bool = False) -> Column:
-    """Of a unit the first member that is there (``truth``: that says something): its value and its text."""
-    there = lambda n: truthy(field(F.col(of), n)) if truth else field(F.col(of), n)
-    return F.coalesce(*[F.when(there(n).isNotNull(), F.struct(field(F.col(of), n).alias("v"), _member(F.col(raw), n).alias("r"))) for n in names])
+    """Of a unit the first member that is there (``truth``: that says something): its value and its text (of ``_members``)."""
+    pair = lambda n: _once(field(F.col(of), n), lambda v: F.when((truthy(v) if truth else v).isNotNull(), F.struct(v.alias("v"), F.col(raw)[n].alias("r"))))
+    return F.coalesce(*[pair(n) for n in names])
 
 
 def steps(files: DataFrame, *, limit: int = 20_000, most: int = 200) -> DataFrame:
@@ -232,7 +281,8 @@ def steps(files: DataFrame, *, limit: int = 20_000, most: int = 200) -> DataFram
     by = lambda item, node, event: F.when(is_item, item).when(is_node, node).otherwise(event)
     none = F.lit(None)
     u = files.filter(F.col("layout").isin(*NESTED)).select(F.col("traj_id").cast("string").alias("traj_id"), "layout", F.posexplode(_units(F.col("text"))).alias("at", "u"))
-    u = u.select("traj_id", "layout", "at", F.col("u.unit").alias("unit"), F.col("u.part").alias("part"), parsed(F.col("u.unit")).alias("uv"), parsed(F.col("u.part")).alias("pv"))
+    u = u.select("traj_id", "layout", "at", F.col("u.unit").alias("unit"), F.col("u.part").alias("part"))
+    u = u.select("traj_id", "layout", "at", _members("unit").alias("unit"), _members("part").alias("part"), parsed(F.col("unit")).alias("uv"), parsed(F.col("part")).alias("pv"))
     # what each text is made of
     u = u.select(
         "traj_id", "layout", "at",
@@ -245,8 +295,11 @@ def steps(files: DataFrame, *, limit: int = 20_000, most: int = 200) -> DataFram
     inner = lambda c, n: F.when(is_node & (kind(F.col(f"{c}.v")) == "OBJECT"), F.struct(field(F.col(f"{c}.v"), n).alias("v"), _member(F.col(f"{c}.r"), n).alias("r"))).otherwise(F.col(c))
     u = u.withColumns({"thought": inner("thought", "text"), "feedback": inner("feedback", "message")})
     u = u.withColumns({"own": F.when(is_item, F.col("act")), "acts": truthy(F.col("act.v")).isNotNull()})
+    u = u.withColumn("act", F.when(~is_item, F.col("act")))  # what an item did is a text, not a call
     u = with_texts(u, "name", "act", limit, "line", ("thought", "feedback", "content", "own"))
     u = u.withColumn("action", F.when(is_item, F.col("own")).otherwise(F.col("line"))).drop("own", "line", "act")
+    # few bytes take long: as many partitions as are set, not the few that would do for the bytes
+    u = u.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "traj_id")
     # thoughts of events wait for the next action
     event = ~is_item & ~is_node
     u = u.withColumn("thinks", event & F.lower("name").contains("thought") & ~F.col("acts"))
@@ -257,7 +310,7 @@ def steps(files: DataFrame, *, limit: int = 20_000, most: int = 200) -> DataFram
     u = u.withColumn("action", F.when(event & (F.trim("action") == ""), F.col("name")).otherwise(F.col("action")))
     both = F.regexp_replace(F.concat("thought", F.lit("\n"), "action"), r"^\s+|\s+$", "")
     u = u.withColumn("content", F.when(event, both).when(is_node & (F.col("content") == ""), F.col("thought")).otherwise(F.col("content")))
-    u = _each(u, ("thought", "action", "feedback", "content"), lambda x: cleaned(x, limit))
+    u = _each(u, ("thought", "action", "feedback", "content"), lambda x: cleaned(x, limit), _plain_text(limit))
     says = F.lit(False)
     for n in ("action", "feedback", "thought"):
         says = says | F.col(n).rlike(r"\S")

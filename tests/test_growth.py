@@ -32,3 +32,9 @@ def test_stored_scores_move_before_they_meet_the_policies(spark):
 def test_policies_are_replayed_once(spark):
     got = _plan(catalog.QUERIES["model_run"](spark, SF))
     assert "/counts-" in got and "/scored-" not in got and "Window [min" not in got
+
+
+def test_runs_are_parsed_in_as_many_tasks_as_are_set(spark):
+    got = _plan(catalog.QUERIES["parse_layouts"](spark, SF))
+    by = [x for x in got.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(by) == 2 and all("REPARTITION_BY_NUM" in x for x in by)
