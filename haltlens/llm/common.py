@@ -72,6 +72,11 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by sort and merge however small it is told to be: files are compressed and arrays counted as one row each, and what is told too small would be gathered by the driver."""
+    return df.hint("merge")
+
+
 def sliced(batches, rows: int = 256):
     """Arrow batches in slices, so that a worker's Python objects stay few however large a batch is."""
     for b in batches:

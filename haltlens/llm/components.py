@@ -1,6 +1,6 @@
 """Connected components of an edge table, by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is an aggregation with map-side combine and an equi-join; the edges of a hub are never gathered in one place. Each
+Every step is an aggregation with map-side combine and an equi-join by sort and merge; the edges of a hub are never gathered in one place. Each
 round is written to the shared folder, so that lineage stays short and a lost executor costs a re-read.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, merged, written
 
 
 def _mark(edges: DataFrame) -> tuple[int, int, int]:
@@ -18,7 +18,7 @@ def _mark(edges: DataFrame) -> tuple[int, int, int]:
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("least")), "u")
+    return edges.join(merged(edges.groupBy("u").agg(F.min("v").alias("least"))), "u")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

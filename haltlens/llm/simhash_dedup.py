@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, sliced, written
+from .common import merged, only, sliced, written
 from .components import components
 
 #: Hashes turned to bits at a time; 64 bytes each.
@@ -94,7 +94,8 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     both = F.lit(0xFFFFFFFF)
     c = _counts(F.col("fp"))
     placed = fps.select("fp", F.explode(F.concat(_cells(c.bitwiseAND(both), 0, step), _cells(F.shiftrightunsigned(c, 32), 1, step))).alias("at")).select("fp", F.col("at.cell").alias("cell"), F.col("at.role").alias("role"))
-    a, b = placed.alias("a"), placed.alias("b")
+    # some fifty rows of each: their files tell nothing of it
+    a, b = placed.alias("a"), merged(placed).alias("b")
     apart = _counts(F.col("a.fp")).bitwiseXOR(_counts(F.col("b.fp")))
     apart = F.when(F.col("a.cell") < F.lit(1 << 32), F.bit_count(apart.bitwiseAND(both))).otherwise(F.bit_count(F.shiftrightunsigned(apart, 32)))
     near = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
@@ -106,9 +107,9 @@ def classes(fps: DataFrame, distance: int = 4) -> DataFrame:
     """``fps`` (doc_id, fp; written already) to doc_id, fp, component_id: the smallest doc_id reachable over links."""
     each = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "op10-each")
     roots = written(components(links(each.select("fp"), distance), "op10").select(F.col("node").alias("fp"), "root"), "op10-roots")
-    rooted = each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = each.join(merged(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.join(merged(rooted.groupBy("root").agg(F.min("first").alias("component_id"))), "root").select("fp", "component_id")
+    return fps.join(merged(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
