@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, only, sliced, written
+from .common import dropped, merged, only, sliced, written
 from .components import components
 
 _ODD = re.compile(r"[^\w\s\x00-\x7f]")
@@ -277,7 +277,7 @@ def _confirmed(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFra
                 ok = [within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
                 yield part.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(form("u", "x"), "u").join(form("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return pairs.join(merged(form("u", "x")), "u").join(merged(form("v", "y")), "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def within(x: str, y: str, allowed: int) -> bool:
@@ -370,11 +370,11 @@ def _norms(docs: DataFrame, named: DataFrame, forms=_normal_forms) -> DataFrame:
 def _gone(lines: DataFrame, wordings: DataFrame, links: DataFrame) -> DataFrame:
     """rk, looked and line_no of each line that goes: of each group of linked wordings the first line stays."""
     roots = components(links, "op9")
-    named = wordings.join(roots.select(F.col("node").alias("wording"), "root"), "wording", "left").filter("root IS NOT NULL OR n > 1").select("wording", "first", F.coalesce("root", "wording").alias("root"), "n")
+    named = wordings.join(merged(roots.select(F.col("node").alias("wording"), "root")), "wording", "left").filter("root IS NOT NULL OR n > 1").select("wording", "first", F.coalesce("root", "wording").alias("root"), "n")
     keep = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1").drop("n")
-    going = named.join(keep, "root").select("wording", "keep")
+    going = named.join(merged(keep), "root").select("wording", "keep")
     first = (F.col("rk") == F.col("keep.rk")) & (F.col("line_no") == F.col("keep.line_no"))
-    return lines.join(going, "wording").filter(~first).select("rk", "looked", "line_no")
+    return lines.join(merged(going), "wording").filter(~first).select("rk", "looked", "line_no")
 
 
 def duplicate_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 5) -> DataFrame:
@@ -601,7 +601,7 @@ def every_duplicate_line(docs: DataFrame, *, similarity: float = 0.8, min_words:
     lines = written(lines.select("rk", "looked", "line_no", "wording"), "op9-places")
     dropped(keyed)
     about = ("wording", "size", "parity")
-    placed = written(members.join(wordings.select(*about), "wording"), "op9-placed")
+    placed = written(members.join(merged(wordings.select(*about)), "wording"), "op9-placed")
     dropped(members)
     wordings = wordings.select("wording", "first", "n")
     deal = F.shiftright("key", 34)
@@ -609,15 +609,15 @@ def every_duplicate_line(docs: DataFrame, *, similarity: float = 0.8, min_words:
     star = written(placed.select("key", *about, F.col("wording").alias("root")).groupBy(deal).applyInArrow(_stars(similarity), "u long, v long").distinct(), "op9-near")
     # words are fetched of these only: whatever pair comes up later is of members near their least one, or named with themselves
     wanted = star.select(F.col("u").alias("wording")).unionByName(star.select(F.col("v").alias("wording"))).distinct()
-    norms = _norms(docs, wordings.join(wanted, "wording").select("wording", "first"), _signs)
+    norms = _norms(docs, wordings.join(merged(wanted), "wording").select("wording", "first"), _signs)
     first = written(_confirmed(star.filter("u <> v"), norms, similarity), "op9-star")
     # a step towards the least of each group tells which members are known to be of one
     ends = first.select("u", "v").unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
     up = ends.groupBy("u").agg(F.min("v").alias("v"))
-    up = up.alias("a").join(up.alias("b"), F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("wording"), F.least("a.u", "a.v", "b.v").alias("root"))
-    rooted = placed.select("key", "wording").join(up, "wording", "left").select("key", "wording", F.coalesce("root", "wording").alias("root"))
+    up = up.alias("a").join(merged(up).alias("b"), F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("wording"), F.least("a.u", "a.v", "b.v").alias("root"))
+    rooted = placed.select("key", "wording").join(merged(up), "wording", "left").select("key", "wording", F.coalesce("root", "wording").alias("root"))
     # cells that are not of one group yet: their members that have words meet again, with these
-    unsettled = rooted.groupBy(deal).applyInArrow(_unsettled, "key long, wording long, root long").join(norms, "wording")
+    unsettled = rooted.groupBy(deal).applyInArrow(_unsettled, "key long, wording long, root long").join(merged(norms), "wording")
     return _gone(lines, wordings, first.unionByName(unsettled.groupBy(deal).applyInArrow(_linked(similarity), "u long, v long")))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, only, sliced, written
+from .common import WORD, merged, only, sliced, written
 
 _WORD = re.compile(WORD)
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -190,15 +190,15 @@ def medians(values: DataFrame, names: list[str]) -> DataFrame:
 
 def mcd(fit: DataFrame, groups: int, support: float) -> DataFrame:
     """grp, logdet, m<i> and w<i>_<j> (inverse scatter) of each group of ``fit`` (grp, x<i>): the least determinant that the starts reach."""
-    sent = (lambda df: F.broadcast(df)) if groups * STARTS <= SENT else (lambda df: df)
+    sent = (lambda df: F.broadcast(df)) if groups * STARTS <= SENT else merged
     mid = written(medians(fit, [f"x{i}" for i in range(P)]).withColumnsRenamed({f"x{i}": f"m{i}" for i in range(P)}), "op5-medians")
     away = fit.join(sent(mid), "grp").select("grp", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"a{i}") for i in range(P)])
-    dev = medians(away, [f"a{i}" for i in range(P)]).join(mid, "grp")
+    dev = medians(away, [f"a{i}" for i in range(P)]).join(sent(mid), "grp")
     dev = written(dev.select("grp", *[f"m{i}" for i in range(P)], *[F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR[i] ** 2).alias(f"a{i}") for i in range(P)]), "op5-deviations")
     z = fit.join(sent(dev), "grp").select("grp", *[((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"a{i}")).alias(f"z{i}") for i in range(P)])
     z = z.withColumn("r", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0))), F.lit(1e-9)))
     like = z.groupBy("grp").agg(*[F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in PAIRS], *[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / (F.col("r") * F.col("r"))).alias(f"u{i}_{j}") for i, j in PAIRS])
-    now = written(dev.join(like, "grp").mapInArrow(_started, _ESTIMATE), "op5-start")
+    now = written(dev.join(sent(like), "grp").mapInArrow(_started, _ESTIMATE), "op5-start")
     scale = support / chi2_cdf(chi2_quantile(support, P), P + 2)
     final = []
     per = W.partitionBy("grp", "start")
@@ -210,7 +210,7 @@ def mcd(fit: DataFrame, groups: int, support: float) -> DataFrame:
         held = near.join(sent(edge), ["grp", "start"]).filter("bin <= edge").withColumn("k", F.when(F.col("bin") < F.col("edge"), 1.0).otherwise(F.col("part")))
         held = held.withColumns({f"y{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)})
         sums = held.groupBy("grp", "start").agg(F.sum("k").alias("n"), *[F.sum(F.col("k") * F.col(f"y{i}")).alias(f"s{i}") for i in range(P)], *[F.sum(F.col("k") * F.col(f"y{i}") * F.col(f"y{j}")).alias(f"q{i}_{j}") for i, j in PAIRS])
-        now = written(sums.join(now.drop("done"), ["grp", "start"]).mapInArrow(_stepped(scale), _ESTIMATE), "op5-estimate")
+        now = written(sums.join(sent(now.drop("done")), ["grp", "start"]).mapInArrow(_stepped(scale), _ESTIMATE), "op5-estimate")
         final.append(now.filter("done"))
         now = now.filter("NOT done")
     every = reduce(DataFrame.unionByName, final, now.limit(0))
@@ -228,11 +228,11 @@ def verdicts(stats: DataFrame, *, support: float = 0.75, quantile: float = 1 - 1
     small = F.when(F.col("c") < min_group, F.col("c"))
     pools = sizes.groupBy("lg").agg(F.sum(small).alias("pooled"))
     everyone = sizes.agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("pairs")).first()
-    rest = sizes.join(pools, "lg").filter((F.col("c") < min_group) & (F.col("pooled") < min_group)).agg(F.sum("c")).first()[0] or 0
+    sent = (lambda df: F.broadcast(df)) if everyone.pairs <= SENT else merged
+    rest = sizes.join(sent(pools), "lg").filter((F.col("c") < min_group) & (F.col("pooled") < min_group)).agg(F.sum("c")).first()[0] or 0
     last = "\x03" if rest >= min_group else "\x04"
-    names = sizes.join(pools, "lg").select("pair", F.when(F.col("c") >= min_group, F.col("pair")).when(F.col("pooled") >= min_group, F.concat(F.lit("\x02"), "lg")).otherwise(last).alias("grp"))
+    names = sizes.join(sent(pools), "lg").select("pair", F.when(F.col("c") >= min_group, F.col("pair")).when(F.col("pooled") >= min_group, F.concat(F.lit("\x02"), "lg")).otherwise(last).alias("grp"))
     names = written(names, "op5-groups")
-    sent = (lambda df: F.broadcast(df)) if everyone.pairs <= SENT else (lambda df: df)
     rows = rows.drop("lg").join(sent(names), "pair", "left").drop("pair")
     fit = rows.filter(~F.col("base_failed")).select("grp", *[f"x{i}" for i in range(P)])
     if rest and last == "\x04":

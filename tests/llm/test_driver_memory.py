@@ -1,5 +1,8 @@
 """Sides of joins that grow with the tables are not gathered by the driver, whatever Spark takes their size for."""
 
+import re
+
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +41,17 @@ def test_edges_are_merged(told_small):
 
 def test_near_duplicates_are_merged(told_small):
     assert joins(queries.QUERIES["op10_simhash_dedup"](told_small, DATA)) == {"SortMergeJoin"}
+
+
+def test_stages_merge_what_grows(told_small):
+    """Of all that the pipeline runs, only groups of the quality rules (their estimates, and what leads to them) are sent to all."""
+    shared, sc = told_small._jsparkSession.sharedState().statusStore(), told_small.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    before = shared.executionsList().size()
+    assert corpus_pipeline.run(told_small, DATA).count() > 0
+    sc.listenerBus().waitUntilEmpty()
+    plans = shared.executionsList()
+    plans = [plans.apply(i).physicalPlanDescription() for i in range(before, plans.size())]
+    keys = {re.sub(r"#\d+L?", "", k) for p in plans for k in re.findall(r"BroadcastHashJoin.*\nLeft keys \[\d+\]: \[(.*)\]", p)}
+    assert keys == {"grp", "lg", "pair", "grp, start"}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastNestedLoopJoin" in p for p in plans)
