@@ -30,7 +30,8 @@ CP1252 = {i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128,
 _PARTS = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)|[^&]+|&"
 #: Names of characters and what they stand for, as one text to look in.
 _NAMES = "\x01" + "".join(f"{k}\x02{v}\x01" for k, v in html.entities.html5.items())
-_JSON_PARTS = r'"(?:[^"\\]|\\.)*"|[^"]+|"'
+#: What was matched is not given back: else a text takes a frame of the stack for each of its characters.
+_JSON_PARTS = r'"(?:[^"\\]++|\\.)*+"|[^"]+|"'
 
 
 def kind(v: Column) -> Column:
@@ -119,12 +120,13 @@ def _said(v: Column, raw: Column, depth: int) -> Column:
     return F.when(k == "STRING", F.try_variant_get(v, "$", "string")).when(k == "OBJECT", _object(v, raw, depth)).when(k == "ARRAY", _list(raw, depth)).when(k == "VOID", "").otherwise(_scalar(v))
 
 
-def cut(text: Column, limit: int) -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n[TRUNCATED]"))).otherwise(text)
+def cut(text: Column, limit: int | None) -> Column:
+    """``text``, marked where it goes on beyond ``limit``; whole if there is none."""
+    return text if limit is None else F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n[TRUNCATED]"))).otherwise(text)
 
 
-def cleaned(text: Column, limit: int) -> Column:
-    """References decoded, NUL taken out, cut at ``limit``."""
+def cleaned(text: Column, limit: int | None) -> Column:
+    """References decoded, NUL taken out, cut at ``limit``, if there is one."""
     return cut(F.replace(unescaped(text), F.lit("\x00"), F.lit("")), limit)
 
 
@@ -150,11 +152,12 @@ def _plain_said(x: Column) -> Column:
     return F.when(x["v"].isNull(), "").when(F.schema_of_variant(x["v"]) == "STRING", F.try_variant_get(x["v"], "$", "string"))
 
 
-def _plain_text(limit: int):
-    return lambda x: F.when(~x.contains("&") & ~x.contains(F.lit("\x00")) & (F.length(x) <= limit), x)
+def _plain_text(limit: int | None):
+    short = lambda x: F.lit(True) if limit is None else F.length(x) <= limit
+    return lambda x: F.when(~x.contains("&") & ~x.contains(F.lit("\x00")) & short(x), x)
 
 
-def with_texts(df: DataFrame, name: str, call: str, limit: int, out: str, texts: tuple[str, ...]) -> DataFrame:
+def with_texts(df: DataFrame, name: str, call: str, limit: int | None, out: str, texts: tuple[str, ...]) -> DataFrame:
     """Values of ``texts`` (each with its text as ``v`` and ``r``) as clean texts; ``out``: a tool call as one command line, by the tool's name and what its arguments (``call``)
     hold. A column for each step, so that nothing is computed twice."""
     c = lambda x: F.col(f"_{x}")
@@ -168,6 +171,7 @@ def with_texts(df: DataFrame, name: str, call: str, limit: int, out: str, texts:
     df = df.withColumn("_spoken", F.when(c("form") != "OBJECT", F.struct(F.coalesce("_args", F.to_variant_object(F.array("_inner"))).alias("v"), F.when(F.col("_args").isNull(), F.to_json(F.array("_inner"))).otherwise(F.col("_raw")).alias("r"))))
     df = _each(df, (*texts, "_spoken"), lambda x: F.coalesce(_said(x["v"], x["r"], 2), blank), _plain_said)
     df = _each(df, (*texts, "_spoken"), lambda x: cleaned(x, limit), _plain_text(limit))
+    quoted = lambda x: x if limit is None else F.substring(x, 1, limit)
     said_of = lambda *names: F.trim(F.coalesce(_first(c("args"), *names), blank))
     df = df.withColumns({"_low": F.lower(F.trim(name)), "_command": said_of("command", "cmd", "input"), "_path": said_of("path", "file_path", "directory"), "_pattern": said_of("pattern", "searchTerm", "query"), "_include": said_of("include"), "_verb": said_of("action")})
     low, command, path = c("low"), c("command"), c("path")
@@ -175,12 +179,12 @@ def with_texts(df: DataFrame, name: str, call: str, limit: int, out: str, texts:
     line = (
         F.when((c("form") != "OBJECT") & low.isin("bash", "execute_bash", "execute_command", "shell"), c("spoken"))
         .when(c("form") != "OBJECT", F.trim(F.concat_ws(" ", name, c("spoken"))))
-        .when(low.rlike("bash|shell") | low.isin("execute", "execute_command"), F.when(command != "", command).otherwise(F.substring(dumped(c("raw"), literal=True), 1, limit)))
+        .when(low.rlike("bash|shell") | low.isin("execute", "execute_command"), F.when(command != "", command).otherwise(quoted(dumped(c("raw"), literal=True))))
         .when(low.contains("grep"), F.trim(F.concat_ws(" ", F.lit("grep -R"), c("pattern"), c("include"))))
         .when(low.rlike("list|read") & (path != ""), F.concat(F.lit("str_replace_editor view "), path))
         .when(low.rlike("edit|replace|string"), edited)
         .when(command != "", command)
-        .otherwise(F.trim(F.concat_ws(" ", name, F.substring(dumped(c("raw")), 1, limit))))
+        .otherwise(F.trim(F.concat_ws(" ", name, quoted(dumped(c("raw"))))))
     )
     return df.withColumn(out, line).drop(*[x for x in df.columns if x.startswith("_")])
 
@@ -275,8 +279,8 @@ def _value(of: str, raw: str, *names: str, truth: bool = False) -> Column:
     return F.coalesce(*[pair(n) for n in names])
 
 
-def steps(files: DataFrame, *, limit: int = 20_000, most: int = 200) -> DataFrame:
-    """``files`` (traj_id, text, layout; of NESTED) to one row per step, in the columns of ``parse.parsed``. Blank steps are dropped before numbering."""
+def steps(files: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """``files`` (traj_id, text, layout; of NESTED) to one row per step, every one, in the columns of ``parse.parsed``. Blank steps are dropped before numbering. Texts are whole, unless a caller sets a ``limit`` of characters."""
     is_item, is_node = F.col("layout") == "items", F.col("layout") == "nodes"
     by = lambda item, node, event: F.when(is_item, item).when(is_node, node).otherwise(event)
     none = F.lit(None)
@@ -314,6 +318,6 @@ def steps(files: DataFrame, *, limit: int = 20_000, most: int = 200) -> DataFram
     says = F.lit(False)
     for n in ("action", "feedback", "thought"):
         says = says | F.col(n).rlike(r"\S")
-    u = u.filter(says).withColumn("step_idx", F.row_number().over(order)).filter(F.col("step_idx") <= most)
+    u = u.filter(says).withColumn("step_idx", F.row_number().over(order))
     tool = F.when(is_node, F.element_at(F.split("name", r"\."), -1)).otherwise(F.col("name"))
     return u.select("traj_id", "step_idx", F.col("thought").alias("thought_text"), F.col("action").alias("action_text"), F.col("feedback").alias("feedback_text"), F.col("content").alias("assistant_content_text"), tool.alias("tool_name"))
